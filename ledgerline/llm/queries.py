@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, winnowing
+from . import blob_ledger, simhash, token_counts, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = blob_ledger.scan_all(_table(spark, sf_dir, "documents"), key_cols=["doc_id"])
+    kinds = F.transform("findings", lambda x: x["kind"])
+    count = {k: F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)) for k in ("assign", "access", "hex")}
+    spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *[n.alias(f"n_{k}") for k, n in count.items()], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -29,7 +44,7 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash_near_duplicates, op10_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
