@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, simhash, token_counts, winnowing
+from . import blob_ledger, lempel_ziv, simhash, token_counts, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lempel_ziv.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = blob_ledger.scan_all(_table(spark, sf_dir, "documents"), key_cols=["doc_id"])
     kinds = F.transform("findings", lambda x: x["kind"])
@@ -44,7 +50,7 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op10_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op3_lempel_ziv_dedup, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
