@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, lempel_ziv, packing, simhash, token_counts, winnowing
+from . import blob_ledger, lempel_ziv, packing, quality, simhash, token_counts, toxicity, winnowing
+from .labelled import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lempel_ziv.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = blob_ledger.scan_all(_table(spark, sf_dir, "documents"), key_cols=["doc_id"])
     kinds = F.transform("findings", lambda x: x["kind"])
@@ -57,7 +70,7 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_lempel_ziv_dedup, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op8_bm25_packing, op10_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op8_bm25_packing, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
