@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, lempel_ziv, packing, quality, simhash, token_counts, toxicity, winnowing
+from . import blob_ledger, lempel_ziv, line_spread, packing, quality, simhash, token_counts, toxicity, winnowing
 from .labelled import held_out
 
 
@@ -48,6 +48,12 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n.alias(f"n_{k}") for k, n in count.items()], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op6_line_spread_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = line_spread.remove_boilerplate(docs)
+    return kept.select("doc_id", F.col("__lines.n").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -69,9 +75,29 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) t
+), counted AS (
+  SELECT *, trim(line) AS bare, length(trim(line)) - length(replace(trim(line), ' ', '')) >= 2 AS counts,
+         lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY i) AS prior, lead(trim(line)) OVER (PARTITION BY doc_id ORDER BY i) AS later
+  FROM lines
+), spread AS (
+  SELECT bare FROM counted WHERE counts GROUP BY bare
+  HAVING count(DISTINCT source) >= 10 AND (count(DISTINCT prior) >= 10 OR count(DISTINCT later) >= 10)
+), marked AS (
+  SELECT c.*, s.bare IS NOT NULL AND c.counts AS gone FROM counted c LEFT JOIN spread s ON c.bare = s.bare
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op7_simhash_near_duplicates, op8_bm25_packing, op10_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_spread_dedup": OP6_SQL}

@@ -19,6 +19,7 @@ component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,9 +32,10 @@ from pyspark.sql import types as T
 
 from .components import smallest_reachable
 from .storage import written
-from .text import pieces, texts_of
+from .text import Rolling, WordHashes, concat, mix, pieces, texts_of
 
 RADIUS = 2
+_hashes = WordHashes(seed=7)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -47,6 +49,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
         hashes = np.fromiter((size(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist())), np.uint64, len(begins))
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -163,7 +170,131 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The documents, all their columns, of which none but the smallest id of each component stays; null ids stay."""
-    keep = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+SIGNATURE = 128
+_SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Fingerprint, shingle minima (one row each of ``SIGNATURE`` hashes) and number of words of each text."""
+    words, begins = concat((t or b"").lower().split() for t in texts)
+    prints, minima = [], np.zeros((len(texts), SIGNATURE), np.uint64)
+    rolling = Rolling(_hashes.of(words))
+    for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+        if a == b:
+            prints.append(0)
+            continue
+        first = np.arange(a, max(a + 1, b - shingle + 1))
+        hashes = rolling.runs(first, np.minimum(first + shingle, b))
+        prints.append(_majority(hashes))
+        distinct = np.unique(hashes)
+        low = np.full(SIGNATURE, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for at in range(0, len(distinct), 4096):
+            np.minimum(low, mix(distinct[at : at + 4096, None] ^ _SEEDS).min(axis=0), out=low)
+        minima[i] = low
+    return prints, minima, np.diff(begins)
+
+
+def _similar(prints: list[int], signs: np.ndarray, least: int, radius: int, tree_limit: int) -> list[int]:
+    """The smallest index that each entry reaches over links within the radius whose minima agree in ``least`` places.
+
+    Beyond ``tree_limit`` entries only those without a link so far enter the tree, so that a shard of one large group stays linear.
+    """
+    forest, children, inside = _Forest(len(prints)), [{}], [0]
+    for i in range(1, len(prints)):
+        x, todo, linked = prints[i], [0], False
+        while todo:
+            node = todo.pop()
+            j, below = inside[node], children[node]
+            d = (prints[j] ^ x).bit_count()
+            if d <= radius and forest.find(i) != forest.find(j) and int(np.count_nonzero(signs[i] == signs[j])) >= least:
+                forest.join(i, j)
+                linked = True
+                if len(prints) > tree_limit:
+                    break
+            if below:
+                todo += [c for e, c in below.items() if d - radius <= e <= d + radius]
+        if linked and len(prints) > tree_limit:
+            continue
+        node = 0
+        while (step := children[node].get(d := (prints[inside[node]] ^ x).bit_count())) is not None:
+            node = step
+        children[node][d] = len(children)
+        children.append({})
+        inside.append(i)
+    return [forest.find(i) for i in range(len(prints))]
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, bands: int = 8, tree_limit: int = 3000) -> DataFrame:
+    """Rows (id, component_id) of groups linked by a share of equal shingles of ``similarity`` or more.
+
+    At such a distance fingerprints differ in up to ``radius`` bits, too many for
+    equal blocks. Shards are named by pairs of shingle minima instead: a pair of
+    texts with similarity s shares one of ``bands`` shards with the chance
+    1 - (1 - s**2)**bands (0.9997 at 0.8). Shard trees find fingerprints within
+    the radius, and 128 minima decide on the similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            prints, minima, sizes = _sketches(texts_of(batch.column("text")).to_pylist(), shingle)
+            keep = np.flatnonzero(sizes > 0)
+            shards = mix(minima[:, 0 : 2 * bands : 2] * np.uint64(3) + mix(minima[:, 1 : 2 * bands : 2]) + np.arange(bands, dtype=np.uint64))
+            signs = (minima & np.uint64(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(np.array(prints, np.uint64)[keep].view(np.int64)), pa.array([signs[i].tobytes() for i in keep.tolist()], pa.binary()), pa.array([shards[i].view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))], ["id", "fingerprint", "signs", "shards"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketched = written(rows.mapInArrow(run, "id long, fingerprint long, signs binary, shards array<long>"), "sketches")
+    # texts with the same shingles have the same sketch: one node stands for them
+    nodes = sketched.groupBy("fingerprint", F.xxhash64("signs").alias("sketch")).agg(F.min("id").alias("node"))
+    own = sketched.select(F.col("id").alias("node"), "fingerprint", "signs", "shards").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fingerprint"])
+    dealt = own.select(F.explode("shards").alias("shard"), "fingerprint", "node", "signs").repartition("shard").sortWithinPartitions("shard", "node")
+    # chance agreement of one-byte minima is taken off
+    least = math.ceil(SIGNATURE * (similarity + (1 - similarity) / 256))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards, table in _whole_shards(batches):
+            u, v = [], []
+            fingerprint, node = table.column("fingerprint").to_numpy().view(np.uint64), table.column("node").to_numpy()
+            for a, b in shards:
+                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signs").slice(a, b - a)])
+                for i, root in enumerate(_similar(fingerprint[a:b].tolist(), signs, least, radius, tree_limit)):
+                    if root != i:
+                        u.append(int(node[a + i]))
+                        v.append(int(node[a + root]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    same = sketched.select("id", "fingerprint", F.xxhash64("signs").alias("sketch")).join(nodes, ["fingerprint", "sketch"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
+    return smallest_reachable(dealt.mapInArrow(links, "u long, v long").unionByName(same)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], pa.Table]]:
+    """Tables of whole shards, from batches sorted by shard, and where the shards of two or more rows begin and end."""
+    rest: pa.Table | None = None
+
+    def cut(table: pa.Table) -> tuple[list[tuple[int, int]], pa.Table]:
+        table = table.combine_chunks()
+        shard = table.column("shard").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        return [(a, b) for a, b in zip(edges.tolist(), edges[1:].tolist()) if b - a > 1], table
+
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            shard = table.column("shard").to_numpy()
+            last = int(np.searchsorted(shard, shard[-1]))
+            rest = table.slice(last)
+            if last:
+                yield cut(table.slice(0, last))
+    if rest is not None:
+        yield cut(rest)
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all their columns, of which none but the smallest id of each group stays.
+
+    Texts without words, and rows with a null id, are in no group and stay.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
