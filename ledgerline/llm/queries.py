@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, lempel_ziv, line_spread, packing, quality, simhash, token_counts, toxicity, winnowing
+from . import audio_prints, blob_ledger, lempel_ziv, line_spread, packing, quality, simhash, token_counts, toxicity, winnowing
 from .labelled import held_out
 
 
@@ -66,6 +66,12 @@ def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has media; each vector of ``embeddings`` is played as a melody."""
+    found = audio_prints.aligned_groups(_table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=audio_prints.played_vector)
+    return found.select("vec_id", "n_ints", F.sha2("prints", 256).alias("prints_sha256"), "group_id")
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -96,7 +102,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op10_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
