@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-z0-9ßà-öø-ÿ]+")
 
+_TAILS = frozenset(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+
 
 @lru_cache(maxsize=1)
 def _byte_letters() -> list[str]:
@@ -27,35 +30,59 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def _trim(table: dict, cap: int) -> None:
+    """Keep the half of a full table that was met first: frequent words come early."""
+    frequent = dict(islice(table.items(), cap // 2))
+    table.clear()
+    table.update(frequent)
+
+
+class _Parts(dict):
+    """Lower-cased part of a word (UTF-8 bytes) -> its ids, by the library's BPE model."""
+
+    def __init__(self, library, cap: int):
+        super().__init__()
+        self.split, self.cap = library.model.tokenize, cap
+        self.packed = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
+
+    def __missing__(self, part: bytes) -> bytes:
+        letters = part.decode() if part.isascii() else "".join(map(_byte_letters().__getitem__, part))
+        packed = self.packed
+        self[part] = ids = b"".join([packed[t.id] for t in self.split(letters)])
+        if len(self) > self.cap:
+            _trim(self, self.cap)
+        return ids
+
+
 class WordTokenizer(dict):
-    """Word (UTF-8 bytes) -> its ids as little-endian 32-bit integers, for at most ``cap`` words at a time."""
+    """Word (UTF-8 bytes) -> its ids as little-endian 32-bit integers.
+
+    Holds at most ``cap`` words; beyond it those that were met last go, as frequent words are met first.
+    """
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, cap: int = 800_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.cap = cap
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self.library, cap)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
 
-    def _part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= self.cap:
-                self.parts.clear()
-            letters = part if part.isascii() else "".join(map(_byte_letters().__getitem__, part.encode()))
-            self.parts[part] = ids = np.array([t.id for t in self.library.model.tokenize(letters)], "<u4").tobytes()
-        return ids
-
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text):
-            ids = b"".join(map(self._part, _PARTS.findall(text.lower())))
+        low = word.lower()
+        # most words are ASCII letters, many with a mark at the end
+        if low.isalpha():
+            ids = self.parts[low]
+        elif low[:-1].isalpha() and low[-1] in _TAILS:
+            ids = self.parts[low[:-1]] + self.parts[low[-1:]]
+        elif _PLAIN.fullmatch(text := word.decode()):
+            ids = b"".join([self.parts[p.encode()] for p in _PARTS.findall(text.lower())])
         else:
             ids = self._whole(text)
-        if len(self) >= self.cap:
-            self.clear()
         self[word] = ids
+        if len(self) > self.cap:
+            _trim(self, self.cap)
         return ids
 
     def _whole(self, text: str) -> bytes:
