@@ -324,7 +324,7 @@ def dash_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "SELECT event_type, CAST(sum(CASE WHEN event_id % 3 = 2 THEN 0 WHEN event_id % 3 = 1 THEN event_id % 1000 * 0.02 ELSE greatest(event_id % 1000 - event_id % 400, 0) * 2 + event_id % 400 * 0.5 + event_id % 200 * 8 END) / 1000000 AS DOUBLE) AS cost FROM events GROUP BY 1"
+    "SELECT event_type, CAST(sum(CASE WHEN event_id % 3 = 2 THEN 0 WHEN event_id % 3 = 1 THEN event_id % 1000 * 0.02 ELSE greatest(event_id % 1000 - event_id % 400, 0) * 2 + event_id % 400 * 0.5 + event_id % 200 * 8 END) * 0.000001 AS DOUBLE) AS cost FROM events GROUP BY 1"
 )
 def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
