@@ -9,7 +9,7 @@ are widespread too, but they always stand beside the same lines: boilerplate is
 a widespread line with at least ``min_sites`` different lines before it, or as
 many after it (sketches and exact counts again). It goes from every document.
 
-Built from DataFrame functions only.
+Texts are cut into hashed lines once; sketches, counts and joins run on hashes.
 
 Defined results: lines end at a line feed and are compared without leading and
 trailing spaces; lines of fewer than ``min_words`` space-separated words are
@@ -20,20 +20,18 @@ same; a null text stays null; every row of the input gives one row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
+from .text import pieces, texts_of
 
-
-def _lines(text: str | Column) -> Column:
-    return F.split(text, "\n")
-
-
-def _counts(line: Column, min_words: int) -> Column:
-    """Whether a line has enough words to count."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) >= min_words - 1
+_HASH = xxhash.xxh64_intdigest
 
 
 def _spread(lines: DataFrame, value: str, least: int, lg_k: int) -> DataFrame:
@@ -49,11 +47,37 @@ def _spread(lines: DataFrame, value: str, least: int, lg_k: int) -> DataFrame:
     return sure.unionByName(exact.select("line_hash"))
 
 
-def boilerplate_lines(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def line_table(docs: DataFrame, *, site_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Rows (text_hash, text_bytes, site, line_hash, before, after), one for each line that counts.
+
+    Hashes are those of the SQL function xxhash64 on trimmed lines; ``before`` and ``after`` are the neighbours'.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "__text"):
+            rows, cols = [], ([], [], [], [], [])
+            for i, text in enumerate(texts_of(batch.column("__text")).to_pylist()):
+                if text is None:
+                    continue
+                bare = [x.strip(b" ") for x in text.split(b"\n")]
+                hashes = [_HASH(x, 42) for x in bare]
+                around = [None, *hashes, None]
+                own = (_HASH(text, 42), len(text))
+                for k, line in enumerate(bare):
+                    if line.count(b" ") >= min_words - 1:
+                        rows.append(i)
+                        for c, v in zip(cols, (*own, hashes[k], around[k], around[k + 2])):
+                            c.append(v)
+            whole = [pa.array(np.array([v or 0 for v in c], np.uint64).view(np.int64), mask=np.array([v is None for v in c], bool)) for c in cols]
+            site = batch.column("__site").take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([whole[0], whole[1], site, *whole[2:]], ["text_hash", "text_bytes", "site", "line_hash", "before", "after"])
+
+    rows = docs.select(F.col(site_col).cast("string").alias("__site"), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(run, "text_hash long, text_bytes long, site string, line_hash long, before long, after long")
+
+
+def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, lg_k: int = 12) -> DataFrame:
     """Rows (line_hash) of the lines that stand on at least ``min_sites`` sites and beside as many different lines."""
-    hashes = F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(F.trim(x)))
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), hashes.alias("all"), F.posexplode(_lines(F.col(text_col))).alias("at", "line"))
-    lines = lines.where(_counts(F.trim("line"), min_words)).select("site", F.get("all", F.col("at")).alias("line_hash"), F.get("all", F.col("at") - 1).alias("before"), F.get("all", F.col("at") + 1).alias("after"))
     wide = written(_spread(lines.select("site", "line_hash"), "site", min_sites, lg_k), "wide")
     beside = written(lines.join(wide, "line_hash", "left_semi").select("line_hash", "before", "after").distinct(), "beside")
     return _spread(beside, "before", min_sites, lg_k).unionByName(_spread(beside, "after", min_sites, lg_k)).distinct()
@@ -61,17 +85,16 @@ def boilerplate_lines(docs: DataFrame, *, site_col: str = "source", text_col: st
 
 def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
     """The documents, all their columns, with boilerplate lines taken from the text, and the struct ``__lines`` (n, removed)."""
-    common = written(boilerplate_lines(docs, site_col=site_col, text_col=text_col, min_sites=min_sites, min_words=min_words, lg_k=lg_k), "boilerplate")
-    line = F.trim(F.col("line"))
-    # a text is keyed by two hashes, so that rows need no key of their own and copies share one entry
-    keys = [F.xxhash64(text_col), F.hash(text_col)]
-    lines = docs.where(F.col(text_col).isNotNull()).select(keys[0].alias("__a"), keys[1].alias("__b"), F.explode(_lines(F.col(text_col))).alias("line")).where(_counts(line, min_words)).select("__a", "__b", F.xxhash64(line).alias("line_hash"))
-    hits = lines.join(common, "line_hash", "left_semi").distinct().groupBy("__a", "__b").agg(F.collect_list("line_hash").alias("__gone"))
-    joined = docs.join(hits, (keys[0] == F.col("__a")) & (keys[1] == F.col("__b")), "left")
-    every = _lines(F.col(text_col))
-    kept = F.filter(every, lambda x: ~(F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x))) & _counts(F.trim(x), min_words)))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(every), F.lit(0)).cast("long")
-    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(every) - F.size(kept)).cast("long")
-    counts = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n"), removed.alias("removed")).alias("__lines")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], counts)
+    lines = written(line_table(docs, site_col=site_col, text_col=text_col, min_words=min_words), "lines")
+    common = written(boilerplate_lines(lines, min_sites=min_sites, lg_k=lg_k), "boilerplate")
+    # a text is keyed by its hash and length, so that rows need no key of their own and copies share one entry
+    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "line_hash").distinct().groupBy("text_hash", "text_bytes").agg(F.collect_list("line_hash").alias("__gone"))
+    joined = docs.join(hits, (F.xxhash64(text_col) == F.col("text_hash")) & (F.octet_length(text_col).cast("long") == F.col("text_bytes")), "left")
+    every = F.split(text_col, "\n")
+    counts = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) >= min_words - 1
+    kept = F.filter(every, lambda x: ~(F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x))) & counts(F.trim(x))))
+    hit = F.col("__gone").isNotNull()
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1)
+    text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    tally = F.struct(n.cast("long").alias("n"), F.when(hit, F.size(every) - F.size(kept)).otherwise(0).cast("long").alias("removed")).alias("__lines")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], tally)
