@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import vocabulary as V
 from ..functions.text import normal_ticker_value, terms
@@ -88,6 +89,7 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
     yields its own best k of each, and only those are shuffled. Null, zero and wrongly sized vectors match nothing.
     """
     spark = chunks.sparkSession
+    qid_type = to_arrow_type(questions.schema["qid"].dataType)
     rows = chunks.where(metadata_predicate(filters) & F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
 
     def scorer(names: list, matrix: np.ndarray):
@@ -108,7 +110,7 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
                 order = np.argsort(ids, kind="stable")
                 ids, sims = ids[order], (x @ matrix.T)[order]
                 best = np.argsort(-sims, axis=0, kind="stable")[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(len(best))]), pa.array(ids[best].T.ravel()), pa.array(np.take_along_axis(sims, best, 0).T.ravel())], ["qid", "id", "vector_score"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(len(best))], qid_type), pa.array(ids[best].T.ravel()), pa.array(np.take_along_axis(sims, best, 0).T.ravel())], ["qid", "id", "vector_score"])
 
         return run
 

@@ -22,6 +22,8 @@ TABLES = {
 }
 # fixed values: functions that user SQL may call
 FUNCTIONS = frozenset("abs avg cast ceil coalesce count date_trunc extract floor greatest if lag lead least lower max min nullif power round row_number sum upper".split())
+# operators that the parser turns into functions
+OPERATORS = frozenset(("between",))
 NODES = frozenset("Project Filter Aggregate Join Union Intersect Except Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedRelation UnresolvedHaving UnresolvedWith Distinct UnresolvedSubqueryColumnAliases".split())
 ROOTS = frozenset("Project Aggregate Distinct UnresolvedHaving UnresolvedWith".split())
 # wrappers and operators that are part of the language, not functions
@@ -100,7 +102,7 @@ class _Walk:
             raise SqlRejected("* is not allowed")
         if kind == "UnresolvedFunction":
             name = _parts(e.nameParts())
-            if len(name) != 1 or name[0].lower() not in FUNCTIONS:
+            if len(name) != 1 or name[0].lower() not in FUNCTIONS | OPERATORS:
                 raise SqlRejected(f"function {'.'.join(name)} is not allowed")
         elif kind not in SYNTAX:
             raise SqlRejected(f"{kind} is not allowed")
