@@ -55,9 +55,8 @@ class Bm25:
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[seed]
-        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
-        at = np.arange(int(size.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        spans = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist()))
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
 
 
 def _powers_of_two(n: int) -> list[int]:
@@ -69,7 +68,7 @@ def pack(docs: list[np.ndarray], window: int, terms: int) -> list[tuple[int, int
     index = Bm25(docs, terms)
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
-    sequence, fill, seed = 0, 0, 0
+    sequence, fill = 0, 0
     held: list[tuple[int, int, int]] = []  # pieces of the open window
     queue: Iterator[int] = iter(())
 
@@ -92,17 +91,17 @@ def pack(docs: list[np.ndarray], window: int, terms: int) -> list[tuple[int, int
         return full
 
     for seed in range(len(docs)):
+        if used[seed]:
+            continue
         current = seed
         while not used[current] or fill:
             if not used[current] and place(current) and not fill:
                 break
-            # the document that reaches into the open window is its seed
-            origin = held[-1][0] if held else current
-            score = index.scores(origin)
             free = np.flatnonzero(~used)
             if not len(free):
                 break
-            # enough neighbours for the window are ranked; more are ranked if they are used up
+            # the document that reaches into the open window is its seed
+            score = index.scores(held[-1][0])
             ranked = free[np.lexsort((free, -score[free]))]
             for d in ranked.tolist():
                 if place(d):
