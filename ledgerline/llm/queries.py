@@ -101,9 +101,52 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, a, md5(array_to_string(words[a:a + 49], ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS a FROM texts) t
+), firsts AS (
+  SELECT k, min(doc_id) AS f FROM windows GROUP BY k
+), covered AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(a, a + 49)) AS p FROM windows JOIN firsts USING (k) WHERE f < doc_id) c
+), places AS (
+  SELECT t.doc_id, t.p, t.words[t.p] AS word, c.p IS NULL AS kept
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS p FROM texts) t LEFT JOIN covered c ON c.doc_id = t.doc_id AND c.p = t.p
+), cut AS (
+  SELECT doc_id, count(*) FILTER (WHERE NOT kept) AS n, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE kept), '') AS left_words FROM places GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(left_words, '')) AS kept_sha256
+FROM texts t LEFT JOIN cut ON cut.doc_id = t.doc_id
+"""
+
+OP10_SQL = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), wanted AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[a:a + size - 1], ' ') AS w
+  FROM (SELECT *, least(len(words), 10) AS size, unnest(generate_series(1, len(words) - least(len(words), 10) + 1)) AS a FROM items WHERE len(words) > 0) i
+), held AS (
+  SELECT doc_id, size, a, array_to_string(words[a:a + size - 1], ' ') AS w
+  FROM (SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS a FROM texts, (SELECT DISTINCT size FROM wanted) s) t
+), hits AS (
+  SELECT doc_id, a, size, item_id FROM held JOIN wanted USING (size, w)
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(a, a + size - 1)) AS p FROM hits) h GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) h GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN places p ON p.doc_id = t.doc_id LEFT JOIN found f ON f.doc_id = t.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_spread_dedup": OP6_SQL}
+    return {"op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL}
