@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,15 +19,33 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 _NUMBER = re.compile(r"^\(?[\s$€£¥]*[\d][\d,.\s]*\)?\s*%?$|^[-–—]$")
 
 
+@dataclass(frozen=True)
+class Line:
+    """A line of visible text, whether it is styled as a heading, and the anchors of the tags around it."""
+
+    text: str
+    heading: bool = False
+    anchors: frozenset[str] = frozenset()
+
+
+def _styled_heading(tag: str, given: dict[str, str | None], style: str) -> bool:
+    weight = re.search(r"font-weight:(\d{3})", style)
+    return (
+        tag in ("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b") or (given.get("role") or "").lower() == "heading" or "font-weight:bold" in style or "text-align:center" in style
+        or bool(weight and int(weight[1]) >= 600) or bool(re.search(r"(?:^|[-_\s])(?:heading|title)(?:$|[-_\s])", given.get("class") or "", re.IGNORECASE))
+    )
+
+
 class _Reader(HTMLParser):
-    """Collects text by blocks; drops invisible parts and grids of numbers."""
+    """Collects text by blocks with its signals; drops invisible parts and grids of numbers. None ends a line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[list[str]] = [[]]
+        self.out: list[list[tuple[str, bool, frozenset[str]] | None]] = [[]]
         self.skip: list[str] = []
         self.tables: list[list[list[str]]] = []
-        self.cell: list[bool] = []
+        self.open: list[tuple[str, bool, str | None]] = []
+        self.ids: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip:
@@ -39,6 +59,11 @@ class _Reader(HTMLParser):
             if tag not in VOID:
                 self.skip.append(tag)
             return
+        anchor = given.get("id") or given.get("name")
+        if anchor:
+            self.ids[anchor] += 1
+        if tag not in VOID:
+            self.open.append((tag, _styled_heading(tag, given, style), anchor))
         if tag == "table":
             self.out.append([])
             self.tables.append([])
@@ -47,11 +72,11 @@ class _Reader(HTMLParser):
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.tables[-1][-1].append("")
         if tag in BLOCK_TAGS:
-            self.out[-1].append("\n")
+            self.out[-1].append(None)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if not self.skip and tag in BLOCK_TAGS:
-            self.out[-1].append("\n")
+            self.out[-1].append(None)
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -59,16 +84,19 @@ class _Reader(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
+        if any(t == tag for t, _, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
         if tag in BLOCK_TAGS:
-            self.out[-1].append("\n")
+            self.out[-1].append(None)
         if tag == "table" and self.tables:
-            grid, text = self.tables.pop(), self.out.pop()
+            grid, inner = self.tables.pop(), self.out.pop()
             if not is_data_grid(grid):
-                self.out[-1] += ["\n", *text, "\n"]
+                self.out[-1] += [None, *inner, None]
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.out[-1].append(data.replace("\n", " "))
+            self.out[-1].append((data, any(h for _, h, _ in self.open), frozenset(a for _, _, a in self.open if a)))
             if self.tables and self.tables[-1] and self.tables[-1][-1]:
                 self.tables[-1][-1][-1] += data
 
@@ -81,12 +109,27 @@ def is_data_grid(rows: list[list[str]]) -> bool:
     return len(rows) >= 3 and len(cells) >= 9 and sum(len(r) >= 3 for r in rows) >= 2 and numeric >= max(3, len(full) // 5) and max(map(len, full), default=0) < 500
 
 
-def visible_text(html: str | None) -> str:
+def read_lines(html: str | None) -> list[Line]:
+    """The visible lines of a document; anchors that stand twice in it are left out."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    text = " ".join(x for part in reader.out for x in part)
-    return "\n".join(x for x in (re.sub(r"\s+", " ", line).strip() for line in text.split("\n")) if x)
+    out, held = [], []
+    for piece in [*(p for part in reader.out for p in part), None]:
+        if piece is not None:
+            held.append(piece)
+            continue
+        text = re.sub(r"\s+", " ", " ".join(p[0] for p in held)).strip()
+        if text:
+            told = [p for p in held if p[0].strip()]
+            anchors = frozenset(a for a in frozenset().union(*(p[2] for p in told)) if reader.ids[a] == 1)
+            out.append(Line(text, all(p[1] for p in told), anchors))
+        held = []
+    return out
+
+
+def visible_text(html: str | None) -> str:
+    return "\n".join(line.text for line in read_lines(html))
 
 
 def to_text(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, evaluation, facts, lines, markup, operations, retrieval
+from ..operators import chunking, evaluation, facts, lines, operations, repair, retrieval
 from ..streaming import jobs
 from . import guard
 from .domain import view, with_views
@@ -385,11 +385,8 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    text = markup.to_text(pages, "page_id", "html")
-    forms = text.select("doc", F.lit("10-K").alias("form_type"))
-    kept = lines.without_boilerplate(lines.without_repeats(lines.lines_of(text, "doc", "text")))
-    return lines.sections(kept, forms).select("doc", "section", F.length("text").alias("n_chars"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("form_type", F.lit("10-K"))
+    return repair.clean_filings(pages, "page_id", "form_type", "html").select("doc", "section", F.length("text").alias("n_chars"), "note")
 
 
 GUARDED = "SELECT metric, fiscal_year, fiscal_period, avg(value) AS value, unit FROM financial_facts WHERE ticker IN ('T1', 'T2', 'T3', 'T4') AND fiscal_period = 'FY' GROUP BY metric, fiscal_year, fiscal_period, unit ORDER BY fiscal_year, metric LIMIT 500"
