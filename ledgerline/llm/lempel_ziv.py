@@ -34,9 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import Rolling, WordHashes, concat, pieces, texts_of
+from .text import Rolling, WordHashes, concat, freeing, pieces, texts_of
 
 _hashes = WordHashes(seed=3)
+
+
+def _forget_words() -> None:
+    _hashes.clear()
+
 _WIDTH = 6  # bytes of a window's hash beside its anchor's 64 bits
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -168,12 +173,14 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a window holds 1 to 64 shingles")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
+    @freeing(_forget_words)
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             s = Segments(texts_of(batch.column("text")).to_pylist(), window, gram)
             take = pa.array(s.owner)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("row").take(take), _signed(s.anchor), _signed(s.segment), pa.array((s.start - s.begins[s.owner]).astype(np.int32)), pa.array(s.count.astype(np.int32))], ["id", "row", "anchor", "segment", "at", "count"])
 
+    @freeing(_forget_words)
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             s = Segments(texts_of(batch.column("text")).to_pylist(), window, gram)

@@ -32,12 +32,16 @@ from pyspark.sql import types as T
 
 from .components import smallest_reachable
 from .storage import written
-from .text import Rolling, WordHashes, concat, mix, pieces, texts_of
+from .text import Rolling, WordHashes, concat, freeing, mix, pieces, texts_of
 
 RADIUS = 2
 _hashes = WordHashes(seed=7)
 
 
+def _forget_words() -> None:
+    _hashes.clear()
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     words = (text or b"").lower().split()
     if not words:
@@ -234,6 +238,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the radius, and 128 minima decide on the similarity.
     """
 
+    @freeing(_forget_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             prints, minima, sizes = _sketches(texts_of(batch.column("text")).to_pylist(), shingle)

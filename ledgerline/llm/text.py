@@ -6,7 +6,7 @@ white-space bytes and ``bytes.lower()`` lowers exactly A-Z.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,21 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k))
 
 
+def freeing(free: Callable[[], None]) -> Callable:
+    """A decorator for Arrow stages: ``free``, a function of a module, empties the worker's caches when a task ends, so that none is carried into another stage."""
+
+    def wrap(stage: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from stage(batches)
+            finally:
+                free()
+
+        return run
+
+    return wrap
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as binary, without copying its bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

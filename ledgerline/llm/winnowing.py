@@ -23,12 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import Rolling, WordHashes, concat, pieces, texts_of
+from .text import Rolling, WordHashes, concat, freeing, pieces, texts_of
 
 # bytes outside of words become spaces, A-Z become a-z
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _hashes = WordHashes(seed=10)
 
+
+def _forget_words() -> None:
+    _hashes.clear()
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -162,6 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         rows = written(rows, "winnowing-documents")
 
     def scanner(block: Broadcast, keys: list[str]):
+        @freeing(_forget_words)
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = block.value
             for batch in pieces(batches, "__text"):
@@ -197,6 +203,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """The documents, all their columns, without those that share a window with the benchmark."""
     for block in indexed(benchmark, item_col, item_text_col, window, gram, block_bytes):
 
+        @freeing(_forget_words)
         def keep(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text_col):
                 begins, hit, _ = scan(texts_of(batch.column(text_col)).to_pylist(), block.value)
