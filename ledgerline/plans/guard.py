@@ -173,9 +173,15 @@ def guarded(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> Dat
     """The result of an allowed query over the given tables, of which it sees the allowed columns only; at most 100 rows."""
     plan, used = validated_plan(spark, text)
     wanted = _limit(plan)
+    # a session of its own sees these views and nothing else
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     for name in used:
-        tables[name].select(*[c for c in TABLES[name] if c in tables[name].columns]).createOrReplaceTempView(name)
-    out = spark.sql(re.sub(r"(?i)\bpublic\.", "", text))
+        visible = tables[name].select(*[c for c in TABLES[name] if c in tables[name].columns])
+        rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, visible._jdf.queryExecution().analyzed())
+        rows.createOrReplaceTempView(name)
+    # the schema's name goes from the text, but not from within quotes
+    out = own.sql(re.sub(r"('(?:[^'\\]|\\.|'')*')|(?i:\bpublic\.)", lambda m: m[1] or "", text))
     if {c.lower() for c in out.columns} != RESULT or len(out.columns) != len(RESULT):
         raise SqlRejected(f"the result's columns are not {sorted(RESULT)}")
     return out.limit(min(wanted or MAX_ROWS, MAX_ROWS))
