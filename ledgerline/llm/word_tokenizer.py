@@ -37,47 +37,32 @@ def _trim(table: dict, cap: int) -> None:
     table.update(frequent)
 
 
-class _Parts(dict):
-    """Lower-cased part of a word (UTF-8 bytes) -> its ids, by the library's BPE model."""
-
-    def __init__(self, library, cap: int):
-        super().__init__()
-        self.split, self.cap = library.model.tokenize, cap
-        self.packed = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
-
-    def __missing__(self, part: bytes) -> bytes:
-        letters = part.decode() if part.isascii() else "".join(map(_byte_letters().__getitem__, part))
-        packed = self.packed
-        self[part] = ids = b"".join([packed[t.id] for t in self.split(letters)])
-        if len(self) > self.cap:
-            _trim(self, self.cap)
-        return ids
-
-
 class WordTokenizer(dict):
-    """Word (UTF-8 bytes) -> its ids as little-endian 32-bit integers.
+    """Word, or part of one (UTF-8 bytes) -> its ids as little-endian 32-bit integers.
 
-    Holds at most ``cap`` words; beyond it those that were met last go, as frequent words are met first.
+    Holds at most ``cap`` of them; beyond it those that were met last go, as frequent words are met first.
     """
 
-    def __init__(self, path: str, cap: int = 800_000):
+    def __init__(self, path: str, cap: int = 900_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.cap = cap
-        self.parts = _Parts(self.library, cap)
+        self.merge = self.library.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
         low = word.lower()
         # most words are ASCII letters, many with a mark at the end
         if low.isalpha():
-            ids = self.parts[low]
+            ids = self._part(low) if low == word else self[low]
         elif low[:-1].isalpha() and low[-1] in _TAILS:
-            ids = self.parts[low[:-1]] + self.parts[low[-1:]]
+            ids = self[low[:-1]] + self[low[-1:]]
         elif _PLAIN.fullmatch(text := word.decode()):
-            ids = b"".join([self.parts[p.encode()] for p in _PARTS.findall(text.lower())])
+            parts = [p.encode() for p in _PARTS.findall(text.lower())]
+            ids = self._part(word) if parts == [word] else b"".join([self[p] for p in parts])
         else:
             ids = self._whole(text)
         self[word] = ids
@@ -85,6 +70,12 @@ class WordTokenizer(dict):
             _trim(self, self.cap)
         return ids
 
+    def _part(self, part: bytes) -> bytes:
+        """Ids of a lower-cased part, by the library's BPE model."""
+        letters = part.decode() if part.isascii() else "".join(map(_byte_letters().__getitem__, part))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(letters)])
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
