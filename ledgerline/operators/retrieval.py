@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import vocabulary as V
+from ..functions.stemming import stems
 from ..functions.text import normal_ticker_value, terms
 
 FILTERS = ("ticker", "fiscal_year", "fiscal_period", "section")
@@ -62,23 +63,36 @@ def top_k(scored: DataFrame, k: int, *order: Column, group: str = "qid", rank: s
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None) -> DataFrame:
+def _wanted(questions: DataFrame, stemmed: bool) -> DataFrame:
+    return questions.select("qid", F.explode(F.array_distinct(_terms("query", stemmed))).alias("term"))
+
+
+def _terms(column: str, stemmed: bool) -> Column:
+    return stems(terms(column)) if stemmed else terms(column)
+
+
+def _held(chunks: DataFrame, wanted: DataFrame, stemmed: bool) -> DataFrame:
+    """(id, term, tf) of the terms that some question asks for; others are dropped before anything is shuffled."""
+    every = chunks.select("id", F.explode(_terms("text", stemmed)).alias("term"))
+    return every.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False) -> DataFrame:
     """Rows (qid, id, text_score, rank): chunks that hold any term of the question, 0.1 for each place where one stands.
 
     Questions (qid, query) are a stated set: their terms are joined to the chunks' terms, so only matching pairs arise.
-    A question without terms finds nothing.
+    A question without terms finds nothing. With ``stemmed``, words match by their English stems.
     """
-    wanted = questions.select("qid", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    held = chunks.where(metadata_predicate(filters)).select("id", F.explode(terms("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    wanted = _wanted(questions, stemmed)
+    held = _held(chunks.where(metadata_predicate(filters)), wanted, stemmed)
     scored = held.join(wanted, "term").groupBy("qid", "id").agg((F.sum("tf") * 0.1).alias("text_score"))
     return top_k(scored, k, F.desc("text_score"), F.asc("id"))
 
 
-def text_match_counts(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def text_match_counts(questions: DataFrame, chunks: DataFrame, *, stemmed: bool = False) -> DataFrame:
     """Rows (qid, matches), zero where nothing matches."""
-    wanted = questions.select("qid", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    held = chunks.select("id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    found = held.join(wanted, "term").groupBy("qid").agg(F.count_distinct("id").alias("n"))
+    wanted = _wanted(questions, stemmed)
+    found = _held(chunks, wanted, stemmed).join(wanted, "term").groupBy("qid").agg(F.count_distinct("id").alias("n"))
     return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("matches"))
 
 

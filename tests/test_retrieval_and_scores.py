@@ -30,6 +30,12 @@ def test_text_search_counts_places(spark):
     assert {r.qid: r.matches for r in counts.collect()} == {1: 2, 2: 0, 3: 0}
 
 
+def test_stemmed_search(spark):
+    q = spark.createDataFrame([(1, "flows")], "qid int, query string")
+    assert retrieval.text_search(q, chunks(spark), 5).count() == 0
+    assert [r.id for r in retrieval.text_search(q, chunks(spark), 5, stemmed=True).collect()] == [1]
+
+
 def test_vector_search_is_exact_and_filters_first(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "qid int, embedding array<double>")
     got = retrieval.vector_search(q, chunks(spark), 2, block=1).orderBy("qid", "rank").collect()
