@@ -91,5 +91,5 @@ def discovery_status(forms: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of landed documents; those that are not UTF-8 are read as Latin-1."""
-    return spark.read.format("binaryFile").load(path).select("path", F.expr("try_validate_utf8(cast(content as string))").alias("valid"), "content").select("path", F.coalesce("valid", F.decode("content", "ISO-8859-1")).alias("html"))
+    """(path, html) of landed documents; bytes that are not UTF-8 become replacement characters."""
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))

@@ -54,3 +54,11 @@ def test_feedback_and_metadata(spark):
     assert sorted(r.reject_reason for r in bad.collect()) == ["rating", "trace_id"]
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2)], "accession_no string, cik int")
     assert [r[0] for r in same_metadata(rows, "accession_no", ["cik"]).collect()] == ["b"]
+
+
+def test_landed_documents_are_decoded(spark, tmp_path):
+    from ledgerline.sources.filings import documents
+
+    (tmp_path / "a.htm").write_bytes("<p>é</p>".encode())
+    (tmp_path / "b.htm").write_bytes("<p>é</p>".encode("latin-1"))
+    assert sorted(r.html for r in documents(spark, str(tmp_path)).collect()) == ["<p>é</p>", "<p>\ufffd</p>"]
