@@ -69,11 +69,11 @@ def fact_incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.load_facts(stored, every, cursor).select(*FACTS)
 
 
-@registered(f"{A3} SELECT cik, max_by(filing_date, (filing_date, accession_no)) AS last_filing_date, max_by(accession_no, (filing_date, accession_no)) AS last_accession FROM latest GROUP BY cik", "candidates")
+@registered(f"{A3} SELECT cik, CAST(max(filing_date) AS STRING) AS last_filing_date, max_by(accession_no, (filing_date, accession_no)) AS last_accession FROM latest GROUP BY cik", "candidates")
 def ingestion_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = latest(spark, sf_dir)
     start = every.where("filing_date < DATE '1997-01-01'").groupBy("cik").agg(F.max(F.struct("filing_date", "accession_no")).alias("m")).select("cik", F.col("m.filing_date").alias("last_filing_date"), F.col("m.accession_no").alias("last_accession"))
-    return facts.advance_cursor(start, every)
+    return facts.advance_cursor(start, every).withColumn("last_filing_date", F.col("last_filing_date").cast("string"))
 
 
 @registered(
@@ -105,9 +105,9 @@ def filing_fiscal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.fiscal_context(view(spark, sf_dir, "filings"), view(spark, sf_dir, "candidates")).select("accession_no", "cik", "form_type", "fiscal_year", "fiscal_period")
 
 
-@registered("SELECT cik, max(filing_date) AS filing_date, max_by(accession_no, (filing_date, accession_no)) AS accession_no FROM filings GROUP BY cik", "filings")
+@registered("SELECT cik, CAST(max(filing_date) AS STRING) AS filing_date, max_by(accession_no, (filing_date, accession_no)) AS accession_no FROM filings GROUP BY cik", "filings")
 def latest_filing_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.latest_per_company(view(spark, sf_dir, "filings"))
+    return facts.latest_per_company(view(spark, sf_dir, "filings")).withColumn("filing_date", F.col("filing_date").cast("string"))
 
 
 @registered("SELECT c.id, c.ticker, co.name FROM chunks c JOIN companies co ON c.cik = co.cik", "chunks", "companies")
