@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-SIGNATURE = 128
+SIGNATURE = 256
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -192,8 +192,8 @@ def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.nd
         prints.append(_majority(hashes))
         distinct = np.unique(hashes)
         low = np.full(SIGNATURE, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for at in range(0, len(distinct), 4096):
-            np.minimum(low, mix(distinct[at : at + 4096, None] ^ _SEEDS).min(axis=0), out=low)
+        for at in range(0, len(distinct), 1024):
+            np.minimum(low, mix(distinct[at : at + 1024, None] ^ _SEEDS).min(axis=0), out=low)
         minima[i] = low
     return prints, minima, np.diff(begins)
 
@@ -235,7 +235,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     equal blocks. Shards are named by pairs of shingle minima instead: a pair of
     texts with similarity s shares one of ``bands`` shards with the chance
     1 - (1 - s**2)**bands (0.9997 at 0.8). Shard trees find fingerprints within
-    the radius, and 128 minima decide on the similarity.
+    the radius, and 256 minima decide on the similarity, less one standard error
+    of their share, so that links at the threshold itself are rarely lost.
     """
 
     @freeing(_forget_words)
@@ -254,7 +255,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = sketched.select(F.col("id").alias("node"), "fingerprint", "signs", "shards").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fingerprint"])
     dealt = own.select(F.explode("shards").alias("shard"), "fingerprint", "node", "signs").repartition("shard").sortWithinPartitions("shard", "node")
     # chance agreement of one-byte minima is taken off
-    least = math.ceil(SIGNATURE * (similarity + (1 - similarity) / 256))
+    near = similarity - math.sqrt(similarity * (1 - similarity) / SIGNATURE)
+    least = math.ceil(SIGNATURE * (near + (1 - near) / 256))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shards, table in _whole_shards(batches):
