@@ -91,7 +91,7 @@ def pretoken_counts(docs: DataFrame, path: str, *, text_col: str = "text") -> Da
     return distinct.mapInArrow(counted, "pretoken string, freq long, pieces long")
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000) -> DataFrame:
     """Rows (id, n_bytes, n_tokens)."""
     spark = docs.sparkSession
     table = written(pretoken_counts(docs, path, text_col=text_col), "pretokens")
