@@ -91,13 +91,24 @@ def pretoken_counts(docs: DataFrame, path: str, *, text_col: str = "text") -> Da
     return distinct.mapInArrow(counted, "pretoken string, freq long, pieces long")
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """(pretoken, pieces) of at most ``most`` rows: all above a frequency, found from a histogram, so that no task sorts the whole table."""
+    step = F.floor(F.log2("freq") * 8)
+    taken, lowest = 0, None
+    for at, n in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if taken + n > most:
+            break
+        taken, lowest = taken + n, at
+    chosen = table.where(step >= lowest) if lowest is not None else table.limit(0)
+    return chosen.select("pretoken", "pieces")
+
+
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000) -> DataFrame:
     """Rows (id, n_bytes, n_tokens)."""
     spark = docs.sparkSession
     table = written(pretoken_counts(docs, path, text_col=text_col), "pretokens")
-    # a fixed number of rows, so neither the driver nor the broadcast grows with the input
-    frequent = table.orderBy(F.desc("freq"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow() if hot else None
-    known = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.columns))) if hot else {})
+    frequent = _most_frequent(table, hot).toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.columns))))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
