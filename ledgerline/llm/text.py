@@ -78,6 +78,7 @@ def freeing(free: Callable[[], None]) -> Callable:
                 yield from stage(batches)
             finally:
                 free()
+                pa.default_memory_pool().release_unused()
 
         return run
 
