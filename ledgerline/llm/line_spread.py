@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
@@ -47,8 +47,15 @@ def _spread(lines: DataFrame, value: str, least: int, lg_k: int) -> DataFrame:
     return sure.unionByName(exact.select("line_hash"))
 
 
-def line_table(docs: DataFrame, *, site_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Rows (text_hash, text_bytes, site, line_hash, before, after), one for each line that counts.
+SPREAD = 32  # so many tasks may share the copies of one text
+
+
+def _bucket(docs: DataFrame, id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(SPREAD)).cast("int") if id_col in docs.columns else F.lit(0)
+
+
+def line_table(docs: DataFrame, *, site_col: str, text_col: str, id_col: str, min_words: int) -> DataFrame:
+    """Rows (text_hash, text_bytes, bucket, site, line_hash, before, after), one for each line that counts.
 
     Hashes are those of the SQL function xxhash64 on trimmed lines; ``before`` and ``after`` are the neighbours'.
     """
@@ -69,11 +76,11 @@ def line_table(docs: DataFrame, *, site_col: str, text_col: str, min_words: int)
                         for c, v in zip(cols, (*own, hashes[k], around[k], around[k + 2])):
                             c.append(v)
             whole = [pa.array(np.array([v or 0 for v in c], np.uint64).view(np.int64), mask=np.array([v is None for v in c], bool)) for c in cols]
-            site = batch.column("__site").take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([whole[0], whole[1], site, *whole[2:]], ["text_hash", "text_bytes", "site", "line_hash", "before", "after"])
+            bucket, site = (batch.column(c).take(pa.array(rows, pa.int32())) for c in ("__bucket", "__site"))
+            yield pa.RecordBatch.from_arrays([*whole[:2], bucket, site, *whole[2:]], ["text_hash", "text_bytes", "bucket", "site", "line_hash", "before", "after"])
 
-    rows = docs.select(F.col(site_col).cast("string").alias("__site"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "text_hash long, text_bytes long, site string, line_hash long, before long, after long")
+    rows = docs.select(_bucket(docs, id_col).alias("__bucket"), F.col(site_col).cast("string").alias("__site"), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(run, "text_hash long, text_bytes long, bucket int, site string, line_hash long, before long, after long")
 
 
 def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, lg_k: int = 12) -> DataFrame:
@@ -83,13 +90,13 @@ def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, lg_k: int = 12)
     return _spread(beside, "before", min_sites, lg_k).unionByName(_spread(beside, "after", min_sites, lg_k)).distinct()
 
 
-def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
     """The documents, all their columns, with boilerplate lines taken from the text, and the struct ``__lines`` (n, removed)."""
-    lines = written(line_table(docs, site_col=site_col, text_col=text_col, min_words=min_words), "lines")
+    lines = written(line_table(docs, site_col=site_col, text_col=text_col, id_col=id_col, min_words=min_words), "lines")
     common = written(boilerplate_lines(lines, min_sites=min_sites, lg_k=lg_k), "boilerplate")
-    # a text is keyed by its hash and length, so that rows need no key of their own and copies share one entry
-    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "line_hash").distinct().groupBy("text_hash", "text_bytes").agg(F.collect_list("line_hash").alias("__gone"))
-    joined = docs.join(hits, (F.xxhash64(text_col) == F.col("text_hash")) & (F.octet_length(text_col).cast("long") == F.col("text_bytes")), "left")
+    # a text is keyed by its hash and length, so that rows need no key of their own; the bucket of its id spreads copies over tasks
+    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "bucket", "line_hash").distinct().groupBy("text_hash", "text_bytes", "bucket").agg(F.collect_list("line_hash").alias("__gone"))
+    joined = docs.join(hits, (F.xxhash64(text_col) == F.col("text_hash")) & (F.octet_length(text_col).cast("long") == F.col("text_bytes")) & (_bucket(docs, id_col) == F.col("bucket")), "left")
     every = F.split(text_col, "\n")
     counts = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) >= min_words - 1
     kept = F.filter(every, lambda x: ~(F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x))) & counts(F.trim(x))))
