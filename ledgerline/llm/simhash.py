@@ -198,44 +198,42 @@ def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.nd
     return prints, minima, np.diff(begins)
 
 
-def _similar(prints: list[int], signs: np.ndarray, least: int, radius: int, tree_limit: int) -> list[int]:
+def _similar(prints: np.ndarray, signs: np.ndarray, least: int, radius: int) -> list[int]:
     """The smallest index that each entry reaches over links within the radius whose minima agree in ``least`` places.
 
-    Beyond ``tree_limit`` entries only those without a link so far enter the tree, so that a shard of one large group stays linear.
+    All pairs are looked at, in blocks, whatever the size of the shard; minima are compared only for pairs not yet in one group.
     """
-    forest, children, inside = _Forest(len(prints)), [{}], [0]
-    for i in range(1, len(prints)):
-        x, todo, linked = prints[i], [0], False
-        while todo:
-            node = todo.pop()
-            j, below = inside[node], children[node]
-            d = (prints[j] ^ x).bit_count()
-            if d <= radius and forest.find(i) != forest.find(j) and int(np.count_nonzero(signs[i] == signs[j])) >= least:
-                forest.join(i, j)
-                linked = True
-                if len(prints) > tree_limit:
-                    break
-            if below:
-                todo += [c for e, c in below.items() if d - radius <= e <= d + radius]
-        if linked and len(prints) > tree_limit:
-            continue
-        node = 0
-        while (step := children[node].get(d := (prints[inside[node]] ^ x).bit_count())) is not None:
-            node = step
-        children[node][d] = len(children)
-        children.append({})
-        inside.append(i)
-    return [forest.find(i) for i in range(len(prints))]
-
-
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, bands: int = 8, tree_limit: int = 3000) -> DataFrame:
+    n = len(prints)
+    root = np.arange(n)
+    for a in range(0, n, step := max(1, (1 << 20) // n)):
+        rows = prints[a : a + step]
+        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ prints[None, : a + len(rows)]) <= radius)
+        i, first = i + a, True
+        below = j < i
+        i, j = i[below], j[below]
+        while len(i):
+            # one pair of any two groups first, as most others are then in one group
+            some = np.unique(root[i] * n + root[j], return_index=True)[1] if first else np.arange(min(len(i), 1 << 14))
+            first = False
+            for at in range(0, len(some), 1 << 14):
+                x, y = i[some[at : at + (1 << 14)]], j[some[at : at + (1 << 14)]]
+                for u, v in np.stack([x, y], 1)[np.count_nonzero(signs[x] == signs[y], axis=1) >= least].tolist():
+                    if root[u] != root[v]:
+                        root[root == max(root[u], root[v])] = min(root[u], root[v])
+            rest = root[i] != root[j]
+            rest[some] = False
+            i, j = i[rest], j[rest]
+    return root.tolist()
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, bands: int = 8) -> DataFrame:
     """Rows (id, component_id) of groups linked by a share of equal shingles of ``similarity`` or more.
 
     At such a distance fingerprints differ in up to ``radius`` bits, too many for
     equal blocks. Shards are named by pairs of shingle minima instead: a pair of
     texts with similarity s shares one of ``bands`` shards with the chance
-    1 - (1 - s**2)**bands (0.9997 at 0.8). Shard trees find fingerprints within
-    the radius, and 256 minima decide on the similarity, less one standard error
+    1 - (1 - s**2)**bands (0.9997 at 0.8). Each shard compares all its fingerprints
+    within the radius, and 256 minima decide on the similarity, less one standard error
     of their share, so that links at the threshold itself are rarely lost.
     """
 
@@ -264,7 +262,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             fingerprint, node = table.column("fingerprint").to_numpy().view(np.uint64), table.column("node").to_numpy()
             for a, b in shards:
                 signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signs").slice(a, b - a)])
-                for i, root in enumerate(_similar(fingerprint[a:b].tolist(), signs, least, radius, tree_limit)):
+                for i, root in enumerate(_similar(fingerprint[a:b], signs, least, radius)):
                     if root != i:
                         u.append(int(node[a + i]))
                         v.append(int(node[a + root]))

@@ -197,6 +197,24 @@ def test_similar_groups_keep_one_of_each(spark):
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_large_shards_keep_all_links():
+    """In a shard of over 3,000 entries B joins A and C, which are not similar."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 3200, dtype=np.uint64)
+    signs = rng.integers(0, 256, (3200, simhash.SIGNATURE)).astype(np.uint8)
+    base = signs[10].copy()
+    for k, (i, a, b) in enumerate([(10, 0, 0), (20, 0, 40), (30, 0, 80), (3199, 0, 120)]):
+        prints[i] = prints[10] ^ np.uint64(k)
+        signs[i] = base
+        signs[i, a:b] = base[a:b] + 1
+    prints[[40, 50]] = prints[10], prints[10]
+    signs[[40, 50]] = base + np.uint8(7)  # near by fingerprint only
+    signs[50, :128] += 1
+    got = simhash._similar(prints, signs, 199, 16)
+    assert [got[i] for i in (10, 20, 30, 3199, 40, 50)] == [10, 10, 10, 10, 40, 50]
+    assert sum(r != i for i, r in enumerate(got)) == 3
+
+
 def test_packing_is_whole_and_unpadded(docs, spark):
     from tokenizers import Tokenizer
 
