@@ -1,16 +1,23 @@
 """Lexical retrieval packing with a sharded BM25 inverted index.
 
-Documents are read in shards of at most ``shard_docs`` documents or
-``shard_tokens`` ids (one document at least). Each shard holds an inverted
-index of its documents with BM25 weights. A window is seeded by the next unused
-document; the index returns the unused documents of the shard in order of their
-score against all terms of the seed (ties: reading order), and these fill the
-window greedily. The document that overflows a window is cut there and its rest
-seeds the next window. What the last window of a shard holds is cut into
-sequences of powers of two, so nothing is padded. Terms are token ids.
-
-A shard lives in one task and needs no shuffle, whatever sources or copies it
-holds; a task that is run again yields the same rows.
+Document frequencies and the mean length are counted over all documents. Shards
+of at most ``shard_docs`` documents or ``shard_tokens`` ids (one document at
+least) are dealt by content: each document's BM25 weights are projected to
+``DIMENSIONS`` values, a tree of two means, learnt from documents picked by the
+hash of their ids, is cut into leaves, and leaves that follow each other in the
+tree make a shard. A leaf too large for a shard (as of copies) is split by hash.
+Only the tree is learnt from a part; every document is dealt by it.
+
+Each shard holds an inverted index of its documents with BM25 weights. A window
+is seeded by the next unused document; the index returns the unused documents of
+the shard in order of their score against all terms of the seed (ties: order of
+ids), and these fill the window greedily. The document that overflows a window is
+cut there and its rest seeds the next window. What the last window of a shard
+holds is cut into sequences of powers of two, so nothing is padded. Terms are
+token ids.
+
+Neighbours in other shards are not found: the README gives the measured recall.
+Windows and their numbers do not depend on the input's order or partitions.
 
 Defined results: a null or empty text has the end id only; every row of the
 input is packed, repeated rows as well.
@@ -22,21 +29,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import pieces, texts_of
+from .storage import written
+from .text import freeing, mix, pieces, texts_of
 from .word_tokenizer import tokenizer
 
 K1, B = 1.2, 0.75
+DIMENSIONS = 64
+
+
+class Corpus:
+    """What BM25 needs to know of all documents: the idf of each term and the mean length."""
+
+    def __init__(self, n: int, length: int, df: np.ndarray):
+        self.n, self.mean = n, max(1.0, length / max(1, n))
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        norm = np.asarray(K1 * (1 - B + B * length / self.mean), np.float32)
+        return self.idf[terms] * tf * np.float32(K1 + 1) / (tf + norm)
 
 
 class Bm25:
-    """An inverted index of one shard: postings of each term with their BM25 weights."""
+    """An inverted index of one shard: postings of each term with their BM25 weights, by the corpus or else by the shard itself."""
 
-    def __init__(self, docs: list[np.ndarray], terms: int):
+    def __init__(self, docs: list[np.ndarray], terms: int, corpus: Corpus | None = None):
         uniques = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [u for u, _ in uniques]
         sizes = np.array([len(u) for u in self.terms], np.int64)
@@ -44,10 +64,9 @@ class Bm25:
         tf = np.concatenate([c for _, c in uniques]).astype(np.float32) if docs else np.zeros(0, np.float32)
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         df = np.bincount(term, minlength=terms)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
         lengths = np.array([len(d) for d in docs], np.float32)
-        norm = K1 * (1 - B + B * lengths / max(1.0, float(lengths.mean()) if len(docs) else 1.0))
-        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc].astype(np.float32))
+        corpus = corpus or Corpus(len(docs), int(lengths.sum()), df)
+        weight = corpus.weights(term, tf, lengths[doc])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
@@ -63,9 +82,9 @@ def _powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: list[np.ndarray], window: int, terms: int) -> list[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of the shard's id arrays, whole and without padding."""
-    index = Bm25(docs, terms)
+    index = Bm25(docs, terms, corpus)
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, fill = 0, 0
@@ -123,39 +142,212 @@ def pack(docs: list[np.ndarray], window: int, terms: int) -> list[tuple[int, int
     return out
 
 
+class Tree:
+    """Two means at each inner node; leaves in the order of the tree make shards of about ``size`` documents."""
+
+    def __init__(self, sample: np.ndarray, each: float, size: int):
+        self.means: list[np.ndarray] = []  # both means of an inner node
+        self.below: list[list[int]] = []  # its children: inner nodes, or leaves as -1 - leaf
+        held: list[int] = []
+
+        todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sample)), -1, 0)]
+        top = 0
+        while todo:
+            rows, parent, side = todo.pop()
+            split = _two_means(sample[rows]) if len(rows) * each > size / 4 else None
+            if split is None:
+                held.append(len(rows))
+                at = -len(held)
+            else:
+                means, right = split
+                at = len(self.means)
+                self.means.append(means)
+                self.below.append([0, 0])
+                todo += [(rows[right], at, 1), (rows[~right], at, 0)]
+            if parent < 0:
+                top = at
+            else:
+                self.below[parent][side] = at
+        self.top = top
+        self.means = np.array(self.means, np.float32).reshape(-1, 2, sample.shape[1])
+        # (first shard, number of shards) of each leaf
+        self.shards, shard, full = [], 0, 0.0
+        for n in held:
+            if full and full + n * each > size:
+                shard, full = shard + 1, 0.0
+            parts = max(1, int(np.ceil(n * each / size)))
+            self.shards.append((shard, parts))
+            shard, full = (shard + parts, 0.0) if parts > 1 else (shard, full + n * each)
+        self.shards = np.array(self.shards, np.int64)
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int64)
+        todo = [(self.top, np.arange(len(vectors)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -1 - node
+            elif len(rows):
+                right = _nearer_second(vectors[rows], self.means[node])
+                todo += [(self.below[node][0], rows[~right]), (self.below[node][1], rows[right])]
+        return out
+
+
+def _nearer_second(vectors: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return vectors @ (means[1] - means[0]) > (np.square(means[1]).sum() - np.square(means[0]).sum()) / 2
+
+
+def _two_means(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Both means and which rows are nearer the second; nothing if the rows do not part."""
+    if len(vectors) < 2:
+        return None
+    _, axes = np.linalg.eigh(np.cov(vectors, rowvar=False))
+    along = (vectors - vectors.mean(axis=0)) @ axes[:, -1]
+    right = along > 0
+    for _ in range(10):
+        if not right.any() or right.all():
+            return None
+        means = np.stack([vectors[~right].mean(axis=0), vectors[right].mean(axis=0)]).astype(np.float32)
+        now = _nearer_second(vectors, means)
+        if (now == right).all():
+            break
+        right = now
+    return (means, right) if right.any() and not right.all() else None
+
+
+def _projection(terms: int) -> np.ndarray:
+    """A row of signs for each term."""
+    bits = mix(np.arange(1, terms + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
+
+
+def _vectors(docs: list[np.ndarray], corpus: Corpus, signs: np.ndarray) -> np.ndarray:
+    """The BM25 weights of each document, projected and scaled to length one."""
+    out = np.zeros((len(docs), DIMENSIONS), np.float32)
+    for i, d in enumerate(docs):
+        terms, tf = np.unique(d, return_counts=True)
+        out[i] = corpus.weights(terms, tf.astype(np.float32), len(d)) @ signs[terms]
+    return out / np.maximum(np.sqrt(np.square(out).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def _width(terms: int) -> str:
+    """The type that ids have between the stages."""
+    return "<u2" if terms <= 1 << 16 else "<u4"
+
+
+def _arrays(column: pa.Array, terms: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), _width(terms)) for x in column]
+
+
+def _forget_words() -> None:
+    """Tokenizers are not needed once all ids are made; their words take the memory that shuffles need."""
+    tokenizer.cache_clear()
+
+
+def _tokens(docs: DataFrame, path: str, end: bytes, size: int) -> DataFrame:
+    """Rows (__id, ids, counted): the documents, and from each task a row whose ``ids`` are (term, documents) pairs of 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, df, n, length, kind = tokenizer(path), np.zeros(size, np.int64), 0, 0, None
+        for batch in pieces(batches, "__text", 1 << 20):
+            tokens = [np.frombuffer(words.ids(text or b"") + end, "<u4").astype(_width(size)) for text in texts_of(batch.column("__text")).to_pylist()]
+            arrays = [x.tobytes() for x in tokens]
+            kind, n, length = batch.schema.field(0).type, n + len(arrays), length + sum(map(len, tokens))
+            df += np.bincount(np.concatenate([np.unique(t) for t in tokens]), minlength=size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))], ["__id", "ids", "counted"])
+        if n:
+            terms = np.flatnonzero(df)
+            pairs = np.array([[-1, n], [-2, length], *zip(terms.tolist(), df[terms].tolist())], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([pairs.tobytes()], pa.binary()), pa.array([True])], ["__id", "ids", "counted"])
+
+    kind = T.StructType([T.StructField("__id", docs.schema["__id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("counted", T.BooleanType())])
+    return written(docs.mapInArrow(run, kind), "tokens")
+
+
+def _corpus(tokens: DataFrame, size: int) -> Corpus:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["term", "n"])
+
+    rows = tokens.where("counted").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = dict(rows)
+    df = np.zeros(size, np.int64)
+    for term, n in found.items():
+        if term >= 0:
+            df[term] = n
+    return Corpus(found.get(-1, 0), found.get(-2, 0), df)
+
+
+def _dealt(tokens: DataFrame, corpus: Corpus, size: int, shard_docs: int) -> DataFrame:
+    """Rows (__id, ids, shard)."""
+    leaves = max(1, 4 * corpus.n // shard_docs)
+    wanted = max(20_000, 8 * leaves)
+    rows = tokens.where("NOT counted").select("__id", "ids")
+    picked = rows.where(F.pmod(F.xxhash64("ids", "__id"), F.lit(1 << 30)) < min(1.0, wanted / max(1, corpus.n)) * (1 << 30)).select("ids")
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_words()
+        signs = _projection(size)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in _vectors(_arrays(batch.column(0), size), corpus, signs)], pa.binary())], ["v"])
+
+    sample = np.frombuffer(b"".join(sorted(bytes(r.v) for r in picked.mapInArrow(sampled, "v binary").collect())), np.float32).reshape(-1, DIMENSIONS)
+    tree = Tree(sample, corpus.n / max(1, len(sample)), shard_docs)
+
+    @freeing(_forget_words)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_words()
+        signs = _projection(size)
+        for batch in batches:
+            first, parts = tree.shards[tree.leaves(_vectors(_arrays(batch.column("ids"), size), corpus, signs))].T
+            shard = first + np.mod(batch.column("spread").to_numpy(), parts)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("ids"), pa.array(shard)], ["__id", "ids", "shard"])
+
+    kind = T.StructType([tokens.schema["__id"], tokens.schema["ids"], T.StructField("shard", T.LongType())])
+    return rows.withColumn("spread", F.xxhash64("__id", "ids")).mapInArrow(deal, kind)
+
+
 def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = 4096, shard_docs: int = 1000, shard_tokens: int = 4 << 20) -> DataFrame:
     """Rows (id, start, length, ids, doc_tokens, sequence_id, offset): the pieces, with their ids as little-endian 32-bit integers in ``ids``."""
 
+    end = np.uint32(end_id).tobytes()
+    terms = max(tokenizer(path).library.get_vocab_size(), end_id + 1)
+    tokens = _tokens(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), path, end, terms)
+    corpus = _corpus(tokens, terms)
+
+    @freeing(_forget_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = tokenizer(path), np.uint32(end_id).tobytes()
-        terms = max(words.library.get_vocab_size(), end_id + 1)
-        base, done = TaskContext.get().partitionId() << 40, 0
-        names, arrays, size = [], [], 0
+        names, arrays, size, open_shard, done = [], [], 0, None, 0
 
         def shard() -> pa.RecordBatch:
             nonlocal done, size
-            rows = pack(arrays, window, terms)
+            rows = pack(arrays, window, terms, corpus)
             d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*rows))
             ids = [arrays[h][s : s + n].tobytes() for h, s, n, _, _ in rows]
-            tokens = np.array([len(a) for a in arrays])[d]
+            sizes = np.array([len(a) for a in arrays])[d]
             keys = pa.concat_arrays(names).take(pa.array(d))
-            batch = pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(tokens), pa.array(sequence + base + done), pa.array(offset)], kind.names)
+            batch = pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(sizes), pa.array(sequence + (open_shard << 32) + done), pa.array(offset)], kind.names)
             done += int(sequence[-1]) + 1
             names.clear()
             arrays.clear()
             size = 0
             return batch
 
-        for batch in pieces(batches, "__text", 1 << 20):
-            for i, text in enumerate(texts_of(batch.column("__text")).to_pylist()):
-                arrays.append(np.frombuffer(words.ids(text or b"") + end, "<u4"))
+        for batch in batches:
+            for i, (x, s) in enumerate(zip(batch.column("ids"), batch.column("shard").to_pylist())):
+                if arrays and (s != open_shard or len(arrays) >= shard_docs or size >= shard_tokens):
+                    yield shard()
+                if s != open_shard:
+                    open_shard, done = s, 0
+                arrays.append(np.frombuffer(x.as_buffer(), _width(terms)).astype("<u4"))
                 names.append(batch.column("__id").slice(i, 1))
                 size += len(arrays[-1])
-                if len(arrays) >= shard_docs or size >= shard_tokens:
-                    yield shard()
         if arrays:
             yield shard()
 
     long = T.LongType()
     kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)])
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, kind)
+    dealt = _dealt(tokens, corpus, terms, shard_docs)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "__id", F.xxhash64("ids")).mapInArrow(run, kind)
