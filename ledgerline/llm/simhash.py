@@ -178,24 +178,35 @@ SIGNATURE = 256
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Fingerprint, shingle minima (one row each of ``SIGNATURE`` hashes) and number of words of each text."""
+def _shingles(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text; a text of fewer words is one shingle, one without words has none."""
     words, begins = concat((t or b"").lower().split() for t in texts)
-    prints, minima = [], np.zeros((len(texts), SIGNATURE), np.uint64)
     rolling = Rolling(_hashes.of(words))
-    for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
-        if a == b:
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        first = np.arange(a, max(a + 1, b - shingle + 1)) if a < b else np.zeros(0, np.int64)
+        yield np.unique(rolling.runs(first, np.minimum(first + shingle, b)))
+
+
+def _digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
+
+
+def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint of the distinct shingles, their minima (one row each of ``SIGNATURE`` hashes), number and hash of the whole set of each text."""
+    prints, minima, whole = [], np.zeros((len(texts), SIGNATURE), np.uint64), np.zeros(len(texts), np.uint64)
+    sizes = np.zeros(len(texts), np.int64)
+    for i, distinct in enumerate(_shingles(texts, shingle)):
+        sizes[i] = len(distinct)
+        if not len(distinct):
             prints.append(0)
             continue
-        first = np.arange(a, max(a + 1, b - shingle + 1))
-        hashes = rolling.runs(first, np.minimum(first + shingle, b))
-        prints.append(_majority(hashes))
-        distinct = np.unique(hashes)
+        prints.append(_majority(distinct))
+        whole[i] = _digest(distinct)
         low = np.full(SIGNATURE, 0xFFFFFFFFFFFFFFFF, np.uint64)
         for at in range(0, len(distinct), 1024):
             np.minimum(low, mix(distinct[at : at + 1024, None] ^ _SEEDS).min(axis=0), out=low)
         minima[i] = low
-    return prints, minima, np.diff(begins)
+    return prints, minima, sizes, whole
 
 
 def _similar(prints: np.ndarray, signs: np.ndarray, least: int, radius: int) -> list[int]:
@@ -226,50 +237,104 @@ def _similar(prints: np.ndarray, signs: np.ndarray, least: int, radius: int) ->
     return root.tolist()
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, bands: int = 8) -> DataFrame:
+def _linked(sets: list[np.ndarray], signs: np.ndarray, least: int, similarity: float) -> list[int]:
+    """The smallest index that each set reaches over links of ``similarity`` or more; sets whose minima agree in fewer than ``least`` places are not compared."""
+    root = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+
+    def compare(i: int, others: np.ndarray) -> None:
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
+        for at in range(0, len(others), 1024):
+            some = others[at : at + 1024]
+            some = some[root[some] != root[i]]
+            for j in some[np.count_nonzero(signs[some] == signs[i], axis=1) >= least].tolist():
+                if root[j] != root[i]:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common >= similarity * (sizes[i] + sizes[j] - common):
+                        root[root == max(root[i], root[j])] = min(root[i], root[j])
+
+    for i in range(1, len(sets)):
+        # the first of each group before all others, as most are then in one group with i
+        compare(i, np.flatnonzero(root[:i] == np.arange(i)))
+        compare(i, np.flatnonzero(root[:i] != root[i]))
+    return root.tolist()
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 8) -> DataFrame:
     """Rows (id, component_id) of groups linked by a share of equal shingles of ``similarity`` or more.
 
     At such a distance fingerprints differ in up to ``radius`` bits, too many for
     equal blocks. Shards are named by pairs of shingle minima instead: a pair of
     texts with similarity s shares one of ``bands`` shards with the chance
-    1 - (1 - s**2)**bands (0.9997 at 0.8). Each shard compares all its fingerprints
-    within the radius, and 256 minima decide on the similarity, less one standard error
-    of their share, so that links at the threshold itself are rarely lost.
+    1 - (1 - s**2)**bands (0.9997 at 0.8). Sketches only propose: each shard
+    compares all its fingerprints within the radius, and 256 minima must agree
+    but for five standard errors of their share. What is so connected in a shard
+    is brought together with its texts, once where several shards have the same,
+    and each link is settled on the distinct shingles (by their 64-bit hashes).
     """
 
     @freeing(_forget_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            prints, minima, sizes = _sketches(texts_of(batch.column("text")).to_pylist(), shingle)
+            prints, minima, sizes, whole = _sketches(texts_of(batch.column("text")).to_pylist(), shingle)
             keep = np.flatnonzero(sizes > 0)
             shards = mix(minima[:, 0 : 2 * bands : 2] * np.uint64(3) + mix(minima[:, 1 : 2 * bands : 2]) + np.arange(bands, dtype=np.uint64))
             signs = (minima & np.uint64(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(np.array(prints, np.uint64)[keep].view(np.int64)), pa.array([signs[i].tobytes() for i in keep.tolist()], pa.binary()), pa.array([shards[i].view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))], ["id", "fingerprint", "signs", "shards"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(np.array(prints, np.uint64)[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), pa.array([signs[i].tobytes() for i in keep.tolist()], pa.binary()), pa.array([shards[i].view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))], ["id", "fingerprint", "whole", "signs", "shards"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = written(rows.mapInArrow(run, "id long, fingerprint long, signs binary, shards array<long>"), "sketches")
-    # texts with the same shingles have the same sketch: one node stands for them
-    nodes = sketched.groupBy("fingerprint", F.xxhash64("signs").alias("sketch")).agg(F.min("id").alias("node"))
-    own = sketched.select(F.col("id").alias("node"), "fingerprint", "signs", "shards").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fingerprint"])
-    dealt = own.select(F.explode("shards").alias("shard"), "fingerprint", "node", "signs").repartition("shard").sortWithinPartitions("shard", "node")
+    sketched = written(rows.mapInArrow(run, "id long, fingerprint long, whole long, signs binary, shards array<long>"), "sketches")
+    # texts with the same shingles are one node
+    nodes = sketched.groupBy("fingerprint", "whole").agg(F.min("id").alias("node"))
+    # rows that share an id may be several nodes: nodes are told apart by their shingles
+    own = sketched.join(nodes.select(F.col("node").alias("id"), "fingerprint", "whole"), ["id", "fingerprint", "whole"], "left_semi").dropDuplicates(["fingerprint", "whole"])
+    dealt = own.select(F.explode("shards").alias("shard"), "fingerprint", "whole", F.col("id").alias("node"), "signs").repartition("shard").sortWithinPartitions("shard", "node", "whole")
     # chance agreement of one-byte minima is taken off
-    near = similarity - math.sqrt(similarity * (1 - similarity) / SIGNATURE)
+    near = similarity - 5 * math.sqrt(similarity * (1 - similarity) / SIGNATURE)
     least = math.ceil(SIGNATURE * (near + (1 - near) / 256))
 
+    @freeing(_forget_words)
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards, table in _whole_shards(batches):
+            fingerprint, node, whole = (table.column(c).to_numpy() for c in ("fingerprint", "node", "whole"))
+            keys, members = [], []
+            for a, b in shards:
+                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signs").slice(a, b - a)])
+                root = np.array(_similar(fingerprint[a:b].view(np.uint64), signs, least, radius))
+                order = np.argsort(root, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+                    if len(part) > 1:
+                        # the same members give the same key in any shard
+                        key = xxhash.xxh64_intdigest(np.sort(whole[a + part]).tobytes(), 7)
+                        keys += [key] * len(part)
+                        members += (a + part).tolist()
+            at = np.array(members, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(node[at]), pa.array(whole[at])], ["shard", "node", "whole"])
+
+    @freeing(_forget_words)
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shards, table in _whole_shards(batches):
             u, v = [], []
-            fingerprint, node = table.column("fingerprint").to_numpy().view(np.uint64), table.column("node").to_numpy()
+            node = table.column("node").to_numpy()
             for a, b in shards:
-                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signs").slice(a, b - a)])
-                for i, root in enumerate(_similar(fingerprint[a:b], signs, least, radius)):
-                    if root != i:
+                some = table.slice(a, b - a)
+                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in some.column("signs")])
+                sets = [x for p in pieces(some.to_batches(), "text") for x in _shingles(texts_of(p.column("text")).to_pylist(), shingle)]
+                # other rows of the same id may have other texts
+                own_text = np.flatnonzero(np.array([_digest(x) for x in sets], np.uint64).view(np.int64) == some.column("whole").to_numpy())
+                for i, root in zip(own_text.tolist(), _linked([sets[k] for k in own_text.tolist()], signs[own_text], least, similarity)):
+                    if i != (j := int(own_text[root])):
                         u.append(int(node[a + i]))
-                        v.append(int(node[a + root]))
+                        v.append(int(node[a + j]))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    same = sketched.select("id", "fingerprint", F.xxhash64("signs").alias("sketch")).join(nodes, ["fingerprint", "sketch"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
-    return smallest_reachable(dealt.mapInArrow(links, "u long, v long").unionByName(same)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    proposed = written(dealt.mapInArrow(propose, "shard long, node long, whole long").dropDuplicates(["shard", "node", "whole"]), "proposed")
+    signed = own.select(F.col("id").alias("node"), "whole", "signs")
+    texts = rows.withColumnRenamed("id", "node").join(proposed.select("node").distinct(), "node", "left_semi")
+    settled = proposed.join(signed, ["node", "whole"]).join(texts, "node").repartition("shard").sortWithinPartitions("shard", "node", "whole")
+    found = settled.select("shard", "node", "whole", "signs", "text").mapInArrow(links, "u long, v long")
+    same = sketched.select("id", "fingerprint", "whole").join(nodes, ["fingerprint", "whole"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
+    return smallest_reachable(found.unionByName(same)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], pa.Table]]:

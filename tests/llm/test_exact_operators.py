@@ -215,6 +215,23 @@ def test_large_shards_keep_all_links():
     assert sum(r != i for i, r in enumerate(got)) == 3
 
 
+def test_similar_groups_settle_on_exact_shingles(spark):
+    """Pairs just below 0.8 stay apart, pairs at 0.8 or more are joined, and repetition does not count."""
+    rows, want = [], {}
+    for k in range(60):
+        # one changed word in the middle takes 5 of the n shingles: similarity (n - 5) / (n + 5)
+        n = 45 if k % 2 else 43
+        words = [f"k{k}x{x}" for x in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:20], "changed", *words[21:]]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (k % 2 == 0)}
+    once = [f"r{x % 12}" for x in range(16)]
+    rows += [(200, " ".join(once)), (201, " ".join(once * 1 + once[4:16] * 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    assert {i for i in kept if i < 200} == {i for i, first in want.items() if i == first}
+    assert {i for i in kept if i >= 200} == {200}
+
+
 def test_packing_is_whole_and_unpadded(docs, spark):
     from tokenizers import Tokenizer
 
