@@ -130,3 +130,15 @@ def test_scalar_functions(spark):
     assert one(X.heading_signature("h"), h="Risk  Factors (continued)") == "risk factors"
     assert one(X.reference_stub("s"), s="Incorporated by reference") is True
     assert one(X.elapsed_ms("n"), n=1_500_000) == 2 and one(X.elapsed_ms("n"), n=1) == 1
+
+
+def test_fused_queries_search_and_ask_all_documents(spark, tmp_path):
+    from ledgerline.plans.queries import QUERIES
+
+    docs = [(i, f"common word{i % 5}", "en", "src", 10) for i in range(1990, 2110)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("hybrid_rrf_topk", "capped_rrf"):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r.qid for r in rows} == {0, 2000, 2100}
+        assert max(r.id for r in rows if r.qid == 2000) >= 2000
