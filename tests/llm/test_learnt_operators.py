@@ -119,3 +119,53 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    """Scores of beginnings from plain loops over a small table, and segments of its texts by their definition."""
+    import math
+
+    rng = np.random.default_rng(5)
+    rows, known = [], []
+    for i in range(60):
+        text = [f"{'rot' if i % 3 == 0 and rng.random() < 0.2 else 'ma'}{'aeiou'[rng.integers(5)]}{'bdkl'[rng.integers(4)]}" for _ in range(int(rng.integers(5, 40)))]
+        rows.append((i, " ".join(text), "x"))
+        known.append((i, int(i % 3 == 0)))
+    rows.append((100, rows[1][1], "x"))  # repeats with one label and counts once
+    known.append((100, 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, word string"), spark.createDataFrame(known, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, prior=0.05, z=2.0)
+    import zlib
+
+    train = {(t, y) for (i, t, _), (_, y) in zip(rows, known) if zlib.crc32(str(i).encode()) % 5}
+    sizes = [sum(len(t.split()) for t, y in train if y == side) for side in (1, 0)]
+    want = {}
+    for piece in {b for t, _ in train for w in t.split() for b in toxicity.beginnings(w)}:
+        per = [(sum(piece in toxicity.beginnings(w) for w in t.split()), y) for t, y in train]
+        t, c = sum(n for n, y in per if y), sum(n for n, y in per if not y)
+        a, a0 = 0.05 * (t + c), 0.05 * sum(sizes)
+        odds = math.log((t + a) / (sizes[0] + a0 - t - a)) - math.log((c + a) / (sizes[1] + a0 - c - a))
+        error = math.sqrt((1 / (t + a) + 1 / (c + a)) * sum(n * n for n, _ in per) / (t + c))
+        if abs(odds) > 2 * error:
+            want[piece] = math.copysign(abs(odds) - 2 * error, odds)
+    assert want and model.scores.keys() == want.keys()
+    assert all(math.isclose(model.scores[k], v, abs_tol=1e-9) for k, v in want.items())
+    for text, _ in sorted(train):
+        tokens = toxicity.words(text.encode())
+        values = [max((want[b] for b in toxicity.beginnings(w) if b in want), key=abs, default=0.0) - model.drift for w in tokens]
+        best = max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0)
+        assert math.isclose(max((s for *_, s in model.segments(tokens)), default=0.0), max(0.0, best), abs_tol=1e-9)
+    # scores of the query are those of the model for each text, also repeated ones and null ids
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got[1] == got[100] and all(math.isclose(got[i], model.score(model.passages(t.encode())[1])) for i, t, _ in rows)
+
+
+def test_maximal_segments_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        assert len(toxicity.maximal_segments([1.0, -2.0] * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
