@@ -243,8 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     t, c, a0 = F.col("toxic") + a, F.col("clean") + a, prior * (n_toxic + n_clean)
     odds = F.log(t / (n_toxic + a0 - t)) - F.log(c / (n_clean + a0 - c))
     error = F.sqrt((1 / t + 1 / c) * F.col("squares") / (F.col("toxic") + F.col("clean")))
+    # what every word begins with has no odds
+    is_sure = F.when(F.col("word").isNotNull() & (F.col("toxic") + F.col("clean") < n_toxic + n_clean), F.abs(odds) > z * error)
     # beginnings of a bounded sample's words, and of these the sure ones
-    for r in counted.where("word IS NOT NULL").where(F.abs(odds) > z * error).orderBy("word").collect():
+    for r in counted.where(is_sure).orderBy("word").collect():
         if sure := sure_odds(r["toxic"], r["clean"], r["squares"], n_toxic, n_clean, prior, z):
             model.scores[r["word"]] = sure
 
