@@ -7,15 +7,16 @@ packed 32-bit integer. Two recordings are aligned by the histogram of offsets at
 which they share integers; they are linked if the bit errors at one of the best
 offsets are few over a long enough overlap.
 
-Candidates share a landmark: a pair of neighbouring integers, kept where its
-hash is the smallest of ``landmark_width`` in a row, runs of one integer (as in
-silence) counted once. Recordings with equal fingerprints stand for each other,
-only landmarks held by several are followed, and each landmark's holders are
-linked to leaders, never as all pairs.
+Candidates share an integer; runs of one integer (as in silence) count once, at
+their end. A shared integer is a vote for one offset, and there both are
+compared: equal integers are the histogram's other votes, wrong bits decide. Recordings with equal fingerprints stand for each other, and
+integers held by more than ``SHARD_PRINTS`` are split so that any two holders
+still meet. Under an integer every pair that is not yet in one group is looked at.
 
 Defined results: null, undecodable, silent and too short media have no integers
 and are in a group of their own; rows with one id are one recording, and a null
-id has a fingerprint but no group.
+id has a fingerprint but no group. Ids are whole numbers. Recordings count whole
+at any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import smallest_reachable
-from .simhash import _Forest, _whole_shards
+from .shards import split_hot, whole_shards
+from .simhash import Groups
 from .storage import written
-from .text import mix
 
 SPAN = 16  # frames under one integer
+SHARD_PRINTS = 2000  # holders of an integer before it is split
 # one filter for each kind of comparison and place: (kind, first pitch class, classes, frames)
 FILTERS = tuple((kind, (3 * i + 2 * kind) % 12, (4, 6, 8, 12)[(i + kind) % 4], (4, 8, 12, 16)[i]) for kind in range(4) for i in range(4))
 STEPS = (-0.35, 0.0, 0.35)
@@ -102,81 +104,87 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, *, most_errors: float, least_overlap: int, tries: int = 3) -> tuple[int, float] | None:
-    """The offset of b in a and the share of wrong bits, at the first of the best offsets that is good enough."""
+def agreement(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int, float]:
+    """Where b begins at ``offset`` of a: the integers under both, those that are equal, and the share of wrong bits."""
+    x, y = a[max(0, offset) :], b[max(0, -offset) :]
+    n = max(0, min(len(x), len(y)))
+    wrong = x[:n] ^ y[:n]
+    return n, int(n - np.count_nonzero(wrong)), int(np.bitwise_count(wrong).sum(dtype=np.int64)) / max(1, 32 * n)
+
+
+def aligned_at(a: np.ndarray, b: np.ndarray, offset: int, most_errors: float, least_overlap: int) -> bool:
+    n, votes, errors = agreement(a, b, offset)
+    return votes > 0 and n >= min(least_overlap, len(a), len(b)) and errors <= most_errors
+
+
+def align(a: np.ndarray, b: np.ndarray, *, most_errors: float, least_overlap: int) -> tuple[int, float] | None:
+    """The offset of b in a and the share of wrong bits, at the offset with the most votes of those that are good enough."""
     both = np.intersect1d(a, b)
-    if not len(both):
-        return None
     at = {v: np.flatnonzero(b == v) for v in both.tolist()}
-    votes = np.concatenate([(i - at[v]) for i, v in zip(np.flatnonzero(np.isin(a, both)).tolist(), a[np.isin(a, both)].tolist())])
-    offsets, counts = np.unique(votes, return_counts=True)
-    for k in np.argsort(-counts, kind="stable")[:tries].tolist():
-        offset = int(offsets[k])
-        x, y = a[max(0, offset) :], b[max(0, -offset) :]
-        n = min(len(x), len(y))
-        if n >= min(least_overlap, len(a), len(b)):
-            errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n)
-            if errors <= most_errors:
-                return offset, errors
+    votes = [i - at[v] for i, v in enumerate(a.tolist()) if v in at]
+    if not votes:
+        return None
+    offsets, counts = np.unique(np.concatenate(votes), return_counts=True)
+    for k in np.argsort(-counts, kind="stable").tolist():
+        if aligned_at(a, b, int(offsets[k]), most_errors, least_overlap):
+            return int(offsets[k]), agreement(a, b, int(offsets[k]))[2]
     return None
 
 
-def _landmarks(prints: np.ndarray, width: int) -> np.ndarray:
-    runs = prints[np.concatenate([[True], prints[1:] != prints[:-1]])] if len(prints) else prints
-    if len(runs) < 2:
-        return mix(runs.astype(np.uint64))
-    pairs = mix((runs[:-1].astype(np.uint64) << np.uint64(32)) | runs[1:])
-    if len(pairs) <= width:
-        return pairs[[int(pairs.argmin())]]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(pairs, width).min(axis=1))
+def _runs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integer of each run and the position where it ends."""
+    last = np.flatnonzero(np.append(prints[1:] != prints[:-1], True)) if len(prints) else np.zeros(0, np.int64)
+    return prints[last], last
 
 
-def fingerprints(media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples, landmark_width: int = 8) -> DataFrame:
-    """Rows (id, prints, landmarks): packed integers as little-endian bytes, and the hashes of landmarks."""
+def fingerprints(media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples) -> DataFrame:
+    """Rows (id, prints, runs, places): packed integers as little-endian bytes, and the integers of runs and where these end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 prints = [fingerprint(chroma(*decode(m))) for m in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary()), pa.array([_landmarks(p, landmark_width).view(np.int64) for p in prints], pa.list_(pa.int64()))], [id_col, "prints", "landmarks"])
+                runs = [_runs(p) for p in prints]
+                cols = [pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary()), pa.array([m.astype(np.int64) for m, _ in runs], pa.list_(pa.int64())), pa.array([w.astype(np.int32) for _, w in runs], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "prints", "runs", "places"])
 
-    kind = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("landmarks", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
     return media.select(id_col, media_col).mapInArrow(run, kind)
 
 
 def aligned_groups(media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples, most_errors: float = 0.15, least_overlap: int = 32) -> DataFrame:
-    """Rows (id, n_ints, prints, group_id): the smallest id reachable over recordings that align. Ids are integers."""
+    """Rows (id, n_ints, prints, group_id): the smallest id reachable over recordings that align."""
     made = written(fingerprints(media, id_col=id_col, media_col=media_col, decode=decode), "prints")
-    held = made.where(F.col(id_col).isNotNull() & (F.length("prints") > 0)).select(F.col(id_col).cast("long").alias("id"), "prints", "landmarks", F.xxhash64("prints").alias("same"), F.crc32("prints").alias("check"))
+    held = made.where(F.col(id_col).isNotNull() & (F.length("prints") > 0)).select(F.col(id_col).cast("long").alias("id"), "prints", "runs", "places", F.xxhash64("prints").alias("same"), F.crc32("prints").alias("check"))
     nodes = held.groupBy("same", "check").agg(F.min("id").alias("node"))
-    equal = held.join(nodes, ["same", "check"]).where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    own = held.join(nodes.select(F.col("node").alias("id"), "same", "check"), ["id", "same", "check"], "left_semi")
-    marks = own.select(F.col("id").alias("node"), F.explode("landmarks").alias("shard"))
-    shared = marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    rows = marks.join(shared, "shard", "left_semi").join(own.select(F.col("id").alias("node"), "prints"), "node")
+    equal = held.select("id", "same", "check").join(nodes, ["same", "check"]).where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    # rows of one id may have several fingerprints: one row for each fingerprint, under its smallest id
+    own = written(held.join(nodes, ["same", "check"]).where("id = node").dropDuplicates(["same", "check"]).select("node", "same", "prints", "runs", "places"), "recordings")
+    marks = own.select("node", "same", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "shard", "places": "at"})
+    shared = marks.groupBy("shard").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("shard")
+    rows = split_hot(written(marks.join(shared, "shard", "left_semi"), "votes"), "shard", "same", SHARD_PRINTS)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards, table in _whole_shards(batches):
+        for shards, table in whole_shards(batches):
             u, v = [], []
-            nodes = table.column("node").to_pylist()
+            nodes, places, values = table.column("node").to_numpy(), table.column("at").to_numpy(), table.column("prints")
             for a, b in shards:
-                prints = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("prints").slice(a, b - a)]
-                forest, leaders = _Forest(b - a), [0]
+                prints = [np.frombuffer(x.as_buffer(), "<u4") for x in values.slice(a, b - a)]
+                at, groups = places[a:b], Groups(b - a)
                 for i in range(1, b - a):
-                    for j in leaders:
-                        if nodes[a + i] == nodes[a + j] or align(prints[j], prints[i], most_errors=most_errors, least_overlap=least_overlap):
-                            forest.join(i, j)
-                            break
-                    else:
-                        leaders.append(i)
-                for i in range(b - a):
-                    if (root := forest.find(i)) != i:
-                        u.append(nodes[a + i])
-                        v.append(nodes[a + root])
+                    # the first of each group before all others, as most align with it
+                    for some in (np.flatnonzero(groups.root[:i] == np.arange(i)), np.arange(i)):
+                        for j in some[groups.root[some] != groups.root[i]].tolist():
+                            if groups.root[j] != groups.root[i] and aligned_at(prints[i], prints[j], int(at[i] - at[j]), most_errors, least_overlap):
+                                groups.join(i, np.array([j]))
+                for i, j in groups.links():
+                    u.append(nodes[a + i])
+                    v.append(nodes[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    found = rows.select("shard", "node", "prints").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(links, "u long, v long")
+    rows = rows.join(own.select("node", "same", "prints"), ["node", "same"]).select("shard", "node", "at", "prints")
+    found = rows.repartition("shard").sortWithinPartitions("shard", "node", "at").mapInArrow(links, "u long, v long")
     groups = smallest_reachable(found.unionByName(equal))
     out = made.join(groups, F.col(id_col).cast("long") == F.col("node"), "left")
     return out.select(id_col, (F.length("prints") / 4).cast("long").alias("n_ints"), "prints", F.coalesce("component", F.col(id_col).cast("long")).alias("group_id"))

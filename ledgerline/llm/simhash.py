@@ -1,20 +1,24 @@
 """SimHash near-duplicates through shards of BK-trees.
 
 A fingerprint's bit is 1 if it is set in over half of the hashes of the text's
-``shingle``-word shingles. Two fingerprints within ``radius`` = 2 bits agree on
+``shingle``-word shingles. Two fingerprints within ``RADIUS`` = 2 bits agree on
 at least two of four 16-bit blocks, so each distinct fingerprint goes to the six
 shards named by a pair of blocks and their values; no link is lost and shards
 stay small. In each shard a BK-tree (children keyed by the Hamming distance to
-their parent) answers the radius query, following only edges whose key lies
-within the radius of the node's own distance. Shard trees are sent to the task
-that holds the shard, not broadcast to all: fingerprints grow with the input and
-have no proven bound. Shards of over ``tree_limit`` fingerprints (which lie close
-together, so that a tree would visit all) look up every value within the radius
-instead, exact and linear. Each shard yields a spanning forest, never all pairs.
+their parent) answers all radius queries of the shard at once, level by level:
+a query follows only edges whose key lies within the radius of the node's own
+distance. Shard trees are sent to the task that holds the shard, not broadcast
+to all: fingerprints grow with the input and have no proven bound. Shards of more
+than ``SHARD_PRINTS`` fingerprints are split so that any two still meet. Each
+shard yields a spanning forest, never all pairs.
+
+Near copies at a stated similarity (:func:`similar_groups`) use the same trees
+with a wider radius to propose links, and settle each on the exact shingles.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; rows with one id are one document; null ids get a fingerprint and no
-component.
+component. Ids are whole numbers; others raise a TypeError. Texts count whole at
+any length; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import smallest_reachable
+from .shards import split_hot, whole_shards
 from .storage import written
 from .text import Rolling, WordHashes, concat, freeing, mix, pieces, texts_of
 
 RADIUS = 2
+SHARD_PRINTS, SHARD_TEXTS = 50_000, 8192  # rows that one key of a shuffle may hold before it is split
 _hashes = WordHashes(seed=7)
 
 
@@ -77,104 +83,99 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, kind)
 
 
-class _Forest:
+class BkTree:
+    """A tree over an array of 64-bit values, in their order: children hold the later ones, by their distance to the node."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.children: list[dict[int, int]] = [{} for _ in range(len(values))]
+        plain = values.tolist()
+        for i in range(1, len(plain)):
+            x, node = plain[i], 0
+            while (step := self.children[node].get(d := (plain[node] ^ x).bit_count())) is not None:
+                node = step
+            self.children[node][d] = i
+
+    def pairs(self, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each value's index with the later ones within the radius."""
+        todo = [(0, np.arange(1, len(self.values)))] if len(self.values) > 1 else []
+        while todo:
+            node, asked = todo.pop()
+            d = np.bitwise_count(self.values[asked] ^ self.values[node]).astype(np.int16)
+            if len(near := asked[d <= radius]):
+                yield node, near
+            for e, child in self.children[node].items():
+                if len(below := asked[(asked > child) & (np.abs(d - e) <= radius)]):
+                    todo.append((child, below))
+
+
+class Groups:
+    """The smallest index that each of n entries reaches over the links seen so far."""
+
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.root = np.arange(n)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def join(self, i: int, others: np.ndarray) -> None:
+        roots = np.unique(np.append(self.root[others], self.root[i]))
+        if len(roots) == 2:
+            self.root[self.root == roots[1]] = roots[0]
+        elif len(roots) > 2:
+            self.root[np.isin(self.root, roots)] = roots[0]
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
+    def links(self) -> Iterator[tuple[int, int]]:
+        later = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return zip(later.tolist(), self.root[later].tolist())
 
 
-def _by_tree(values: list[int], radius: int) -> list[int]:
-    """The smallest index that each value reaches by steps of up to ``radius`` bits."""
-    forest = _Forest(len(values))
-    children: list[dict[int, int]] = [{}]
-    for i in range(1, len(values)):
-        x, todo = values[i], [0]
-        while todo:
-            node = todo.pop()
-            d, below = (values[node] ^ x).bit_count(), children[node]
-            if d <= radius:
-                forest.join(node, i)
-            if below:
-                todo += [below[e] for e in range(d - radius, d + radius + 1) if e in below]
-        node = 0
-        while (step := children[node].get(d := (values[node] ^ x).bit_count())) is not None:
-            node = step
-        children[node][d] = i
-        children.append({})
-    return [forest.find(i) for i in range(len(values))]
-
-
-def _by_lookup(values: list[int], radius: int) -> list[int]:
-    keys = np.array(values, np.uint64)
-    order = np.argsort(keys)
-    keys, forest = keys[order], _Forest(len(values))
-    for r in range(1, radius + 1):
-        for bits in combinations(range(64), r):
-            flipped = keys ^ np.uint64(sum(1 << b for b in bits))
-            at = np.minimum(np.searchsorted(keys, flipped), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == flipped)
-            for a, b in zip(order[hit].tolist(), order[at[hit]].tolist()):
-                forest.join(a, b)
-    return [forest.find(i) for i in range(len(values))]
-
-
-def spanning_links(shard_rows: Iterator[pa.RecordBatch], tree_limit: int) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) of each shard, from batches (shard, fingerprint, node) sorted by shard."""
-    rest = np.zeros((3, 0), np.int64)
+def _reachable(values: np.ndarray, radius: int) -> Groups:
+    groups = Groups(len(values))
+    for i, near in BkTree(values).pairs(radius):
+        groups.join(i, near)
+    return groups
 
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(rows[0])) + 1
-        begins, ends = np.concatenate([[0], edges]), np.concatenate([edges, [rows.shape[1]]])
+
+def spanning_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of each shard, from batches (shard, fingerprint, node) sorted by shard."""
+    for shards, table in whole_shards(batches):
         u, v = [], []
-        many = ends - begins > 1
-        for a, b in zip(begins[many].tolist(), ends[many].tolist()):
-            values, nodes = rows[1, a:b].view(np.uint64).tolist(), rows[2, a:b].tolist()
-            roots = _by_tree(values, RADIUS) if b - a <= tree_limit else _by_lookup(values, RADIUS)
-            for i, root in enumerate(roots):
-                if root != i:
-                    u.append(nodes[i])
-                    v.append(nodes[root])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    for batch in shard_rows:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([rest, np.array([c.to_numpy() for c in batch.columns])], axis=1)
-        last = np.searchsorted(rows[0], rows[0, -1])
-        rest = rows[:, last:]
-        if last:
-            yield links(np.ascontiguousarray(rows[:, :last]))
-    if rest.shape[1]:
-        yield links(np.ascontiguousarray(rest))
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tree_limit: int = 3000) -> DataFrame:
-    """Rows (id, fingerprint, component_id): the smallest id reachable by links of up to two bits. Ids are integers."""
+        prints, nodes = table.column("fingerprint").to_numpy().view(np.uint64), table.column("node").to_numpy()
+        for a, b in shards:
+            for i, j in _reachable(prints[a:b], radius).links():
+                u.append(nodes[a + i])
+                v.append(nodes[a + j])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _proposed(shards: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) of all shards (shard, fingerprint, node)."""
+    dealt = split_hot(written(shards, "shards"), "shard", "node", SHARD_PRINTS).repartition("shard").sortWithinPartitions("shard", "node")
+    return dealt.select("shard", "fingerprint", "node").mapInArrow(lambda batches: spanning_links(batches, radius), "u long, v long")
+
+
+def _whole_number(docs: DataFrame, id_col: str) -> Column:
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids are whole numbers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    return F.col(id_col).cast("long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Rows (id, fingerprint, component_id): the smallest id reachable by links of up to two bits."""
+    own = _whole_number(docs, id_col)
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min(id_col).cast("long").alias("node")).where("node IS NOT NULL")
     block = [F.shiftrightunsigned("fingerprint", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
     shards = [F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    rows = nodes.select(F.explode(F.array(*shards)).alias("shard"), "fingerprint", "node")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "node")
-    found = dealt.mapInArrow(lambda batches: spanning_links(batches, tree_limit), "u long, v long")
+    found = _proposed(nodes.select(F.explode(F.array(*shards)).alias("shard"), "fingerprint", "node"), RADIUS)
     # rows that share an id are one document, whatever their fingerprints
-    same = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a != b")
-    twice = prints.join(same.select(F.col("id").alias(id_col)), id_col, "left_semi").join(nodes, "fingerprint").select(F.col(id_col).cast("long").alias("u"), F.col("node").alias("v"))
+    same = prints.where(F.col(id_col).isNotNull()).groupBy(own.alias("id")).agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a != b")
+    twice = prints.join(same.select(F.col("id").alias(id_col)), id_col, "left_semi").join(nodes, "fingerprint").select(own.alias("u"), F.col("node").alias("v"))
     component = smallest_reachable(found.unionByName(twice))
     label = nodes.join(component, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(label, "fingerprint", "left")
     return out.select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-SIGNATURE = 256
+SIGNATURE = 128
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -187,183 +188,92 @@ def _shingles(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
         yield np.unique(rolling.runs(first, np.minimum(first + shingle, b)))
 
 
-def _digest(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
-
+def _minima(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the shingles under each of n hashes."""
+    low = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(low, mix(shingles[at : at + 4096, None] ^ _SEEDS[:n]).min(axis=0), out=low)
+    return low
 
-def _sketches(texts: list[bytes | None], shingle: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint of the distinct shingles, their minima (one row each of ``SIGNATURE`` hashes), number and hash of the whole set of each text."""
-    prints, minima, whole = [], np.zeros((len(texts), SIGNATURE), np.uint64), np.zeros(len(texts), np.uint64)
-    sizes = np.zeros(len(texts), np.int64)
-    for i, distinct in enumerate(_shingles(texts, shingle)):
-        sizes[i] = len(distinct)
-        if not len(distinct):
-            prints.append(0)
-            continue
-        prints.append(_majority(distinct))
-        whole[i] = _digest(distinct)
-        low = np.full(SIGNATURE, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for at in range(0, len(distinct), 1024):
-            np.minimum(low, mix(distinct[at : at + 1024, None] ^ _SEEDS).min(axis=0), out=low)
-        minima[i] = low
-    return prints, minima, sizes, whole
 
+def settled(sets: list[np.ndarray], similarity: float, radius: int) -> Groups:
+    """Groups of the shingle sets over links of ``similarity`` or more between sets whose fingerprints lie within the radius.
 
-def _similar(prints: np.ndarray, signs: np.ndarray, least: int, radius: int) -> list[int]:
-    """The smallest index that each entry reaches over links within the radius whose minima agree in ``least`` places.
-
-    All pairs are looked at, in blocks, whatever the size of the shard; minima are compared only for pairs not yet in one group.
+    The tree proposes pairs. Pairs of one group already, of too different sizes, or whose minima agree in far fewer places than
+    they would (five standard errors) are passed over; all others are compared whole.
     """
-    n = len(prints)
-    root = np.arange(n)
-    for a in range(0, n, step := max(1, (1 << 20) // n)):
-        rows = prints[a : a + step]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ prints[None, : a + len(rows)]) <= radius)
-        i, first = i + a, True
-        below = j < i
-        i, j = i[below], j[below]
-        while len(i):
-            # one pair of any two groups first, as most others are then in one group
-            some = np.unique(root[i] * n + root[j], return_index=True)[1] if first else np.arange(min(len(i), 1 << 14))
-            first = False
-            for at in range(0, len(some), 1 << 14):
-                x, y = i[some[at : at + (1 << 14)]], j[some[at : at + (1 << 14)]]
-                for u, v in np.stack([x, y], 1)[np.count_nonzero(signs[x] == signs[y], axis=1) >= least].tolist():
-                    if root[u] != root[v]:
-                        root[root == max(root[u], root[v])] = min(root[u], root[v])
-            rest = root[i] != root[j]
-            rest[some] = False
-            i, j = i[rest], j[rest]
-    return root.tolist()
-
-
-def _linked(sets: list[np.ndarray], signs: np.ndarray, least: int, similarity: float) -> list[int]:
-    """The smallest index that each set reaches over links of ``similarity`` or more; sets whose minima agree in fewer than ``least`` places are not compared."""
-    root = np.arange(len(sets))
+    groups = Groups(len(sets))
     sizes = np.array([len(x) for x in sets])
-
-    def compare(i: int, others: np.ndarray) -> None:
-        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
-        for at in range(0, len(others), 1024):
-            some = others[at : at + 1024]
-            some = some[root[some] != root[i]]
+    prints = np.array([_majority(x) if len(x) else 0 for x in sets], np.uint64)
+    signs = np.array([_minima(x, SIGNATURE) for x in sets], np.uint64) & np.uint64(0xFFFF)
+    least = math.ceil(SIGNATURE * (similarity - 5 * math.sqrt(similarity * (1 - similarity) / SIGNATURE)))
+    for i, near in BkTree(prints).pairs(radius):
+        near = near[(groups.root[near] != groups.root[i]) & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]))]
+        for at in range(0, len(near), 4096):
+            some = near[at : at + 4096]
             for j in some[np.count_nonzero(signs[some] == signs[i], axis=1) >= least].tolist():
-                if root[j] != root[i]:
+                if groups.root[j] != groups.root[i]:
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if common >= similarity * (sizes[i] + sizes[j] - common):
-                        root[root == max(root[i], root[j])] = min(root[i], root[j])
-
-    for i in range(1, len(sets)):
-        # the first of each group before all others, as most are then in one group with i
-        compare(i, np.flatnonzero(root[:i] == np.arange(i)))
-        compare(i, np.flatnonzero(root[:i] != root[i]))
-    return root.tolist()
-
-
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 8) -> DataFrame:
-    """Rows (id, component_id) of groups linked by a share of equal shingles of ``similarity`` or more.
-
-    At such a distance fingerprints differ in up to ``radius`` bits, too many for
-    equal blocks. Shards are named by pairs of shingle minima instead: a pair of
-    texts with similarity s shares one of ``bands`` shards with the chance
-    1 - (1 - s**2)**bands (0.9997 at 0.8). Sketches only propose: each shard
-    compares all its fingerprints within the radius, and 256 minima must agree
-    but for five standard errors of their share. What is so connected in a shard
-    is brought together with its texts, once where several shards have the same,
-    and each link is settled on the distinct shingles (by their 64-bit hashes).
+                        groups.join(i, np.array([j]))
+    return groups
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 8) -> DataFrame:
+    """Rows (id, component_id) of the documents in groups linked by a share of equal distinct shingles of ``similarity`` or more.
+
+    Fingerprints are made of distinct shingles. At a similarity of 0.8 they
+    differ in 9.7 of 64 bits with a standard deviation of 2.9, so the trees'
+    ``radius`` of 20 lies 3.6 deviations beyond, too far for equal blocks of bits
+    to name shards: pairs of shingle minima name them, and two texts share one of
+    ``bands`` shards with the chance 1 - (1 - similarity**2)**bands (0.9997 at
+    0.8). What the trees propose is joined over all shards; each such component
+    is brought together with its texts once, proposed links are looked up in a
+    tree again and settled on the shingles (by their 64-bit hashes). Components
+    of more than ``SHARD_TEXTS`` texts are split so that any two texts still meet.
     """
+    own = _whole_number(docs, id_col)
 
     @freeing(_forget_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            prints, minima, sizes, whole = _sketches(texts_of(batch.column("text")).to_pylist(), shingle)
-            keep = np.flatnonzero(sizes > 0)
-            shards = mix(minima[:, 0 : 2 * bands : 2] * np.uint64(3) + mix(minima[:, 1 : 2 * bands : 2]) + np.arange(bands, dtype=np.uint64))
-            signs = (minima & np.uint64(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(np.array(prints, np.uint64)[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), pa.array([signs[i].tobytes() for i in keep.tolist()], pa.binary()), pa.array([shards[i].view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))], ["id", "fingerprint", "whole", "signs", "shards"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = written(rows.mapInArrow(run, "id long, fingerprint long, whole long, signs binary, shards array<long>"), "sketches")
-    # texts with the same shingles are one node
-    nodes = sketched.groupBy("fingerprint", "whole").agg(F.min("id").alias("node"))
-    # rows that share an id may be several nodes: nodes are told apart by their shingles
-    own = sketched.join(nodes.select(F.col("node").alias("id"), "fingerprint", "whole"), ["id", "fingerprint", "whole"], "left_semi").dropDuplicates(["fingerprint", "whole"])
-    dealt = own.select(F.explode("shards").alias("shard"), "fingerprint", "whole", F.col("id").alias("node"), "signs").repartition("shard").sortWithinPartitions("shard", "node", "whole")
-    # chance agreement of one-byte minima is taken off
-    near = similarity - 5 * math.sqrt(similarity * (1 - similarity) / SIGNATURE)
-    least = math.ceil(SIGNATURE * (near + (1 - near) / 256))
-
-    @freeing(_forget_words)
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards, table in _whole_shards(batches):
-            fingerprint, node, whole = (table.column(c).to_numpy() for c in ("fingerprint", "node", "whole"))
-            keys, members = [], []
-            for a, b in shards:
-                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signs").slice(a, b - a)])
-                root = np.array(_similar(fingerprint[a:b].view(np.uint64), signs, least, radius))
-                order = np.argsort(root, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-                    if len(part) > 1:
-                        # the same members give the same key in any shard
-                        key = xxhash.xxh64_intdigest(np.sort(whole[a + part]).tobytes(), 7)
-                        keys += [key] * len(part)
-                        members += (a + part).tolist()
-            at = np.array(members, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(node[at]), pa.array(whole[at])], ["shard", "node", "whole"])
+            sets = list(_shingles(texts_of(batch.column("text")).to_pylist(), shingle))
+            keep = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+            minima = np.array([_minima(sets[i], 2 * bands) for i in keep], np.uint64).reshape(-1, 2 * bands)
+            shards = mix(minima[:, 0::2] * np.uint64(3) + mix(minima[:, 1::2]) + np.arange(bands, dtype=np.uint64))
+            prints = np.array([_majority(sets[i]) for i in keep], np.uint64)
+            whole = np.array([xxhash.xxh64_intdigest(sets[i].tobytes(), 42) for i in keep], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(list(shards.view(np.int64)), pa.list_(pa.int64()))], ["id", "fingerprint", "whole", "shards"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(own.alias("id"), F.col(text_col).alias("text"))
+    sketched = written(rows.mapInArrow(run, "id long, fingerprint long, whole long, shards array<long>"), "sketches")
+    # texts with the same shingles are one node, and so are rows with one id
+    nodes = sketched.groupBy("fingerprint", "whole").agg(F.min("id").alias("node"), F.first("shards").alias("shards"))
+    equal = sketched.select("id", "fingerprint", "whole").join(nodes.select("fingerprint", "whole", "node"), ["fingerprint", "whole"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
+    near = smallest_reachable(_proposed(nodes.select(F.explode("shards").alias("shard"), "fingerprint", "node"), radius))
 
     @freeing(_forget_words)
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards, table in _whole_shards(batches):
+        for shards, table in whole_shards(batches):
             u, v = [], []
             node = table.column("node").to_numpy()
             for a, b in shards:
-                some = table.slice(a, b - a)
-                signs = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in some.column("signs")])
-                sets = [x for p in pieces(some.to_batches(), "text") for x in _shingles(texts_of(p.column("text")).to_pylist(), shingle)]
-                # other rows of the same id may have other texts
-                own_text = np.flatnonzero(np.array([_digest(x) for x in sets], np.uint64).view(np.int64) == some.column("whole").to_numpy())
-                for i, root in zip(own_text.tolist(), _linked([sets[k] for k in own_text.tolist()], signs[own_text], least, similarity)):
-                    if i != (j := int(own_text[root])):
-                        u.append(int(node[a + i]))
-                        v.append(int(node[a + j]))
+                sets = [x for p in pieces(table.slice(a, b - a).to_batches(), "text") for x in _shingles(texts_of(p.column("text")).to_pylist(), shingle)]
+                for i, j in settled(sets, similarity, radius).links():
+                    u.append(node[a + i])
+                    v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    proposed = written(dealt.mapInArrow(propose, "shard long, node long, whole long").dropDuplicates(["shard", "node", "whole"]), "proposed")
-    signed = own.select(F.col("id").alias("node"), "whole", "signs")
-    texts = rows.withColumnRenamed("id", "node").join(proposed.select("node").distinct(), "node", "left_semi")
-    settled = proposed.join(signed, ["node", "whole"]).join(texts, "node").repartition("shard").sortWithinPartitions("shard", "node", "whole")
-    found = settled.select("shard", "node", "whole", "signs", "text").mapInArrow(links, "u long, v long")
-    same = sketched.select("id", "fingerprint", "whole").join(nodes, ["fingerprint", "whole"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
-    return smallest_reachable(found.unionByName(same)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
-
-
-def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], pa.Table]]:
-    """Tables of whole shards, from batches sorted by shard, and where the shards of two or more rows begin and end."""
-    rest: pa.Table | None = None
-
-    def cut(table: pa.Table) -> tuple[list[tuple[int, int]], pa.Table]:
-        table = table.combine_chunks()
-        shard = table.column("shard").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-        return [(a, b) for a, b in zip(edges.tolist(), edges[1:].tolist()) if b - a > 1], table
-
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            shard = table.column("shard").to_numpy()
-            last = int(np.searchsorted(shard, shard[-1]))
-            rest = table.slice(last)
-            if last:
-                yield cut(table.slice(0, last))
-    if rest is not None:
-        yield cut(rest)
+    named = split_hot(written(near.select("node", F.col("component").alias("shard")), "proposed"), "shard", "node", SHARD_TEXTS)
+    texts = rows.withColumnRenamed("id", "node").join(named, "node")
+    found = texts.repartition("shard").sortWithinPartitions("shard", "node").select("shard", "node", "text").mapInArrow(links, "u long, v long")
+    return smallest_reachable(found.unionByName(equal)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all their columns, of which none but the smallest id of each group stays.
 
-    Texts without words, and rows with a null id, are in no group and stay.
+    Texts without words, and rows with a null id, are in no group and stay; so do all rows with the smallest id.
     """
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))

@@ -161,12 +161,12 @@ def test_spark_hash_is_the_named_hash(spark):
     assert [r[0] % 2**64 for r in got] == [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_shards_lose_no_link(limit):
-    """Trees and lookups give the components of all links, through the six shards of each fingerprint."""
+@pytest.mark.parametrize("radius", [2, 20])
+def test_shards_lose_no_link(radius):
+    """Trees give the components of all links, through the six shards of each fingerprint or within one shard."""
     import pyarrow as pa
 
-    rng = np.random.default_rng(limit)
+    rng = np.random.default_rng(radius)
     prints = {int(x) for x in rng.integers(0, 2**63, 60, dtype=np.uint64)}
     for x in list(prints):
         for _ in range(4):
@@ -176,11 +176,11 @@ def test_shards_lose_no_link(limit):
     prints = sorted(prints)
     from itertools import combinations
 
-    rows = sorted((n << 32 | (x >> 16 * i & 0xFFFF) << 16 | x >> 16 * j & 0xFFFF, x, k) for k, x in enumerate(prints) for n, (i, j) in enumerate(combinations(range(4), 2)))
+    rows = sorted((n << 32 | (x >> 16 * i & 0xFFFF) << 16 | x >> 16 * j & 0xFFFF, x, k) for k, x in enumerate(prints) for n, (i, j) in enumerate(combinations(range(4), 2))) if radius == 2 else [(0, x, k) for k, x in enumerate(prints)]
     cols = [pa.array([r[0] for r in rows]), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows])]
     batches = pa.Table.from_arrays(cols, ["shard", "fingerprint", "node"]).to_batches(max_chunksize=97)
-    links = [x for b in simhash.spanning_links(iter(batches), limit) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    want = components([(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i < j and (a ^ b).bit_count() <= 2], range(len(prints)))
+    links = [x for b in simhash.spanning_links(iter(batches), radius) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = components([(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i < j and (a ^ b).bit_count() <= radius], range(len(prints)))
     assert components(links, range(len(prints))) == want
     assert len(links) < 6 * len(prints)
 
@@ -197,22 +197,52 @@ def test_similar_groups_keep_one_of_each(spark):
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
-def test_large_shards_keep_all_links():
-    """In a shard of over 3,000 entries B joins A and C, which are not similar."""
-    rng = np.random.default_rng(3)
-    prints = rng.integers(0, 2**63, 3200, dtype=np.uint64)
-    signs = rng.integers(0, 256, (3200, simhash.SIGNATURE)).astype(np.uint8)
-    base = signs[10].copy()
-    for k, (i, a, b) in enumerate([(10, 0, 0), (20, 0, 40), (30, 0, 80), (3199, 0, 120)]):
-        prints[i] = prints[10] ^ np.uint64(k)
-        signs[i] = base
-        signs[i, a:b] = base[a:b] + 1
-    prints[[40, 50]] = prints[10], prints[10]
-    signs[[40, 50]] = base + np.uint8(7)  # near by fingerprint only
-    signs[50, :128] += 1
-    got = simhash._similar(prints, signs, 199, 16)
-    assert [got[i] for i in (10, 20, 30, 3199, 40, 50)] == [10, 10, 10, 10, 40, 50]
-    assert sum(r != i for i, r in enumerate(got)) == 3
+@pytest.mark.parametrize("most", [2, 100])
+def test_split_shards_keep_all_links(spark, monkeypatch, most):
+    """Every word of a text changes step by step, so that only neighbours are similar: a chain stays one group however small the shards."""
+    monkeypatch.setattr(simhash, "SHARD_PRINTS", most)
+    monkeypatch.setattr(simhash, "SHARD_TEXTS", most)
+    words = [f"w{x}" for x in range(200)]
+    rows = []
+    for k in range(20):
+        rows.append((k, " ".join(words)))
+        words[8 * k : 8 * k + 8] = [f"k{k}x{x}" for x in range(8)]
+    rows += [(50 + k, prose(200, 90 + k)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {k: 0 for k in range(20)}
+    same = simhash.near_duplicates(docs)
+    assert {r.doc_id: r.component_id for r in same.collect()} == components([(i, j) for i, a in rows for j, b in rows if (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() <= 2], {i for i, _ in rows})
+
+
+def test_text_ids_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for operator in (simhash.near_duplicates, simhash.first_of_each):
+        with pytest.raises(TypeError, match="whole numbers"):
+            operator(docs)
+
+
+def test_similar_groups_find_links_of_brute_force(spark):
+    """On whole test texts at least 99 of 100 links of 0.8 or more are within a group, and every group hangs together by such links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, set(" ".join(w) for w in zip(*(s[i:] for i in range(5)))) or ({" ".join(s)} if s else set())) for r in docs.collect() for s in [WORD.findall((r.text or "").translate(AZ))]]
+    held = {}
+    for i, x in rows:
+        for g in x:
+            held.setdefault(g, []).append(i)
+    common = {}
+    for ids in held.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    common[a, b] = common.get((a, b), 0) + 1
+    size = {i: len(x) for i, x in rows}
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (size[a] + size[b] - n)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    inside = sum(got.get(a, a) == got.get(b, b) for a, b in links)
+    assert len(links) > 50 and inside >= 0.99 * len(links)
+    want = components(links, size)
+    assert all(want[i] == want[c] for i, c in got.items())
 
 
 def test_similar_groups_settle_on_exact_shingles(spark):

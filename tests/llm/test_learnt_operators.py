@@ -94,6 +94,33 @@ def test_recordings_align_with_their_changed_copies(spark):
     assert audio_prints.aligned_groups(media.limit(0), id_col="rec_id", media_col="audio").count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 2000])
+def test_audio_groups_equal_brute_force(spark, monkeypatch, most):
+    """Groups are the components of all pairs that align at any offset, also through bridges and when integers are split."""
+    monkeypatch.setattr(audio_prints, "SHARD_PRINTS", most)
+    rng = np.random.default_rng(8)
+    songs = [audio_prints.played_vector(rng.normal(size=96).tolist())[1] for _ in range(5)]
+    rows = []
+    for s in songs:
+        for level in (0.0, 0.1, 0.2, 0.35):
+            rows.append((len(rows), wav(0.5 * (s + level * rng.normal(size=len(s))))))
+    for s in songs[:2]:
+        # a bridge: the end of one half meets the beginning of the other
+        rows += [(len(rows), wav(0.5 * s[: len(s) * 2 // 3])), (len(rows) + 1, wav(0.5 * s[len(s) // 3 :]))]
+    rows += [(len(rows), wav(np.concatenate([songs[2][:12_000], songs[3][:12_000]])))]
+    media = spark.createDataFrame(rows, "rec_id long, audio binary")
+    got = {r.rec_id: r for r in audio_prints.aligned_groups(media, id_col="rec_id", media_col="audio").collect()}
+    prints = {i: np.frombuffer(bytes(r.prints), "<u4") for i, r in got.items()}
+    root = {i: i for i in prints}
+    for i in prints:
+        for j in prints:
+            if i < j and audio_prints.align(prints[i], prints[j], most_errors=0.15, least_overlap=32):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert {i: r.group_id for i, r in got.items()} == root
+    assert len(set(root.values())) < 8
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
     from ledgerline.llm.storage import written
