@@ -360,19 +360,35 @@ def brute_leaks():
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [10, 1 << 20])
-def test_winnowing_equals_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [6, 26])
+def test_winnowing_equals_brute_force(spark, monkeypatch, bits):
+    """Whatever the bitmap lets through by chance fails in the join."""
+    monkeypatch.setattr(winnowing, "BITS", bits)
     docs = spark.createDataFrame([(*r, "x") for r in LEAKY], "doc_id long, text string, items string").repartition(2)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    rows = winnowing.find_contamination(docs, bench, block_bytes=block).collect()
+    rows = winnowing.find_contamination(docs, bench).collect()
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], sorted(r["items"])) for r in rows)
     assert got == brute_leaks()
-    kept = winnowing.drop_contaminated(docs, bench, block_bytes=block)
+    kept = winnowing.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i, _, h, _ in got if not h)
     assert winnowing.find_contamination(docs.limit(0), bench).count() == 0
     assert winnowing.find_contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_winnowing_of_hot_passages_and_repeated_words(spark):
+    """One item in every document, copies, one long text of a single word, and clashing column names."""
+    item = " ".join(f"q{k}" for k in range(15))
+    rows = [(k, f"start {k} {item} end {k}", 1, "p") for k in range(300)] + [(400 + k, f"copy {item}", 1, "p") for k in range(100)] + [(900, "same " * 20_000, 1, "p"), (901, "clean text", 1, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, print string").repartition(5)
+    bench = spark.createDataFrame([("a", item), ("b", "same " * 2000), ("c", item)], "item_id string, text string")
+    got = {r.doc_id: r for r in winnowing.find_contamination(docs, bench).collect()}
+    assert all([(s.start, s.end) for s in got[k].spans] == [(2, 17)] and sorted(got[k]["items"]) == ["a", "c"] for k in range(300))
+    assert all([(s.start, s.end) for s in got[400 + k].spans] == [(1, 16)] for k in range(100))
+    assert [(s.start, s.end) for s in got[900].spans] == [(0, 20_000)] and not got[901].spans
+    kept = winnowing.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [901]
+
+
 def test_line_spread_equals_counting(spark):
     foot = "read our terms and conditions"
     rows = [(k, f"body {k} of this page\n{foot}  \nend of page {k}", f"site{k % 7}") for k in range(30)]
