@@ -3,10 +3,12 @@
 Document frequencies and the mean length are counted over all documents. Shards
 of at most ``shard_docs`` documents or ``shard_tokens`` ids (one document at
 least) are dealt by content: each document's BM25 weights are projected to
-``DIMENSIONS`` values, a tree of two means, learnt from documents picked by the
-hash of their ids, is cut into leaves, and leaves that follow each other in the
-tree make a shard. A leaf too large for a shard (as of copies) is split by hash.
-Only the tree is learnt from a part; every document is dealt by it.
+``DIMENSIONS`` values, a tree of two means, learnt from about ``SAMPLE`` documents
+(a fixed bound) picked by the hash of their ids, is cut into leaves, and leaves
+that follow each other in the tree make a shard. A leaf too large for a shard is
+cut further by the signs of its vectors' differences from the leaf's mean, and
+one of copies, which no content parts, by hash. Only the tree is learnt from a
+part; every document is dealt by it.
 
 Each shard holds an inverted index of its documents with BM25 weights. A window
 is seeded by the next unused document; the index returns the unused documents of
@@ -39,6 +41,7 @@ from .word_tokenizer import tokenizer
 
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
+SAMPLE = 40_000  # documents that the tree is learnt from
 
 
 class Corpus:
@@ -53,20 +56,27 @@ class Corpus:
         return self.idf[terms] * tf * np.float32(K1 + 1) / (tf + norm)
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, in order, and how often each stands there."""
+    ordered = np.sort(ids)
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[ends], np.diff(ends, prepend=-1)
+
+
 class Bm25:
     """An inverted index of one shard: postings of each term with their BM25 weights, by the corpus or else by the shard itself."""
 
     def __init__(self, docs: list[np.ndarray], terms: int, corpus: Corpus | None = None):
-        uniques = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [u for u, _ in uniques]
-        sizes = np.array([len(u) for u in self.terms], np.int64)
+        counts = [term_counts(d) for d in docs]
+        self.terms = [t for t, _ in counts]
+        sizes = np.array([len(t) for t in self.terms], np.int64)
         term = np.concatenate(self.terms) if docs else np.zeros(0, np.uint32)
-        tf = np.concatenate([c for _, c in uniques]).astype(np.float32) if docs else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        tf = np.concatenate([n for _, n in counts]).astype(np.float32) if docs else np.zeros(0, np.float32)
+        doc = np.repeat(np.arange(len(docs)), sizes)
         df = np.bincount(term, minlength=terms)
         lengths = np.array([len(d) for d in docs], np.float32)
         corpus = corpus or Corpus(len(docs), int(lengths.sum()), df)
-        weight = corpus.weights(term, tf, lengths[doc])
+        weight = corpus.weights(term, tf, lengths[doc]).astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
@@ -77,6 +87,12 @@ class Bm25:
         spans = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist()))
         return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Drop the postings of all other documents."""
+        stays = wanted[self.doc]
+        self.begin = np.concatenate([[0], np.cumsum(stays)])[self.begin]
+        self.doc, self.weight = self.doc[stays], self.weight[stays]
+
 
 def _powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -86,6 +102,7 @@ def pack(docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None
     """Pieces (document, start, length, sequence, offset) of the shard's id arrays, whole and without padding."""
     index = Bm25(docs, terms, corpus)
     used = np.zeros(len(docs), bool)
+    indexed = len(docs)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, fill = 0, 0
     held: list[tuple[int, int, int]] = []  # pieces of the open window
@@ -119,10 +136,12 @@ def pack(docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None
             free = np.flatnonzero(~used)
             if not len(free):
                 break
+            if 2 * len(free) < indexed:
+                index.keep(~used)
+                indexed = len(free)
             # the document that reaches into the open window is its seed
-            score = index.scores(held[-1][0])
-            ranked = free[np.lexsort((free, -score[free]))]
-            for d in ranked.tolist():
+            score = index.scores(held[-1][0])[free]
+            for d in free[np.argsort(-score, kind="stable")].tolist():
                 if place(d):
                     break
             if not fill:
@@ -143,12 +162,12 @@ def pack(docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None
 
 
 class Tree:
-    """Two means at each inner node; leaves in the order of the tree make shards of about ``size`` documents."""
+    """Two means at each inner node; leaves in the order of the tree make shards of about ``size`` documents, each sample standing for ``each``."""
 
     def __init__(self, sample: np.ndarray, each: float, size: int):
         self.means: list[np.ndarray] = []  # both means of an inner node
         self.below: list[list[int]] = []  # its children: inner nodes, or leaves as -1 - leaf
-        held: list[int] = []
+        held, centres, alike = [], [], []
 
         todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sample)), -1, 0)]
         top = 0
@@ -157,6 +176,8 @@ class Tree:
             split = _two_means(sample[rows]) if len(rows) * each > size / 4 else None
             if split is None:
                 held.append(len(rows))
+                centres.append(sample[rows].mean(axis=0) if len(rows) else np.zeros(sample.shape[1]))
+                alike.append(len(rows) > 1 and len(rows) * each > size / 4)
                 at = -len(held)
             else:
                 means, right = split
@@ -170,6 +191,7 @@ class Tree:
                 self.below[parent][side] = at
         self.top = top
         self.means = np.array(self.means, np.float32).reshape(-1, 2, sample.shape[1])
+        self.centres, self.alike = np.array(centres, np.float32).reshape(len(held), -1), np.array(alike)
         # (first shard, number of shards) of each leaf
         self.shards, shard, full = [], 0, 0.0
         for n in held:
@@ -180,6 +202,14 @@ class Tree:
             shard, full = (shard + parts, 0.0) if parts > 1 else (shard, full + n * each)
         self.shards = np.array(self.shards, np.int64)
 
+    def deal(self, vectors: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """The shard of each vector; ``spread`` are hashes that part equal ones."""
+        leaf = self.leaves(vectors)
+        first, parts = self.shards[leaf].T
+        sides = (vectors - self.centres[leaf])[:, : min(16, vectors.shape[1])] > 0
+        code = (sides * (1 << np.arange(sides.shape[1])[::-1])).sum(axis=1)
+        return first + np.where(self.alike[leaf], np.mod(spread, parts), code * parts >> sides.shape[1])
+
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         out = np.zeros(len(vectors), np.int64)
         todo = [(self.top, np.arange(len(vectors)))]
@@ -225,7 +255,7 @@ def _vectors(docs: list[np.ndarray], corpus: Corpus, signs: np.ndarray) -> np.nd
     """The BM25 weights of each document, projected and scaled to length one."""
     out = np.zeros((len(docs), DIMENSIONS), np.float32)
     for i, d in enumerate(docs):
-        terms, tf = np.unique(d, return_counts=True)
+        terms, tf = term_counts(d)
         out[i] = corpus.weights(terms, tf.astype(np.float32), len(d)) @ signs[terms]
     return out / np.maximum(np.sqrt(np.square(out).sum(axis=1, keepdims=True)), 1e-9)
 
@@ -253,7 +283,7 @@ def _tokens(docs: DataFrame, path: str, end: bytes, size: int) -> DataFrame:
             tokens = [np.frombuffer(words.ids(text or b"") + end, "<u4").astype(_width(size)) for text in texts_of(batch.column("__text")).to_pylist()]
             arrays = [x.tobytes() for x in tokens]
             kind, n, length = batch.schema.field(0).type, n + len(arrays), length + sum(map(len, tokens))
-            df += np.bincount(np.concatenate([np.unique(t) for t in tokens]), minlength=size)
+            df += np.bincount(np.concatenate([term_counts(t)[0] for t in tokens]), minlength=size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))], ["__id", "ids", "counted"])
         if n:
             terms = np.flatnonzero(df)
@@ -282,10 +312,8 @@ def _corpus(tokens: DataFrame, size: int) -> Corpus:
 
 def _dealt(tokens: DataFrame, corpus: Corpus, size: int, shard_docs: int) -> DataFrame:
     """Rows (__id, ids, shard)."""
-    leaves = max(1, 4 * corpus.n // shard_docs)
-    wanted = max(20_000, 8 * leaves)
     rows = tokens.where("NOT counted").select("__id", "ids")
-    picked = rows.where(F.pmod(F.xxhash64("ids", "__id"), F.lit(1 << 30)) < min(1.0, wanted / max(1, corpus.n)) * (1 << 30)).select("ids")
+    picked = rows.where(F.pmod(F.xxhash64("__id", F.length("ids")), F.lit(1 << 40)) < min(1.0, SAMPLE / max(1, corpus.n)) * (1 << 40)).select("ids")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget_words()
@@ -301,8 +329,7 @@ def _dealt(tokens: DataFrame, corpus: Corpus, size: int, shard_docs: int) -> Dat
         _forget_words()
         signs = _projection(size)
         for batch in batches:
-            first, parts = tree.shards[tree.leaves(_vectors(_arrays(batch.column("ids"), size), corpus, signs))].T
-            shard = first + np.mod(batch.column("spread").to_numpy(), parts)
+            shard = tree.deal(_vectors(_arrays(batch.column("ids"), size), corpus, signs), batch.column("spread").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("ids"), pa.array(shard)], ["__id", "ids", "shard"])
 
     kind = T.StructType([tokens.schema["__id"], tokens.schema["ids"], T.StructField("shard", T.LongType())])
