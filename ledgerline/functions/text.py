@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,17 +66,29 @@ def normal_line(x: str | Column) -> Column:
 
 
 def heading_signature(x: str | Column) -> Column:
-    """A heading for comparison: lower case, plain quotes and dashes, no "(continued)", no closing punctuation."""
-    plain = F.translate(F.lower(normal_line(x)), "’‘“”–—", "''\"\"--")
-    return F.regexp_replace(F.trim(F.regexp_replace(plain, r"\(continued\)", "")), r"[\s.:;,\-]+$", "")
+    """A heading for comparison: lower case, plain quotes and dashes, no closing "(continued)" or punctuation."""
+    return reduce(lambda text, step: F.regexp_replace(text, *step), V.HEADING_STEPS, F.lower(normal_line(x)))
+
+
+def heading_key(text: str) -> str:
+    """The same for one text."""
+    return reduce(lambda t, step: re.sub(step[0], step[1], t), V.HEADING_STEPS, " ".join(text.split()).casefold())
 
 
 def boilerplate_signature(x: str | Column) -> Column:
     """Page footers with their number masked; null for lines that are no footer."""
     low = F.lower(_c(x))
-    page = r"(\|\s*|\bpage\s+)\d+(?:\s+of\s+\d+)?\s*$"
-    label = low.contains("form 10-k") | low.contains("form 10-q")
-    return F.when((low.rlike(page) | (label & low.contains("|"))) & (F.length(low) <= 180), F.regexp_replace(low, page, "$1#"))
+    label = reduce(Column.__or__, map(low.contains, V.FORM_LABELS))
+    footer = low.rlike(V.FOOTER_NUMBER) | (label & low.contains("|"))
+    return F.when(footer & (F.length(low) <= V.FOOTER_LENGTH), F.regexp_replace(low, V.FOOTER_NUMBER, "$1#"))
+
+
+def footer_key(text: str) -> str | None:
+    """The same for one text."""
+    low = text.casefold()
+    masked, found = re.subn(V.FOOTER_NUMBER, r"\1#", low)
+    is_footer = found or ("|" in low and any(label in low for label in V.FORM_LABELS))
+    return masked if is_footer and len(low) <= V.FOOTER_LENGTH else None
 
 
 def size_bucket(tokens: str | Column) -> Column:
@@ -87,22 +100,24 @@ def numeric_cell(x: str | Column) -> Column:
 
 
 def page_number(x: str | Column) -> Column:
+    """A line that is a page's number, with a letter or the word before it or not."""
     return _c(x).rlike(r"(?i)^(?:page\s+)?(?:[A-Z]-)?\d{1,4}$")
 
 
 def reference_stub(x: str | Column) -> Column:
     """A short section that only points elsewhere."""
-    points = [r"\bappears?\s+on\s+pages?\b", r"\bsee\s+(?:pages?|part|item)\b", r"\bincorporat(?:ed|ion)\s+by\s+reference\b", r"\b(?:set\s+forth|included)\b.{0,180}\b(?:annual\s+report|part\s+iv|item\s+15|pages?)\b"]
-    return (F.length(_c(x)) < 2000) & _c(x).rlike("(?is)" + "|".join(points))
+    return (F.length(_c(x)) < V.STUB_LENGTH) & _c(x).rlike("(?is)" + "|".join(V.STUB_PHRASES))
 
 
-def copied_run(question: Column, source: Column, n: int = 5) -> Column:
-    """Whether two word arrays share n words in a row."""
-    def grams(x: Column) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))
-        return F.when(F.size(x) >= n, joined).otherwise(F.array().cast("array<string>"))
+def spaced(word_array: Column) -> Column:
+    """Words between single spaces, one before the first and after the last: a run of words is a part of it."""
+    return F.concat(F.lit(" "), F.array_join(word_array, " "), F.lit(" "))
+
 
-    return F.arrays_overlap(grams(question), grams(source))
+def copied_run(question: Column, source: Column, n: int = 5) -> Column:
+    """Whether n words in a row of an array stand in a text of words made by :func:`spaced`, best a column of its own."""
+    starts = F.when(F.size(question) >= n, F.sequence(F.lit(1), F.size(question) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(starts, lambda i: F.contains(source, spaced(F.slice(question, i, n))))
 
 
 def elapsed_ms(nanoseconds: str | Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import copied_run, words
+from .. import vocabulary as V
+from ..functions.text import copied_run, spaced, words
 from .facts import first_by
 
 FACT = ["metric", "fiscal_year", "fiscal_period", "value", "unit"]
@@ -82,15 +88,25 @@ def score_numbers(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
 def grounded_numbers(answers: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answer facts that were supplied, those that were not), by all five fields."""
     supplied = facts.select(*FACT).distinct()
-    return answers.dropDuplicates(["case_id", *FACT]).join(supplied, FACT, "left_semi"), answers.join(supplied, FACT, "left_anti")
+    once = answers.dropDuplicates(["case_id", *FACT])
+    return once.join(supplied, FACT, "left_semi"), once.join(supplied, FACT, "left_anti")
 
 
 def resolved_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Citations (cid, source_url, section?, accession_no?) with the first chunk that fits; a null field fits any."""
-    c = citations.select("cid", F.col("source_url").alias("u"), F.col("section").alias("s"), F.col("accession_no").alias("a"))
-    fits = (F.col("u") == F.col("source_url")) & (F.col("s").isNull() | (F.col("s") == F.col("section"))) & (F.col("a").isNull() | (F.col("a") == F.col("accession_no")))
-    found = c.join(chunks.select("source_url", "section", "accession_no", "id"), fits, "left")
-    return first_by(found, ["cid"], F.col("id").asc_nulls_last()).select("cid", "source_url", "section", "accession_no", F.col("id").isNotNull().alias("valid"))
+    """Citations (cid, source_url, section?, accession_no?) with the first chunk that fits; a null field fits any.
+
+    Chunks are reduced to the first of each combination of fields that a citation may name, so that each citation meets one row.
+    """
+    row = F.struct("id", "section", "accession_no")
+    some = lambda c, on: F.col(c) if on else F.lit(None).cast("string")
+    ways = [F.struct(F.lit(s).alias("by_section"), F.lit(a).alias("by_accession"), some("section", s).alias("s"), some("accession_no", a).alias("a")) for s in (True, False) for a in (True, False)]
+    keyed = chunks.select(F.col("source_url").alias("u"), row.alias("chunk"), F.explode(F.array(*ways)).alias("w"))
+    first = keyed.groupBy("u", "w").agg(F.min("chunk").alias("chunk"))
+    way = F.struct(F.col("section").isNotNull().alias("by_section"), F.col("accession_no").isNotNull().alias("by_accession"), F.col("section").alias("s"), F.col("accession_no").alias("a"))
+    asked = citations.select("cid", F.col("source_url").alias("u"), way.alias("w"))
+    found = asked.join(first.withColumnsRenamed({"u": "fu", "w": "fw"}), (F.col("u") == F.col("fu")) & F.col("w").eqNullSafe(F.col("fw")), "left")
+    fits = F.col("chunk").isNotNull()
+    return found.select("cid", F.when(fits, F.col("u")).alias("source_url"), "chunk.section", "chunk.accession_no", fits.alias("valid"))
 
 
 def shuffled_key(seed: int, *columns: str) -> Column:
@@ -98,10 +114,10 @@ def shuffled_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows dealt round-robin over the strata, in a seeded order within and among them."""
+def stratified_sample(df: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 42, order: list[Column] | None = None) -> DataFrame:
+    """n rows dealt round-robin over the strata, in a seeded order within them and in ``order``, or else a seeded one, among them."""
     dealt = df.withColumn("__round", F.row_number().over(Window.partitionBy(*strata).orderBy(shuffled_key(seed, *key), *key)))
-    return dealt.orderBy("__round", shuffled_key(seed, *strata), *strata).limit(n).drop("__round")
+    return dealt.orderBy("__round", *(order or [shuffled_key(seed, *strata)]), *strata).limit(n).drop("__round")
 
 
 def first_per_group(df: DataFrame, group: list[str], key: list[str], n: int, per_group: int = 1, seed: int = 42) -> DataFrame:
@@ -110,32 +126,59 @@ def first_per_group(df: DataFrame, group: list[str], key: list[str], n: int, per
     return dealt.where(F.col("__n") <= per_group).orderBy(shuffled_key(seed, *key), *key).limit(n).drop("__n")
 
 
+# fixed values: phrases that speak of a passage rather than of its subject
 META_PHRASES = ("according to the passage", "according to the chunk", "in the provided text", "in this document", "in the excerpt", "the passage", "the chunk")
 
 
+def issuer_text(ticker: str, name: str) -> Column:
+    """The words that may name an issuer: its ticker, and its name without legal forms and words of one or two letters."""
+    kept = F.filter(words(name), lambda w: ~w.isin(*V.CORPORATE_SUFFIXES) & (F.length(w) > 2))
+    return F.concat_ws(" ", ticker, F.array_join(kept, " "))
+
+
 def question_quality(pairs: DataFrame, stop_words: tuple[str, ...], generic: tuple[str, ...] = ()) -> DataFrame:
-    """Adds (reason, overlap) to (question, specific, source, issuer): why a generated question is refused, or "accepted"."""
-    asked = words("question")
-    source, issuer = words("source"), words("issuer")
-    content = F.array_distinct(F.filter(F.array_except(asked, issuer), lambda w: ~w.isin(*stop_words, *generic) & (F.length(w) > 2)))
+    """Adds (reason, overlap) to (question, specific, source, issuer): why a generated question is refused, or "accepted".
+
+    Words are cut once, in a step of their own: inside of a lambda they would be cut again for each of its items.
+    """
+    cut = pairs.withColumns({"__asked": words("question"), "__source": words("source"), "__issuer": words("issuer")})
+    asked, source, issuer = F.col("__asked"), F.col("__source"), F.col("__issuer")
+    rows = cut.withColumn("__content", F.array_distinct(F.filter(F.array_except(asked, issuer), lambda w: ~w.isin(*stop_words, *generic) & (F.length(w) > 2))))
+    rows = rows.withColumn("__run", spaced(source))
+    content = F.col("__content")
     overlap = F.size(F.array_intersect(content, source)) / F.greatest(F.size(content), F.lit(1))
     low = F.lower(F.trim("question"))
-    meta = low.rlike("|".join(META_PHRASES))
-    early = F.when(~F.col("specific"), "model_marked_generic").when(~low.endswith("?"), "missing_question_mark").when(~F.size(asked).between(8, 50), "invalid_length").when(meta, "meta_reference").when(~F.arrays_overlap(asked, issuer), "issuer_missing").when(F.size(content) < 4, "too_generic")
-    late = F.when(copied_run(asked, source), "copied_phrase").when(overlap > 0.75, "excessive_lexical_overlap").otherwise("accepted")
-    judged = pairs.withColumn("__early", early)
-    return judged.withColumn("reason", F.coalesce("__early", late)).withColumn("overlap", F.when(F.col("__early").isNull(), overlap).otherwise(0.0)).drop("__early")
+    reasons = [
+        (~F.col("specific"), "model_marked_generic"), (~low.endswith("?"), "missing_question_mark"), (~F.size(asked).between(8, 50), "invalid_length"),
+        (low.rlike("|".join(META_PHRASES)), "meta_reference"), (~F.arrays_overlap(asked, issuer), "issuer_missing"), (F.size(content) < 4, "too_generic"),
+    ]
+    early = reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(reasons), F.lit(None).cast("string"))
+    late = F.when(copied_run(asked, F.col("__run")), "copied_phrase").when(overlap > 0.75, "excessive_lexical_overlap").otherwise("accepted")
+    judged = rows.withColumn("__early", early)
+    out = judged.withColumn("reason", F.coalesce("__early", late)).withColumn("overlap", F.when(F.col("__early").isNull(), overlap).otherwise(0.0))
+    return out.drop("__asked", "__source", "__issuer", "__content", "__run", "__early")
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
-    """One digest of all chunks in order, over digests of groups so that no task holds the corpus.
+    """The SHA-256 of all chunks' lines by ticker, section, accession, index and id, each ended by a line feed; the digest of no bytes for no chunks.
 
-    Each row is hashed to a line; lines of one filing are joined and hashed; then the filings' digests are.
+    Lines hold digests of texts, so that texts are hashed where they are; the lines are sorted by all tasks. A SHA-256 over one
+    stream is read in order: one task takes the sorted ranges one after another and holds a line at a time.
     """
     line = F.concat_ws("|", "accession_no", "section", F.col("chunk_index").cast("string"), "ticker", F.sha2("text", 256))
-    filings = chunks.groupBy("accession_no").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
-    shards = filings.groupBy(F.substring("digest", 1, 3).alias("shard")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("digest"))
-    return shards.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("fingerprint"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = hashlib.sha256()
+        for batch in batches:
+            for text in batch.column(0).drop_null().to_pylist():
+                total.update(text.encode() + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()])], ["fingerprint"])
+
+    order = ["ticker", "section", "accession_no", "chunk_index", "id"]
+    rows = chunks.select(*order, line.alias("line"))
+    # a row without a line: there is a digest also of no chunks
+    none = chunks.sparkSession.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    return rows.unionByName(none).orderBy(*order).select("line").coalesce(1).mapInArrow(digest, "fingerprint string")
 
 
 def batch_defects(expected: DataFrame, generated: DataFrame, key: str) -> DataFrame:
@@ -153,11 +196,63 @@ def best_prompt(scores: DataFrame, order: list[str]) -> DataFrame:
     return scores.withColumn("composite", composite).orderBy(F.desc("composite"), F.desc("faithfulness"), F.desc("citation_rate"), place).limit(1)
 
 
+# fixed values: questions that have no answer, by an excluded company, an impossible year or an unknown metric
+TRAPS = {
+    "trap-excluded-tsla": "What was TSLA's net income in FY2024?",
+    "trap-excluded-xom": "What was XOM's revenue in FY2024?",
+    "trap-excluded-wfc": "What was WFC's total assets in FY2024?",
+    "trap-year-aapl": "What was AAPL's revenue in FY1850?",
+    "trap-year-msft": "What was MSFT's net income in FY2099?",
+    "trap-metric-aapl": "What was AAPL's gross margin in FY2024?",
+}
+
+
 def numeric_gold(facts: DataFrame, yoy: DataFrame, direct: int = 34, comparisons: int = 8, seed: int = 42) -> DataFrame:
-    """Gold cases (kind, ticker, metric, fiscal_year, fiscal_period, value): sampled facts of the last year and yearly changes."""
+    """Gold cases (case_id, kind, question, expect_refusal, required): facts of the last year, yearly changes, and traps.
+
+    ``required`` are facts (metric, fiscal_year, fiscal_period, value, unit): one of a direct case; of a comparison both years'
+    and their difference; none of a trap. Direct cases take turns over metrics and periods in their fixed order.
+    """
     latest = first_by(facts, ["ticker", "metric", "fiscal_period"], F.desc("fiscal_year"))
-    one = stratified_sample(latest, ["metric", "fiscal_period"], ["ticker", "metric", "fiscal_period"], direct, seed)
+    place = [F.array_position(F.array(*map(F.lit, order)), F.col(c)) for c, order in (("metric", tuple(V.METRIC_TAGS)), ("fiscal_period", V.PERIODS))]
+    one = stratified_sample(latest, ["metric", "fiscal_period"], ["ticker", "metric", "fiscal_period"], direct, seed, place)
     two = first_per_group(yoy, ["ticker"], ["ticker", "metric", "from_year"], comparisons, 1, seed)
-    cols = ["ticker", "metric", "fiscal_year", "fiscal_period"]
-    return one.select(F.lit("direct").alias("kind"), *cols, F.col("value").cast("double").alias("value")).unionByName(
-        two.select(F.lit("comparison").alias("kind"), "ticker", "metric", F.col("to_year").alias("fiscal_year"), F.lit("FY").alias("fiscal_period"), F.col("delta").alias("value")))
+    fact = lambda metric, year, period, value: F.struct(metric.alias("metric"), year.cast("int").alias("fiscal_year"), period.alias("fiscal_period"), value.cast("double").alias("value"), F.col("unit").alias("unit"))
+    label, year, annual = F.replace("metric", F.lit("_"), F.lit(" ")), F.col("fiscal_year"), F.lit("FY")
+    when = F.when(F.col("fiscal_period") == "FY", F.concat(F.lit("FY"), year)).otherwise(F.concat("fiscal_period", F.lit(" FY"), year))
+    a, b = F.col("from_year"), F.col("to_year")
+    first = one.select(
+        F.concat_ws("-", F.lit("direct"), "ticker", "metric", "fiscal_period").alias("case_id"), F.lit("direct").alias("kind"),
+        F.concat(F.lit("What was "), "ticker", F.lit("'s "), label, F.lit(" in "), when, F.lit("?")).alias("question"), F.lit(False).alias("expect_refusal"),
+        F.array(fact(F.col("metric"), year, F.col("fiscal_period"), F.col("value"))).alias("required"),
+    )
+    second = two.select(
+        F.concat_ws("-", F.lit("comparison"), "ticker", "metric", b.cast("string")).alias("case_id"), F.lit("comparison").alias("kind"),
+        F.concat(F.lit("How did "), "ticker", F.lit("'s "), label, F.lit(" change from FY"), a, F.lit(" to FY"), b, F.lit("?")).alias("question"), F.lit(False).alias("expect_refusal"),
+        F.array(fact(F.col("metric"), a, annual, F.col("from_value")), fact(F.col("metric"), b, annual, F.col("to_value")), fact(F.concat("metric", F.lit("_yoy_delta")), b, annual, F.col("delta"))).alias("required"),
+    )
+    traps = facts.sparkSession.createDataFrame(list(TRAPS.items()), "case_id string, question string")
+    third = traps.select("case_id", F.lit("no_answer").alias("kind"), "question", F.lit(True).alias("expect_refusal"), F.array().cast(first.schema["required"].dataType).alias("required"))
+    return first.unionByName(second).unionByName(third)
+
+
+def narrative_candidates(questions: DataFrame, prompts: dict[str, str], write: Callable[[str, list[str]], list[str]]) -> DataFrame:
+    """Answers (prompt, qid, answer) of a model under each of some prompts; an answer that fails is null and counts as an error.
+
+    ``write`` takes a prompt's text and the questions of a batch; a batch is asked once for each prompt.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("question").to_pylist()
+            for name, text in prompts.items():
+                try:
+                    found = write(text, asked)
+                    if len(found) != len(asked):
+                        raise ValueError("the answers do not fit the questions")
+                except Exception:  # noqa: BLE001
+                    found = [None] * len(asked)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(asked)), batch.column("qid"), pa.array(found, pa.string())], ["prompt", "qid", "answer"])
+
+    kind = f"prompt string, qid {questions.schema['qid'].dataType.simpleString()}, answer string"
+    return questions.select("qid", "question").mapInArrow(run, kind)

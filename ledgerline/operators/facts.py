@@ -77,14 +77,15 @@ def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFram
     return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
 
 
-def primary_context(candidates: DataFrame) -> DataFrame:
+def primary_context(candidates: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """One fact per filing, metric and period: the latest end; of durations the longest for a year, the shortest for a quarter; then the preferred tag.
 
-    Ties go to the tag's name, then to the value as text. One window sort serves all steps.
+    Ties go to the tag's name, then to the value as text. One window sort serves all steps. ``also`` names columns that the
+    filing fixes: with them as keys, rows that are already together by them are not shuffled.
     """
     start = F.datediff("period_start", F.lit("1970-01-01").cast("date"))
     length = F.when(~F.col("metric").isin(*V.DURATION_METRICS), 0).when(F.col("fiscal_period") == "FY", start).otherwise(-start)
-    return first_by(candidates, ["accession_no", "metric", "fiscal_year", "fiscal_period"], F.desc("period_end"), length.asc_nulls_last(), F.asc("tag_priority"), F.asc("taxonomy_tag"), F.col("value").cast("decimal(28,4)").cast("string"))
+    return first_by(candidates, [*also, "accession_no", "metric", "fiscal_year", "fiscal_period"], F.desc("period_end"), length.asc_nulls_last(), F.asc("tag_priority"), F.asc("taxonomy_tag"), F.col("value").cast("decimal(28,4)").cast("string"))
 
 
 def latest_restatement(facts: DataFrame) -> DataFrame:
@@ -92,6 +93,11 @@ def latest_restatement(facts: DataFrame) -> DataFrame:
     return first_by(facts, FACT_KEY, F.desc("filing_date"), F.desc("accession_no"))
 
 
+def latest_facts(candidates: DataFrame) -> DataFrame:
+    """The last restatement of each filing's primary facts. A filing has one company, so one shuffle by company, metric and period serves both windows."""
+    return latest_restatement(primary_context(candidates.repartition(*FACT_KEY), ("cik",)))
+
+
 def latest_stored(facts: DataFrame, id_col: str) -> DataFrame:
     """One stored fact per ticker, metric, period and unit: the last filed, then the largest id."""
     return first_by(facts, ["ticker", "metric", "fiscal_year", "fiscal_period", "unit"], F.col("filing_date").desc_nulls_last(), F.desc(id_col))
@@ -123,10 +129,19 @@ def drop_superseded(facts: DataFrame) -> DataFrame:
     return latest_restatement(facts)
 
 
+def new_identities(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """Incoming rows whose identity (no part null) is not stored, each identity once."""
+    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+
+
 def load_facts(stored: DataFrame, incoming: DataFrame, cursor: DataFrame) -> DataFrame:
-    """The stored facts after an incremental load: new filings only, last restatement wins, superseded facts go."""
-    fresh = not_older_than_stored(latest_restatement(after_cursor(incoming, cursor)), stored)
-    return drop_superseded(upsert(stored, fresh, STORED_KEY, F.desc("accession_no")))
+    """The stored facts after an incremental load: new filings only, last restatement wins, superseded facts go.
+
+    A fact that comes in older than the one stored loses, one of the same filing replaces it: all by one window over both.
+    """
+    fresh = after_cursor(incoming, cursor).select(*stored.columns)
+    both = stored.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+    return first_by(both, FACT_KEY, F.desc("filing_date"), F.desc("accession_no"), F.desc("__new")).drop("__new")
 
 
 def advance_cursor(cursor: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,11 +53,15 @@ def metadata_predicate(filters: dict[str, object] | None) -> Column:
     return out
 
 
+def checked_k(k: int) -> None:
+    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
+        raise ValueError("k is not a positive integer")
+
+
 def checked_request(query: str, k: int) -> None:
     if not isinstance(query, str) or not query.strip():
         raise ValueError("the query is blank")
-    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
-        raise ValueError("k is not a positive integer")
+    checked_k(k)
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, group: str = "qid", rank: str = "rank") -> DataFrame:
@@ -63,89 +69,141 @@ def top_k(scored: DataFrame, k: int, *order: Column, group: str = "qid", rank: s
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def _wanted(questions: DataFrame, stemmed: bool) -> DataFrame:
-    return questions.select("qid", F.explode(F.array_distinct(_terms("query", stemmed))).alias("term"))
-
-
 def _terms(column: str, stemmed: bool) -> Column:
     return stems(terms(column)) if stemmed else terms(column)
 
 
-def _held(chunks: DataFrame, wanted: DataFrame, stemmed: bool) -> DataFrame:
-    """(id, term, tf) of the terms that some question asks for; others are dropped before anything is shuffled."""
-    every = chunks.select("id", F.explode(_terms("text", stemmed)).alias("term"))
-    return every.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
+def _in_blocks(rows: Iterator, most: int) -> Iterator[list]:
+    while block := list(islice(rows, most)):
+        yield block
 
 
-def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False) -> DataFrame:
-    """Rows (qid, id, text_score, rank): chunks that hold any term of the question, 0.1 for each place where one stands.
+class _TermIndex:
+    """Which of a block of questions ask for a term."""
 
-    Questions (qid, query) are a stated set: their terms are joined to the chunks' terms, so only matching pairs arise.
-    A question without terms finds nothing. With ``stemmed``, words match by their English stems.
-    """
-    wanted = _wanted(questions, stemmed)
-    held = _held(chunks.where(metadata_predicate(filters)), wanted, stemmed)
-    scored = held.join(wanted, "term").groupBy("qid", "id").agg((F.sum("tf") * 0.1).alias("text_score"))
-    return top_k(scored, k, F.desc("text_score"), F.asc("id"))
+    def __init__(self, asked: list[tuple[object, list[str]]]):
+        self.names = [n for n, _ in asked]
+        places: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(asked):
+            for w in dict.fromkeys(words or []):
+                places.setdefault(w, []).append(i)
+        self.ids = {w: i for i, w in enumerate(places)}
+        self.askers = np.array([q for qs in places.values() for q in qs], np.int64)
+        self.begin = np.cumsum([0, *map(len, places.values())])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """(texts x questions): at how many places of a text any term of the question stands."""
+        words = texts.flatten()
+        known = pc.dictionary_encode(words)
+        of = np.array([self.ids.get(w, -1) for w in known.dictionary.to_pylist()] or [-1], np.int64)
+        term = of[known.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy())
+        row, term = row[term >= 0], term[term >= 0]
+        each = self.begin[term + 1] - self.begin[term]
+        asker = self.askers[np.repeat(self.begin[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+        flat = np.bincount(np.repeat(row, each) * len(self.names) + asker, minlength=len(texts) * len(self.names))
+        return flat.reshape(len(texts), len(self.names))
+
+
+def _term_counts(questions: DataFrame, chunks: DataFrame, stemmed: bool, block: int, kind: str, made: Callable[[_TermIndex, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """What ``made`` yields for each batch of chunks and up to ``block`` questions; terms are cut by the same expression on both sides."""
+    rows = chunks.select(F.col("id").cast("long").alias("id"), _terms("text", stemmed).alias("terms"))
+
+    def scorer(index: _TermIndex) -> Callable:
+        shared = chunks.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # a bounded matrix of counts at a time
+                for at in range(0, batch.num_rows, step := max(1, (1 << 21) // len(shared.value.names))):
+                    part = batch.slice(at, step)
+                    yield made(shared.value, part.column("id").to_numpy(), shared.value.counts(part.column("terms")))
+
+        return run
 
+    found = chunks.sparkSession.createDataFrame([], kind)
+    asked = questions.select("qid", _terms("query", stemmed).alias("terms")).toLocalIterator()
+    for part in _in_blocks(((r[0], r[1]) for r in asked), block):
+        found = found.unionByName(rows.mapInArrow(scorer(_TermIndex(part)), kind))
+    return found
 
-def text_match_counts(questions: DataFrame, chunks: DataFrame, *, stemmed: bool = False) -> DataFrame:
-    """Rows (qid, matches), zero where nothing matches."""
-    wanted = _wanted(questions, stemmed)
-    found = _held(chunks, wanted, stemmed).join(wanted, "term").groupBy("qid").agg(F.count_distinct("id").alias("n"))
+
+def _best(names: list, ids: np.ndarray, scores: np.ndarray, k: int, qid_type: pa.DataType, column: str, least: float = -np.inf) -> pa.RecordBatch:
+    """The k best rows of each column of scores that are above ``least``; ties go to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, scores = ids[order], scores[order]
+    best = np.argsort(-scores, axis=0, kind="stable")[:k]
+    value = np.take_along_axis(scores, best, 0).T.ravel()
+    keep = np.flatnonzero(value > least)
+    asker = np.repeat(np.arange(len(names)), len(best))[keep]
+    return pa.RecordBatch.from_arrays([pa.array(names, qid_type).take(pa.array(asker)), pa.array(ids[best].T.ravel()[keep]), pa.array(value[keep].astype(np.float64))], ["qid", "id", column])
+
+
+def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False, block: int = 4096) -> DataFrame:
+    """Rows (qid, id, text_score, rank): chunks that hold any term of the question, 0.1 for each place where one stands.
+
+    Questions (qid, query) are a stated set: it is broadcast in blocks of ``block``, each batch of chunks counts the terms of
+    all of a block's questions at once, and only its own best k of each are shuffled. A question without terms finds nothing.
+    With ``stemmed``, words match by their English stems.
+    """
+    checked_k(k)
+    kind = to_arrow_type(questions.schema["qid"].dataType)
+    made = lambda index, ids, counts: _best(index.names, ids, counts, k, kind, "places", 0)
+    found = _term_counts(questions, chunks.where(metadata_predicate(filters)), stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, id long, places double", made)
+    return top_k(found, k, F.desc("places"), F.asc("id")).select("qid", "id", (F.col("places") * 0.1).alias("text_score"), "rank")
+
+
+def text_match_counts(questions: DataFrame, chunks: DataFrame, *, stemmed: bool = False, block: int = 4096) -> DataFrame:
+    """Rows (qid, matches), zero where nothing matches. Ids of chunks are distinct."""
+    kind = to_arrow_type(questions.schema["qid"].dataType)
+    made = lambda index, ids, counts: pa.RecordBatch.from_arrays([pa.array(index.names, kind), pa.array(np.count_nonzero(counts, axis=0))], ["qid", "n"])
+    found = _term_counts(questions, chunks, stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, n long", made).groupBy("qid").agg(F.sum("n").alias("n"))
     return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
-def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, dimensions: int | None = None, block: int = 512) -> DataFrame:
+def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, dimensions: int | None = None, block: int = 4096) -> DataFrame:
     """Rows (qid, id, vector_score, rank) by exact cosine similarity in double precision; ties go to the smaller id.
 
-    Questions (qid, embedding) are a stated set: it is broadcast in blocks of ``block`` vectors, each batch of chunks
-    yields its own best k of each, and only those are shuffled. Null, zero and wrongly sized vectors match nothing.
+    Questions (qid, embedding) are a stated set: it is broadcast in blocks of ``block`` vectors, so the chunks are read once
+    for so many questions; each batch of chunks yields its own best k of each, and only those are shuffled. Null, zero and
+    wrongly sized vectors match nothing.
     """
+    checked_k(k)
     spark = chunks.sparkSession
     qid_type = to_arrow_type(questions.schema["qid"].dataType)
     rows = chunks.where(metadata_predicate(filters) & F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
 
-    def scorer(names: list, matrix: np.ndarray):
+    def scorer(names: list, matrix: np.ndarray) -> Callable:
         shared = spark.sparkContext.broadcast((names, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             for batch in batches:
-                vectors = batch.column("embedding")
-                sized = np.array([v.as_py() is not None and len(v) == matrix.shape[1] for v in vectors], bool)
-                if not sized.any():
-                    continue
-                ids = batch.column("id").to_numpy()[sized]
-                x = vectors.filter(pa.array(sized)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                norm = np.linalg.norm(x, axis=1)
-                good = np.isfinite(norm) & (norm > 0)
-                ids, x = ids[good], x[good] / norm[good, None]
-                order = np.argsort(ids, kind="stable")
-                ids, sims = ids[order], (x @ matrix.T)[order]
-                best = np.argsort(-sims, axis=0, kind="stable")[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(len(best))], qid_type), pa.array(ids[best].T.ravel()), pa.array(np.take_along_axis(sims, best, 0).T.ravel())], ["qid", "id", "vector_score"])
+                for at in range(0, batch.num_rows, step := max(1, (1 << 21) // len(names))):
+                    part = batch.slice(at, step)
+                    vectors = part.column("embedding")
+                    sized = pc.equal(pc.list_value_length(vectors), matrix.shape[1])
+                    ids = part.column("id").filter(sized).to_numpy()
+                    if not len(ids):
+                        continue
+                    x = vectors.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                    norm = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(norm) & (norm > 0)
+                    yield _best(names, ids[good], x[good] / norm[good, None] @ matrix.T, k, qid_type, "vector_score")
 
         return run
 
-    def blocks() -> Iterator[tuple[list, np.ndarray]]:
-        names, vectors = [], []
-        for qid, vector in questions.select("qid", "embedding").toLocalIterator():
-            if vector is None or (dimensions and len(vector) != dimensions) or not all(x is not None and np.isfinite(x) for x in vector):
-                raise ValueError(f"the vector of question {qid!r} is not valid")
-            names.append(qid)
-            vectors.append(vector)
-            if len(names) == block:
-                yield names, np.array(vectors, np.float64)
-                names, vectors = [], []
-        if names:
-            yield names, np.array(vectors, np.float64)
+    def valid(qid: object, vector: list | None) -> tuple[object, list]:
+        if vector is None or (dimensions and len(vector) != dimensions) or not all(x is not None and np.isfinite(x) for x in vector):
+            raise ValueError(f"the vector of question {qid!r} is not valid")
+        return qid, vector
 
     kind = f"qid {questions.schema['qid'].dataType.simpleString()}, id long, vector_score double"
     found = spark.createDataFrame([], kind)
-    for names, matrix in blocks():
+    for part in _in_blocks((valid(*r) for r in questions.select("qid", "embedding").toLocalIterator()), block):
+        matrix = np.array([v for _, v in part], np.float64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        found = found.unionByName(rows.mapInArrow(scorer(names, matrix / np.where(norm > 0, norm, 1)), kind))
+        found = found.unionByName(rows.mapInArrow(scorer([q for q, _ in part], matrix / np.where(norm > 0, norm, 1)), kind))
     return top_k(found, k, F.desc("vector_score"), F.asc("id"))
 
 
@@ -162,7 +220,11 @@ def fuse(text: DataFrame, vector: DataFrame, k: int, *, rrf_k: int = 60, text_ca
     return top_k(fused, k, F.desc("rrf_score"), F.asc("best_rank"), F.asc("id"))
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, widen: int = 3, rrf_k: int = 60, text_cap: int | None = None) -> DataFrame:
+#: each list of a hybrid search is so many times as long as the result
+WIDEN = 3
+
+
+def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, widen: int = WIDEN, rrf_k: int = 60, text_cap: int | None = None) -> DataFrame:
     """Fusion of both searches, each over ``widen`` times as many rows. Questions are (qid, query, embedding)."""
     return fuse(text_search(questions, chunks, k * widen, filters), vector_search(questions, chunks, k * widen, filters), k, rrf_k=rrf_k, text_cap=text_cap)
 
@@ -179,31 +241,51 @@ def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
-def rerank(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, n: int, scorer: Scorer = overlap_scorer) -> DataFrame:
-    """The first n of each question by the scorer, ties in their former order; scores must be finite, one for each row."""
-    rows = ranked.select("qid", "id", F.col("rank").alias("before")).join(chunks.select("id", "text"), "id").join(questions.select("qid", "query"), "qid")
+def pair_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:
+    """Rows (qid, id, rerank_score) of pairs (qid, id): a table of scores, so that a pair in many lists is scored once.
+
+    Scores must be finite, one for each row.
+    """
+    rows = pairs.select("qid", "id").join(chunks.select("id", "text"), "id").join(questions.select("qid", "query"), "qid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = scorer(batch.column("query").to_pylist(), batch.column("text").to_pylist())
             if len(scores) != batch.num_rows or not np.isfinite(scores).all():
                 raise ValueError("the reranker's scores are not one finite number for each row")
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), batch.column("before"), pa.array(scores, pa.float64())], ["qid", "id", "before", "rerank_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), pa.array(scores, pa.float64())], ["qid", "id", "rerank_score"])
+
+    kind = f"qid {pairs.schema['qid'].dataType.simpleString()}, id {pairs.schema['id'].dataType.simpleString()}, rerank_score double"
+    return rows.select("qid", "id", "query", "text").mapInArrow(run, kind)
+
+
+def reranked(ranked: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """The first n of each question by a table of scores, ties in their former order."""
+    rows = ranked.select("qid", "id", F.col("rank").alias("before")).join(scores, ["qid", "id"])
+    return top_k(rows, n, F.desc("rerank_score"), F.asc("before"))
+
+
+def rerank(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, n: int, scorer: Scorer = overlap_scorer) -> DataFrame:
+    """The first n of each question by the scorer, ties in their former order."""
+    return reranked(ranked, pair_scores(ranked, questions, chunks, scorer), n)
+
 
-    kind = f"qid {ranked.schema['qid'].dataType.simpleString()}, id {ranked.schema['id'].dataType.simpleString()}, before int, rerank_score double"
-    scored = rows.select("qid", "id", "before", "query", "text").mapInArrow(run, kind)
-    return top_k(scored, n, F.desc("rerank_score"), F.asc("before"))
+#: Filters that may be dropped where a question finds nothing.
+PERIOD_FILTERS = ("fiscal_year", "fiscal_period")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, filters: dict[str, object] | None = None, *, strategy: str = "vector_rerank", k: int = 20, n: int = 5, relax: bool = False, scorer: Scorer = overlap_scorer) -> DataFrame:
-    """One of four strategies. With ``relax``, if nothing is found the period filters are dropped and the search is repeated."""
+    """One of four strategies. With ``relax``, each question that finds nothing is searched again without the period filters."""
     search = {"vector": vector_search, "vector_rerank": vector_search, "hybrid": hybrid_search, "hybrid_rerank": hybrid_search}.get(strategy)
     if search is None:
         raise ValueError(f"no strategy {strategy!r}")
+    checked_k(k)
     found = search(questions, chunks, k, filters)
-    loose = {f: v for f, v in (filters or {}).items() if f not in ("fiscal_year", "fiscal_period")}
-    if relax and loose != (filters or {}) and found.isEmpty():
-        found = search(questions, chunks, k, loose)
+    loose = {f: v for f, v in (filters or {}).items() if f not in PERIOD_FILTERS}
+    if relax and loose != (filters or {}):
+        empty = questions.join(found.select("qid").distinct(), "qid", "left_anti")
+        if not empty.isEmpty():
+            found = found.unionByName(search(empty, chunks, k, loose))
     if strategy.endswith("rerank"):
         return rerank(found, questions, chunks, n, scorer)
     return found.where(F.col("rank") <= n)

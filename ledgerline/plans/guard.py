@@ -10,8 +10,11 @@ import threading
 import uuid
 
 from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import READ_ONLY, read_only_session
+
 MAX_ROWS = 100
 RESULT = frozenset(("metric", "fiscal_year", "fiscal_period", "value", "unit"))
 # fixed values: tables and columns that user SQL may read
@@ -35,6 +38,10 @@ SYNTAX = frozenset(
 )
 
 
+# the schema's name, in quotes of identifiers or not, goes from the text; texts and other identifiers in quotes, and comments, are kept
+_UNQUALIFIED = re.compile(r"(?P<kept>'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/)|(?:\bpublic\b|`public`)\s*\.\s*", re.IGNORECASE | re.DOTALL)
+
+
 class SqlRejected(ValueError):
     """The text is not an allowed query."""
 
@@ -84,6 +91,8 @@ class _Walk:
         for child in _seq(node.children().toIndexedSeq()):
             self.plan(child)
 
+    known: frozenset[str] = frozenset(TABLES)
+
     def relation(self, parts: list[str]) -> None:
         names = [p.lower() for p in parts]
         if len(names) == 2 and names[0] == "public":
@@ -92,7 +101,7 @@ class _Walk:
             raise SqlRejected(f"{'.'.join(parts)} is not a table")
         if names[0] in self.ctes[-1]:
             return
-        if names[0] not in TABLES:
+        if names[0] not in self.known:
             raise SqlRejected(f"table {names[0]} is not allowed")
         self.tables.add(names[0])
 
@@ -117,22 +126,76 @@ class _Walk:
             self.expression(child)
 
 
-def _selects(node: JavaObject) -> list[JavaObject]:
-    """The SELECT lists whose ``value`` must come from a column."""
-    kind = str(node.nodeName())
-    out = []
-    if kind in ("Project", "Aggregate"):
-        out.append(node)
-    if kind == "UnresolvedWith":
-        out += [s for pair in _seq(node.cteRelations().toIndexedSeq()) for s in _selects(pair._2())]
-        return out + _selects(node.child())
-    for child in _seq(node.children().toIndexedSeq()):
-        out += _selects(child)
-    return out
+class _Reads(_Walk):
+    """Any query, if it reads known tables only."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__()
+        self.known = known
+
+    def plan(self, node: JavaObject) -> None:
+        kind = str(node.nodeName())
+        if kind in ("UnresolvedRelation", "UnresolvedWith"):
+            super().plan(node)
+            return
+        children = _seq(node.children().toIndexedSeq())
+        if kind in WRITES or "Command" in kind or not (children or kind == "OneRowRelation"):
+            raise SqlRejected(f"{kind} is not allowed")
+        for e in _expressions(node):
+            self.expression(e)
+        for child in children:
+            self.plan(child)
+
+    def expression(self, e: JavaObject) -> None:
+        if _kind(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            self.plan(e.plan())
+        if _kind(e) == "InSubquery":
+            self.plan(e.query().plan())
+        if _kind(e) == "UnresolvedFunction" and _parts(e.nameParts())[-1].lower() in REACHING:
+            raise SqlRejected("functions that reach out of the query are not allowed")
+        for child in _seq(e.children().toIndexedSeq()):
+            self.expression(child)
+
+
+# nodes with children that change something
+WRITES = frozenset("InsertIntoStatement InsertIntoDir CreateTableAsSelect ReplaceTableAsSelect MergeIntoTable UpdateTable DeleteFromTable CreateView CacheTable CacheTableAsSelect CreateNamespace DropTable".split())
+# functions that read files or run code by name
+REACHING = frozenset(("reflect", "java_method", "try_reflect", "read_files"))
+
+
+class ReadOnly:
+    """Queries over named tables and nothing else: no commands, writes, paths, other tables or table functions reach the session."""
 
+    def __init__(self, spark: SparkSession, root: str, names: tuple[str, ...] = READ_ONLY):
+        self._own, self.names = read_only_session(spark, root, names), frozenset(names)
 
-def _reads_column(e: JavaObject) -> bool:
-    return _kind(e) == "UnresolvedAttribute" or any(_reads_column(c) for c in _seq(e.children().toIndexedSeq()))
+    def sql(self, text: str) -> DataFrame:
+        try:
+            plan = self._own._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        except Exception as e:  # noqa: BLE001
+            raise PermissionError(f"not a query: {str(e).splitlines()[0][:200]}") from None
+        try:
+            _Reads(self.names).plan(plan)
+        except SqlRejected as e:
+            raise PermissionError(str(e)) from None
+        return self._own.sql(text)
+
+
+def _from_column(plan: JavaObject, column: JavaObject) -> bool:
+    """Whether a column of an analysed plan is made of a table's columns, in every branch of a union and through every rename."""
+    kind, wanted = str(plan.nodeName()), column.exprId().toString()
+    children = _seq(plan.children().toIndexedSeq())
+    if kind == "View" or not children:
+        return kind != "OneRowRelation"
+    if kind in ("Union", "Intersect", "Except"):
+        place = [c.exprId().toString() for c in _seq(plan.output().toIndexedSeq())].index(wanted)
+        return all(_from_column(c, c.output().apply(place)) for c in children)
+    made = {"Project": "projectList", "Aggregate": "aggregateExpressions", "Window": "windowExpressions"}.get(kind)
+    for e in _seq(getattr(plan, made)().toIndexedSeq()) if made else []:
+        if e.exprId().toString() == wanted and _kind(e) == "Alias":
+            read = _seq(e.child().references().toIndexedSeq())
+            return any(_from_column(c, r) for r in read for c in children if c.outputSet().contains(r))
+    return any(_from_column(c, column) for c in children if c.outputSet().contains(column))
 
 
 def validated_plan(spark: SparkSession, text: str) -> tuple[JavaObject, set[str]]:
@@ -150,11 +213,6 @@ def validated_plan(spark: SparkSession, text: str) -> tuple[JavaObject, set[str]
         raise SqlRejected("the query is not a SELECT")
     if not walk.tables:
         raise SqlRejected("the query reads no table")
-    for select in _selects(plan):
-        listed = select.projectList() if str(select.nodeName()) == "Project" else select.aggregateExpressions()
-        for item in _seq(listed.toIndexedSeq()):
-            if _kind(item) == "Alias" and str(item.name()).lower() == "value" and not _reads_column(item):
-                raise SqlRejected("value does not come from a column")
     return plan, walk.tables
 
 
@@ -180,10 +238,16 @@ def guarded(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> Dat
         visible = tables[name].select(*[c for c in TABLES[name] if c in tables[name].columns])
         rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, visible._jdf.queryExecution().analyzed())
         rows.createOrReplaceTempView(name)
-    # the schema's name goes from the text, but not from within quotes
-    out = own.sql(re.sub(r"('(?:[^'\\]|\\.|'')*')|(?i:\bpublic\.)", lambda m: m[1] or "", text))
+    try:
+        out = own.sql(_UNQUALIFIED.sub(lambda m: m["kept"] or "", text))
+    except AnalysisException as e:
+        raise SqlRejected(f"the query does not fit the tables: {str(e).splitlines()[0][:200]}") from None
     if {c.lower() for c in out.columns} != RESULT or len(out.columns) != len(RESULT):
         raise SqlRejected(f"the result's columns are not {sorted(RESULT)}")
+    analysed = out._jdf.queryExecution().analyzed()
+    value = next(c for c in _seq(analysed.output().toIndexedSeq()) if str(c.name()).lower() == "value")
+    if not _from_column(analysed, value):
+        raise SqlRejected("value does not come from a column")
     return out.limit(min(wanted or MAX_ROWS, MAX_ROWS))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions import text as X
 from ..operators import chunking, evaluation, facts, lines, operations, repair, retrieval
+from ..session import shared_folder
 from ..streaming import jobs
 from . import guard
 from .domain import view, with_views
@@ -38,8 +41,15 @@ YOY = A3 + """, yoy AS (SELECT b.ticker, b.metric, b.unit, b.fiscal_year AS from
 FACTS = ["cik", "metric", "fiscal_year", "fiscal_period", "taxonomy_tag", "accession_no", "value"]
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table in the shared folder, as a load finds them: computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.latest_restatement(facts.primary_context(view(spark, sf_dir, "candidates")))
+    return facts.latest_facts(view(spark, sf_dir, "candidates"))
 
 
 @registered(f"{A2} SELECT {', '.join(FACTS)} FROM primary_context", "candidates")
@@ -63,17 +73,27 @@ def fact_yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     "candidates",
 )
 def fact_incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = latest(spark, sf_dir)
+    every = _stored(latest(spark, sf_dir), "facts")
     stored = every.where("filing_date < DATE '1998-01-01'")
     cursor = stored.groupBy("cik").agg(F.max("filing_date").alias("last_filing_date"))
     return facts.load_facts(stored, every, cursor).select(*FACTS)
 
 
-@registered(f"{A3} SELECT cik, CAST(max(filing_date) AS STRING) AS last_filing_date, max_by(accession_no, (filing_date, accession_no)) AS last_accession FROM latest GROUP BY cik", "candidates")
+@registered(
+    "loaded AS (SELECT cik, max(filing_date) AS d, max_by(accession_no, (filing_date, accession_no)) AS a FROM filings WHERE filing_date < DATE '1996-01-01' GROUP BY cik), "
+    "old AS (SELECT cik, CASE WHEN cik % 3 = 0 THEN DATE '1997-06-30' WHEN cik % 3 = 1 THEN DATE '1992-01-01' END AS d, CASE WHEN cik % 3 = 0 THEN 'held' END AS a FROM companies WHERE cik % 3 < 2), "
+    "b AS (SELECT coalesce(o.cik, l.cik) AS cik, o.d AS od, coalesce(o.a, '') AS oa, l.d AS ld, l.a AS la FROM old o FULL JOIN loaded l ON o.cik = l.cik), "
+    "w AS (SELECT *, ld IS NULL OR (od IS NOT NULL AND (od > ld OR (od = ld AND oa >= la))) AS kept FROM b) "
+    "SELECT cik, CAST(CASE WHEN kept THEN od ELSE ld END AS STRING) AS last_filing_date, CASE WHEN kept THEN oa ELSE la END AS last_accession FROM w",
+    "filings", "companies",
+)
 def ingestion_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = latest(spark, sf_dir)
-    start = every.where("filing_date < DATE '1997-01-01'").groupBy("cik").agg(F.max(F.struct("filing_date", "accession_no")).alias("m")).select("cik", F.col("m.filing_date").alias("last_filing_date"), F.col("m.accession_no").alias("last_accession"))
-    return facts.advance_cursor(start, every).withColumn("last_filing_date", F.col("last_filing_date").cast("string"))
+    """Of a third of the companies the cursor is later than what is loaded and must win, of a third earlier, of a third there is none."""
+    which = F.col("cik") % 3
+    day = F.when(which == 0, F.lit("1997-06-30")).otherwise(F.lit("1992-01-01")).cast("date")
+    start = view(spark, sf_dir, "companies").where(which < 2).select("cik", day.alias("last_filing_date"), F.when(which == 0, F.lit("held")).alias("last_accession"))
+    loaded = view(spark, sf_dir, "filings").where("filing_date < DATE '1996-01-01'")
+    return facts.advance_cursor(start, loaded).withColumn("last_filing_date", F.col("last_filing_date").cast("string"))
 
 
 @registered(
@@ -139,12 +159,11 @@ def text_or_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"{TEXT}, counts AS (SELECT q.qid, coalesce(m.n, 0) AS matches FROM questions q LEFT JOIN (SELECT qid, count(DISTINCT id) AS n FROM text_scored GROUP BY qid) m ON q.qid = m.qid) SELECT avg(matches) AS mean, min(matches) AS least, max(matches) AS most, count(*) FILTER (WHERE matches = 0) AS without_match FROM counts",
+    f"{TEXT}, counts AS (SELECT q.qid, coalesce(m.n, 0) AS matches FROM questions q LEFT JOIN (SELECT qid, count(DISTINCT id) AS n FROM text_scored GROUP BY qid) m ON q.qid = m.qid) SELECT round(avg(matches), 3) AS mean, min(matches) AS least, max(matches) AS most, count(*) FILTER (WHERE matches = 0) AS without_match FROM counts",
     "chunks", "questions",
 )
 def text_match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = retrieval.text_match_counts(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"))
-    return evaluation.match_stats(counts).drop("mean").crossJoin(counts.agg(F.avg("matches").alias("mean")))
+    return evaluation.match_stats(retrieval.text_match_counts(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks")))
 
 
 VECTOR = """vecs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), asked AS (SELECT id AS qid, e AS q FROM vecs WHERE id % 100 = 0),
@@ -162,16 +181,16 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_search(questions, rows, 10).select("qid", "id", "rank")
 
 
-def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both lists of 30 for questions of ids divisible by 100; texts stand in for the vectors' chunks."""
+def _legs(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Both lists of a hybrid search for questions of ids divisible by 100, over all texts and all vectors; texts stand in for the vectors' chunks."""
     questions, rows = _vectors(spark, sf_dir)
     chunks = view(spark, sf_dir, "chunks")
     asked = chunks.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.text_search(asked, chunks, 30), retrieval.vector_search(questions, rows, 30)
+    return retrieval.text_search(asked, chunks, k * retrieval.WIDEN), retrieval.vector_search(questions, rows, k * retrieval.WIDEN)
 
 
-FUSED = """wanted AS (SELECT DISTINCT qid, term FROM (SELECT id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE id % 100 = 0 AND id < 2000) w WHERE term NOT IN (STOP)),
-held AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE id < 2000) h GROUP BY ALL),
+FUSED = """wanted AS (SELECT DISTINCT qid, term FROM (SELECT id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE id % 100 = 0) w WHERE term NOT IN (STOP)),
+held AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks) h GROUP BY ALL),
 text_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT qid, id, sum(tf) AS s FROM held JOIN wanted USING (term) GROUP BY ALL) x),
 VECTOR,
 t AS (SELECT * FROM text_ranked WHERE rank <= CAP), v AS (SELECT * FROM vector_ranked WHERE rank <= 30),
@@ -182,12 +201,12 @@ FUSED = FUSED.replace("STOP", STOP).replace("VECTOR", VECTOR)
 
 @registered(FUSED.replace("CAP", "30"), "chunks")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(*_legs(spark, sf_dir), 10).select("qid", "id", "best_rank", "rank")
+    return retrieval.fuse(*_legs(spark, sf_dir, 10), 10).select("qid", "id", "best_rank", "rank")
 
 
 @registered(FUSED.replace("CAP", "10"), "chunks")
 def capped_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(*_legs(spark, sf_dir), 10, text_cap=10).select("qid", "id", "best_rank", "rank")
+    return retrieval.fuse(*_legs(spark, sf_dir, 10), 10, text_cap=10).select("qid", "id", "best_rank", "rank")
 
 
 def _metrics(approach: str, ranked: str) -> str:
@@ -213,8 +232,8 @@ def best_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_approach(scored, ["10-K", "10-Q"]).select("approach", "hit_rate")
 
 
-OUTCOMES = """cases AS (SELECT accession_no AS case_id, form_type = '10-Q' AND cik % 4 = 0 AS expect_refusal, CAST(cik % 7 AS STRING) AS required FROM filings WHERE cik % 3 = 0),
-outcomes AS (SELECT accession_no AS case_id, CASE WHEN day(filing_date) % 9 = 0 THEN NULL WHEN day(filing_date) % 5 = 0 THEN '' WHEN day(filing_date) % 6 = 0 THEN 'wrong' ELSE CAST(cik % 7 AS STRING) END AS returned, month(filing_date) % 2 = 0 AS grounded FROM filings WHERE cik % 3 = 0 AND day(filing_date) <> 28)"""
+OUTCOMES = """cases AS (SELECT accession_no AS case_id, form_type = '10-Q' AND cik % 4 = 0 AS expect_refusal, CAST(cik % 7 AS STRING) AS required FROM filings),
+outcomes AS (SELECT accession_no AS case_id, CASE WHEN day(filing_date) % 9 = 0 THEN NULL WHEN day(filing_date) % 5 = 0 THEN '' WHEN day(filing_date) % 6 = 0 THEN 'wrong' ELSE CAST(cik % 7 AS STRING) END AS returned, month(filing_date) % 2 = 0 AS grounded FROM filings WHERE day(filing_date) <> 28)"""
 
 
 @registered(
@@ -229,7 +248,7 @@ SELECT count(*) AS question_count, count(*) FILTER (WHERE NOT expect_refusal) AS
     "filings",
 )
 def numeric_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = view(spark, sf_dir, "filings").where("cik % 3 = 0")
+    f = view(spark, sf_dir, "filings")
     required = F.array((F.col("cik") % 7).cast("string"))
     cases = f.select(F.col("accession_no").alias("case_id"), ((F.col("form_type") == "10-Q") & (F.col("cik") % 4 == 0)).alias("expect_refusal"), required.alias("required"), required.alias("allowed"))
     day = F.day("filing_date")
@@ -250,12 +269,12 @@ def grounding_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "cites AS (SELECT id AS cid, source_url AS u, CASE WHEN id % 2 = 0 THEN section END AS s, CASE WHEN id % 3 = 0 THEN 'ACC-none' END AS a FROM chunks WHERE id % 10 = 0) SELECT cid, source_url, section, accession_no, id IS NOT NULL AS valid FROM (SELECT c.cid, k.source_url, k.section, k.accession_no, k.id, row_number() OVER (PARTITION BY cid ORDER BY k.id ASC NULLS LAST) AS rn FROM cites c LEFT JOIN chunks k ON c.u = k.source_url AND (c.s IS NULL OR c.s = k.section) AND (c.a IS NULL OR c.a = k.accession_no)) x WHERE rn = 1",
+    "cites AS (SELECT id AS cid, source_url AS u, CASE WHEN id % 2 = 0 THEN section END AS s, CASE WHEN id % 3 = 0 THEN 'ACC-none' END AS a FROM chunks) SELECT cid, source_url, section, accession_no, id IS NOT NULL AS valid FROM (SELECT c.cid, k.source_url, k.section, k.accession_no, k.id, row_number() OVER (PARTITION BY cid ORDER BY k.id ASC NULLS LAST) AS rn FROM cites c LEFT JOIN chunks k ON c.u = k.source_url AND (c.s IS NULL OR c.s = k.section) AND (c.a IS NULL OR c.a = k.accession_no)) x WHERE rn = 1",
     "chunks",
 )
 def citation_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = view(spark, sf_dir, "chunks")
-    cites = chunks.where("id % 10 = 0").select(F.col("id").alias("cid"), "source_url", F.expr("CASE WHEN id % 2 = 0 THEN section END").alias("section"), F.expr("CASE WHEN id % 3 = 0 THEN 'ACC-none' END").alias("accession_no"))
+    cites = chunks.select(F.col("id").alias("cid"), "source_url", F.expr("CASE WHEN id % 2 = 0 THEN section END").alias("section"), F.expr("CASE WHEN id % 3 = 0 THEN 'ACC-none' END").alias("accession_no"))
     return evaluation.resolved_citations(cites, chunks)
 
 
@@ -278,19 +297,25 @@ def comparison_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 W = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[-''][a-z0-9]+)?')"
+QSTOP = ", ".join(f"'{w}'" for w in (*V.QUESTION_STOP_WORDS, *V.GENERIC_WORDS))
 
 
 @registered(
-    f"pairs AS (SELECT q.qid, q.query || ' T1?' AS question, c.text AS source FROM questions q JOIN chunks c ON c.id = q.qid % 200), w AS (SELECT qid, question, {W.format('question')} AS asked, {W.format('source')} AS src FROM pairs), "
-    f"g AS (SELECT *, len(asked) AS n, list_distinct(list_filter(asked, lambda x: NOT x IN ('t1', {STOP}) AND length(x) > 2)) AS content FROM w), "
+    f"n AS (SELECT count(*) AS n FROM questions), numbered AS (SELECT qid, query, row_number() OVER (ORDER BY qid) - 1 AS at FROM questions), "
+    f"pairs AS (SELECT c.id, q.query || ' T1?' AS question, c.text AS source FROM chunks c JOIN numbered q ON q.at = c.id % (SELECT n FROM n)), w AS (SELECT id, {W.format('question')} AS asked, {W.format('source')} AS src FROM pairs), "
+    f"g AS (SELECT *, len(asked) AS n, list_distinct(list_filter(asked, lambda x: NOT x IN ('t1', {QSTOP}) AND length(x) > 2)) AS content FROM w), "
     "h AS (SELECT *, len(list_intersect(content, src)) / greatest(len(content), 1) AS ov, list_transform(generate_series(1, n - 4), lambda i: array_to_string(asked[i:i+4], ' ')) AS ag, list_transform(generate_series(1, len(src) - 4), lambda i: array_to_string(src[i:i+4], ' ')) AS sg FROM g) "
-    "SELECT qid, CASE WHEN n < 8 OR n > 50 THEN 'invalid_length' WHEN len(content) < 4 THEN 'too_generic' WHEN len(list_intersect(ag, sg)) > 0 THEN 'copied_phrase' WHEN ov > 0.75 THEN 'excessive_lexical_overlap' ELSE 'accepted' END AS reason FROM h",
+    "SELECT id, CASE WHEN n < 8 OR n > 50 THEN 'invalid_length' WHEN len(content) < 4 THEN 'too_generic' WHEN len(list_intersect(ag, sg)) > 0 THEN 'copied_phrase' WHEN ov > 0.75 THEN 'excessive_lexical_overlap' ELSE 'accepted' END AS reason FROM h",
     "questions", "chunks",
 )
 def question_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks")
-    pairs = q.join(c, c["id"] == q["qid"] % 200).select("qid", F.concat("query", F.lit(" T1?")).alias("question"), F.lit(True).alias("specific"), F.col("text").alias("source"), F.lit("T1").alias("issuer"))
-    return evaluation.question_quality(pairs, X.STOP_WORDS).select("qid", "reason")
+    """Every chunk with one of the questions, which take turns."""
+    q = view(spark, sf_dir, "questions")
+    # the questions are a stated set, small enough to be numbered by one task
+    numbered = q.withColumn("at", F.row_number().over(Window.orderBy("qid")) - 1)
+    pairs = view(spark, sf_dir, "chunks").join(numbered, F.col("at") == F.col("id") % F.lit(max(1, q.count())))
+    rows = pairs.select("id", F.concat("query", F.lit(" T1?")).alias("question"), F.lit(True).alias("specific"), F.col("text").alias("source"), F.lit("T1").alias("issuer"))
+    return evaluation.question_quality(rows, V.QUESTION_STOP_WORDS, V.GENERIC_WORDS).select("id", "reason")
 
 
 @registered("SELECT date_trunc('day', created_at) AS time, CAST(count(*) AS DOUBLE) AS requests FROM query_logs GROUP BY 1", "query_logs")
@@ -334,37 +359,45 @@ def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.call_cost(calls, prices).groupBy("event_type").agg(F.sum("cost").cast("double").alias("cost"))
 
 
-LINES = "lines AS (SELECT doc_id AS doc, i - 1 AS n, trim(regexp_replace(string_split(text, chr(10))[i], '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) t)"
+LINES = "lines AS (SELECT doc_id AS doc, CAST(i - 1 AS INT) AS n, trim(regexp_replace(string_split(text, chr(10))[i], '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) t)"
 
 
-@registered(f"WITH {LINES}, kept AS (SELECT * FROM lines WHERE line <> ''), p AS (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY n) AS b FROM kept) SELECT doc, count(*) AS n_lines FROM p WHERE b IS DISTINCT FROM line GROUP BY doc")
+@registered(f"WITH {LINES}, kept AS (SELECT * FROM lines WHERE line <> ''), p AS (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY n) AS b FROM kept) SELECT doc, n, line FROM p WHERE b IS DISTINCT FROM line")
 def line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return lines.without_repeats(lines.lines_of(docs, "doc_id", "text")).groupBy("doc").agg(F.count("*").alias("n_lines"))
+    return lines.without_repeats(lines.lines_of(docs, "doc_id", "text")).select("doc", "n", "line")
 
 
-@registered(f"WITH {LINES}, kept AS (SELECT *, CASE WHEN length(line) <= 80 THEN lower(line) END AS s FROM lines WHERE line <> ''), rep AS (SELECT doc, s FROM kept WHERE s IS NOT NULL GROUP BY doc, s HAVING count(*) >= 3) SELECT k.doc, count(*) AS n_lines FROM kept k WHERE NOT EXISTS (SELECT 1 FROM rep r WHERE r.doc = k.doc AND r.s = k.s) GROUP BY k.doc")
+@registered(
+    r"""WITH lines AS (SELECT doc, CAST(i - 1 AS INT) AS n, trim(regexp_replace(parts[i], '\s+', ' ', 'g')) AS line FROM (SELECT doc, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id AS doc, string_split(replace(text, chr(10), concat(chr(10), 'Form 10-K | ', source, ' | Page 7 of 9', chr(10))), chr(10)) AS parts FROM documents) d) t),
+    kept AS (SELECT *, lower(line) AS low FROM lines WHERE line <> ''),
+    signed AS (SELECT doc, n, line, CASE WHEN length(low) <= 180 AND (regexp_matches(low, '(\|\s*|\bpage\s+)\d+(?:\s+of\s+\d+)?\s*$') OR ((contains(low, 'form 10-k') OR contains(low, 'form 10-q')) AND contains(low, '|'))) THEN regexp_replace(low, '(\|\s*|\bpage\s+)\d+(?:\s+of\s+\d+)?\s*$', '\1#', 'g') END AS s FROM kept),
+    rep AS (SELECT doc, s FROM signed WHERE s IS NOT NULL GROUP BY doc, s HAVING count(*) >= 3)
+    SELECT k.doc, k.n, k.line FROM signed k WHERE NOT EXISTS (SELECT 1 FROM rep r WHERE r.doc = k.doc AND r.s = k.s)""".replace("\\\\", "\\")
+)
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents printed with a footer after every line: it goes where it stands three times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    signature = F.when(F.length("line") <= 80, F.lower("line"))
-    return lines.without_boilerplate(lines.lines_of(docs, "doc_id", "text"), 3, signature).groupBy("doc").agg(F.count("*").alias("n_lines"))
+    footed = docs.select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit("\nForm 10-K | "), "source", F.lit(" | Page 7 of 9\n"))).alias("text"))
+    return lines.without_boilerplate(lines.lines_of(footed, "doc_id", "text"), 3).select("doc", "n", "line")
 
 
-HEADED = "concat('PART I', chr(10), 'Item 1. Statements', chr(10), text, chr(10), 'Item 2. Discussion', chr(10), substr(text, 1, 50))"
+HEADED = "concat('PART I', chr(10), 'Item 1. Statements', chr(10), coalesce(text, ''), chr(10), 'Item 2. Discussion', chr(10), coalesce(text, ''))"
 
 
 @registered(
-    f"WITH src AS (SELECT doc_id, text FROM documents WHERE text NOT ILIKE '%item %' AND text NOT ILIKE '%part %'), c AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS body, list_filter(list_transform(string_split(substr(text, 1, 50), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS tail FROM src) "
-    "SELECT doc, 'Notes' AS section, length('Statements' || CASE WHEN len(body) > 0 THEN chr(10) ELSE '' END || array_to_string(body, chr(10))) AS n FROM c UNION ALL SELECT doc, 'MD&A', length('Discussion' || CASE WHEN len(tail) > 0 THEN chr(10) ELSE '' END || array_to_string(tail, chr(10))) FROM c"
+    "WITH c AS (SELECT doc_id AS doc, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS body FROM documents) "
+    "SELECT doc, h.section, sha256(h.title || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END) AS text_sha256 FROM c, (VALUES ('Notes', 'Statements'), ('MD&A', 'Discussion')) h(section, title)"
 )
 def section_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("NOT text ILIKE '%item %' AND NOT text ILIKE '%part %'").select("doc_id", F.expr(HEADED.replace("chr(10)", "'\\n'")).alias("text"))
+    """Every document between two headings, whole. The SQL holds for texts whose own lines are no headings, as all of the test tables'."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(HEADED.replace("chr(10)", "'\\n'")).alias("text"))
     forms = docs.select(F.col("doc_id").alias("doc"), F.lit("10-Q").alias("form_type"))
-    return lines.sections(lines.lines_of(docs, "doc_id", "text"), forms).select("doc", "section", F.length("text").cast("long").alias("n"))
+    return lines.sections(lines.lines_of(docs, "doc_id", "text"), forms).select("doc", "section", F.sha2("text", 256).alias("text_sha256"))
 
 
 @registered(
-    "l AS (SELECT accession_no, concat_ws('|', accession_no, section, CAST(chunk_index AS STRING), ticker, sha256(text)) AS line FROM chunks), f AS (SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY accession_no), s AS (SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM f GROUP BY substr(d, 1, 3)) SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS fingerprint FROM s",
+    "l AS (SELECT *, concat_ws('|', accession_no, section, CAST(chunk_index AS STRING), ticker, sha256(text)) || chr(10) AS line FROM chunks) SELECT sha256(string_agg(line, '' ORDER BY ticker, section, accession_no, chunk_index, id)) AS fingerprint FROM l",
     "chunks",
 )
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +413,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return chunking.embed(chunking.chunk_sections(docs, ["doc_id"]), 64).select("doc_id", "chunk_index", F.size("embedding").alias("dimensions"))
+    return chunking.embed(chunking.chunk_sections(docs, ["doc_id"]), 64).select("doc_id", "chunk_index", "embedding")
 
 
 @registered()
@@ -402,7 +435,12 @@ def streaming_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.windowed_volume(spark, f"{sf_dir}/events.parquet")
 
 
-@registered()
+RERANKED = """, top AS (SELECT qid, id, rank AS before FROM text_ranked WHERE rank <= 20),
+scored AS (SELECT t.*, len(list_intersect(q.w, list_distinct(regexp_extract_all(lower(c.text), 'SPACES')))) / greatest(len(q.w), 1) AS s FROM top t JOIN (SELECT qid, list_distinct(regexp_extract_all(lower(query), 'SPACES')) AS w FROM questions) q ON q.qid = t.qid JOIN chunks c ON c.id = t.id)
+SELECT qid, id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, before) AS rank FROM scored) x WHERE rank <= 5""".replace("SPACES", r"[^\s]+")
+
+
+@registered(TEXT + RERANKED, "chunks", "questions")
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, chunks = view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks")
     return retrieval.rerank(retrieval.text_search(questions, chunks, 20), questions, chunks, 5).select("qid", "id", "rank")

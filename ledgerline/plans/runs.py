@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, size_bucket
+from .. import vocabulary as V
+from ..functions.text import size_bucket
 from ..operators import chunking, evaluation, facts, repair, retrieval
+from ..session import shared_folder
 from ..sources import filings, tables
 
 #: compared in this order; ties go to the earlier. The production strategy is a parameter of the comparison.
@@ -39,8 +45,8 @@ def ground_truth(chunks: DataFrame, n: int, generate: Generator = template_quest
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([q for q, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_())], [*batch.schema.names, "question", "specific"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    asked = picked.mapInArrow(ask, f"{kind}, question string, specific boolean").withColumn("source", F.col("text")).withColumn("issuer", F.concat_ws(" ", "ticker", "name"))
-    judged = evaluation.question_quality(asked, STOP_WORDS)
+    asked = picked.mapInArrow(ask, f"{kind}, question string, specific boolean").withColumn("source", F.col("text")).withColumn("issuer", evaluation.issuer_text("ticker", "name"))
+    judged = evaluation.question_quality(asked, V.QUESTION_STOP_WORDS, V.GENERIC_WORDS)
     twin = F.row_number().over(facts.Window.partitionBy(F.lower(F.trim("question")), "reason").orderBy("id"))
     judged = judged.withColumn("reason", F.when((F.col("reason") == "accepted") & (twin > 1), "duplicate").otherwise(F.col("reason")))
     good = evaluation.stratified_sample(judged.where("reason = 'accepted'"), strata, ["accession_no", "section", "chunk_index"], n, seed + 1)
@@ -64,16 +70,28 @@ def compare_retrieval(questions: DataFrame, chunks: DataFrame, pairs: DataFrame,
     if expected_fingerprint is not None and evaluation.corpus_fingerprint(chunks).first()[0] != expected_fingerprint:
         raise ValueError("the corpus is not the one of the ground truth")
     k = max(cutoffs)
-    hybrid = retrieval.hybrid_search(questions, chunks, 2 * k)
-    vector = retrieval.vector_search(questions, chunks, 2 * k)
-    lists = {
-        "text_search": retrieval.text_search(questions, chunks, k), "vector_search": vector.where(F.col("rank") <= k), "hybrid_rrf": hybrid.where(F.col("rank") <= k),
-        "hybrid_rrf_rerank": retrieval.rerank(hybrid, questions, chunks, k, scorer), "vector_rerank": retrieval.rerank(vector, questions, chunks, k, scorer),
-    }
+    # both legs are searched once, at the widest they are asked for; every list is a part or a fusion of them
+    widest = 2 * k * retrieval.WIDEN
+    folder = f"{shared_folder(chunks.sparkSession)}/legs-{uuid.uuid4().hex}"
+    legs = {}
+    for name, search in (("text", retrieval.text_search), ("vector", retrieval.vector_search)):
+        found = search(questions, chunks, widest)
+        found.write.parquet(f"{folder}/{name}")
+        legs[name] = chunks.sparkSession.read.schema(found.schema).parquet(f"{folder}/{name}")
+    first = lambda ranked, n: ranked.where(F.col("rank") <= n)
+    hybrid = retrieval.fuse(legs["text"], legs["vector"], 2 * k)
+    lists = {"text_search": first(legs["text"], k), "vector_search": first(legs["vector"], k), "hybrid_rrf": first(hybrid, k)}
+    wanted = {"hybrid_rrf_rerank": hybrid, "vector_rerank": first(legs["vector"], 2 * k)}
     for cap in caps:
-        capped = retrieval.hybrid_search(questions, chunks, 2 * k, text_cap=cap)
-        lists[f"hybrid_rrf_cap{cap}"] = capped.where(F.col("rank") <= k)
-        lists[f"hybrid_rrf_cap{cap}_rerank"] = retrieval.rerank(capped, questions, chunks, k, scorer)
+        capped = retrieval.fuse(legs["text"], legs["vector"], 2 * k, text_cap=cap)
+        lists[f"hybrid_rrf_cap{cap}"] = first(capped, k)
+        wanted[f"hybrid_rrf_cap{cap}_rerank"] = capped
+    # a pair of question and chunk is scored once, whichever lists hold it
+    pairs_of = reduce(DataFrame.unionByName, [r.select("qid", "id") for r in wanted.values()]).distinct()
+    retrieval.pair_scores(pairs_of, questions, chunks, scorer).write.parquet(f"{folder}/scores")
+    scores = chunks.sparkSession.read.parquet(f"{folder}/scores")
+    for name, ranked in wanted.items():
+        lists[name] = retrieval.reranked(ranked, scores, k)
     rows = None
     for name, ranked in lists.items():
         part = evaluation.retrieval_metrics(pairs, ranked, cutoffs).withColumn("approach", F.lit(name))
@@ -106,7 +124,7 @@ def persist(metrics: DataFrame, config: dict, kind: str, path: str) -> DataFrame
 def ingest_facts(payloads: DataFrame, companies: DataFrame, stored: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts after the load, the cursor after it, summary by status). A bad record is rejected alone."""
     good, bad = facts.fact_candidates(payloads, companies)
-    fresh = facts.latest_restatement(facts.primary_context(good)).select(*stored.columns)
+    fresh = facts.latest_facts(good).select(*stored.columns)
     after = facts.load_facts(stored, fresh, cursor.select("cik", "last_filing_date"))
     counts = good.select(F.lit("OK").alias("status")).unionByName(bad.select(F.col("reject_reason").alias("status"))).groupBy("status").agg(F.count("*").alias("rows"))
     return after, facts.advance_cursor(cursor, after), counts
@@ -121,6 +139,36 @@ def ingest_documents(found: DataFrame, documents: DataFrame, known_facts: DataFr
     return rows, cleaned.where("note IS NOT NULL").select("accession_no", "section", "note")
 
 
-def discover(payloads: DataFrame, cursor: DataFrame) -> DataFrame:
-    """New filings of landed submissions (cik, json), oldest first."""
-    return filings.new_filings(filings.submission_filings(payloads), cursor)
+def discover(payloads: DataFrame, cursor: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """New filings of landed submissions (cik, json), oldest first; ``history`` (cik, name, json) are landed history files.
+
+    Those files are read that may hold filings from the cursor's day on; one that is listed, wanted and not landed is an error.
+    """
+    found = filings.submission_filings(payloads)
+    wanted = filings.history_files(payloads, cursor)
+    landed = wanted.join(history, ["cik", "name"], "left") if history is not None else wanted.withColumn("json", F.lit(None).cast("string"))
+    missing = F.raise_error(F.concat(F.lit("history file is not landed: "), "name")).cast("string")
+    older = landed.select("cik", "part", F.coalesce("json", missing).alias("json"))
+    return filings.new_filings(found.unionByName(filings.submission_filings(older)), cursor)
+
+
+@dataclass
+class Stage:
+    name: str
+    seconds: float
+    error: str | None = None
+
+
+def run_stages(stages: dict[str, Callable[[], None]], spans: list[Stage] | None = None) -> list[Stage]:
+    """Run every stage, also after one has failed, and time each; raises in the end if any failed. ``spans`` receives them as they end."""
+    done = [] if spans is None else spans
+    for name, stage in stages.items():
+        began, error = time.monotonic(), None
+        try:
+            stage()
+        except Exception as e:  # noqa: BLE001
+            error = f"{type(e).__name__}: {e}"[:500]
+        done.append(Stage(name, time.monotonic() - began, error))
+    if failed := [f"{s.name} ({s.error})" for s in done if s.error]:
+        raise RuntimeError("stages failed: " + "; ".join(failed))
+    return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,17 @@ def builder(app: str = "ledgerline") -> SparkSession.Builder:
     for key, value in settings.items():
         out = out.config(key, value)
     return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a local folder where it is unset and all runs on this machine, as in tests.
+
+    On a cluster without the setting this raises: tables in a local folder would be spread over machines.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

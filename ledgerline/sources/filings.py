@@ -51,19 +51,27 @@ def resolve_tickers(spark: SparkSession, wanted: list[str], index: DataFrame) ->
 
 
 def submission_filings(payloads: DataFrame) -> DataFrame:
-    """Filings of (cik, json): parallel arrays of equal length as rows, annual and quarterly forms only, amendments under their form, none without a document."""
-    doc = payloads.select("cik", F.from_json("json", SUBMISSIONS).alias("d")).select("cik", "d.filings.recent.*")
+    """Filings of (cik, json): parallel arrays of equal length as rows, annual and quarterly forms only, amendments under their form, none without a document.
+
+    A payload is a company's submissions, or one of its history files, which holds the arrays at its root. ``part`` and
+    ``place`` tell where a filing stood: a column ``part`` of the payloads (0 if there is none), and its place in the arrays.
+    """
+    part = F.col("part") if "part" in payloads.columns else F.lit(0)
+    root = F.from_json("json", f"struct<{PARALLEL.replace(' array', ':array')}>")
+    recent = F.from_json("json", SUBMISSIONS)["filings"]["recent"]
+    doc = payloads.select("cik", part.cast("int").alias("part"), F.coalesce(recent, root).alias("d")).select("cik", "part", "d.*")
     sizes = [F.size(n) for n in NAMES]
     equal = sizes[0] == sizes[1]
     for s in sizes[2:]:
         equal &= sizes[0] == s
     checked = doc.withColumn("accessionNumber", F.when(equal, F.col("accessionNumber")).otherwise(F.raise_error(F.lit("submission arrays differ in length")).cast("array<string>")))
-    rows = checked.select("cik", F.inline(F.arrays_zip(*NAMES)))
+    rows = checked.select("cik", "part", F.posexplode(F.arrays_zip(*NAMES)).alias("place", "f")).select("cik", "part", "place", "f.*")
     form = F.create_map(*[F.lit(x) for pair in V.FORMS.items() for x in pair])[F.col("form")]
     empty = F.lit("")
     return rows.where(F.col("form").isin(*V.FORMS) & (F.coalesce("primaryDocument", empty) != "")).select(
         "cik", F.col("accessionNumber").alias("accession_no"), form.alias("form_type"), F.try_to_date("filingDate").alias("filing_date"),
-        F.try_to_date(F.nullif("reportDate", empty)).alias("period_of_report"), F.col("primaryDocument").alias("primary_document"), document_url("cik", "accessionNumber", "primaryDocument").alias("primary_doc_url"),
+        F.try_to_date(F.nullif("reportDate", empty)).alias("period_of_report"), F.col("primaryDocument").alias("primary_document"),
+        document_url("cik", "accessionNumber", "primaryDocument").alias("primary_doc_url"), "part", "place",
     )
 
 
@@ -72,16 +80,18 @@ def document_url(cik: str, accession: str, document: str) -> Column:
 
 
 def history_files(payloads: DataFrame, cursor: DataFrame) -> DataFrame:
-    """History files (cik, name) that may hold filings from the cursor's day on; an unknown end is kept."""
-    files = payloads.select("cik", F.explode(F.from_json("json", SUBMISSIONS).getField("filings").getField("files")).alias("f")).select("cik", "f.*")
-    return files.join(cursor.select("cik", "last_filing_date"), "cik", "left").where(F.col("last_filing_date").isNull() | F.col("filingTo").isNull() | (F.try_to_date("filingTo") >= F.col("last_filing_date"))).select("cik", "name")
+    """History files (cik, part, name), parts counted from 1 in their order, that may hold filings from the cursor's day on; an unknown end is kept."""
+    listed = F.posexplode(F.from_json("json", SUBMISSIONS).getField("filings").getField("files")).alias("at", "f")
+    files = payloads.select("cik", listed).select("cik", (F.col("at") + 1).alias("part"), "f.*")
+    return files.join(cursor.select("cik", "last_filing_date"), "cik", "left").where(F.col("last_filing_date").isNull() | F.col("filingTo").isNull() | (F.try_to_date("filingTo") >= F.col("last_filing_date"))).select("cik", "part", "name")
 
 
 def new_filings(filings: DataFrame, cursor: DataFrame) -> DataFrame:
-    """Filings after the cursor by (date, accession), each accession once (the last met), oldest first."""
+    """Filings after the cursor by (date, accession), each accession once (the last met by part and place), oldest first."""
     c = cursor.select("cik", F.col("last_filing_date").alias("__d"), F.coalesce("last_accession", F.lit("")).alias("__a"))
     after = F.col("__d").isNull() | (F.struct("filing_date", "accession_no") > F.struct(F.col("__d").alias("filing_date"), F.col("__a").alias("accession_no")))
-    return filings.dropDuplicates(["accession_no"]).join(c, "cik", "left").where(after).drop("__d", "__a").orderBy("filing_date", "accession_no")
+    order = [F.desc(x) for x in ("part", "place") if x in filings.columns] or [F.desc("primary_doc_url")]
+    return first_by(filings, ["accession_no"], *order).join(c, "cik", "left").where(after).drop("__d", "__a").orderBy("filing_date", "accession_no")
 
 
 def discovery_status(forms: DataFrame) -> DataFrame:

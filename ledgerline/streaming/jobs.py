@@ -8,19 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.facts import STORED_KEY, latest_restatement, upsert
+from ..operators.facts import FACT_KEY, first_by
+from ..session import shared_folder
 from ..sources.tables import replace_partitions
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def windowed_counts(events: DataFrame, time_col: str, key: str, length: str = "1 day", late: str = "10 days") -> DataFrame:
     """Counts per tumbling window and key; a timestamp without zone is taken as UTC, since watermarks need one."""
     timed = events.withColumn("__t", F.col(time_col).cast("timestamp")).withWatermark("__t", late)
@@ -32,7 +24,7 @@ def windowed_volume(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    root = _folder(spark)
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out")
@@ -56,7 +48,8 @@ def ingest_facts(spark: SparkSession, incoming: str, schema: str, table: str, ch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = spark.createDataFrame([], batch.schema)
-        merged = latest_restatement(upsert(stored, batch, STORED_KEY, F.desc("accession_no")))
+        both = stored.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
+        merged = first_by(both, FACT_KEY, F.desc("filing_date"), F.desc("accession_no"), F.desc("__new")).drop("__new")
         # read before the partitions it comes from are replaced
         staged = f"{checkpoint}-staged-{number}"
         merged.write.mode("overwrite").parquet(staged)

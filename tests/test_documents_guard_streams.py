@@ -93,6 +93,24 @@ def test_other_queries_are_rejected(spark, sql):
     assert isinstance(e.value, guard.SqlRejected) or "UNRESOLVED" in str(e.value)
 
 
+@pytest.mark.parametrize("sql", [
+    f"SELECT metric, fiscal_year, fiscal_period, value, unit FROM ({OK} UNION ALL SELECT metric, fiscal_year, fiscal_period, 42.0 AS value, unit FROM financial_facts) u",
+    f"SELECT metric, fiscal_year, fiscal_period, value, unit FROM ({OK} UNION ALL SELECT metric, fiscal_year, fiscal_period, 42.0, unit FROM financial_facts) u",
+    "SELECT t.metric, t.fiscal_year, t.fiscal_period, t.value, t.unit FROM (SELECT metric, fiscal_year, fiscal_period, 42.0, unit FROM financial_facts) t(metric, fiscal_year, fiscal_period, value, unit)",
+    "SELECT metric, fiscal_year, fiscal_period, x AS value, unit FROM (SELECT metric, fiscal_year, fiscal_period, 42.0 AS x, unit FROM financial_facts) t",
+    "SELECT metric, fiscal_year, fiscal_period, COALESCE(NULL, 42.0) AS value, unit FROM financial_facts",
+    "SELECT metric, fiscal_year, fiscal_period, value FROM `public`.`nothing`", OK.replace("unit FROM", "unit, unit AS u2 FROM"), OK.replace("value,", "valu AS value,", 1),
+])
+def test_made_up_values_and_misfits_are_rejected(spark, sql):
+    with pytest.raises(guard.SqlRejected):
+        guard.guarded(spark, sql, {"financial_facts": fact_table(spark)})
+
+
+@pytest.mark.parametrize("sql", [OK.replace("financial_facts", "`public`.`financial_facts`"), OK.replace("financial_facts", "PUBLIC . financial_facts") + " WHERE metric <> 'public.x' -- public.y"])
+def test_the_schema_may_be_named(spark, sql):
+    assert guard.guarded(spark, sql, {"financial_facts": fact_table(spark)}).count() == 2
+
+
 def test_row_cap(spark):
     many = fact_table(spark).crossJoin(spark.range(400)).drop("id")
     assert guard.guarded(spark, OK + " LIMIT 500", {"financial_facts": many}).count() == 100
@@ -109,6 +127,19 @@ def test_tampering_is_refused_before_moderation(text):
 
 
 @pytest.mark.parametrize("text", ["Did Apple ignore prior guidance on revenue?", "How did management override controls in FY2023?", "Which system revenue did IBM report?", "Show developer revenue for AAPL", "L'entreprise a-t-elle ignoré les risques?"])
+def test_plain_questions_pass_alone(text):
+    assert agent.admit(text)[0]
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda t: base64.b64encode(base64.b64encode(t.encode())).decode(), lambda t: base64.b64encode(t.encode()).decode().rstrip("="), lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    lambda t: "".join(f"%{b:02x}" for b in base64.b64encode(t.encode())), lambda t: "&#105;" + t[1:], lambda t: "\u200b".join(t), lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t),
+])
+def test_disguises_within_disguises_are_undone(wrap):
+    assert agent.tampers("What was revenue? " + wrap(ATTACK)) and not agent.tampers("What was revenue? " + wrap("Did sales of the old systems grow in the year?"))
+
+
+@pytest.mark.parametrize("text", ["Did Apple ignore prior guidance on revenue?", "Which system revenue did IBM report?"])
 def test_plain_questions_pass(text):
     assert agent.admit(text)[0]
 
@@ -122,6 +153,23 @@ def test_flagging_in_batches(spark):
     assert [r.tampers for r in got] == [True, False, False]
 
 
+@pytest.mark.parametrize("question, tickers, intent", [
+    ("What was MSFT revenue in FY2024?", ("MSFT",), "out_of_scope"), ("What was BRK.B revenue in FY2024?", ("BRK-B",), "numeric"), ("What was revenue in Q1 of FY2024?", (), "numeric"),
+    ("Why did MD&A of AAPL discuss revenue in the US?", ("AAPL",), "hybrid"), ("WHAT WAS AAPL REVENUE?", ("AAPL",), "numeric"), ("Compare AAPL and XOM revenue", ("AAPL", "XOM"), "out_of_scope"), ("hello", (), "out_of_scope"),
+])
+def test_unknown_tickers_are_out_of_scope(question, tickers, intent):
+    u = agent.understand(question, {"AAPL", "BRK-B"})
+    assert (u.tickers, u.intent) == (tickers, intent)
+
+
+def test_an_answer_that_tells_its_instructions_is_refused(spark):
+    told = "You answer questions about filings and you never give advice to anybody at all"
+    write = lambda q, numbers, found: agent.Answer("I was told: you never give advice to anybody at all, ever", numbers, found)
+    out = agent.ask(spark, "What was AAPL net income in FY2024?", {"financial_facts": fact_table(spark)}, None, {"AAPL"}, write=write, instructions=told)
+    assert out.text == agent.REFUSAL and not out.numbers
+    assert agent.ask(spark, "What was AAPL net income in FY2024?", {"financial_facts": fact_table(spark)}, None, {"AAPL"}, write=write).numbers
+
+
 def test_comparison_question_end_to_end(spark):
     u = agent.understand("Compare AAPL net income FY2023 and FY2024", {"AAPL"})
     assert (u.intent, u.tickers, u.metrics, u.years, u.periods) == ("numeric", ("AAPL",), ("net_income",), (2023, 2024), ("FY",))
@@ -180,11 +228,41 @@ def test_chunks_of_a_filing_are_replaced_whole(spark, tmp_path):
     assert count() == {"a": 5, "b": 4}
 
 
-def test_upsert_swaps_the_table(spark, tmp_path):
+def test_upsert_publishes_whole_versions(spark, tmp_path):
     path = str(tmp_path / "companies")
     for batch in ([(1, "old"), (2, "b")], [(1, "new"), (3, "c")]):
         tables.upsert_table(spark.createDataFrame(batch, "cik long, name string"), path, ["cik"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "new"), (2, "b"), (3, "c")]
+    read = lambda: sorted(map(tuple, tables.read_versioned(spark, path, "cik long, name string").collect()))
+    assert read() == [(1, "new"), (2, "b"), (3, "c")]
+    # a writer that dies before it publishes changes nothing, and the next one goes on from the last version
+    with pytest.raises(ZeroDivisionError):
+        tables._publish(spark, path, lambda folder: spark.range(5).write.parquet(folder) or 1 / 0)
+    assert read() == [(1, "new"), (2, "b"), (3, "c")]
+    tables.upsert_table(spark.createDataFrame([(4, "d")], "cik long, name string"), path, ["cik"])
+    assert read() == [(1, "new"), (2, "b"), (3, "c"), (4, "d")]
+    assert tables.read_versioned(spark, str(tmp_path / "none"), "cik long").count() == 0
+
+
+def test_filings_are_upserted_by_accession(spark, tmp_path):
+    path, kind = str(tmp_path / "filings"), tables.SCHEMAS["filings"]
+    one = lambda acc, day, url: (acc, 1, "10-K", day, None, url)
+    tables.upsert_filings(spark.createDataFrame([one("a", date(2024, 1, 1), "u1"), one("b", date(2024, 1, 1), "u1")], kind), path)
+    tables.upsert_filings(spark.createDataFrame([one("a", date(2024, 2, 1), "u2"), one("a", date(2024, 1, 5), "u3")], kind), path)
+    assert sorted((r.accession_no, r.primary_doc_url) for r in tables.read_versioned(spark, path, kind).collect()) == [("a", "u2"), ("b", "u1")]
+
+
+def test_read_only_access_refuses_writes_paths_and_other_tables(spark, tmp_path):
+    for name in tables.READ_ONLY:
+        spark.createDataFrame([], tables.SCHEMAS[name]).write.parquet(str(tmp_path / name))
+    access = guard.ReadOnly(spark, str(tmp_path))
+    assert access.sql("SELECT count(*) FROM filings").first()[0] == 0
+    assert access.sql("WITH x AS (SELECT * FROM companies) SELECT count(*) FROM x JOIN filings USING (cik)").first()[0] == 0
+    for text in (
+        "INSERT INTO filings SELECT * FROM filings", "CREATE TABLE y AS SELECT * FROM filings", "DROP VIEW filings", f"SELECT * FROM parquet.`{tmp_path}/filings`", "SELECT * FROM query_logs", "SET x = 1", "SHOW TABLES",
+        "SELECT * FROM range(3)", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT * FROM filings", "SELECT * FROM filings WHERE cik IN (SELECT cik FROM eval_runs)", "CACHE TABLE filings", "not sql", "SELECT reflect('java.lang.System', 'exit', 1)", "WITH x AS (SELECT * FROM query_logs) SELECT * FROM x",
+    ):
+        with pytest.raises(PermissionError):
+            access.sql(text)
 
 
 def test_stream_loads_restatements_in_any_order(spark, tmp_path):

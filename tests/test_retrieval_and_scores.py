@@ -142,3 +142,48 @@ def test_fused_queries_search_and_ask_all_documents(spark, tmp_path):
         rows = QUERIES[name](spark, str(tmp_path)).collect()
         assert {r.qid for r in rows} == {0, 2000, 2100}
         assert max(r.id for r in rows if r.qid == 2000) >= 2000
+
+
+def test_relaxation_is_for_each_question_alone(spark):
+    rows = [(1, "T", 2020, "FY", [1.0, 0.0]), (2, "T", 2021, "FY", [0.0, 1.0]), (3, "U", 2020, "FY", [1.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "id long, ticker string, fiscal_year int, fiscal_period string, embedding array<double>").withColumn("text", F.lit("x")).withColumn("section", F.lit("Notes"))
+    asked = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [1.0, 0.5])], "qid int, query string, embedding array<double>")
+    found = lambda filters: sorted((r.qid, r.id) for r in retrieval.retrieve(asked, chunks, filters, strategy="vector", relax=True, n=3).collect())
+    assert found({"fiscal_year": 2020, "ticker": "T"}) == [(1, 1), (2, 1)]
+    assert found({"fiscal_year": 1999, "ticker": "T"}) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    # one question finds something and keeps the filter, the other does not: 30 text rows for a hybrid search
+    words = chunks.withColumn("text", F.when(F.col("id") == 2, "late").otherwise("early"))
+    none = asked.select("qid", F.when(F.col("qid") == 1, "late").otherwise("early").alias("query"))
+    text = retrieval.text_search(none, words, 5, {"fiscal_year": 2020})
+    assert sorted((r.qid, r.id) for r in text.collect()) == [(2, 1), (2, 3)]
+
+
+def test_text_search_in_blocks_equals_one_block(spark):
+    chunks = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(1, 6))) for k in range(40)] + [(90, None), (91, "")], "id long, text string")
+    asked = spark.createDataFrame([(k, f"w{k} w{k + 1} the") for k in range(6)] + [(50, "the of"), (51, None)], "qid int, query string")
+    rows = lambda **x: sorted(map(tuple, retrieval.text_search(asked, chunks.repartition(3), 4, **x).collect()))
+    assert rows(block=2) == rows() and {r[0] for r in rows()} == set(range(6))
+    counts = {r.qid: r.matches for r in retrieval.text_match_counts(asked, chunks, block=3).collect()}
+    assert counts[50] == counts[51] == 0 and counts[0] == sum(bool({f"w{(k * j) % 7}" for j in range(1, 6)} & {"w0", "w1"}) for k in range(40))
+    for k in (0, -1, True, 1.5):
+        with pytest.raises(ValueError):
+            retrieval.text_search(asked, chunks, k)
+
+
+def test_citations_meet_one_chunk_each(spark):
+    chunks = spark.createDataFrame([(k, f"u{k % 2}", ("A", "B", None)[k % 3], f"acc{k % 4}") for k in range(24)], "id long, source_url string, section string, accession_no string")
+    cites = [(n, u, s, a) for n, (u, s, a) in enumerate((u, s, a) for u in ("u0", "u1", "none", None) for s in ("A", "B", None, "C") for a in ("acc1", "acc2", None))]
+    got = {r.cid: (r.valid, r.section, r.accession_no) for r in evaluation.resolved_citations(spark.createDataFrame(cites, "cid long, source_url string, section string, accession_no string"), chunks).collect()}
+    rows = [tuple(r) for r in chunks.collect()]
+    for n, u, s, a in cites:
+        fit = min((r for r in rows if r[1] == u and s in (None, r[2]) and a in (None, r[3])), default=None)
+        assert got[n] == ((True, fit[2], fit[3]) if fit else (False, None, None))
+
+
+def test_headings_compare_in_one_form(spark):
+    cases = {"Risk  Factors (continued)": "risk factors", "We continued operations": "we continued operations", "Continued": "continued", "Management’s Report — 10‑K.": "management's report - 10 - k", "Notes (Continued) to A": "notes (continued) to a"}
+    rows = spark.createDataFrame([(k,) for k in cases], "h string").select("h", X.heading_signature("h").alias("k")).collect()
+    assert {r.h: r.k for r in rows} == cases == {k: X.heading_key(k) for k in cases}
+    lines = ["Form 10-K | 2024 | Page 7 of 9", "Page 12", "a | 3", "plain", "form 10-q", "x" * 190 + " | 3"]
+    rows = spark.createDataFrame([(k,) for k in lines], "h string").select("h", X.boilerplate_signature("h").alias("k")).collect()
+    assert {r.h: r.k for r in rows} == {k: X.footer_key(k) for k in lines}
