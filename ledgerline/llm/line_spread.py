@@ -1,20 +1,29 @@
 """Line deduplication by distinct-site spread.
 
-Every line's hash gets a HyperLogLog sketch of the sites it stands on; sketches
-merge by aggregation, before and after the shuffle, so a hot line or a hot site
-sends one small sketch from each task. Lines whose estimate is clearly past
-``min_sites`` are widespread; those near it, within four standard errors, get
-an exact distinct count. The lines of a document that was copied to many sites
-are widespread too, but they always stand beside the same lines: boilerplate is
-a widespread line with at least ``min_sites`` different lines before it, or as
-many after it (sketches and exact counts again). It goes from every document.
+Every line's hash gets a HyperLogLog sketch of the sites it stands on, and one of
+the texts; sketches merge by aggregation, before and after the shuffle, so a hot
+line or a hot site sends one small sketch from each task. A line is widespread on
+``min_sites`` sites if it also stands in as many different texts, as a text that
+was copied to many sites takes all of its lines there. Lines whose estimate is
+clearly past the threshold are taken; those near it, within four standard errors,
+get an exact distinct count. A widespread line is boilerplate and goes from every
+document.
+
+Lightly changed copies are different texts. To keep their common lines, ask for
+``min_neighbours``: then a line must also stand after, or before, so many
+different lines (sketches and exact counts again), which the inner lines of a
+copied text do not; nor do the inner lines of a block that is always printed
+whole, which then stay.
 
 Texts are cut into hashed lines once; sketches, counts and joins run on hashes.
 
 Defined results: lines end at a line feed and are compared without leading and
-trailing spaces; lines of fewer than ``min_words`` space-separated words are
-never boilerplate; a null site is no site, but its lines are removed all the
-same; a null text stays null; every row of the input gives one row.
+trailing spaces; blank lines, and lines of fewer than ``min_words``
+space-separated words, are never boilerplate; a null site is no site, but its
+lines are removed all the same; a null text stays null; every row of the input
+gives one row, also repeated rows and null ids; texts count whole at any length;
+an empty table gives an empty result; the input may have columns of any name but
+``__lines``, which is added.
 """
 
 from __future__ import annotations
@@ -71,7 +80,7 @@ def line_table(docs: DataFrame, *, site_col: str, text_col: str, id_col: str, mi
                 around = [None, *hashes, None]
                 own = (_HASH(text, 42), len(text))
                 for k, line in enumerate(bare):
-                    if line.count(b" ") >= min_words - 1:
+                    if line and line.count(b" ") >= min_words - 1:
                         rows.append(i)
                         for c, v in zip(cols, (*own, hashes[k], around[k], around[k + 2])):
                             c.append(v)
@@ -83,25 +92,31 @@ def line_table(docs: DataFrame, *, site_col: str, text_col: str, id_col: str, mi
     return rows.mapInArrow(run, "text_hash long, text_bytes long, bucket int, site string, line_hash long, before long, after long")
 
 
-def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, lg_k: int = 12) -> DataFrame:
-    """Rows (line_hash) of the lines that stand on at least ``min_sites`` sites and beside as many different lines."""
-    wide = written(_spread(lines.select("site", "line_hash"), "site", min_sites, lg_k), "wide")
+def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, min_neighbours: int = 0, lg_k: int = 12) -> DataFrame:
+    """Rows (line_hash) of the lines that stand on at least ``min_sites`` sites, in as many texts and beside ``min_neighbours`` different lines."""
+    sites = written(_spread(lines.select("site", "line_hash"), "site", min_sites, lg_k), "sites")
+    among = lines.join(sites, "line_hash", "left_semi").select("line_hash", F.xxhash64("text_hash", "text_bytes").alias("of_text"))
+    wide = written(_spread(among, "of_text", min_sites, lg_k), "wide")
+    if not min_neighbours:
+        return wide
     beside = written(lines.join(wide, "line_hash", "left_semi").select("line_hash", "before", "after").distinct(), "beside")
-    return _spread(beside, "before", min_sites, lg_k).unionByName(_spread(beside, "after", min_sites, lg_k)).distinct()
+    return _spread(beside, "before", min_neighbours, lg_k).unionByName(_spread(beside, "after", min_neighbours, lg_k)).distinct()
 
 
-def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = 10, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = 10, min_words: int = 1, min_neighbours: int = 0, lg_k: int = 12) -> DataFrame:
     """The documents, all their columns, with boilerplate lines taken from the text, and the struct ``__lines`` (n, removed)."""
     lines = written(line_table(docs, site_col=site_col, text_col=text_col, id_col=id_col, min_words=min_words), "lines")
-    common = written(boilerplate_lines(lines, min_sites=min_sites, lg_k=lg_k), "boilerplate")
+    common = written(boilerplate_lines(lines, min_sites=min_sites, min_neighbours=min_neighbours, lg_k=lg_k), "boilerplate")
     # a text is keyed by its hash and length, so that rows need no key of their own; the bucket of its id spreads copies over tasks
-    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "bucket", "line_hash").distinct().groupBy("text_hash", "text_bytes", "bucket").agg(F.collect_list("line_hash").alias("__gone"))
-    joined = docs.join(hits, (F.xxhash64(text_col) == F.col("text_hash")) & (F.octet_length(text_col).cast("long") == F.col("text_bytes")) & (_bucket(docs, id_col) == F.col("bucket")), "left")
-    every = F.split(text_col, "\n")
-    counts = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) >= min_words - 1
+    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "bucket", "line_hash").distinct()
+    gone = hits.groupBy("text_hash", "text_bytes", "bucket").agg(F.collect_list("line_hash").alias("__gone")).withColumnsRenamed({c: f"__{c}" for c in ("text_hash", "text_bytes", "bucket")})
+    text = F.col(text_col)
+    joined = docs.join(gone, (F.xxhash64(text) == F.col("__text_hash")) & (F.octet_length(text).cast("long") == F.col("__text_bytes")) & (_bucket(docs, id_col) == F.col("__bucket")), "left")
+    every = F.split(text, "\n")
+    counts = lambda x: (x != "") & (F.length(x) - F.length(F.replace(x, F.lit(" "))) >= min_words - 1)
     kept = F.filter(every, lambda x: ~(F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x))) & counts(F.trim(x))))
     hit = F.col("__gone").isNotNull()
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1)
-    text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    n = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
+    cleaned = F.when(hit, F.array_join(kept, "\n")).otherwise(text)
     tally = F.struct(n.cast("long").alias("n"), F.when(hit, F.size(every) - F.size(kept)).otherwise(0).cast("long").alias("removed")).alias("__lines")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], tally)
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns], tally)

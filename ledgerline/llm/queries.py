@@ -83,15 +83,14 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 OP6_SQL = """
 WITH lines AS (
-  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+  SELECT doc_id, source, text, i, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) t
 ), counted AS (
-  SELECT *, trim(line) AS bare, length(trim(line)) - length(replace(trim(line), ' ', '')) >= 2 AS counts,
-         lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY i) AS prior, lead(trim(line)) OVER (PARTITION BY doc_id ORDER BY i) AS later
+  SELECT *, trim(line) AS bare, trim(line) <> '' AS counts
   FROM lines
 ), spread AS (
   SELECT bare FROM counted WHERE counts GROUP BY bare
-  HAVING count(DISTINCT source) >= 10 AND (count(DISTINCT prior) >= 10 OR count(DISTINCT later) >= 10)
+  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT text) >= 10
 ), marked AS (
   SELECT c.*, s.bare IS NOT NULL AND c.counts AS gone FROM counted c LEFT JOIN spread s ON c.bare = s.bare
 )

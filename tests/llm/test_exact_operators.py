@@ -401,4 +401,21 @@ def test_line_spread_equals_counting(spark):
     assert by[3].text == "body 3 of this page\nend of page 3" and tuple(by[3]["__lines"]) == (3, 1)
     assert by[105].text.count("\n") == 2 and by[200].text is None and by[201].text == "" and by[202].text == "" and by[203].text == "x\n\n"
     assert line_spread.remove_boilerplate(docs, min_sites=8).where("__lines.removed > 0").count() == 0
+    clash = docs
+    for name in ("bucket", "text_hash", "text_bytes", "site", "before", "after", "n"):
+        clash = clash.withColumn(name, F.lit("mine"))
+    again = line_spread.remove_boilerplate(clash, min_sites=6)
+    assert again.columns == [*clash.columns, "__lines"] and {r.doc_id: r.text for r in again.collect()} == {i: r.text for i, r in by.items()}
+
+
+def test_line_spread_of_changed_copies_short_and_long_texts(spark):
+    """Lines of one letter count, blank ones do not; lines of lightly changed copies stay only with a number of neighbours."""
+    rows = [(k, f"own {k}\nx\n\nfoot {k}", f"s{k}") for k in range(12)]
+    rows += [(100 + k, f"first {k}\nsecond line\nthird line\nfourth line\nfifth line", f"s{k}") for k in range(12)]
+    rows += [(300, "y\n" * 50_000 + "x", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    all_gone = {r.doc_id: r.text for r in line_spread.remove_boilerplate(docs).collect()}
+    assert all_gone[3] == "own 3\n\nfoot 3" and all_gone[103] == "first 3" and all_gone[300] == ("y\n" * 50_000)[:-1]
+    some = {r.doc_id: r.text for r in line_spread.remove_boilerplate(docs, min_neighbours=10).collect()}
+    assert some[3] == "own 3\n\nfoot 3" and some[103] == "first 3\nthird line\nfourth line\nfifth line"
     assert line_spread.remove_boilerplate(docs.limit(0)).count() == 0
