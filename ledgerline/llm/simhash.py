@@ -40,7 +40,7 @@ from .storage import written
 from .text import Rolling, WordHashes, concat, freeing, mix, pieces, texts_of
 
 RADIUS = 2
-SHARD_PRINTS, SHARD_TEXTS = 50_000, 8192  # rows that one key of a shuffle may hold before it is split
+SHARD_PRINTS, SHARD_TEXTS = 500, 2000  # rows that one key of a shuffle may hold before it is split
 _hashes = WordHashes(seed=7)
 
 

@@ -196,3 +196,76 @@ def test_maximal_segments_take_linear_time():
         assert len(toxicity.maximal_segments([1.0, -2.0] * n)) == n
         took.append(time.process_time() - began)
     assert took[1] < 40 * took[0] + 0.5
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and clashing names, stage by stage."""
+    import corpus_pipeline
+    from ledgerline.llm.storage import written
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    words = " ".join(f"w{k}" for k in range(300))
+    odd = [
+        (5001, None, None, None, None, None), (5002, "", "en", "s", 0, 1), (None, words + " x", "en", None, None, None), (5003, "long " * 200_000, "en", "s", None, 2), (5004, words, "en", "s", 1, 3),
+        (5004, words, "en", "s", 1, 3), (5005, words, None, None, 1, 3), (5006, " \n\t\n ", "en", "s", 6, 4), (5007, None, "en", "s", None, 5),
+    ]
+    extra = ("bucket", "text_hash", "size", "component_id", "shard", "node", "__id2")
+    rows = docs.withColumn("label", F.lit(0)).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, label int").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns], "label"))
+    for c in extra:
+        rows = rows.withColumn(c, F.lit("mine"))
+    names, now = rows.columns, rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, SF), "stage")
+        assert now.columns == names and now.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        kept = [(r.doc_id, r.text) for r in now.where("doc_id > 5000 OR doc_id IS NULL").collect()]
+        ids = sorted(i for i, _ in kept if i is not None)
+        # the copy under the larger id is the only awkward row that any stage drops
+        assert ids == [5001, 5002, 5003, 5004, 5004, *([5005] if name in ("toxicity", "line dedup") else []), 5006, 5007] and len(kept) == len(ids) + 1
+        assert all(dict(kept)[i] is None for i in (5001, 5007)) and dict(kept)[5002] == "" and len(dict(kept)[5003]) == 1_000_000
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    sizes = {r.doc_id: (r.n, r.t) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
+    assert sizes[5001] == sizes[5002] == sizes[5006] == (1, 1) and sizes[5003] == (200_001, 200_001) and sizes[5004][0] == 2 * sizes[5004][1]
+
+
+def test_pipeline_deletes_what_its_stages_leave(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from ledgerline.llm import storage
+
+    folder = tmp_path / "shared"
+    folder.mkdir()
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{folder}")
+    spark_docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    (tmp_path / "sf").mkdir()
+    spark_docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / "sf" / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "sf"))
+    assert out.count() > 0 and [p.name.rsplit("-", 1)[0] for p in folder.iterdir()] == ["packing"]
+
+
+def test_votes_equal_brute_force(spark):
+    """Scores from all cosines in double precision, for a table with ties and awkward texts."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(("w" if k % 3 else "X!")[: 1 + k % 2] + "abcdefg"[: int(rng.integers(1, 7))] for _ in range(int(rng.integers(1, 50)))), k % 3 != 0) for k in range(120)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t, _ in rows] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, score int")
+    space = quality.fit(docs, spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, quality int"), neighbours=7)
+    got = {r.doc_id: r.score for r in quality.score(docs, space, block=13).collect()}
+    for k, t, _ in rows:
+        x = space.project(quality.terms(t.encode())[None])[0].astype(np.float64)
+        near = space.vectors.astype(np.float64) @ x
+        top = np.argsort(-near)[:7]
+        edge = np.isclose(near, near[top[-1]], atol=1e-5)
+        if len(set(space.labels[edge])) > 1:
+            continue  # a tie at the edge between different labels
+        weight = np.maximum(near[top], 0) ** space.power
+        assert abs(got[k] - (weight * space.labels[top]).sum() / weight.sum()) < 1e-4
+    assert got[900] == got[901] == pytest.approx(space.share)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_labels_that_repeat_or_lack(spark, module):
+    """Repeated labels count as their largest, null ids and labels are left out, and repeated documents learn alike."""
+    docs = spark.createDataFrame([(k, f"some text number {k}") for k in range(30)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(0, 1), (None, 1), (4, None)], "doc_id long, flag int")
+    rows = module.score(docs, module.fit(docs, labels, label="flag")).collect()
+    assert len(rows) == 60 and len({(r.doc_id, r.score) for r in rows}) == 30
