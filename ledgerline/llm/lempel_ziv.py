@@ -1,27 +1,35 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-A document's text is factored against the texts of all smaller ids; words inside
-of factors of at least ``window`` words are duplicates. To parse against every
-reference block without comparing each document with each block, blocks are
-named by content: each ``window``-word window is anchored at the smallest hash
-of its ``gram``-word shingles, so equal windows have equal anchors, and
-neighbouring windows with one anchor form a segment. All segments of an anchor
-lie aligned in one reference block.
+A document is parsed greedily against the texts of all smaller ids: at each word
+the longest factor of at least ``window`` words, every window of which stands in
+a smaller id, or else one literal word; then on from its end. Windows that lie
+across the end of a factor are checked too, and factors and such windows are the
+duplicate spans. The reference of the parse is all smaller documents at once:
+one after another would be a join of every document with every block of the
+reference.
+
+So the index is cut by content into blocks: each window is anchored at the
+smallest hash of its ``gram``-word shingles, so equal windows have equal anchors,
+and neighbouring windows with one anchor form a segment, aligned at the anchor in
+one block.
 
 * A segment that equals one of a smaller id lies inside of a factor as a whole.
 * Where a factor begins or ends, segments only overlap in part. There the block
-  compares the segments window by window, aligned at the anchor, and each first
-  segment gets a mask of its windows that also start in a smaller id.
+  compares its segments window by window, and each first segment gets a mask of
+  its windows that also start in a smaller id.
 
-So long factors are met segment by segment and windows are only compared at
-factor boundaries, which keeps the greedy parse exact: for every window it is
-known whether a smaller id holds it. Equal segments are reduced before they
-travel and again on arrival (minimum id), so neither a hot passage nor a large
-group of copies meets in one task.
+Equal segments are reduced before they travel and again on arrival (smallest id).
+A passage that is shorter than a window, but longer than a shingle, may anchor
+different segments of very many documents. A block that holds more than
+``BLOCK_SEGMENTS`` by an estimate from one in ``SKETCH`` of the texts is dealt
+segment by segment, and its windows are compared by a join on their hashes: how
+a block is dealt changes no result.
 
 Defined results: words are runs of bytes other than ASCII white space; a null
 text has none; rows with a null id keep all words and are no reference; rows
 with one id are one document to the others and never duplicates of each other.
+Ids are whole numbers. Texts count whole at any length; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
 from .text import Rolling, WordHashes, concat, freeing, pieces, texts_of
 
 _hashes = WordHashes(seed=3)
@@ -42,6 +51,8 @@ _hashes = WordHashes(seed=3)
 def _forget_words() -> None:
     _hashes.clear()
 
+BLOCK_SEGMENTS, SKETCH = 20_000, 64
+PARTITION_BYTES = 16 << 20
 _WIDTH = 6  # bytes of a window's hash beside its anchor's 64 bits
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -106,62 +117,100 @@ def _smallest(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[first], ids[order[last]] != ids[order[first]]
 
 
+_FIRSTS = "anchor long, segment long, first long, mask long, shared boolean, lead int, windows binary"
+
+
+def _window_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All window hashes of some segments, and how many each has."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _WIDTH)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, :_WIDTH] = data
+    return wide.view("<u8").ravel(), np.diff(offsets) // _WIDTH
+
+
 def _block_masks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From batches (anchor, segment, id, several, lead, windows) sorted by the first three: (anchor, segment, first id, mask) of segments that other ids share in whole or part."""
-    rest: pa.Table | None = None
-
-    def masks(table: pa.Table) -> pa.RecordBatch:
-        anchor, segment, ids, lead = (table.column(c).to_numpy() for c in ("anchor", "segment", "id", "lead"))
-        several = table.column("several").to_numpy(zero_copy_only=False)
-        binary = table.column("windows").combine_chunks()
-        new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(segment) != 0)])
-        head = np.flatnonzero(new)
-        shared = np.add.reduceat(several.astype(np.int64), head) > 0
+    """From batches (block, anchor, segment, id, several, lead, hot, windows) sorted by block, segment and id: a row for each segment that other ids share in whole or part.
+
+    A hot block's segments come one by one: they are all passed on, with their windows.
+    """
+    held: list[pa.Table] = []
+
+    def first_rows(table: pa.Table) -> pa.Table:
+        """The first row of each segment, and whether others have it too."""
+        table = table.combine_chunks()
+        block, segment, ids = (table.column(c).to_numpy() for c in ("block", "segment", "id"))
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(segment) != 0)]))
         ends = np.concatenate([head[1:], [len(ids)]]) - 1
-        shared |= ids[ends] != ids[head]
-        # anchors with two or more distinct segments are compared window by window
-        group = np.cumsum(np.concatenate([[True], np.diff(anchor[head]) != 0])) - 1
-        contested = np.bincount(group)[group] > 1
-        mask = np.zeros(len(head), np.uint64)
+        several = np.add.reduceat(table.column("several").to_numpy(zero_copy_only=False).astype(np.int64), head) > 0
+        return table.take(pa.array(head)).set_column(table.schema.get_field_index("several"), "several", pa.array(several | (ids[ends] != ids[head])))
+
+    def masks() -> pa.RecordBatch:
+        table = first_rows(pa.concat_tables(held)).combine_chunks()
+        block, ids, lead = (table.column(c).to_numpy() for c in ("block", "id", "lead"))
+        shared, hot = (table.column(c).to_numpy(zero_copy_only=False) for c in ("several", "hot"))
+        # blocks of two or more distinct segments are compared window by window
+        group = np.cumsum(np.concatenate([[True], np.diff(block) != 0])) - 1
+        contested = (np.bincount(group)[group] > 1) & ~hot
+        mask = np.zeros(len(block), np.uint64)
         if contested.any():
             pick = np.flatnonzero(contested)
-            values = binary.take(pa.array(head[pick]))
-            offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
-            data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _WIDTH)
-            wide = np.zeros((len(data), 8), np.uint8)
-            wide[:, :_WIDTH] = data
-            hashes, counts = wide.view("<u8").ravel(), np.diff(offsets) // _WIDTH
+            hashes, counts = _window_hashes(table.column("windows").combine_chunks().take(pa.array(pick)))
             owner = np.repeat(np.arange(len(pick)), counts)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = inner - lead[head[pick]][owner]
-            who = ids[head[pick]][owner]
-            spot = group[pick][owner] * 256 + (place + 128)
+            spot = group[pick][owner] * 256 + (inner - lead[pick][owner] + 128)
+            who = ids[pick][owner]
             order = np.lexsort((who, hashes, spot))
             same = np.concatenate([[False], (np.diff(spot[order]) == 0) & (hashes[order][1:] == hashes[order][:-1])])
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             late = order[who[order] > who[order][start]]
             np.bitwise_or.at(mask, pick[owner[late]], np.uint64(1) << inner[late].astype(np.uint64))
-        out = np.flatnonzero(shared | (mask != 0))
-        return pa.RecordBatch.from_arrays([pa.array(anchor[head[out]]), pa.array(segment[head[out]]), pa.array(ids[head[out]]), _signed(mask[out])], ["anchor", "segment", "first", "mask"])
+        out = np.flatnonzero(shared | (mask != 0) | hot)
+        some = table.take(pa.array(out))
+        windows = pa.array([w if h else None for w, h in zip(some.column("windows").to_pylist(), hot[out].tolist())], pa.binary()) if hot[out].any() else pa.nulls(len(out), pa.binary())
+        cols = [*(some.column(c).combine_chunks() for c in ("anchor", "segment", "id")), _signed(mask[out]), pa.array(shared[out]), some.column("lead").combine_chunks(), windows]
+        return pa.RecordBatch.from_arrays(cols, ["anchor", "segment", "first", "mask", "shared", "lead", "windows"])
 
     for batch in rows:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        anchor = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut:
-            yield masks(table.slice(0, cut).combine_chunks())
-        # of the block that goes on, only the first row of each segment is kept, and whether others share it
-        tail = table.slice(cut).combine_chunks()
-        segment, ids = tail.column("segment").to_numpy(), tail.column("id").to_numpy()
-        head = np.flatnonzero(np.concatenate([[True], np.diff(segment) != 0]))
-        ends = np.concatenate([head[1:], [len(ids)]]) - 1
-        shared = (np.add.reduceat(tail.column("several").to_numpy(zero_copy_only=False).astype(np.int64), head) > 0) | (ids[ends] != ids[head])
-        rest = tail.take(pa.array(head)).set_column(tail.schema.get_field_index("several"), "several", pa.array(shared))
-    if rest is not None and rest.num_rows:
-        yield masks(rest.combine_chunks())
+        block = batch.column("block").to_numpy()
+        cut = int(np.searchsorted(block, block[-1]))
+        goes_on = held and held[-1].column("block")[-1].as_py() == block[0]
+        if held and (cut or not goes_on):
+            if cut:
+                held.append(pa.Table.from_batches([batch.slice(0, cut)]))
+            yield masks()
+            held.clear()
+        elif cut:
+            held.append(pa.Table.from_batches([batch.slice(0, cut)]))
+            yield masks()
+            held.clear()
+        # of a block that goes on only the first row of each segment is kept
+        held.append(first_rows(pa.Table.from_batches([batch.slice(cut)])))
+    if held:
+        yield masks()
+
+
+def _hot_masks(firsts: DataFrame) -> DataFrame:
+    """Rows (anchor, segment, first, mask) of hot blocks: their windows meet by a join on place and hash."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, counts = _window_hashes(batch.column("windows"))
+                inner = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                take = np.repeat(np.arange(batch.num_rows), counts)
+                spot = (inner - batch.column("lead").to_numpy()[take]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(take)) for c in ("anchor", "segment", "first")), pa.array(spot), _signed(hashes), pa.array(inner.astype(np.int32))], ["anchor", "segment", "first", "spot", "hash", "k"])
+
+    hot = firsts.where("windows IS NOT NULL")
+    windows = hot.select("anchor", "segment", "first", "lead", "windows").mapInArrow(spread, "anchor long, segment long, first long, spot int, hash long, k int")
+    low = windows.groupBy("anchor", "spot", "hash").agg(F.min("first").alias("low"))
+    late = windows.join(low, ["anchor", "spot", "hash"]).where("low < first")
+    bits = late.groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("late"))
+    both = hot.select("anchor", "segment", "first", "shared").join(bits, ["anchor", "segment"], "left")
+    return both.where("shared OR late IS NOT NULL").select("anchor", "segment", "first", F.coalesce("late", F.lit(0).cast("long")).alias("mask"))
 
 
 def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12) -> DataFrame:
@@ -190,29 +239,54 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             chosen, several = chosen[order], several[order]
             yield pa.RecordBatch.from_arrays([_signed(s.anchor[chosen]), _signed(s.segment[chosen]), pa.array(ids[chosen]), pa.array(several), pa.array(s.lead[chosen].astype(np.int32)), s.hashes(chosen)], ["anchor", "segment", "id", "several", "lead", "windows"])
 
-    blocks = rows.select("id", "text").mapInArrow(wide, "anchor long, segment long, id long, several boolean, lead int, windows binary")
-    blocks = blocks.repartition("anchor").sortWithinPartitions("anchor", "segment", "id")
-    firsts = blocks.mapInArrow(_block_masks, "anchor long, segment long, first long, mask long")
-    held = rows.mapInArrow(narrow, "id long, row long, anchor long, segment long, at int, count int").join(firsts, ["anchor", "segment"])
+    held = "id long, row long, anchor long, segment long, at int, count int"
+    sketch = rows.where(F.pmod(F.col("row"), F.lit(SKETCH)) == 0).mapInArrow(narrow, held).groupBy("anchor").agg(F.count_distinct("segment").alias("n"))
+    hot = written(sketch.where(F.col("n") * SKETCH > BLOCK_SEGMENTS).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    blocks = rows.select("id", "text").mapInArrow(wide, "anchor long, segment long, id long, several boolean, lead int, windows binary").join(hot, "anchor", "left")
+    blocks = blocks.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("block", F.when(F.col("hot"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")))
+    dealt = blocks.repartition(_partitions(docs), "block").sortWithinPartitions("block", "segment", "id")
+    names = ["block", "anchor", "segment", "id", "several", "lead", "hot", "windows"]
+    firsts = written(dealt.select(*names).mapInArrow(_block_masks, _FIRSTS), "first-segments")
+    known = firsts.where("windows IS NULL").select("anchor", "segment", "first", "mask").unionByName(_hot_masks(firsts))
+    found = rows.mapInArrow(narrow, held).join(known, ["anchor", "segment"])
     every = F.lit(-1).cast("long")
     mask = F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))
-    hits = held.withColumn("mask", mask).where("mask != 0").groupBy("id", "row").agg(F.collect_list(F.struct("at", "count", "mask")).alias("hits"))
+    hits = found.withColumn("mask", mask).where("mask != 0").groupBy("id", "row").agg(F.collect_list(F.struct("at", "count", "mask")).alias("hits"))
     return hits.select(F.col("id").alias(id_col), F.col("row"), "hits")
 
 
-def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
-    """Which of n words lie in a window that the hits mark."""
-    mark = np.zeros(n + 1, np.int64)
+def _partitions(docs: DataFrame) -> int:
+    """So many that each of about twice the input's bytes holds ``PARTITION_BYTES``, and the session's number at least; that number if the bytes are not known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, 2 * size // PARTITION_BYTES) if size < 1 << 52 else least
+
+
+def held_windows(n: int, hits: list[dict], window: int) -> np.ndarray:
+    """Which windows of n words the hits mark as standing in a smaller id."""
+    mark = np.zeros(max(0, n - window + 1), bool)
     for hit in hits:
         at, count, mask = hit["at"], hit["count"], hit["mask"]
         if mask == -1:
-            mark[at] += 1
-            mark[at + count - 1 + window] -= 1
-            continue
-        bits = np.flatnonzero((np.uint64(mask & 0xFFFFFFFFFFFFFFFF) >> np.arange(count, dtype=np.uint64)) & np.uint64(1))
-        np.add.at(mark, at + bits, 1)
-        np.add.at(mark, at + bits + window, -1)
-    return np.cumsum(mark[:-1]) > 0
+            mark[at : at + count] = True
+        else:
+            mark[at : at + count] |= (np.uint64(mask & 0xFFFFFFFFFFFFFFFF) >> np.arange(count, dtype=np.uint64) & np.uint64(1)).astype(bool)
+    return mark
+
+
+def parsed(held: np.ndarray, window: int) -> list[tuple[int, int, bool]]:
+    """The greedy parse: (begin, end, whether it lies across the end of a factor) of each factor in words, in order; literal words are left out.
+
+    A factor is the longest run of held windows from where the parse stands; the parse goes on at its end, and held windows
+    that begin before that end are those across it.
+    """
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]]))).reshape(-1, 2)
+    out, at = [], 0
+    for a, b in edges.tolist():
+        across = a < at
+        out.append((a, b - 1 + window, across))
+        at = b - 1 + window
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12) -> DataFrame:
@@ -226,14 +300,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             sizes, spans, kept = [], [], []
             for text, hits in zip(texts_of(batch.column("__text")).to_pylist(), batch.column("__hits").to_pylist()):
                 words = (text or b"").split()
-                out = []
-                if hits:
-                    gone = covered(len(words), hits, window)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-                    out = [{"start": a, "end": b} for a, b in edges]
-                    words_left = [w for a, b in zip([0, *(e[1] for e in edges)], [*(e[0] for e in edges), len(words)]) for w in words[a:b]]
-                else:
-                    words_left = words
+                out: list[dict[str, int]] = []
+                for a, b, _ in parsed(held_windows(len(words), hits, window), window) if hits else ():
+                    if out and a <= out[-1]["end"]:
+                        out[-1]["end"] = b
+                    else:
+                        out.append({"start": a, "end": b})
+                words_left = [w for a, b in zip([0, *(x["end"] for x in out)], [*(x["start"] for x in out), len(words)]) for w in words[a:b]]
                 sizes.append(len(words))
                 spans.append(out)
                 kept.append(b" ".join(words_left))

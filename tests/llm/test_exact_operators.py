@@ -121,6 +121,40 @@ def test_secrets_equal_brute_force_and_scan_only_unseen_blobs(spark):
     assert blob_ledger.scan_all(rows.limit(0), key_cols=["doc_id"])[0].count() == 0
 
 
+@pytest.mark.parametrize("most, sketch", [(3, 1), (20_000, 64)])
+def test_a_passage_in_every_document_splits_its_block(spark, monkeypatch, most, sketch):
+    """Passages shorter and longer than a window in hundreds of documents, copies, and one repeated word: blocks dealt whole or segment by segment give the same."""
+    monkeypatch.setattr(lempel_ziv, "BLOCK_SEGMENTS", most)
+    monkeypatch.setattr(lempel_ziv, "SKETCH", sketch)
+    short, long = prose(16, 70), prose(34, 71)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(240):
+        parts = [prose(int(rng.integers(3, 30)), 1000 + k), short if k % 2 else long, prose(int(rng.integers(3, 30)), 3000 + k), long if k % 5 == 0 else short]
+        rows.append((k, " ".join(parts)))
+    rows += [(500 + k, rows[7][1]) for k in range(20)] + [(600, "same " * 400), (601, "same " * 300), (602, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r.doc_id, r.n_words, r.kept_text) for r in lempel_ziv.remove_repeats(docs, window=20, gram=6).collect())
+    firsts = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = WORD.findall(t or "")
+        for a in range(len(w) - 19):
+            firsts.setdefault(tuple(w[a : a + 20]), i)
+    want = []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = {p for a in range(len(w) - 19) if firsts[tuple(w[a : a + 20])] < i for p in range(a, a + 20)}
+        want.append((i, len(w), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    assert got == sorted(want)
+
+
+def test_greedy_parse():
+    held = np.zeros(30, bool)
+    held[[3, 4, 5, 8, 20]] = True
+    assert lempel_ziv.parsed(held, 4) == [(3, 9, False), (8, 12, True), (20, 24, False)]
+    assert lempel_ziv.parsed(held[:0], 4) == []
+
+
 def brute_fingerprint(t, n=3):
     w = (t or "").encode().lower().split()
     if not w:
