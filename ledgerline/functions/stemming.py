@@ -20,7 +20,11 @@ _MEASURE = re.compile(f"^(?:{_C})?((?:{_V}{_C})*)(?:{_V})?$")
 _RUN = re.compile(f"{_V}{_C}")
 
 # fixed values: suffixes of the algorithm's second, third and fourth step
-_STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble")
+_STEP2 = dict(
+    ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e",
+    ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous",
+    aliti="al", iviti="ive", biliti="ble"
+)
 _STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
 _STEP4 = "ement ance ence able ible ment ant ent ion ism ate iti ous ive ize al er ic ou".split()
 

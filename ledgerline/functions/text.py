@@ -57,7 +57,9 @@ def fiscal_references(x: str | Column) -> Column:
     pattern = r"(?i)\b(?:(Q[1-4])(?:\s+of)?\s+)?FY\s*([12]\d{3})\b"
     period = F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(1))
     year = F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(2))
-    return F.array_distinct(F.zip_with(period, year, lambda p, y: F.struct(F.when(p == "", "FY").otherwise(F.upper(p)).alias("period"), y.cast("int").alias("year"))))
+    return F.array_distinct(
+        F.zip_with(period, year, lambda p, y: F.struct(F.when(p == "", "FY").otherwise(F.upper(p)).alias("period"), y.cast("int").alias("year")))
+    )
 
 
 def normal_line(x: str | Column) -> Column:
@@ -116,7 +118,9 @@ def spaced(word_array: Column) -> Column:
 
 def copied_run(question: Column, source: Column, n: int = 5) -> Column:
     """Whether n words in a row of an array stand in a text of words made by :func:`spaced`, best a column of its own."""
-    starts = F.when(F.size(question) >= n, F.sequence(F.lit(1), F.size(question) - n + 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(
+        F.size(question) >= n, F.sequence(F.lit(1), F.size(question) - n + 1)
+    ).otherwise(F.array().cast("array<int>"))
     return F.exists(starts, lambda i: F.contains(source, spaced(F.slice(question, i, n))))
 
 

@@ -21,7 +21,9 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
-def windows(text: str, max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count) -> list[tuple[str, int]]:
+def windows(
+    text: str, max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count
+) -> list[tuple[str, int]]:
     """Chunks of up to ``max_tokens`` that end at a sentence or line where that leaves at least 60 % of the budget.
 
     A chunk begins with the longest run of the last one's words that fits the overlap. A word over the budget stays whole.
@@ -55,7 +57,9 @@ def windows(text: str, max_tokens: int = 700, overlap: float = 0.15, encode: Enc
     return out
 
 
-def chunk_sections(sections: DataFrame, keys: list[str], max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count) -> DataFrame:
+def chunk_sections(
+    sections: DataFrame, keys: list[str], max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count
+) -> DataFrame:
     """Rows (keys, chunk_index, text, token_count) of (keys, text); the index begins anew in each section."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +67,10 @@ def chunk_sections(sections: DataFrame, keys: list[str], max_tokens: int = 700,
             found = [windows(t or "", max_tokens, overlap, encode) for t in batch.column("text").to_pylist()]
             take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [(k, *c) for f in found for k, c in enumerate(f)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int32())], [*keys, "chunk_index", "text", "token_count"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(take) for k in keys), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int32())],
+                [*keys, "chunk_index", "text", "token_count"]
+            )
 
     kinds = ", ".join(f"{k} {sections.schema[k].dataType.simpleString()}" for k in keys)
     return sections.select(*keys, "text").mapInArrow(run, f"{kinds}, chunk_index int, text string, token_count int")
@@ -79,7 +86,10 @@ def hashed_embedding(texts: list[str], dimensions: int = 64) -> list[list[float]
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).tolist()
 
 
-def embed(chunks: DataFrame, dimensions: int, model: Callable[[list[str], int], list[list[float]]] = hashed_embedding, batch_size: int = 100) -> DataFrame:
+def embed(
+    chunks: DataFrame, dimensions: int, model: Callable[[list[str], int], list[list[float]]] = hashed_embedding,
+    batch_size: int = 100
+) -> DataFrame:
     """Adds ``embedding``; the model gets at most ``batch_size`` texts at once and must return as many vectors of the right size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +97,14 @@ def embed(chunks: DataFrame, dimensions: int, model: Callable[[list[str], int],
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
                 vectors = model(part.column("text").to_pylist(), dimensions)
-                if len(vectors) != part.num_rows or any(len(v) != dimensions or not np.isfinite(v).all() for v in vectors):
+                if len(vectors) != part.num_rows or any(
+                    len(v) != dimensions or not np.isfinite(v).all() for v in vectors
+                ):
                     raise ValueError("the model's vectors do not fit the texts")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"]
+                )
 
-    return chunks.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in chunks.schema)}, embedding array<float>")
+    return chunks.mapInArrow(
+        run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in chunks.schema)}, embedding array<float>"
+    )

@@ -54,7 +54,10 @@ def best_approach(metrics: DataFrame, order: list[str]) -> DataFrame:
 
 def match_stats(counts: DataFrame) -> DataFrame:
     """Mean (three digits), least, most and number of zero match counts."""
-    return counts.agg(F.round(F.avg("matches"), 3).alias("mean"), F.min("matches").alias("least"), F.max("matches").alias("most"), F.count_if(F.col("matches") == 0).alias("without_match"))
+    return counts.agg(
+        F.round(F.avg("matches"), 3).alias("mean"), F.min("matches").alias("least"), F.max("matches").alias("most"),
+        F.count_if(F.col("matches") == 0).alias("without_match")
+    )
 
 
 def score_numbers(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -99,14 +102,24 @@ def resolved_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     row = F.struct("id", "section", "accession_no")
     some = lambda c, on: F.col(c) if on else F.lit(None).cast("string")
-    ways = [F.struct(F.lit(s).alias("by_section"), F.lit(a).alias("by_accession"), some("section", s).alias("s"), some("accession_no", a).alias("a")) for s in (True, False) for a in (True, False)]
+    ways = [
+        F.struct(F.lit(s).alias("by_section"), F.lit(a).alias("by_accession"), some("section", s).alias("s"), some("accession_no", a).alias("a")) for s in (True, False) for a in (True, False)
+    ]
     keyed = chunks.select(F.col("source_url").alias("u"), row.alias("chunk"), F.explode(F.array(*ways)).alias("w"))
     first = keyed.groupBy("u", "w").agg(F.min("chunk").alias("chunk"))
-    way = F.struct(F.col("section").isNotNull().alias("by_section"), F.col("accession_no").isNotNull().alias("by_accession"), F.col("section").alias("s"), F.col("accession_no").alias("a"))
+    way = F.struct(
+        F.col("section").isNotNull().alias("by_section"), F.col("accession_no").isNotNull().alias("by_accession"),
+        F.col("section").alias("s"), F.col("accession_no").alias("a")
+    )
     asked = citations.select("cid", F.col("source_url").alias("u"), way.alias("w"))
-    found = asked.join(first.withColumnsRenamed({"u": "fu", "w": "fw"}), (F.col("u") == F.col("fu")) & F.col("w").eqNullSafe(F.col("fw")), "left")
+    found = asked.join(
+        first.withColumnsRenamed({"u": "fu", "w": "fw"}),
+        (F.col("u") == F.col("fu")) & F.col("w").eqNullSafe(F.col("fw")), "left"
+    )
     fits = F.col("chunk").isNotNull()
-    return found.select("cid", F.when(fits, F.col("u")).alias("source_url"), "chunk.section", "chunk.accession_no", fits.alias("valid"))
+    return found.select(
+        "cid", F.when(fits, F.col("u")).alias("source_url"), "chunk.section", "chunk.accession_no", fits.alias("valid")
+    )
 
 
 def shuffled_key(seed: int, *columns: str) -> Column:
@@ -114,20 +127,31 @@ def shuffled_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 42, order: list[Column] | None = None) -> DataFrame:
+def stratified_sample(
+    df: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 42, order: list[Column] | None = None
+) -> DataFrame:
     """n rows dealt round-robin over the strata, in a seeded order within them and in ``order``, or else a seeded one, among them."""
-    dealt = df.withColumn("__round", F.row_number().over(Window.partitionBy(*strata).orderBy(shuffled_key(seed, *key), *key)))
+    dealt = df.withColumn(
+        "__round", F.row_number().over(Window.partitionBy(*strata).orderBy(shuffled_key(seed, *key), *key))
+    )
     return dealt.orderBy("__round", *(order or [shuffled_key(seed, *strata)]), *strata).limit(n).drop("__round")
 
 
-def first_per_group(df: DataFrame, group: list[str], key: list[str], n: int, per_group: int = 1, seed: int = 42) -> DataFrame:
+def first_per_group(
+    df: DataFrame, group: list[str], key: list[str], n: int, per_group: int = 1, seed: int = 42
+) -> DataFrame:
     """n rows, at most ``per_group`` of each group, by seeded order."""
-    dealt = df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(shuffled_key(seed, *key), *key)))
+    dealt = df.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*group).orderBy(shuffled_key(seed, *key), *key))
+    )
     return dealt.where(F.col("__n") <= per_group).orderBy(shuffled_key(seed, *key), *key).limit(n).drop("__n")
 
 
 # fixed values: phrases that speak of a passage rather than of its subject
-META_PHRASES = ("according to the passage", "according to the chunk", "in the provided text", "in this document", "in the excerpt", "the passage", "the chunk")
+META_PHRASES = (
+    "according to the passage", "according to the chunk", "in the provided text", "in this document", "in the excerpt",
+    "the passage", "the chunk"
+)
 
 
 def issuer_text(ticker: str, name: str) -> Column:
@@ -143,7 +167,10 @@ def question_quality(pairs: DataFrame, stop_words: tuple[str, ...], generic: tup
     """
     cut = pairs.withColumns({"__asked": words("question"), "__source": words("source"), "__issuer": words("issuer")})
     asked, source, issuer = F.col("__asked"), F.col("__source"), F.col("__issuer")
-    rows = cut.withColumn("__content", F.array_distinct(F.filter(F.array_except(asked, issuer), lambda w: ~w.isin(*stop_words, *generic) & (F.length(w) > 2))))
+    rows = cut.withColumn(
+        "__content",
+        F.array_distinct(F.filter(F.array_except(asked, issuer), lambda w: ~w.isin(*stop_words, *generic) & (F.length(w) > 2)))
+    )
     rows = rows.withColumn("__run", spaced(source))
     content = F.col("__content")
     overlap = F.size(F.array_intersect(content, source)) / F.greatest(F.size(content), F.lit(1))
@@ -153,9 +180,13 @@ def question_quality(pairs: DataFrame, stop_words: tuple[str, ...], generic: tup
         (low.rlike("|".join(META_PHRASES)), "meta_reference"), (~F.arrays_overlap(asked, issuer), "issuer_missing"), (F.size(content) < 4, "too_generic"),
     ]
     early = reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(reasons), F.lit(None).cast("string"))
-    late = F.when(copied_run(asked, F.col("__run")), "copied_phrase").when(overlap > 0.75, "excessive_lexical_overlap").otherwise("accepted")
+    late = F.when(
+        copied_run(asked, F.col("__run")), "copied_phrase"
+    ).when(overlap > 0.75, "excessive_lexical_overlap").otherwise("accepted")
     judged = rows.withColumn("__early", early)
-    out = judged.withColumn("reason", F.coalesce("__early", late)).withColumn("overlap", F.when(F.col("__early").isNull(), overlap).otherwise(0.0))
+    out = judged.withColumn("reason", F.coalesce("__early", late)).withColumn(
+        "overlap", F.when(F.col("__early").isNull(), overlap).otherwise(0.0)
+    )
     return out.drop("__asked", "__source", "__issuer", "__content", "__run", "__early")
 
 
@@ -165,7 +196,9 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
     Lines hold digests of texts, so that texts are hashed where they are; the lines are sorted by all tasks. A SHA-256 over one
     stream is read in order: one task takes the sorted ranges one after another and holds a line at a time.
     """
-    line = F.concat_ws("|", "accession_no", "section", F.col("chunk_index").cast("string"), "ticker", F.sha2("text", 256))
+    line = F.concat_ws(
+        "|", "accession_no", "section", F.col("chunk_index").cast("string"), "ticker", F.sha2("text", 256)
+    )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = hashlib.sha256()
@@ -177,7 +210,9 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
     order = ["ticker", "section", "accession_no", "chunk_index", "id"]
     rows = chunks.select(*order, line.alias("line"))
     # a row without a line: there is a digest also of no chunks
-    none = chunks.sparkSession.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    none = chunks.sparkSession.range(1).select(
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    )
     return rows.unionByName(none).orderBy(*order).select("line").coalesce(1).mapInArrow(digest, "fingerprint string")
 
 
@@ -185,7 +220,9 @@ def batch_defects(expected: DataFrame, generated: DataFrame, key: str) -> DataFr
     """How many keys of a generated batch are unexpected, duplicate or missing."""
     counted = generated.groupBy(key).agg(F.count("*").alias("n"))
     both = expected.select(key).distinct().withColumn("e", F.lit(True)).join(counted, key, "full_outer")
-    defect = F.when(F.col("e").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
+    defect = F.when(
+        F.col("e").isNull(), "unexpected"
+    ).when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
     return both.withColumn("defect", defect).where("defect IS NOT NULL").groupBy("defect").agg(F.count("*").alias("n"))
 
 
@@ -193,7 +230,9 @@ def best_prompt(scores: DataFrame, order: list[str]) -> DataFrame:
     """The prompt with the best mean of four judge scores, then faithfulness, then citation rate, then the first in ``order``."""
     composite = (F.col("faithfulness") + F.col("relevancy") + F.col("precision") + F.col("recall")) / 4
     place = F.array_position(F.array(*map(F.lit, order)), F.col("prompt"))
-    return scores.withColumn("composite", composite).orderBy(F.desc("composite"), F.desc("faithfulness"), F.desc("citation_rate"), place).limit(1)
+    return scores.withColumn("composite", composite).orderBy(
+        F.desc("composite"), F.desc("faithfulness"), F.desc("citation_rate"), place
+    ).limit(1)
 
 
 # fixed values: questions that have no answer, by an excluded company, an impossible year or an unknown metric
@@ -214,12 +253,19 @@ def numeric_gold(facts: DataFrame, yoy: DataFrame, direct: int = 34, comparisons
     and their difference; none of a trap. Direct cases take turns over metrics and periods in their fixed order.
     """
     latest = first_by(facts, ["ticker", "metric", "fiscal_period"], F.desc("fiscal_year"))
-    place = [F.array_position(F.array(*map(F.lit, order)), F.col(c)) for c, order in (("metric", tuple(V.METRIC_TAGS)), ("fiscal_period", V.PERIODS))]
-    one = stratified_sample(latest, ["metric", "fiscal_period"], ["ticker", "metric", "fiscal_period"], direct, seed, place)
+    place = [
+        F.array_position(F.array(*map(F.lit, order)), F.col(c)) for c,
+        order in (("metric", tuple(V.METRIC_TAGS)), ("fiscal_period", V.PERIODS))
+    ]
+    one = stratified_sample(
+        latest, ["metric", "fiscal_period"], ["ticker", "metric", "fiscal_period"], direct, seed, place
+    )
     two = first_per_group(yoy, ["ticker"], ["ticker", "metric", "from_year"], comparisons, 1, seed)
     fact = lambda metric, year, period, value: F.struct(metric.alias("metric"), year.cast("int").alias("fiscal_year"), period.alias("fiscal_period"), value.cast("double").alias("value"), F.col("unit").alias("unit"))
     label, year, annual = F.replace("metric", F.lit("_"), F.lit(" ")), F.col("fiscal_year"), F.lit("FY")
-    when = F.when(F.col("fiscal_period") == "FY", F.concat(F.lit("FY"), year)).otherwise(F.concat("fiscal_period", F.lit(" FY"), year))
+    when = F.when(
+        F.col("fiscal_period") == "FY", F.concat(F.lit("FY"), year)
+    ).otherwise(F.concat("fiscal_period", F.lit(" FY"), year))
     a, b = F.col("from_year"), F.col("to_year")
     first = one.select(
         F.concat_ws("-", F.lit("direct"), "ticker", "metric", "fiscal_period").alias("case_id"), F.lit("direct").alias("kind"),
@@ -232,11 +278,16 @@ def numeric_gold(facts: DataFrame, yoy: DataFrame, direct: int = 34, comparisons
         F.array(fact(F.col("metric"), a, annual, F.col("from_value")), fact(F.col("metric"), b, annual, F.col("to_value")), fact(F.concat("metric", F.lit("_yoy_delta")), b, annual, F.col("delta"))).alias("required"),
     )
     traps = facts.sparkSession.createDataFrame(list(TRAPS.items()), "case_id string, question string")
-    third = traps.select("case_id", F.lit("no_answer").alias("kind"), "question", F.lit(True).alias("expect_refusal"), F.array().cast(first.schema["required"].dataType).alias("required"))
+    third = traps.select(
+        "case_id", F.lit("no_answer").alias("kind"), "question", F.lit(True).alias("expect_refusal"),
+        F.array().cast(first.schema["required"].dataType).alias("required")
+    )
     return first.unionByName(second).unionByName(third)
 
 
-def narrative_candidates(questions: DataFrame, prompts: dict[str, str], write: Callable[[str, list[str]], list[str]]) -> DataFrame:
+def narrative_candidates(
+    questions: DataFrame, prompts: dict[str, str], write: Callable[[str, list[str]], list[str]]
+) -> DataFrame:
     """Answers (prompt, qid, answer) of a model under each of some prompts; an answer that fails is null and counts as an error.
 
     ``write`` takes a prompt's text and the questions of a batch; a batch is asked once for each prompt.
@@ -252,7 +303,10 @@ def narrative_candidates(questions: DataFrame, prompts: dict[str, str], write: C
                         raise ValueError("the answers do not fit the questions")
                 except Exception:  # noqa: BLE001
                     found = [None] * len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(asked)), batch.column("qid"), pa.array(found, pa.string())], ["prompt", "qid", "answer"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(asked)), batch.column("qid"), pa.array(found, pa.string())],
+                    ["prompt", "qid", "answer"]
+                )
 
     kind = f"prompt string, qid {questions.schema['qid'].dataType.simpleString()}, answer string"
     return questions.select("qid", "question").mapInArrow(run, kind)

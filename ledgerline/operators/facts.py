@@ -17,7 +17,9 @@ STORED_KEY = [*FACT_KEY, "taxonomy_tag", "filing_date"]
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group in a total order; Spark limits groups before the shuffle."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
+    return df.withColumn(
+        "__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ).where("__rank = 1").drop("__rank")
 
 
 def tag_table(spark: SparkSession) -> DataFrame:
@@ -35,7 +37,10 @@ def _date(name: str) -> Column:
 
 def filing_index_url(cik: str, accession: str) -> Column:
     plain = F.regexp_replace(accession, "-", "")
-    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col(cik).cast("string"), F.lit("/"), plain, F.lit("/"), F.col(accession), F.lit("-index.html"))
+    return F.concat(
+        F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col(cik).cast("string"), F.lit("/"), plain, F.lit("/"),
+        F.col(accession), F.lit("-index.html")
+    )
 
 
 def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +55,9 @@ def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFram
     tags = parsed.select("cik", "ticker", "name", "__mismatch", F.explode("doc.facts").alias("taxonomy", "tags"))
     units = tags.select("cik", "ticker", "name", "__mismatch", F.explode("tags").alias("taxonomy_tag", "tag"))
     units = units.join(F.broadcast(tag_table(payloads.sparkSession)), "taxonomy_tag")
-    records = units.select("*", F.explode("tag.units").alias("unit", "records")).where(F.col("unit").isin(*V.UNITS)).select("*", F.explode("records").alias("r")).drop("tag", "records")
+    records = units.select(
+        "*", F.explode("tag.units").alias("unit", "records")
+    ).where(F.col("unit").isin(*V.UNITS)).select("*", F.explode("records").alias("r")).drop("tag", "records")
     form = F.create_map(*[F.lit(x) for pair in V.FORMS.items() for x in pair])[F.col("r.form")]
     rows = records.where(F.col("r.form").isin(*V.FORMS) & F.col("r.fp").isin(*V.PERIODS)).select(
         "cik", "ticker", F.col("name").alias("company_name"), "metric", "taxonomy_tag", "tag_priority", "unit", "__mismatch",
@@ -72,8 +79,12 @@ def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFram
         (F.col("value").isNull(), "value"),
         (~F.coalesce(F.col("accession_no").rlike(V.ACCESSION), F.lit(False)), "accession_no"),
     ]
-    reason = reduce(lambda rest, x: F.when(x[0], F.lit(x[1])).otherwise(rest), reversed(reasons), F.lit(None).cast("string"))
-    judged = rows.withColumn("reject_reason", reason).withColumn("source_url", filing_index_url("cik", "accession_no")).drop("__start", "__mismatch")
+    reason = reduce(
+        lambda rest, x: F.when(x[0], F.lit(x[1])).otherwise(rest), reversed(reasons), F.lit(None).cast("string")
+    )
+    judged = rows.withColumn("reject_reason", reason).withColumn(
+        "source_url", filing_index_url("cik", "accession_no")
+    ).drop("__start", "__mismatch")
     return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
 
 
@@ -84,8 +95,14 @@ def primary_context(candidates: DataFrame, also: tuple[str, ...] = ()) -> DataFr
     filing fixes: with them as keys, rows that are already together by them are not shuffled.
     """
     start = F.datediff("period_start", F.lit("1970-01-01").cast("date"))
-    length = F.when(~F.col("metric").isin(*V.DURATION_METRICS), 0).when(F.col("fiscal_period") == "FY", start).otherwise(-start)
-    return first_by(candidates, [*also, "accession_no", "metric", "fiscal_year", "fiscal_period"], F.desc("period_end"), length.asc_nulls_last(), F.asc("tag_priority"), F.asc("taxonomy_tag"), F.col("value").cast("decimal(28,4)").cast("string"))
+    length = F.when(
+        ~F.col("metric").isin(*V.DURATION_METRICS), 0
+    ).when(F.col("fiscal_period") == "FY", start).otherwise(-start)
+    return first_by(
+        candidates, [*also, "accession_no", "metric", "fiscal_year", "fiscal_period"], F.desc("period_end"),
+        length.asc_nulls_last(), F.asc("tag_priority"), F.asc("taxonomy_tag"),
+        F.col("value").cast("decimal(28,4)").cast("string")
+    )
 
 
 def latest_restatement(facts: DataFrame) -> DataFrame:
@@ -100,22 +117,31 @@ def latest_facts(candidates: DataFrame) -> DataFrame:
 
 def latest_stored(facts: DataFrame, id_col: str) -> DataFrame:
     """One stored fact per ticker, metric, period and unit: the last filed, then the largest id."""
-    return first_by(facts, ["ticker", "metric", "fiscal_year", "fiscal_period", "unit"], F.col("filing_date").desc_nulls_last(), F.desc(id_col))
+    return first_by(
+        facts, ["ticker", "metric", "fiscal_year", "fiscal_period", "unit"], F.col("filing_date").desc_nulls_last(),
+        F.desc(id_col)
+    )
 
 
 def canonical_order(facts: DataFrame) -> DataFrame:
-    return facts.orderBy("fiscal_year", F.array_position(F.array(*map(F.lit, V.PERIODS)), F.col("fiscal_period")), "metric", "ticker")
+    return facts.orderBy(
+        "fiscal_year", F.array_position(F.array(*map(F.lit, V.PERIODS)), F.col("fiscal_period")), "metric", "ticker"
+    )
 
 
 def after_cursor(facts: DataFrame, cursor: DataFrame) -> DataFrame:
     """Facts filed strictly after their company's cursor (cik, last_filing_date); a filing of the cursor's own day is skipped."""
-    return facts.join(cursor, "cik", "left").where(F.col("last_filing_date").isNull() | (F.col("filing_date") > F.col("last_filing_date"))).drop("last_filing_date")
+    return facts.join(cursor, "cik", "left").where(
+        F.col("last_filing_date").isNull() | (F.col("filing_date") > F.col("last_filing_date"))
+    ).drop("last_filing_date")
 
 
 def not_older_than_stored(facts: DataFrame, stored: DataFrame) -> DataFrame:
     """Facts for whose key no later filing is stored."""
     newest = stored.groupBy(*FACT_KEY).agg(F.max("filing_date").alias("__newest"))
-    return facts.join(newest, FACT_KEY, "left").where(F.col("__newest").isNull() | (F.col("__newest") <= F.col("filing_date"))).drop("__newest")
+    return facts.join(newest, FACT_KEY, "left").where(
+        F.col("__newest").isNull() | (F.col("__newest") <= F.col("filing_date"))
+    ).drop("__newest")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -147,9 +173,14 @@ def load_facts(stored: DataFrame, incoming: DataFrame, cursor: DataFrame) -> Dat
 def advance_cursor(cursor: DataFrame, loaded: DataFrame) -> DataFrame:
     """Per company the greater of its cursor and the last filing loaded, by (date, accession)."""
     moved = loaded.groupBy("cik").agg(F.max(F.struct("filing_date", "accession_no")).alias("__new"))
-    old = cursor.select("cik", F.struct(F.col("last_filing_date").alias("filing_date"), F.coalesce("last_accession", F.lit("")).alias("accession_no")).alias("__old"))
+    old = cursor.select(
+        "cik",
+        F.struct(F.col("last_filing_date").alias("filing_date"), F.coalesce("last_accession", F.lit("")).alias("accession_no")).alias("__old")
+    )
     both = old.join(moved, "cik", "full_outer").select("cik", F.greatest("__old", "__new").alias("c"))
-    return both.select("cik", F.col("c.filing_date").alias("last_filing_date"), F.col("c.accession_no").alias("last_accession"))
+    return both.select(
+        "cik", F.col("c.filing_date").alias("last_filing_date"), F.col("c.accession_no").alias("last_accession")
+    )
 
 
 def fiscal_context(filings: DataFrame, facts: DataFrame) -> DataFrame:
@@ -166,13 +197,18 @@ def year_over_year(facts: DataFrame, from_year: int | None = None) -> DataFrame:
     takes the place of a self-join: one scan, one shuffle.
     """
     before = Window.partitionBy("ticker", "metric", "unit").orderBy("fiscal_year").rangeBetween(-1, -1)
-    annual = facts.where("fiscal_period = 'FY'").select("ticker", "metric", "unit", "fiscal_year", F.col("value").cast("double").alias("to_value"))
+    annual = facts.where("fiscal_period = 'FY'").select(
+        "ticker", "metric", "unit", "fiscal_year", F.col("value").cast("double").alias("to_value")
+    )
     both = annual.withColumn("from_value", F.first("to_value").over(before)).where("from_value != 0")
     if from_year is not None:
         both = both.where(F.col("fiscal_year") > from_year)
     delta = F.col("to_value") - F.col("from_value")
     year = F.col("fiscal_year")
-    return both.select("ticker", "metric", "unit", (year - 1).alias("from_year"), year.alias("to_year"), "from_value", "to_value", delta.alias("delta"), (100 * delta / F.nullif("from_value", F.lit(0.0))).alias("percent_change"))
+    return both.select(
+        "ticker", "metric", "unit", (year - 1).alias("from_year"), year.alias("to_year"), "from_value", "to_value",
+        delta.alias("delta"), (100 * delta / F.nullif("from_value", F.lit(0.0))).alias("percent_change")
+    )
 
 
 def latest_per_company(filings: DataFrame) -> DataFrame:
@@ -181,7 +217,10 @@ def latest_per_company(filings: DataFrame) -> DataFrame:
 
 def validated(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that pass all rules, others with the first rule they fail). A rule that is null fails."""
-    reason = reduce(lambda rest, x: F.when(~F.coalesce(x[1], F.lit(False)), F.lit(x[0])).otherwise(rest), reversed(list(rules.items())), F.lit(None).cast("string"))
+    reason = reduce(
+        lambda rest, x: F.when(~F.coalesce(x[1], F.lit(False)), F.lit(x[0])).otherwise(rest),
+        reversed(list(rules.items())), F.lit(None).cast("string")
+    )
     judged = df.withColumn("reject_reason", reason)
     return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
 

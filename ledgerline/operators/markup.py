@@ -106,7 +106,9 @@ def is_data_grid(rows: list[list[str]]) -> bool:
     cells = [re.sub(r"\s+", " ", c).strip() for r in rows for c in r]
     full = [c for c in cells if c]
     numeric = sum(bool(_NUMBER.match(c)) for c in full)
-    return len(rows) >= 3 and len(cells) >= 9 and sum(len(r) >= 3 for r in rows) >= 2 and numeric >= max(3, len(full) // 5) and max(map(len, full), default=0) < 500
+    return len(rows) >= 3 and len(cells) >= 9 and sum(
+        len(r) >= 3 for r in rows
+    ) >= 2 and numeric >= max(3, len(full) // 5) and max(map(len, full), default=0) < 500
 
 
 def read_lines(html: str | None) -> list[Line]:
@@ -137,6 +139,11 @@ def to_text(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(h) for h in batch.column(1).to_pylist()], pa.string())], ["doc", "text"])
-
-    return docs.select(id_col, F.col(html_col)).mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, text string")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([visible_text(h) for h in batch.column(1).to_pylist()], pa.string())],
+                ["doc", "text"]
+            )
+
+    return docs.select(id_col, F.col(html_col)).mapInArrow(
+        run, f"doc {docs.schema[id_col].dataType.simpleString()}, text string"
+    )

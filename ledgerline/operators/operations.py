@@ -16,17 +16,23 @@ def volume(log: DataFrame, unit: str = "day") -> DataFrame:
 
 def latency(log: DataFrame, unit: str = "day") -> DataFrame:
     """Mean and interpolated 95th percentile of known latencies."""
-    return bucketed(log.where("latency_ms IS NOT NULL"), unit).groupBy("time").agg(F.avg("latency_ms").cast("double").alias("average"), F.percentile("latency_ms", 0.95).alias("p95"))
+    return bucketed(log.where("latency_ms IS NOT NULL"), unit).groupBy("time").agg(
+        F.avg("latency_ms").cast("double").alias("average"), F.percentile("latency_ms", 0.95).alias("p95")
+    )
 
 
 def cumulative_cost(log: DataFrame, unit: str = "day") -> DataFrame:
     """Running cost. Rows are summed to buckets first, so the one-task window sees buckets, not rows."""
-    buckets = bucketed(log, unit).groupBy("time").agg(F.sum(F.coalesce("cost_usd", F.lit(0))).cast("double").alias("cost"))
+    buckets = bucketed(log, unit).groupBy("time").agg(
+        F.sum(F.coalesce("cost_usd", F.lit(0))).cast("double").alias("cost")
+    )
     return buckets.select("time", F.sum("cost").over(Window.orderBy("time")).alias("cumulative_cost"))
 
 
 def intents(log: DataFrame) -> DataFrame:
-    return log.groupBy(F.coalesce(F.nullif("intent", F.lit("")), F.lit("unknown")).alias("intent")).agg(F.count("*").cast("double").alias("n"))
+    return log.groupBy(
+        F.coalesce(F.nullif("intent", F.lit("")), F.lit("unknown")).alias("intent")
+    ).agg(F.count("*").cast("double").alias("n"))
 
 
 def percent(condition: Column) -> Column:
@@ -48,14 +54,20 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     A model that stands twice in the table takes its first row by ``rank``.
     """
     money = "decimal(38,12)"
-    first = prices.withColumn("__r", F.row_number().over(Window.partitionBy("model", "kind").orderBy("rank"))).where("__r = 1").drop("__r", "rank")
+    first = prices.withColumn(
+        "__r", F.row_number().over(Window.partitionBy("model", "kind").orderBy("rank"))
+    ).where("__r = 1").drop("__r", "rank")
     # prices per token first: decimals keep all twelve digits that way
     price = lambda c: F.coalesce(F.col(c).cast("decimal(12,6)"), F.lit(0).cast("decimal(12,6)")) * F.lit("0.000001").cast("decimal(7,6)")
     tokens = lambda c: c.cast("decimal(12,0)")
     total, cached, output = F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")
-    model = tokens(F.greatest(total - cached, F.lit(0))) * price("input") + tokens(cached) * price("cached") + tokens(output) * price("output")
+    model = tokens(
+        F.greatest(total - cached, F.lit(0))
+    ) * price("input") + tokens(cached) * price("cached") + tokens(output) * price("output")
     cost = F.when(F.col("kind") == "embedding", tokens(total) * price("input")).otherwise(model)
-    return calls.withColumn("model", F.trim("model")).join(F.broadcast(first), ["model", "kind"], "left").withColumn("cost", cost.cast(money)).drop("input", "cached", "output")
+    return calls.withColumn("model", F.trim("model")).join(
+        F.broadcast(first), ["model", "kind"], "left"
+    ).withColumn("cost", cost.cast(money)).drop("input", "cached", "output")
 
 
 def usage(raw: str | Column) -> Column:
@@ -63,16 +75,23 @@ def usage(raw: str | Column) -> Column:
     raw = F.col(raw) if isinstance(raw, str) else raw
 
     def count(*paths: str) -> Column:
-        return F.greatest(F.coalesce(*[F.get_json_object(raw, p).try_cast("bigint") for p in paths], F.lit(0)), F.lit(0))
+        return F.greatest(
+            F.coalesce(*[F.get_json_object(raw, p).try_cast("bigint") for p in paths], F.lit(0)), F.lit(0)
+        )
 
     total = count("$.input_tokens", "$.prompt_tokens")
     cached = F.least(count("$.input_tokens_details.cached_tokens", "$.prompt_tokens_details.cached_tokens"), total)
-    return F.struct(total.alias("input_tokens"), cached.alias("cached_tokens"), count("$.output_tokens", "$.completion_tokens").alias("output_tokens"))
+    return F.struct(
+        total.alias("input_tokens"), cached.alias("cached_tokens"),
+        count("$.output_tokens", "$.completion_tokens").alias("output_tokens")
+    )
 
 
 def trace_totals(calls: DataFrame) -> DataFrame:
     """Tokens and cost of each stage of each request."""
-    return calls.groupBy("trace_id", "stage").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "cost")])
+    return calls.groupBy("trace_id", "stage").agg(
+        *[F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "cost")]
+    )
 
 
 def ingestion_summary(outcomes: DataFrame) -> DataFrame:

@@ -17,7 +17,10 @@ from ..functions.stemming import stems
 from ..functions.text import normal_ticker_value, terms
 
 FILTERS = ("ticker", "fiscal_year", "fiscal_period", "section")
-CHUNK_COLUMNS = ("id", "accession_no", "cik", "ticker", "fiscal_year", "fiscal_period", "section", "chunk_index", "text", "token_count", "source_url")
+CHUNK_COLUMNS = (
+    "id", "accession_no", "cik", "ticker", "fiscal_year", "fiscal_period", "section", "chunk_index", "text",
+    "token_count", "source_url"
+)
 
 
 def _value(key: str, value: object) -> object:
@@ -66,7 +69,9 @@ def checked_request(query: str, k: int) -> None:
 
 def top_k(scored: DataFrame, k: int, *order: Column, group: str = "qid", rank: str = "rank") -> DataFrame:
     """The first k of each question with ranks from 1; Spark keeps k a task before the shuffle."""
-    return scored.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
+    return scored.withColumn(
+        rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    ).where(F.col(rank) <= k)
 
 
 def _terms(column: str, stemmed: bool) -> Column:
@@ -100,12 +105,17 @@ class _TermIndex:
         row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy())
         row, term = row[term >= 0], term[term >= 0]
         each = self.begin[term + 1] - self.begin[term]
-        asker = self.askers[np.repeat(self.begin[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+        asker = self.askers[
+            np.repeat(self.begin[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        ]
         flat = np.bincount(np.repeat(row, each) * len(self.names) + asker, minlength=len(texts) * len(self.names))
         return flat.reshape(len(texts), len(self.names))
 
 
-def _term_counts(questions: DataFrame, chunks: DataFrame, stemmed: bool, block: int, kind: str, made: Callable[[_TermIndex, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+def _term_counts(
+    questions: DataFrame, chunks: DataFrame, stemmed: bool, block: int, kind: str,
+    made: Callable[[_TermIndex, np.ndarray, np.ndarray], pa.RecordBatch]
+) -> DataFrame:
     """What ``made`` yields for each batch of chunks and up to ``block`` questions; terms are cut by the same expression on both sides."""
     rows = chunks.select(F.col("id").cast("long").alias("id"), _terms("text", stemmed).alias("terms"))
 
@@ -128,7 +138,9 @@ def _term_counts(questions: DataFrame, chunks: DataFrame, stemmed: bool, block:
     return found
 
 
-def _best(names: list, ids: np.ndarray, scores: np.ndarray, k: int, qid_type: pa.DataType, column: str, least: float = -np.inf) -> pa.RecordBatch:
+def _best(
+    names: list, ids: np.ndarray, scores: np.ndarray, k: int, qid_type: pa.DataType, column: str, least: float = -np.inf
+) -> pa.RecordBatch:
     """The k best rows of each column of scores that are above ``least``; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, scores = ids[order], scores[order]
@@ -136,10 +148,16 @@ def _best(names: list, ids: np.ndarray, scores: np.ndarray, k: int, qid_type: pa
     value = np.take_along_axis(scores, best, 0).T.ravel()
     keep = np.flatnonzero(value > least)
     asker = np.repeat(np.arange(len(names)), len(best))[keep]
-    return pa.RecordBatch.from_arrays([pa.array(names, qid_type).take(pa.array(asker)), pa.array(ids[best].T.ravel()[keep]), pa.array(value[keep].astype(np.float64))], ["qid", "id", column])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, qid_type).take(pa.array(asker)), pa.array(ids[best].T.ravel()[keep]), pa.array(value[keep].astype(np.float64))],
+        ["qid", "id", column]
+    )
 
 
-def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False, block: int = 4096) -> DataFrame:
+def text_search(
+    questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False,
+    block: int = 4096
+) -> DataFrame:
     """Rows (qid, id, text_score, rank): chunks that hold any term of the question, 0.1 for each place where one stands.
 
     Questions (qid, query) are a stated set: it is broadcast in blocks of ``block``, each batch of chunks counts the terms of
@@ -149,19 +167,31 @@ def text_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[s
     checked_k(k)
     kind = to_arrow_type(questions.schema["qid"].dataType)
     made = lambda index, ids, counts: _best(index.names, ids, counts, k, kind, "places", 0)
-    found = _term_counts(questions, chunks.where(metadata_predicate(filters)), stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, id long, places double", made)
-    return top_k(found, k, F.desc("places"), F.asc("id")).select("qid", "id", (F.col("places") * 0.1).alias("text_score"), "rank")
-
-
-def text_match_counts(questions: DataFrame, chunks: DataFrame, *, stemmed: bool = False, block: int = 4096) -> DataFrame:
+    found = _term_counts(
+        questions, chunks.where(metadata_predicate(filters)), stemmed, block,
+        f"qid {questions.schema['qid'].dataType.simpleString()}, id long, places double", made
+    )
+    return top_k(found, k, F.desc("places"), F.asc("id")).select(
+        "qid", "id", (F.col("places") * 0.1).alias("text_score"), "rank"
+    )
+
+
+def text_match_counts(
+    questions: DataFrame, chunks: DataFrame, *, stemmed: bool = False, block: int = 4096
+) -> DataFrame:
     """Rows (qid, matches), zero where nothing matches. Ids of chunks are distinct."""
     kind = to_arrow_type(questions.schema["qid"].dataType)
     made = lambda index, ids, counts: pa.RecordBatch.from_arrays([pa.array(index.names, kind), pa.array(np.count_nonzero(counts, axis=0))], ["qid", "n"])
-    found = _term_counts(questions, chunks, stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, n long", made).groupBy("qid").agg(F.sum("n").alias("n"))
+    found = _term_counts(
+        questions, chunks, stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, n long", made
+    ).groupBy("qid").agg(F.sum("n").alias("n"))
     return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
-def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, dimensions: int | None = None, block: int = 4096) -> DataFrame:
+def vector_search(
+    questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *,
+    dimensions: int | None = None, block: int = 4096
+) -> DataFrame:
     """Rows (qid, id, vector_score, rank) by exact cosine similarity in double precision; ties go to the smaller id.
 
     Questions (qid, embedding) are a stated set: it is broadcast in blocks of ``block`` vectors, so the chunks are read once
@@ -171,7 +201,9 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
     checked_k(k)
     spark = chunks.sparkSession
     qid_type = to_arrow_type(questions.schema["qid"].dataType)
-    rows = chunks.where(metadata_predicate(filters) & F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
+    rows = chunks.where(
+        metadata_predicate(filters) & F.col("embedding").isNotNull()
+    ).select(F.col("id").cast("long").alias("id"), "embedding")
 
     def scorer(names: list, matrix: np.ndarray) -> Callable:
         shared = spark.sparkContext.broadcast((names, matrix))
@@ -186,7 +218,9 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
                     ids = part.column("id").filter(sized).to_numpy()
                     if not len(ids):
                         continue
-                    x = vectors.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                    x = vectors.filter(sized).flatten().to_numpy(
+                        zero_copy_only=False
+                    ).astype(np.float64).reshape(len(ids), -1)
                     norm = np.linalg.norm(x, axis=1)
                     good = np.isfinite(norm) & (norm > 0)
                     yield _best(names, ids[good], x[good] / norm[good, None] @ matrix.T, k, qid_type, "vector_score")
@@ -194,7 +228,9 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
         return run
 
     def valid(qid: object, vector: list | None) -> tuple[object, list]:
-        if vector is None or (dimensions and len(vector) != dimensions) or not all(x is not None and np.isfinite(x) for x in vector):
+        if vector is None or (dimensions and len(vector) != dimensions) or not all(
+            x is not None and np.isfinite(x) for x in vector
+        ):
             raise ValueError(f"the vector of question {qid!r} is not valid")
         return qid, vector
 
@@ -203,7 +239,9 @@ def vector_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict
     for part in _in_blocks((valid(*r) for r in questions.select("qid", "embedding").toLocalIterator()), block):
         matrix = np.array([v for _, v in part], np.float64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        found = found.unionByName(rows.mapInArrow(scorer([q for q, _ in part], matrix / np.where(norm > 0, norm, 1)), kind))
+        found = found.unionByName(
+            rows.mapInArrow(scorer([q for q, _ in part], matrix / np.where(norm > 0, norm, 1)), kind)
+        )
     return top_k(found, k, F.desc("vector_score"), F.asc("id"))
 
 
@@ -214,9 +252,13 @@ def fuse(text: DataFrame, vector: DataFrame, k: int, *, rrf_k: int = 60, text_ca
     """
     if text_cap is not None:
         text = text.where(F.col("rank") <= text_cap)
-    both = text.select("qid", "id", "text_score", F.col("rank").alias("__t")).join(vector.select("qid", "id", "vector_score", F.col("rank").alias("__v")), ["qid", "id"], "full_outer")
+    both = text.select("qid", "id", "text_score", F.col("rank").alias("__t")).join(
+        vector.select("qid", "id", "vector_score", F.col("rank").alias("__v")), ["qid", "id"], "full_outer"
+    )
     score = F.coalesce(1 / (rrf_k + F.col("__t")), F.lit(0.0)) + F.coalesce(1 / (rrf_k + F.col("__v")), F.lit(0.0))
-    fused = both.select("qid", "id", "text_score", "vector_score", score.alias("rrf_score"), F.least("__t", "__v").alias("best_rank"))
+    fused = both.select(
+        "qid", "id", "text_score", "vector_score", score.alias("rrf_score"), F.least("__t", "__v").alias("best_rank")
+    )
     return top_k(fused, k, F.desc("rrf_score"), F.asc("best_rank"), F.asc("id"))
 
 
@@ -224,9 +266,15 @@ def fuse(text: DataFrame, vector: DataFrame, k: int, *, rrf_k: int = 60, text_ca
 WIDEN = 3
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, widen: int = WIDEN, rrf_k: int = 60, text_cap: int | None = None) -> DataFrame:
+def hybrid_search(
+    questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, widen: int = WIDEN,
+    rrf_k: int = 60, text_cap: int | None = None
+) -> DataFrame:
     """Fusion of both searches, each over ``widen`` times as many rows. Questions are (qid, query, embedding)."""
-    return fuse(text_search(questions, chunks, k * widen, filters), vector_search(questions, chunks, k * widen, filters), k, rrf_k=rrf_k, text_cap=text_cap)
+    return fuse(
+        text_search(questions, chunks, k * widen, filters), vector_search(questions, chunks, k * widen, filters), k,
+        rrf_k=rrf_k, text_cap=text_cap
+    )
 
 
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -241,19 +289,25 @@ def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
-def pair_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:
+def pair_scores(
+    pairs: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer
+) -> DataFrame:
     """Rows (qid, id, rerank_score) of pairs (qid, id): a table of scores, so that a pair in many lists is scored once.
 
     Scores must be finite, one for each row.
     """
-    rows = pairs.select("qid", "id").join(chunks.select("id", "text"), "id").join(questions.select("qid", "query"), "qid")
+    rows = pairs.select("qid", "id").join(chunks.select("id", "text"), "id").join(
+        questions.select("qid", "query"), "qid"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = scorer(batch.column("query").to_pylist(), batch.column("text").to_pylist())
             if len(scores) != batch.num_rows or not np.isfinite(scores).all():
                 raise ValueError("the reranker's scores are not one finite number for each row")
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("id"), pa.array(scores, pa.float64())], ["qid", "id", "rerank_score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("qid"), batch.column("id"), pa.array(scores, pa.float64())], ["qid", "id", "rerank_score"]
+            )
 
     kind = f"qid {pairs.schema['qid'].dataType.simpleString()}, id {pairs.schema['id'].dataType.simpleString()}, rerank_score double"
     return rows.select("qid", "id", "query", "text").mapInArrow(run, kind)
@@ -265,7 +319,9 @@ def reranked(ranked: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     return top_k(rows, n, F.desc("rerank_score"), F.asc("before"))
 
 
-def rerank(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, n: int, scorer: Scorer = overlap_scorer) -> DataFrame:
+def rerank(
+    ranked: DataFrame, questions: DataFrame, chunks: DataFrame, n: int, scorer: Scorer = overlap_scorer
+) -> DataFrame:
     """The first n of each question by the scorer, ties in their former order."""
     return reranked(ranked, pair_scores(ranked, questions, chunks, scorer), n)
 
@@ -274,9 +330,14 @@ def rerank(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, n: int, s
 PERIOD_FILTERS = ("fiscal_year", "fiscal_period")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, filters: dict[str, object] | None = None, *, strategy: str = "vector_rerank", k: int = 20, n: int = 5, relax: bool = False, scorer: Scorer = overlap_scorer) -> DataFrame:
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, filters: dict[str, object] | None = None, *,
+    strategy: str = "vector_rerank", k: int = 20, n: int = 5, relax: bool = False, scorer: Scorer = overlap_scorer
+) -> DataFrame:
     """One of four strategies. With ``relax``, each question that finds nothing is searched again without the period filters."""
-    search = {"vector": vector_search, "vector_rerank": vector_search, "hybrid": hybrid_search, "hybrid_rerank": hybrid_search}.get(strategy)
+    search = {
+        "vector": vector_search, "vector_rerank": vector_search, "hybrid": hybrid_search, "hybrid_rerank": hybrid_search
+    }.get(strategy)
     if search is None:
         raise ValueError(f"no strategy {strategy!r}")
     checked_k(k)

@@ -34,7 +34,10 @@ def section_rules() -> dict[str, Column]:
 
 def chunk_rules(dimensions: int) -> dict[str, Column]:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return section_rules() | {"chunk_index": F.col("chunk_index") >= 0, "token_count": F.col("token_count") > 0, "embedding": (F.size("embedding") == dimensions) & finite}
+    return section_rules() | {
+        "chunk_index": F.col("chunk_index") >= 0, "token_count": F.col("token_count") > 0,
+        "embedding": (F.size("embedding") == dimensions) & finite
+    }
 
 
 def feedback_rules() -> dict[str, Column]:

@@ -44,16 +44,23 @@ FROM {events}
 
 FEEDBACK = "SELECT doc_id AS trace_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS rating FROM {labels}"
 
-VIEWS = {"companies": COMPANIES, "filings": FILINGS, "candidates": CANDIDATES, "chunks": CHUNKS, "questions": QUESTIONS, "query_logs": LOGS, "feedback": FEEDBACK}
+VIEWS = {
+    "companies": COMPANIES, "filings": FILINGS, "candidates": CANDIDATES, "chunks": CHUNKS, "questions": QUESTIONS,
+    "query_logs": LOGS, "feedback": FEEDBACK
+}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "documents", "benchmark", "events", "labels") if "{" + t + "}" in text}
+    tables = {
+        t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem", "documents", "benchmark", "events", "labels") if "{" + t + "}" in text
+    }
     return spark.sql(text, **tables)
 
 
 def with_views(sql: str, *names: str) -> str:
     """The same views as common table expressions before a query."""
     plain = {n: VIEWS[n].replace("{", "").replace("}", "") for n in names}
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in plain.items()) + (", " if not sql.lstrip().upper().startswith("SELECT") else " ") + sql
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in plain.items()) + (
+        ", " if not sql.lstrip().upper().startswith("SELECT") else " "
+    ) + sql

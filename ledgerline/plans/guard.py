@@ -24,10 +24,14 @@ TABLES = {
     "filings": "accession_no cik form_type filing_date period_of_report primary_doc_url".split(),
 }
 # fixed values: functions that user SQL may call
-FUNCTIONS = frozenset("abs avg cast ceil coalesce count date_trunc extract floor greatest if lag lead least lower max min nullif power round row_number sum upper".split())
+FUNCTIONS = frozenset(
+    "abs avg cast ceil coalesce count date_trunc extract floor greatest if lag lead least lower max min nullif power round row_number sum upper".split()
+)
 # operators that the parser turns into functions
 OPERATORS = frozenset(("between",))
-NODES = frozenset("Project Filter Aggregate Join Union Intersect Except Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedRelation UnresolvedHaving UnresolvedWith Distinct UnresolvedSubqueryColumnAliases".split())
+NODES = frozenset(
+    "Project Filter Aggregate Join Union Intersect Except Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedRelation UnresolvedHaving UnresolvedWith Distinct UnresolvedSubqueryColumnAliases".split()
+)
 ROOTS = frozenset("Project Aggregate Distinct UnresolvedHaving UnresolvedWith".split())
 # wrappers and operators that are part of the language, not functions
 SYNTAX = frozenset(
@@ -39,7 +43,9 @@ SYNTAX = frozenset(
 
 
 # the schema's name, in quotes of identifiers or not, goes from the text; texts and other identifiers in quotes, and comments, are kept
-_UNQUALIFIED = re.compile(r"(?P<kept>'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/)|(?:\bpublic\b|`public`)\s*\.\s*", re.IGNORECASE | re.DOTALL)
+_UNQUALIFIED = re.compile(
+    r"(?P<kept>'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/)|(?:\bpublic\b|`public`)\s*\.\s*", re.IGNORECASE | re.DOTALL
+)
 
 
 class SqlRejected(ValueError):
@@ -158,7 +164,9 @@ class _Reads(_Walk):
 
 
 # nodes with children that change something
-WRITES = frozenset("InsertIntoStatement InsertIntoDir CreateTableAsSelect ReplaceTableAsSelect MergeIntoTable UpdateTable DeleteFromTable CreateView CacheTable CacheTableAsSelect CreateNamespace DropTable".split())
+WRITES = frozenset(
+    "InsertIntoStatement InsertIntoDir CreateTableAsSelect ReplaceTableAsSelect MergeIntoTable UpdateTable DeleteFromTable CreateView CacheTable CacheTableAsSelect CreateNamespace DropTable".split()
+)
 # functions that read files or run code by name
 REACHING = frozenset(("reflect", "java_method", "try_reflect", "read_files"))
 
@@ -236,7 +244,9 @@ def guarded(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> Dat
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     for name in used:
         visible = tables[name].select(*[c for c in TABLES[name] if c in tables[name].columns])
-        rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, visible._jdf.queryExecution().analyzed())
+        rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+            own._jsparkSession, visible._jdf.queryExecution().analyzed()
+        )
         rows.createOrReplaceTempView(name)
     try:
         out = own.sql(_UNQUALIFIED.sub(lambda m: m["kept"] or "", text))

@@ -91,7 +91,9 @@ def ingestion_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a third of the companies the cursor is later than what is loaded and must win, of a third earlier, of a third there is none."""
     which = F.col("cik") % 3
     day = F.when(which == 0, F.lit("1997-06-30")).otherwise(F.lit("1992-01-01")).cast("date")
-    start = view(spark, sf_dir, "companies").where(which < 2).select("cik", day.alias("last_filing_date"), F.when(which == 0, F.lit("held")).alias("last_accession"))
+    start = view(spark, sf_dir, "companies").where(which < 2).select(
+        "cik", day.alias("last_filing_date"), F.when(which == 0, F.lit("held")).alias("last_accession")
+    )
     loaded = view(spark, sf_dir, "filings").where("filing_date < DATE '1996-01-01'")
     return facts.advance_cursor(start, loaded).withColumn("last_filing_date", F.col("last_filing_date").cast("string"))
 
@@ -102,7 +104,9 @@ def ingestion_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fact_pivot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ["revenue", "net_income", "total_assets"]
-    return latest(spark, sf_dir).where("fiscal_period = 'FY'").groupBy("ticker", "fiscal_year").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in wanted])
+    return latest(spark, sf_dir).where("fiscal_period = 'FY'").groupBy("ticker", "fiscal_year").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in wanted]
+    )
 
 
 @registered(
@@ -114,7 +118,10 @@ def fact_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("ticker", "metric").orderBy("fiscal_year")
     running = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return latest(spark, sf_dir).where("fiscal_period = 'FY'").select("ticker", "metric", "fiscal_year", "value", F.lag("value").over(w).alias("prior_value"), F.lead("value").over(w).alias("next_value"), running.alias("running"))
+    return latest(spark, sf_dir).where("fiscal_period = 'FY'").select(
+        "ticker", "metric", "fiscal_year", "value", F.lag("value").over(w).alias("prior_value"),
+        F.lead("value").over(w).alias("next_value"), running.alias("running")
+    )
 
 
 @registered(
@@ -122,28 +129,47 @@ def fact_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     "candidates", "filings",
 )
 def filing_fiscal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.fiscal_context(view(spark, sf_dir, "filings"), view(spark, sf_dir, "candidates")).select("accession_no", "cik", "form_type", "fiscal_year", "fiscal_period")
+    return facts.fiscal_context(view(spark, sf_dir, "filings"), view(spark, sf_dir, "candidates")).select(
+        "accession_no", "cik", "form_type", "fiscal_year", "fiscal_period"
+    )
 
 
-@registered("SELECT cik, CAST(max(filing_date) AS STRING) AS filing_date, max_by(accession_no, (filing_date, accession_no)) AS accession_no FROM filings GROUP BY cik", "filings")
+@registered(
+    "SELECT cik, CAST(max(filing_date) AS STRING) AS filing_date, max_by(accession_no, (filing_date, accession_no)) AS accession_no FROM filings GROUP BY cik",
+    "filings"
+)
 def latest_filing_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.latest_per_company(view(spark, sf_dir, "filings")).withColumn("filing_date", F.col("filing_date").cast("string"))
+    return facts.latest_per_company(view(spark, sf_dir, "filings")).withColumn(
+        "filing_date", F.col("filing_date").cast("string")
+    )
 
 
 @registered("SELECT c.id, c.ticker, co.name FROM chunks c JOIN companies co ON c.cik = co.cik", "chunks", "companies")
 def company_identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "chunks").join(view(spark, sf_dir, "companies").select("cik", "name"), "cik").select("id", "ticker", "name")
+    return view(spark, sf_dir, "chunks").join(
+        view(spark, sf_dir, "companies").select("cik", "name"), "cik"
+    ).select("id", "ticker", "name")
 
 
-@registered("SELECT id, ticker, fiscal_year, fiscal_period, section FROM chunks WHERE (fiscal_year IN (2016, 2018) OR fiscal_year IS NULL) AND section IN ('MD&A', 'Notes') AND fiscal_period = 'FY'", "chunks")
+@registered(
+    "SELECT id, ticker, fiscal_year, fiscal_period, section FROM chunks WHERE (fiscal_year IN (2016, 2018) OR fiscal_year IS NULL) AND section IN ('MD&A', 'Notes') AND fiscal_period = 'FY'",
+    "chunks"
+)
 def metadata_filter_in_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = retrieval.metadata_predicate({"fiscal_year": [2016, 2018, None], "section": ["MD&A", "Notes"], "fiscal_period": "fy"})
+    keep = retrieval.metadata_predicate(
+        {"fiscal_year": [2016, 2018, None], "section": ["MD&A", "Notes"], "fiscal_period": "fy"}
+    )
     return view(spark, sf_dir, "chunks").where(keep).select("id", "ticker", "fiscal_year", "fiscal_period", "section")
 
 
-@registered("SELECT id, ticker, section, accession_no, chunk_index FROM chunks ORDER BY ticker, section, accession_no, chunk_index, id LIMIT 100", "chunks")
+@registered(
+    "SELECT id, ticker, section, accession_no, chunk_index FROM chunks ORDER BY ticker, section, accession_no, chunk_index, id LIMIT 100",
+    "chunks"
+)
 def chunk_total_order_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "chunks").select("id", "ticker", "section", "accession_no", "chunk_index").orderBy("ticker", "section", "accession_no", "chunk_index", "id").limit(100)
+    return view(spark, sf_dir, "chunks").select(
+        "id", "ticker", "section", "accession_no", "chunk_index"
+    ).orderBy("ticker", "section", "accession_no", "chunk_index", "id").limit(100)
 
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -153,9 +179,13 @@ text_scored AS (SELECT qid, id, sum(tf) * 0.1 AS text_score FROM held JOIN wante
 text_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY text_score DESC, id) AS rank FROM text_scored)"""
 
 
-@registered(f"{TEXT} SELECT qid, id, CAST(rank AS INT) AS rank FROM text_ranked WHERE rank <= 20", "chunks", "questions")
+@registered(
+    f"{TEXT} SELECT qid, id, CAST(rank AS INT) AS rank FROM text_ranked WHERE rank <= 20", "chunks", "questions"
+)
 def text_or_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.text_search(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"), 20).select("qid", "id", "rank")
+    return retrieval.text_search(
+        view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"), 20
+    ).select("qid", "id", "rank")
 
 
 @registered(
@@ -163,7 +193,9 @@ def text_or_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chunks", "questions",
 )
 def text_match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.match_stats(retrieval.text_match_counts(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks")))
+    return evaluation.match_stats(
+        retrieval.text_match_counts(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"))
+    )
 
 
 VECTOR = """vecs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), asked AS (SELECT id AS qid, e AS q FROM vecs WHERE id % 100 = 0),
@@ -186,7 +218,9 @@ def _legs(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFram
     questions, rows = _vectors(spark, sf_dir)
     chunks = view(spark, sf_dir, "chunks")
     asked = chunks.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.text_search(asked, chunks, k * retrieval.WIDEN), retrieval.vector_search(questions, rows, k * retrieval.WIDEN)
+    return retrieval.text_search(asked, chunks, k * retrieval.WIDEN), retrieval.vector_search(
+        questions, rows, k * retrieval.WIDEN
+    )
 
 
 FUSED = """wanted AS (SELECT DISTINCT qid, term FROM (SELECT id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks WHERE id % 100 = 0) w WHERE term NOT IN (STOP)),
@@ -215,7 +249,9 @@ def _metrics(approach: str, ranked: str) -> str:
     FROM (SELECT a.qid, r.rank, {cut} AS cutoff FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 100 = 0) a LEFT JOIN {ranked} r ON a.qid = r.qid AND r.id = a.qid + 1) x GROUP BY cutoff"""
 
 
-@registered(f"WITH {VECTOR}, v AS (SELECT * FROM vector_ranked WHERE rank <= 400) SELECT CAST(cutoff AS INT) AS cutoff, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM ({_metrics('vector', 'v').replace('[5, 10]', '[100, 400]')}) m")
+@registered(
+    f"WITH {VECTOR}, v AS (SELECT * FROM vector_ranked WHERE rank <= 400) SELECT CAST(cutoff AS INT) AS cutoff, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM ({_metrics('vector', 'v').replace('[5, 10]', '[100, 400]')}) m"
+)
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, rows = _vectors(spark, sf_dir)
     ranked = retrieval.vector_search(questions, rows, 400)
@@ -228,7 +264,10 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "filings",
 )
 def best_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = view(spark, sf_dir, "filings").groupBy(F.col("form_type").alias("approach")).agg(F.avg(F.year("filing_date").cast("double")).alias("ndcg"), F.count("*").cast("double").alias("mrr"), F.max(F.month("filing_date")).cast("double").alias("hit_rate"))
+    scored = view(spark, sf_dir, "filings").groupBy(F.col("form_type").alias("approach")).agg(
+        F.avg(F.year("filing_date").cast("double")).alias("ndcg"), F.count("*").cast("double").alias("mrr"),
+        F.max(F.month("filing_date")).cast("double").alias("hit_rate")
+    )
     return evaluation.best_approach(scored, ["10-K", "10-Q"]).select("approach", "hit_rate")
 
 
@@ -250,11 +289,23 @@ SELECT count(*) AS question_count, count(*) FILTER (WHERE NOT expect_refusal) AS
 def numeric_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "filings")
     required = F.array((F.col("cik") % 7).cast("string"))
-    cases = f.select(F.col("accession_no").alias("case_id"), ((F.col("form_type") == "10-Q") & (F.col("cik") % 4 == 0)).alias("expect_refusal"), required.alias("required"), required.alias("allowed"))
+    cases = f.select(
+        F.col("accession_no").alias("case_id"),
+        ((F.col("form_type") == "10-Q") & (F.col("cik") % 4 == 0)).alias("expect_refusal"), required.alias("required"),
+        required.alias("allowed")
+    )
     day = F.day("filing_date")
-    returned = F.when(day % 9 == 0, None).when(day % 5 == 0, F.array().cast("array<string>")).when(day % 6 == 0, F.array(F.lit("wrong"))).otherwise(required)
-    outcomes = f.where(day != 28).select(F.col("accession_no").alias("case_id"), F.lit(1).alias("seq"), returned.alias("returned"), (F.month("filing_date") % 2 == 0).alias("grounded"))
-    return evaluation.score_numbers(cases, outcomes).select("question_count", "answerable_count", "exact_match_rate", "grounded_rate", "empty_or_refusal_rate", "false_number_rate", "correct_refusal_rate", "execution_error_rate")
+    returned = F.when(day % 9 == 0, None).when(
+        day % 5 == 0, F.array().cast("array<string>")
+    ).when(day % 6 == 0, F.array(F.lit("wrong"))).otherwise(required)
+    outcomes = f.where(day != 28).select(
+        F.col("accession_no").alias("case_id"), F.lit(1).alias("seq"), returned.alias("returned"),
+        (F.month("filing_date") % 2 == 0).alias("grounded")
+    )
+    return evaluation.score_numbers(cases, outcomes).select(
+        "question_count", "answerable_count", "exact_match_rate", "grounded_rate", "empty_or_refusal_rate",
+        "false_number_rate", "correct_refusal_rate", "execution_error_rate"
+    )
 
 
 @registered(
@@ -262,10 +313,14 @@ def numeric_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     "candidates",
 )
 def grounding_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = facts.primary_context(view(spark, sf_dir, "candidates")).withColumn("case_id", F.concat_ws("|", "accession_no", "cik", F.col("metric")))
+    answers = facts.primary_context(view(spark, sf_dir, "candidates")).withColumn(
+        "case_id", F.concat_ws("|", "accession_no", "cik", F.col("metric"))
+    )
     known, unknown = evaluation.grounded_numbers(answers, latest(spark, sf_dir))
     cols = ["cik", "metric", "fiscal_year", "fiscal_period", "value"]
-    return known.select(*cols, F.lit(True).alias("supplied")).unionByName(unknown.select(*cols, F.lit(False).alias("supplied")))
+    return known.select(*cols, F.lit(True).alias("supplied")).unionByName(
+        unknown.select(*cols, F.lit(False).alias("supplied"))
+    )
 
 
 @registered(
@@ -274,7 +329,10 @@ def grounding_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def citation_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = view(spark, sf_dir, "chunks")
-    cites = chunks.select(F.col("id").alias("cid"), "source_url", F.expr("CASE WHEN id % 2 = 0 THEN section END").alias("section"), F.expr("CASE WHEN id % 3 = 0 THEN 'ACC-none' END").alias("accession_no"))
+    cites = chunks.select(
+        F.col("id").alias("cid"), "source_url", F.expr("CASE WHEN id % 2 = 0 THEN section END").alias("section"),
+        F.expr("CASE WHEN id % 3 = 0 THEN 'ACC-none' END").alias("accession_no")
+    )
     return evaluation.resolved_citations(cites, chunks)
 
 
@@ -283,17 +341,27 @@ def citation_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chunks",
 )
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.stratified_sample(view(spark, sf_dir, "chunks"), ["ticker", "section"], ["id"], 60).select("id", "ticker", "section")
+    return evaluation.stratified_sample(
+        view(spark, sf_dir, "chunks"), ["ticker", "section"], ["id"], 60
+    ).select("id", "ticker", "section")
 
 
-@registered("dealt AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY md5(concat_ws('|', '42', CAST(id AS STRING))), id) AS n FROM chunks) SELECT id, section FROM dealt WHERE n <= 4 ORDER BY md5(concat_ws('|', '42', CAST(id AS STRING))), id LIMIT 12", "chunks")
+@registered(
+    "dealt AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY md5(concat_ws('|', '42', CAST(id AS STRING))), id) AS n FROM chunks) SELECT id, section FROM dealt WHERE n <= 4 ORDER BY md5(concat_ws('|', '42', CAST(id AS STRING))), id LIMIT 12",
+    "chunks"
+)
 def narrative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.first_per_group(view(spark, sf_dir, "chunks"), ["section"], ["id"], 12, 4).select("id", "section")
 
 
-@registered(f"{YOY}, dealt AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5(concat_ws('|', '42', ticker, metric, CAST(from_year AS STRING))), ticker, metric, from_year) AS n FROM yoy) SELECT ticker, metric, from_year FROM dealt WHERE n = 1 ORDER BY md5(concat_ws('|', '42', ticker, metric, CAST(from_year AS STRING))), ticker, metric, from_year LIMIT 8", "candidates")
+@registered(
+    f"{YOY}, dealt AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5(concat_ws('|', '42', ticker, metric, CAST(from_year AS STRING))), ticker, metric, from_year) AS n FROM yoy) SELECT ticker, metric, from_year FROM dealt WHERE n = 1 ORDER BY md5(concat_ws('|', '42', ticker, metric, CAST(from_year AS STRING))), ticker, metric, from_year LIMIT 8",
+    "candidates"
+)
 def comparison_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.first_per_group(facts.year_over_year(latest(spark, sf_dir)), ["ticker"], ["ticker", "metric", "from_year"], 8).select("ticker", "metric", "from_year")
+    return evaluation.first_per_group(
+        facts.year_over_year(latest(spark, sf_dir)), ["ticker"], ["ticker", "metric", "from_year"], 8
+    ).select("ticker", "metric", "from_year")
 
 
 W = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[-''][a-z0-9]+)?')"
@@ -314,36 +382,59 @@ def question_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the questions are a stated set, small enough to be numbered by one task
     numbered = q.withColumn("at", F.row_number().over(Window.orderBy("qid")) - 1)
     pairs = view(spark, sf_dir, "chunks").join(numbered, F.col("at") == F.col("id") % F.lit(max(1, q.count())))
-    rows = pairs.select("id", F.concat("query", F.lit(" T1?")).alias("question"), F.lit(True).alias("specific"), F.col("text").alias("source"), F.lit("T1").alias("issuer"))
+    rows = pairs.select(
+        "id", F.concat("query", F.lit(" T1?")).alias("question"), F.lit(True).alias("specific"),
+        F.col("text").alias("source"), F.lit("T1").alias("issuer")
+    )
     return evaluation.question_quality(rows, V.QUESTION_STOP_WORDS, V.GENERIC_WORDS).select("id", "reason")
 
 
-@registered("SELECT date_trunc('day', created_at) AS time, CAST(count(*) AS DOUBLE) AS requests FROM query_logs GROUP BY 1", "query_logs")
+@registered(
+    "SELECT date_trunc('day', created_at) AS time, CAST(count(*) AS DOUBLE) AS requests FROM query_logs GROUP BY 1",
+    "query_logs"
+)
 def dash_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.volume(view(spark, sf_dir, "query_logs"))
 
 
-@registered("SELECT date_trunc('day', created_at) AS time, round(avg(latency_ms), 6) AS average, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM query_logs WHERE latency_ms IS NOT NULL GROUP BY 1", "query_logs")
+@registered(
+    "SELECT date_trunc('day', created_at) AS time, round(avg(latency_ms), 6) AS average, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM query_logs WHERE latency_ms IS NOT NULL GROUP BY 1",
+    "query_logs"
+)
 def dash_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations.latency(view(spark, sf_dir, "query_logs")).withColumn("average", F.round("average", 6)).withColumn("p95", F.round("p95", 6))
+    return operations.latency(
+        view(spark, sf_dir, "query_logs")
+    ).withColumn("average", F.round("average", 6)).withColumn("p95", F.round("p95", 6))
 
 
-@registered("bucketed AS (SELECT date_trunc('day', created_at) AS time, CAST(sum(coalesce(cost_usd, 0)) AS DOUBLE) AS cost FROM query_logs GROUP BY 1) SELECT time, sum(cost) OVER (ORDER BY time) AS cumulative_cost FROM bucketed", "query_logs")
+@registered(
+    "bucketed AS (SELECT date_trunc('day', created_at) AS time, CAST(sum(coalesce(cost_usd, 0)) AS DOUBLE) AS cost FROM query_logs GROUP BY 1) SELECT time, sum(cost) OVER (ORDER BY time) AS cumulative_cost FROM bucketed",
+    "query_logs"
+)
 def dash_cost_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.cumulative_cost(view(spark, sf_dir, "query_logs"))
 
 
-@registered("SELECT coalesce(nullif(intent, ''), 'unknown') AS intent, CAST(count(*) AS DOUBLE) AS n FROM query_logs GROUP BY 1", "query_logs")
+@registered(
+    "SELECT coalesce(nullif(intent, ''), 'unknown') AS intent, CAST(count(*) AS DOUBLE) AS n FROM query_logs GROUP BY 1",
+    "query_logs"
+)
 def dash_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.intents(view(spark, sf_dir, "query_logs"))
 
 
-@registered("SELECT coalesce(100.0::DOUBLE * count(*) FILTER (WHERE grounded IS TRUE) / nullif(count(*), 0), 0) AS grounded_rate FROM query_logs", "query_logs")
+@registered(
+    "SELECT coalesce(100.0::DOUBLE * count(*) FILTER (WHERE grounded IS TRUE) / nullif(count(*), 0), 0) AS grounded_rate FROM query_logs",
+    "query_logs"
+)
 def dash_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.grounded_rate(view(spark, sf_dir, "query_logs"))
 
 
-@registered("SELECT coalesce(100.0::DOUBLE * count(*) FILTER (WHERE rating = 1) / nullif(count(*), 0), 0) AS positive_rate FROM feedback", "feedback")
+@registered(
+    "SELECT coalesce(100.0::DOUBLE * count(*) FILTER (WHERE rating = 1) / nullif(count(*), 0), 0) AS positive_rate FROM feedback",
+    "feedback"
+)
 def dash_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.positive_rate(view(spark, sf_dir, "feedback"))
 
@@ -353,16 +444,26 @@ def dash_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    prices = spark.createDataFrame([(0, "large", "model", "2", "0.5", "8"), (1, "vectors", "embedding", "0.02", None, None)], "rank int, model string, kind string, input string, cached string, output string")
+    prices = spark.createDataFrame(
+        [(0, "large", "model", "2", "0.5", "8"), (1, "vectors", "embedding", "0.02", None, None)],
+        "rank int, model string, kind string, input string, cached string, output string"
+    )
     which = F.col("event_id") % 3
-    calls = e.select("event_type", F.when(which == 0, "large").when(which == 1, "vectors").otherwise("other").alias("model"), F.when(which == 1, "embedding").otherwise("model").alias("kind"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 400).alias("cached_tokens"), (F.col("event_id") % 200).alias("output_tokens"))
+    calls = e.select(
+        "event_type", F.when(which == 0, "large").when(which == 1, "vectors").otherwise("other").alias("model"),
+        F.when(which == 1, "embedding").otherwise("model").alias("kind"),
+        (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 400).alias("cached_tokens"),
+        (F.col("event_id") % 200).alias("output_tokens")
+    )
     return operations.call_cost(calls, prices).groupBy("event_type").agg(F.sum("cost").cast("double").alias("cost"))
 
 
 LINES = "lines AS (SELECT doc_id AS doc, CAST(i - 1 AS INT) AS n, trim(regexp_replace(string_split(text, chr(10))[i], '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) t)"
 
 
-@registered(f"WITH {LINES}, kept AS (SELECT * FROM lines WHERE line <> ''), p AS (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY n) AS b FROM kept) SELECT doc, n, line FROM p WHERE b IS DISTINCT FROM line")
+@registered(
+    f"WITH {LINES}, kept AS (SELECT * FROM lines WHERE line <> ''), p AS (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY n) AS b FROM kept) SELECT doc, n, line FROM p WHERE b IS DISTINCT FROM line"
+)
 def line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return lines.without_repeats(lines.lines_of(docs, "doc_id", "text")).select("doc", "n", "line")
@@ -378,7 +479,10 @@ def line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents printed with a footer after every line: it goes where it stands three times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    footed = docs.select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit("\nForm 10-K | "), "source", F.lit(" | Page 7 of 9\n"))).alias("text"))
+    footed = docs.select(
+        "doc_id",
+        F.replace("text", F.lit("\n"), F.concat(F.lit("\nForm 10-K | "), "source", F.lit(" | Page 7 of 9\n"))).alias("text")
+    )
     return lines.without_boilerplate(lines.lines_of(footed, "doc_id", "text"), 3).select("doc", "n", "line")
 
 
@@ -391,9 +495,13 @@ HEADED = "concat('PART I', chr(10), 'Item 1. Statements', chr(10), coalesce(text
 )
 def section_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document between two headings, whole. The SQL holds for texts whose own lines are no headings, as all of the test tables'."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(HEADED.replace("chr(10)", "'\\n'")).alias("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.expr(HEADED.replace("chr(10)", "'\\n'")).alias("text")
+    )
     forms = docs.select(F.col("doc_id").alias("doc"), F.lit("10-Q").alias("form_type"))
-    return lines.sections(lines.lines_of(docs, "doc_id", "text"), forms).select("doc", "section", F.sha2("text", 256).alias("text_sha256"))
+    return lines.sections(lines.lines_of(docs, "doc_id", "text"), forms).select(
+        "doc", "section", F.sha2("text", 256).alias("text_sha256")
+    )
 
 
 @registered(
@@ -407,7 +515,9 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return chunking.chunk_sections(docs, ["doc_id"]).select("doc_id", "chunk_index", "token_count", F.sha2("text", 256).alias("text_sha256"))
+    return chunking.chunk_sections(docs, ["doc_id"]).select(
+        "doc_id", "chunk_index", "token_count", F.sha2("text", 256).alias("text_sha256")
+    )
 
 
 @registered()
@@ -419,18 +529,25 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("form_type", F.lit("10-K"))
-    return repair.clean_filings(pages, "page_id", "form_type", "html").select("doc", "section", F.length("text").alias("n_chars"), "note")
+    return repair.clean_filings(pages, "page_id", "form_type", "html").select(
+        "doc", "section", F.length("text").alias("n_chars"), "note"
+    )
 
 
 GUARDED = "SELECT metric, fiscal_year, fiscal_period, avg(value) AS value, unit FROM financial_facts WHERE ticker IN ('T1', 'T2', 'T3', 'T4') AND fiscal_period = 'FY' GROUP BY metric, fiscal_year, fiscal_period, unit ORDER BY fiscal_year, metric LIMIT 500"
 
 
-@registered(f"{A3}, financial_facts AS (SELECT * FROM latest) SELECT metric, fiscal_year, fiscal_period, avg(value) AS value, unit FROM financial_facts WHERE ticker IN ('T1', 'T2', 'T3', 'T4') AND fiscal_period = 'FY' GROUP BY metric, fiscal_year, fiscal_period, unit ORDER BY fiscal_year, metric LIMIT 100", "candidates")
+@registered(
+    f"{A3}, financial_facts AS (SELECT * FROM latest) SELECT metric, fiscal_year, fiscal_period, avg(value) AS value, unit FROM financial_facts WHERE ticker IN ('T1', 'T2', 'T3', 'T4') AND fiscal_period = 'FY' GROUP BY metric, fiscal_year, fiscal_period, unit ORDER BY fiscal_year, metric LIMIT 100",
+    "candidates"
+)
 def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.guarded(spark, GUARDED, {"financial_facts": latest(spark, sf_dir)})
 
 
-@registered("SELECT time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) AS time, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@registered(
+    "SELECT time_bucket(INTERVAL '1 day', CAST(ts AS TIMESTAMP)) AS time, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+)
 def streaming_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.windowed_volume(spark, f"{sf_dir}/events.parquet")
 
@@ -443,4 +560,6 @@ SELECT qid, id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PAR
 @registered(TEXT + RERANKED, "chunks", "questions")
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, chunks = view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks")
-    return retrieval.rerank(retrieval.text_search(questions, chunks, 20), questions, chunks, 5).select("qid", "id", "rank")
+    return retrieval.rerank(
+        retrieval.text_search(questions, chunks, 20), questions, chunks, 5
+    ).select("qid", "id", "rank")

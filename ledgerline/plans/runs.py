@@ -26,31 +26,50 @@ Generator = Callable[[list[str]], list[tuple[str, bool]]]
 
 def template_questions(texts: list[str]) -> list[tuple[str, bool]]:
     """A deterministic stand-in for a question generator."""
-    return [(f"What does the issuer say about {' and '.join(sorted(set(t.lower().split()), key=lambda w: (-len(w), w))[:6])} in its filing?", bool(t.strip())) for t in texts]
+    return [
+        (f"What does the issuer say about {' and '.join(sorted(set(t.lower().split()), key=lambda w: (-len(w), w))[:6])} in its filing?", bool(t.strip())) for t in texts
+    ]
 
 
-def ground_truth(chunks: DataFrame, n: int, generate: Generator = template_questions, *, candidates: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def ground_truth(
+    chunks: DataFrame, n: int, generate: Generator = template_questions, *, candidates: int | None = None,
+    seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
     """(accepted questions, histogram of rejections): a stratified sample of chunks, one question each, checked, made distinct and balanced.
 
     ``chunks`` have id, accession_no, section, chunk_index, ticker, name, text and token_count.
     """
     strata = ["ticker", "section", "bucket"]
-    picked = evaluation.stratified_sample(chunks.withColumn("bucket", size_bucket("token_count")), strata, ["accession_no", "section", "chunk_index"], candidates or 3 * n, seed)
+    picked = evaluation.stratified_sample(
+        chunks.withColumn("bucket", size_bucket("token_count")), strata, ["accession_no", "section", "chunk_index"],
+        candidates or 3 * n, seed
+    )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = generate(batch.column("text").to_pylist())
             if len(found) != batch.num_rows:
                 raise ValueError("the generator's questions do not fit the texts")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([q for q, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_())], [*batch.schema.names, "question", "specific"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([q for q, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_())],
+                [*batch.schema.names, "question", "specific"]
+            )
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    asked = picked.mapInArrow(ask, f"{kind}, question string, specific boolean").withColumn("source", F.col("text")).withColumn("issuer", evaluation.issuer_text("ticker", "name"))
+    asked = picked.mapInArrow(ask, f"{kind}, question string, specific boolean").withColumn("source", F.col("text")).withColumn(
+        "issuer", evaluation.issuer_text("ticker", "name")
+    )
     judged = evaluation.question_quality(asked, V.QUESTION_STOP_WORDS, V.GENERIC_WORDS)
     twin = F.row_number().over(facts.Window.partitionBy(F.lower(F.trim("question")), "reason").orderBy("id"))
-    judged = judged.withColumn("reason", F.when((F.col("reason") == "accepted") & (twin > 1), "duplicate").otherwise(F.col("reason")))
-    good = evaluation.stratified_sample(judged.where("reason = 'accepted'"), strata, ["accession_no", "section", "chunk_index"], n, seed + 1)
-    return good.select("id", "accession_no", "section", "chunk_index", "ticker", "question", "overlap"), judged.groupBy("reason").agg(F.count("*").alias("n"))
+    judged = judged.withColumn(
+        "reason", F.when((F.col("reason") == "accepted") & (twin > 1), "duplicate").otherwise(F.col("reason"))
+    )
+    good = evaluation.stratified_sample(
+        judged.where("reason = 'accepted'"), strata, ["accession_no", "section", "chunk_index"], n, seed + 1
+    )
+    return good.select(
+        "id", "accession_no", "section", "chunk_index", "ticker", "question", "overlap"
+    ), judged.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def current_ids(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -58,11 +77,17 @@ def current_ids(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     now = chunks.select(F.col("id").alias("now"), "accession_no", "section", "chunk_index", F.col("ticker").alias("t"))
     found = pairs.join(now, ["accession_no", "section", "chunk_index"], "left")
     bad = F.col("now").isNull() | (F.col("t") != F.col("ticker"))
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("no such chunk: "), "accession_no")).cast("long")).otherwise(F.col("now"))
+    checked = F.when(
+        bad, F.raise_error(F.concat(F.lit("no such chunk: "), "accession_no")).cast("long")
+    ).otherwise(F.col("now"))
     return found.select("qid", checked.alias("id"))
 
 
-def compare_retrieval(questions: DataFrame, chunks: DataFrame, pairs: DataFrame, *, cutoffs: tuple[int, ...] = (5, 10), primary: int = 10, caps: tuple[int, ...] = (10, 50, 100), expected_fingerprint: str | None = None, production: str = "vector_rerank", scorer: retrieval.Scorer = retrieval.overlap_scorer) -> tuple[DataFrame, dict[str, object]]:
+def compare_retrieval(
+    questions: DataFrame, chunks: DataFrame, pairs: DataFrame, *, cutoffs: tuple[int, ...] = (5, 10), primary: int = 10,
+    caps: tuple[int, ...] = (10, 50, 100), expected_fingerprint: str | None = None, production: str = "vector_rerank",
+    scorer: retrieval.Scorer = retrieval.overlap_scorer
+) -> tuple[DataFrame, dict[str, object]]:
     """(metrics of each approach and cutoff, the best approach and whether production uses it). Questions are (qid, query, embedding).
 
     All questions go through one plan for each approach. With a fingerprint, another corpus is an error.
@@ -80,7 +105,9 @@ def compare_retrieval(questions: DataFrame, chunks: DataFrame, pairs: DataFrame,
         legs[name] = chunks.sparkSession.read.schema(found.schema).parquet(f"{folder}/{name}")
     first = lambda ranked, n: ranked.where(F.col("rank") <= n)
     hybrid = retrieval.fuse(legs["text"], legs["vector"], 2 * k)
-    lists = {"text_search": first(legs["text"], k), "vector_search": first(legs["vector"], k), "hybrid_rrf": first(hybrid, k)}
+    lists = {
+        "text_search": first(legs["text"], k), "vector_search": first(legs["vector"], k), "hybrid_rrf": first(hybrid, k)
+    }
     wanted = {"hybrid_rrf_rerank": hybrid, "vector_rerank": first(legs["vector"], 2 * k)}
     for cap in caps:
         capped = retrieval.fuse(legs["text"], legs["vector"], 2 * k, text_cap=cap)
@@ -96,7 +123,9 @@ def compare_retrieval(questions: DataFrame, chunks: DataFrame, pairs: DataFrame,
     for name, ranked in lists.items():
         part = evaluation.retrieval_metrics(pairs, ranked, cutoffs).withColumn("approach", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    best = evaluation.best_approach(rows.where((F.col("cutoff") == primary) & F.col("approach").isin(*APPROACHES)), list(APPROACHES)).first()
+    best = evaluation.best_approach(
+        rows.where((F.col("cutoff") == primary) & F.col("approach").isin(*APPROACHES)), list(APPROACHES)
+    ).first()
     return rows, {"best": best["approach"], "production_confirmed": best["approach"] == production}
 
 
@@ -111,30 +140,46 @@ def run_numeric(spark: SparkSession, cases: list[dict], answer: Callable[[str],
         except Exception:  # noqa: BLE001
             rows.append((case["case_id"], 1, None, None))
     outcomes = spark.createDataFrame(rows, "case_id string, seq int, grounded boolean, returned array<string>")
-    known = spark.createDataFrame([(c["case_id"], c["expect_refusal"], [key(f) for f in c["required"]], [key(f) for f in c["allowed"]]) for c in cases], "case_id string, expect_refusal boolean, required array<string>, allowed array<string>")
+    known = spark.createDataFrame(
+        [(c["case_id"], c["expect_refusal"], [key(f) for f in c["required"]], [key(f) for f in c["allowed"]]) for c in cases],
+        "case_id string, expect_refusal boolean, required array<string>, allowed array<string>"
+    )
     return evaluation.score_numbers(known, outcomes)
 
 
 def persist(metrics: DataFrame, config: dict, kind: str, path: str) -> DataFrame:
     """Append a run's metrics as one row; returns its id."""
     row = metrics.agg(F.to_json(F.collect_list(F.struct(*metrics.columns))).alias("metrics"))
-    return tables.append_runs(row.withColumn("config", F.lit(json.dumps(config, sort_keys=True))).withColumn("kind", F.lit(kind)), path)
+    return tables.append_runs(
+        row.withColumn("config", F.lit(json.dumps(config, sort_keys=True))).withColumn("kind", F.lit(kind)), path
+    )
 
 
-def ingest_facts(payloads: DataFrame, companies: DataFrame, stored: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_facts(
+    payloads: DataFrame, companies: DataFrame, stored: DataFrame, cursor: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts after the load, the cursor after it, summary by status). A bad record is rejected alone."""
     good, bad = facts.fact_candidates(payloads, companies)
     fresh = facts.latest_facts(good).select(*stored.columns)
     after = facts.load_facts(stored, fresh, cursor.select("cik", "last_filing_date"))
-    counts = good.select(F.lit("OK").alias("status")).unionByName(bad.select(F.col("reject_reason").alias("status"))).groupBy("status").agg(F.count("*").alias("rows"))
+    counts = good.select(F.lit("OK").alias("status")).unionByName(
+        bad.select(F.col("reject_reason").alias("status"))
+    ).groupBy("status").agg(F.count("*").alias("rows"))
     return after, facts.advance_cursor(cursor, after), counts
 
 
-def ingest_documents(found: DataFrame, documents: DataFrame, known_facts: DataFrame, *, dimensions: int = 64, max_tokens: int = 700, overlap: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def ingest_documents(
+    found: DataFrame, documents: DataFrame, known_facts: DataFrame, *, dimensions: int = 64, max_tokens: int = 700,
+    overlap: float = 0.15
+) -> tuple[DataFrame, DataFrame]:
     """(embedded chunks ready to replace their filings, sections that could not be read). ``documents`` are (accession_no, html)."""
     placed = facts.fiscal_context(found, known_facts)
-    cleaned = repair.clean_filings(placed.join(documents, "accession_no"), "accession_no", "form_type", "html").withColumnRenamed("doc", "accession_no")
-    chunks = chunking.chunk_sections(cleaned.where("section IS NOT NULL"), ["accession_no", "section"], max_tokens, overlap)
+    cleaned = repair.clean_filings(
+        placed.join(documents, "accession_no"), "accession_no", "form_type", "html"
+    ).withColumnRenamed("doc", "accession_no")
+    chunks = chunking.chunk_sections(
+        cleaned.where("section IS NOT NULL"), ["accession_no", "section"], max_tokens, overlap
+    )
     rows = chunking.embed(chunks, dimensions).join(placed.drop("form_type"), "accession_no")
     return rows, cleaned.where("note IS NOT NULL").select("accession_no", "section", "note")
 
@@ -146,7 +191,9 @@ def discover(payloads: DataFrame, cursor: DataFrame, history: DataFrame | None =
     """
     found = filings.submission_filings(payloads)
     wanted = filings.history_files(payloads, cursor)
-    landed = wanted.join(history, ["cik", "name"], "left") if history is not None else wanted.withColumn("json", F.lit(None).cast("string"))
+    landed = wanted.join(history, ["cik", "name"], "left") if history is not None else wanted.withColumn(
+        "json", F.lit(None).cast("string")
+    )
     missing = F.raise_error(F.concat(F.lit("history file is not landed: "), "name")).cast("string")
     older = landed.select("cik", "part", F.coalesce("json", missing).alias("json"))
     return filings.new_filings(found.unionByName(filings.submission_filings(older)), cursor)

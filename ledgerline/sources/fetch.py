@@ -17,7 +17,10 @@ HOSTS = ("www.sec.gov", "data.sec.gov")
 class Pace:
     """At most ``per_second`` starts a second, over all threads."""
 
-    def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, per_second: float, clock: Callable[[], float] = time.monotonic,
+        sleep: Callable[[float], None] = time.sleep
+    ):
         if not 0 < per_second <= 10:
             raise ValueError("the service allows up to ten requests a second")
         self.gap, self.clock, self.sleep, self.lock, self.next = 1 / per_second, clock, sleep, threading.Lock(), 0.0
@@ -38,7 +41,9 @@ def landed_name(url: str, suffix: str = "") -> str:
 class Fetcher:
     """Responses by URL, landed once in a folder; 429, server errors and broken connections are tried again, up to a minute apart."""
 
-    def __init__(self, transport: Transport, folder: str, pace: Pace, tries: int = 5, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, transport: Transport, folder: str, pace: Pace, tries: int = 5, sleep: Callable[[float], None] = time.sleep
+    ):
         self.transport, self.folder, self.pace, self.tries, self.sleep = transport, folder, pace, tries, sleep
 
     def get(self, url: str, suffix: str = "", use_landed: bool = True) -> bytes:

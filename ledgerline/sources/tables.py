@@ -40,7 +40,9 @@ def read_only_session(spark: SparkSession, root: str, names: tuple[str, ...] = R
 
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     """Replace the whole of each partition that ``df`` has rows of; others stay."""
-    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    df.repartition(*keys).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*keys).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -49,7 +51,9 @@ def append(df: DataFrame, path: str) -> None:
 
 def append_runs(runs: DataFrame, path: str) -> DataFrame:
     """Append evaluation runs in one write; the id is a hash of their content."""
-    keyed = runs.withColumn("id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(runs.columns)]), 256))
+    keyed = runs.withColumn(
+        "id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(runs.columns)]), 256)
+    )
     append(keyed, path)
     return keyed.select("id")
 
@@ -105,7 +109,10 @@ def read_versioned(spark: SparkSession, path: str, schema: StructType | str) ->
 
 def upsert_filings(incoming: DataFrame, path: str) -> None:
     """Filings by accession: the last filed, then the larger address, of those that come in replaces what is stored."""
-    upsert_table(incoming, path, ["accession_no"], F.col("filing_date").desc_nulls_last(), F.col("primary_doc_url").desc_nulls_last())
+    upsert_table(
+        incoming, path, ["accession_no"], F.col("filing_date").desc_nulls_last(),
+        F.col("primary_doc_url").desc_nulls_last()
+    )
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:

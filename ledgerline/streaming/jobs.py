@@ -13,10 +13,14 @@ from ..session import shared_folder
 from ..sources.tables import replace_partitions
 
 
-def windowed_counts(events: DataFrame, time_col: str, key: str, length: str = "1 day", late: str = "10 days") -> DataFrame:
+def windowed_counts(
+    events: DataFrame, time_col: str, key: str, length: str = "1 day", late: str = "10 days"
+) -> DataFrame:
     """Counts per tumbling window and key; a timestamp without zone is taken as UTC, since watermarks need one."""
     timed = events.withColumn("__t", F.col(time_col).cast("timestamp")).withWatermark("__t", late)
-    return timed.groupBy(F.window("__t", length), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("time"), key, "n")
+    return timed.groupBy(F.window("__t", length), key).agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("time"), key, "n"
+    )
 
 
 def windowed_volume(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +34,9 @@ def windowed_volume(spark: SparkSession, path: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out")
 
     counts = windowed_counts(events, "ts", "event_type")
-    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    counts.writeStream.outputMode("complete").option(
+        "checkpointLocation", f"{root}/state"
+    ).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("time", "event_type", "n")
 
 
@@ -56,9 +62,13 @@ def ingest_facts(spark: SparkSession, incoming: str, schema: str, table: str, ch
         replace_partitions(spark.read.parquet(staged), table, "cik")
 
     stream = spark.readStream.schema(schema).parquet(incoming)
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(load).start()
+    return stream.writeStream.option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).foreachBatch(load).start()
 
 
 def sessions(events: DataFrame, time_col: str, key: str, gap: str = "30 minutes") -> DataFrame:
     """Events of one key with no longer gap between them, an extension beyond time buckets."""
-    return events.withColumn("__t", F.col(time_col).cast("timestamp")).groupBy(F.session_window("__t", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return events.withColumn("__t", F.col(time_col).cast("timestamp")).groupBy(F.session_window("__t", gap), key).agg(F.count("*").alias("n")).select(
+        key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"
+    )

@@ -12,7 +12,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 def spark():
     from ledgerline.session import builder
 
-    session = builder("tests").master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
+    session = builder("tests").master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -28,12 +28,17 @@ def test_the_rest_works_without_the_corpus_operators(monkeypatch):
     monkeypatch.delattr(ledgerline, "llm", raising=False)
     monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
     bare = importlib.reload(entry)
-    assert "fact_yoy_change" in bare.queries() and not any(n.startswith("op") for n in bare.queries()) and "pipeline" not in bare.queries()
+    assert "fact_yoy_change" in bare.queries() and not any(
+        n.startswith("op") for n in bare.queries()
+    ) and "pipeline" not in bare.queries()
     monkeypatch.undo()
     importlib.reload(entry)
 
 
-CORE = ["fact_primary_context", "dash_latency", "guarded_sql", "numeric_scoring", "section_state_machine", "capped_rrf", "line_dedupe"]
+CORE = [
+    "fact_primary_context", "dash_latency", "guarded_sql", "numeric_scoring", "section_state_machine", "capped_rrf",
+    "line_dedupe"
+]
 
 
 @pytest.mark.parametrize("name", CORE)

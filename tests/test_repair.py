@@ -9,39 +9,64 @@ run = lambda html, form="10-K": repaired_sections(read_lines(html), form)  # noq
 
 
 def test_repeated_item_headers_are_joined():
-    html = p("Item 7. Discussion", *LONG[:20], "31", "Item 7. Discussion", *LONG[20:40], "32", "Item 7. Discussion", *LONG[40:], "Item 8. Statements", "x")
+    html = p(
+        "Item 7. Discussion", *LONG[:20], "31", "Item 7. Discussion", *LONG[20:40], "32", "Item 7. Discussion",
+        *LONG[40:], "Item 8. Statements", "x"
+    )
     assert run(html)[0]["MD&A"] == "\n".join(["Discussion", *LONG])
 
 
 def test_a_unique_anchor_outranks_length():
-    html = p("Item 7. Discussion", *LONG, "Item 7A. Market") + '<p id="item_7_start">Item 7. Discussion</p>' + p(*LONG[:3], "Item 8. Statements", "x", "Item 7. See", "y", "Item 9. z")
+    html = p("Item 7. Discussion", *LONG, "Item 7A. Market") + '<p id="item_7_start">Item 7. Discussion</p>' + p(
+        *LONG[:3], "Item 8. Statements", "x", "Item 7. See", "y", "Item 9. z"
+    )
     assert run(html)[0]["MD&A"].startswith("Discussion\nSentence 0") and len(run(html)[0]["MD&A"]) > 2000
-    short = p("Item 7. Discussion", "tiny", "Item 7A. Market") + '<p id="item_7_start">Item 7. Discussion</p>' + p(*LONG[:3], "Item 8. Statements", "x", "Item 7. See", *LONG[:9], "Item 9. z")
+    short = p("Item 7. Discussion", "tiny", "Item 7A. Market") + '<p id="item_7_start">Item 7. Discussion</p>' + p(
+        *LONG[:3], "Item 8. Statements", "x", "Item 7. See", *LONG[:9], "Item 9. z"
+    )
     assert run(short)[0]["MD&A"] == "\n".join(["Discussion", *LONG[:3]])
 
 
 def test_incorporation_stub_is_resolved_by_a_styled_title():
-    html = p("Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x", "Item 15. Exhibits") + "<h2>Management’s Discussion and Analysis</h2>" + p(*LONG) + "<h2>Financial Statements</h2>" + p("end")
+    html = p(
+        "Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x", "Item 15. Exhibits"
+    ) + "<h2>Management’s Discussion and Analysis</h2>" + p(*LONG) + "<h2>Financial Statements</h2>" + p("end")
     assert run(html)[0]["MD&A"] == "\n".join(["Management’s Discussion and Analysis", *LONG])
 
 
 def test_a_title_in_prose_or_without_end_is_not_taken():
-    plain = p("Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x", "Item 15. Exhibits", "Management's Discussion and Analysis", *LONG, "Financial Statements")
+    plain = p(
+        "Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x", "Item 15. Exhibits",
+        "Management's Discussion and Analysis", *LONG, "Financial Statements"
+    )
     found, failed = run(plain)
     assert found["MD&A"] == "Discussion\nIncorporated by reference." and failed["MD&A"] == "no other title was found"
-    open_end = p("Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x") + "<h2>Management's Discussion and Analysis</h2>" + p(*LONG)
+    open_end = p(
+        "Item 7. Discussion", "Incorporated by reference.", "Item 8. Statements", "x"
+    ) + "<h2>Management's Discussion and Analysis</h2>" + p(*LONG)
     assert run(open_end)[1]["MD&A"] == "a title was found without a reliable end"
 
 
 def test_late_index_points_to_earlier_text():
-    index = p("Part I", "Item 1. Business", "Item 1A. Risk", "Item 2. Properties", "Item 3. Legal", "Part II", "Item 5. Market", "Item 7. Discussion", "Item 7A. Quantity", "Item 8. Statements", "Item 9. Changes")
-    body = p("Management's Discussion and Analysis", *LONG, "Risk Factors", *LONG[::-1], "Properties", *[f"filler {k}" for k in range(200)])
+    index = p(
+        "Part I", "Item 1. Business", "Item 1A. Risk", "Item 2. Properties", "Item 3. Legal", "Part II",
+        "Item 5. Market", "Item 7. Discussion", "Item 7A. Quantity", "Item 8. Statements", "Item 9. Changes"
+    )
+    body = p(
+        "Management's Discussion and Analysis", *LONG, "Risk Factors", *LONG[::-1], "Properties",
+        *[f"filler {k}" for k in range(200)]
+    )
     found, _ = run(body + index)
-    assert found["MD&A"] == "\n".join(["Management's Discussion and Analysis", *LONG]) and found["Risk Factors"] == "\n".join(["Risk Factors", *LONG[::-1]])
+    assert found["MD&A"] == "\n".join(
+        ["Management's Discussion and Analysis", *LONG]
+    ) and found["Risk Factors"] == "\n".join(["Risk Factors", *LONG[::-1]])
 
 
 def test_accounting_notes_need_a_first_note():
-    html = p("Notes to Consolidated Financial Statements", "12", "Item 8. Statements", "see index", "Item 9. Changes", "none", "Notes to Consolidated Financial Statements", "Note 1. Basis", *LONG, "Signatures", "x")
+    html = p(
+        "Notes to Consolidated Financial Statements", "12", "Item 8. Statements", "see index", "Item 9. Changes",
+        "none", "Notes to Consolidated Financial Statements", "Note 1. Basis", *LONG, "Signatures", "x"
+    )
     found, _ = run(html)
     assert found["Notes"] == "\n".join(["Notes to Consolidated Financial Statements", "Note 1. Basis", *LONG])
     assert run(html.replace("Note 1. Basis", "Basis"))[0]["Notes"] == "Statements\nsee index"
@@ -54,6 +79,9 @@ def test_equally_long_candidates_keep_the_first_reading():
 
 
 def test_table_of_filings(spark):
-    docs = spark.createDataFrame([(1, "10-K", p("Item 7. D", "text")), (2, "10-K", None), (3, None, p("only text"))], "id long, form string, html string")
+    docs = spark.createDataFrame(
+        [(1, "10-K", p("Item 7. D", "text")), (2, "10-K", None), (3, None, p("only text"))],
+        "id long, form string, html string"
+    )
     got = sorted((r.doc, r.section or "", r.text or "") for r in clean_filings(docs, "id", "form", "html").collect())
     assert got == [(1, "MD&A", "D\ntext"), (2, "", ""), (3, "Full Filing", "only text")]

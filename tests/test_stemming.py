@@ -12,5 +12,7 @@ def test_published_examples(word, want):
 
 
 def test_column(spark):
-    row = spark.createDataFrame([(["risks", "filings", None],), (None,), ([],)], "w array<string>").select(stems("w")).collect()
+    row = spark.createDataFrame(
+        [(["risks", "filings", None],), (None,), ([],)], "w array<string>"
+    ).select(stems("w")).collect()
     assert [r[0] for r in row] == [["risk", "file", None], None, []]
