@@ -39,7 +39,9 @@ from .storage import written
 SPAN = 16  # frames under one integer
 SHARD_PRINTS = 2000  # holders of an integer before it is split
 # one filter for each kind of comparison and place: (kind, first pitch class, classes, frames)
-FILTERS = tuple((kind, (3 * i + 2 * kind) % 12, (4, 6, 8, 12)[(i + kind) % 4], (4, 8, 12, 16)[i]) for kind in range(4) for i in range(4))
+FILTERS = tuple(
+    (kind, (3 * i + 2 * kind) % 12, (4, 6, 8, 12)[(i + kind) % 4], (4, 8, 12, 16)[i]) for kind in range(4) for i in range(4)
+)
 STEPS = (-0.35, 0.0, 0.35)
 
 
@@ -50,12 +52,16 @@ def wav_samples(media: bytes | None) -> tuple[int, np.ndarray]:
             if f.getsampwidth() != 2:
                 return 1, np.zeros(0, np.float32)
             data = np.frombuffer(f.readframes(f.getnframes()), "<i2")
-            return f.getframerate(), data[: len(data) // f.getnchannels() * f.getnchannels()].reshape(-1, f.getnchannels()).mean(axis=1).astype(np.float32)
+            return f.getframerate(), data[
+                : len(data) // f.getnchannels() * f.getnchannels()
+            ].reshape(-1, f.getnchannels()).mean(axis=1).astype(np.float32)
     except (wave.Error, EOFError):
         return 1, np.zeros(0, np.float32)
 
 
-def chroma(rate: int, samples: np.ndarray, seconds: float = 0.256, hops: int = 4, low: float = 100.0, high: float = 1800.0) -> np.ndarray:
+def chroma(
+    rate: int, samples: np.ndarray, seconds: float = 0.256, hops: int = 4, low: float = 100.0, high: float = 1800.0
+) -> np.ndarray:
     """Energy of the twelve pitch classes in each frame, scaled to length one; silent frames are zero."""
     size = int(rate * seconds)
     hop = size // hops
@@ -67,7 +73,9 @@ def chroma(rate: int, samples: np.ndarray, seconds: float = 0.256, hops: int = 4
     fold[use, np.round(12 * np.log2(bins[use] / 440)).astype(int) % 12] = 1
     frames = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
     window = np.hanning(size).astype(np.float32)
-    out = np.concatenate([np.square(np.abs(np.fft.rfft(frames[i : i + 256] * window, axis=1))).astype(np.float32) @ fold for i in range(0, len(frames), 256)])
+    out = np.concatenate(
+        [np.square(np.abs(np.fft.rfft(frames[i : i + 256] * window, axis=1))).astype(np.float32) @ fold for i in range(0, len(frames), 256)]
+    )
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-3, out / np.maximum(norm, 1e-9), 0)
 
@@ -97,7 +105,9 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             a = area(0, width // 2, first, first + classes)
             b = whole - a
         else:  # two opposite quarters
-            a = area(0, width // 2, first, first + classes // 2) + area(width // 2, width, first + classes // 2, first + classes)
+            a = area(0, width // 2, first, first + classes // 2) + area(
+                width // 2, width, first + classes // 2, first + classes
+            )
             b = whole - a
         level = np.searchsorted(STEPS, np.log((1e-3 + a) / (1e-3 + b)))
         out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)
@@ -146,23 +156,44 @@ def fingerprints(media: DataFrame, *, id_col: str, media_col: str, decode: Calla
                 part = batch.slice(at, 64)
                 prints = [fingerprint(chroma(*decode(m))) for m in part.column(1).to_pylist()]
                 runs = [_runs(p) for p in prints]
-                cols = [pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary()), pa.array([m.astype(np.int64) for m, _ in runs], pa.list_(pa.int64())), pa.array([w.astype(np.int32) for _, w in runs], pa.list_(pa.int32()))]
+                cols = [
+                    pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary()),
+                    pa.array([m.astype(np.int64) for m, _ in runs], pa.list_(pa.int64())),
+                    pa.array([w.astype(np.int32) for _, w in runs], pa.list_(pa.int32()))
+                ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "prints", "runs", "places"])
 
-    kind = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    kind = T.StructType(
+        [T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
+    )
     return media.select(id_col, media_col).mapInArrow(run, kind)
 
 
-def aligned_groups(media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples, most_errors: float = 0.15, least_overlap: int = 32) -> DataFrame:
+def aligned_groups(
+    media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples, most_errors: float = 0.15,
+    least_overlap: int = 32
+) -> DataFrame:
     """Rows (id, n_ints, prints, group_id): the smallest id reachable over recordings that align."""
     made = written(fingerprints(media, id_col=id_col, media_col=media_col, decode=decode), "prints")
-    held = made.where(F.col(id_col).isNotNull() & (F.length("prints") > 0)).select(F.col(id_col).cast("long").alias("id"), "prints", "runs", "places", F.xxhash64("prints").alias("same"), F.crc32("prints").alias("check"))
+    held = made.where(F.col(id_col).isNotNull() & (F.length("prints") > 0)).select(
+        F.col(id_col).cast("long").alias("id"), "prints", "runs", "places", F.xxhash64("prints").alias("same"),
+        F.crc32("prints").alias("check")
+    )
     nodes = held.groupBy("same", "check").agg(F.min("id").alias("node"))
-    equal = held.select("id", "same", "check").join(nodes, ["same", "check"]).where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    equal = held.select("id", "same", "check").join(nodes, ["same", "check"]).where("id != node").select(
+        F.col("id").alias("u"), F.col("node").alias("v")
+    )
     # rows of one id may have several fingerprints: one row for each fingerprint, under its smallest id
-    own = written(held.join(nodes, ["same", "check"]).where("id = node").dropDuplicates(["same", "check"]).select("node", "same", "prints", "runs", "places"), "recordings")
-    marks = own.select("node", "same", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "shard", "places": "at"})
-    shared = marks.groupBy("shard").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("shard")
+    own = written(
+        held.join(nodes, ["same", "check"]).where("id = node").dropDuplicates(["same", "check"]).select("node", "same", "prints", "runs", "places"),
+        "recordings"
+    )
+    marks = own.select(
+        "node", "same", F.inline(F.arrays_zip("runs", "places"))
+    ).withColumnsRenamed({"runs": "shard", "places": "at"})
+    shared = marks.groupBy("shard").agg(
+        F.min("same").alias("a"), F.max("same").alias("b")
+    ).where("a != b").select("shard")
     rows = split_hot(written(marks.join(shared, "shard", "left_semi"), "votes"), "shard", "same", SHARD_PRINTS)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +207,9 @@ def aligned_groups(media: DataFrame, *, id_col: str, media_col: str, decode: Cal
                     # the first of each group before all others, as most align with it
                     for some in (np.flatnonzero(groups.root[:i] == np.arange(i)), np.arange(i)):
                         for j in some[groups.root[some] != groups.root[i]].tolist():
-                            if groups.root[j] != groups.root[i] and aligned_at(prints[i], prints[j], int(at[i] - at[j]), most_errors, least_overlap):
+                            if groups.root[j] != groups.root[i] and aligned_at(
+                                prints[i], prints[j], int(at[i] - at[j]), most_errors, least_overlap
+                            ):
                                 groups.join(i, np.array([j]))
                 for i, j in groups.links():
                     u.append(nodes[a + i])
@@ -187,10 +220,15 @@ def aligned_groups(media: DataFrame, *, id_col: str, media_col: str, decode: Cal
     found = rows.repartition("shard").sortWithinPartitions("shard", "node", "at").mapInArrow(links, "u long, v long")
     groups = smallest_reachable(found.unionByName(equal))
     out = made.join(groups, F.col(id_col).cast("long") == F.col("node"), "left")
-    return out.select(id_col, (F.length("prints") / 4).cast("long").alias("n_ints"), "prints", F.coalesce("component", F.col(id_col).cast("long")).alias("group_id"))
+    return out.select(
+        id_col, (F.length("prints") / 4).cast("long").alias("n_ints"), "prints",
+        F.coalesce("component", F.col(id_col).cast("long")).alias("group_id")
+    )
 
 
-def played_vector(vector: list[float] | None, rate: int = 4000, note: int = 256, lowest: float = 220.0, notes: int = 25) -> tuple[int, np.ndarray]:
+def played_vector(
+    vector: list[float] | None, rate: int = 4000, note: int = 256, lowest: float = 220.0, notes: int = 25
+) -> tuple[int, np.ndarray]:
     """A vector as a melody, one tone for each value: media for tables that have none."""
     if not vector or any(x is None for x in vector):
         return rate, np.zeros(0, np.float32)

@@ -64,18 +64,27 @@ def addressed(versions: DataFrame, text_col: str) -> DataFrame:
     return versions.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None, *, key_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_unseen(
+    versions: DataFrame, ledger: DataFrame | None, *, key_cols: list[str], text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
     """Rows of the ledger for all blobs of ``versions`` that it lacks under these rules.
 
     ``key_cols`` name a path's version; the smallest of them represents its blob.
     """
     version = rule_version(rules)
-    keyed = addressed(versions.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key_cols)], F.col(text_col).alias("__text")), "__text")
+    keyed = addressed(
+        versions.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key_cols)], F.col(text_col).alias("__text")),
+        "__text"
+    )
     keys = [f"__k{i}" for i in range(len(key_cols))]
     # one path of each blob; only addresses are grouped, texts are not
     first = keyed.groupBy("__blob").agg(F.min(F.struct(*keys)).alias("__first"))
     if ledger is not None:
-        first = first.join(ledger.where(F.col("rules") == version).select(F.col("blob").alias("__blob")).distinct(), "__blob", "left_anti")
+        first = first.join(
+            ledger.where(F.col("rules") == version).select(F.col("blob").alias("__blob")).distinct(), "__blob",
+            "left_anti"
+        )
     first = first.select(F.col("__blob").alias("__want"), *[F.col(f"__first.{k}").alias(f"__w{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__w{k}")) for k in keys]
     on = same[0]
@@ -85,24 +94,37 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, *, key_cols: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+        kind = pa.list_(
+            pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())])
+        )
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * part.num_rows, pa.string()), pa.array([scan(t, rules, compiled) for t in part.column(1).to_pylist()], kind)], ["blob", "rules", "findings"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([version] * part.num_rows, pa.string()), pa.array([scan(t, rules, compiled) for t in part.column(1).to_pylist()], kind)],
+                    ["blob", "rules", "findings"]
+                )
 
     out = T._parse_datatype_string(LEDGER)
     # the same row may stand twice in the input
     return chosen.select("__blob", "__text").mapInArrow(run, out).dropDuplicates(["blob"])
 
 
-def findings(versions: DataFrame, ledger: DataFrame, *, key_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(
+    versions: DataFrame, ledger: DataFrame, *, key_cols: list[str], text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
     """Every row of ``versions`` (its key columns) with the ledger's findings for its blob under these rules."""
     held = ledger.where(F.col("rules") == rule_version(rules)).select(F.col("blob").alias("__blob"), "findings")
-    return addressed(versions.select(*key_cols, F.col(text_col).alias("__text")), "__text").select(*key_cols, F.col("__blob").alias("blob")).join(held.withColumnRenamed("__blob", "blob"), "blob", "left").select(*key_cols, "blob", "findings")
+    return addressed(
+        versions.select(*key_cols, F.col(text_col).alias("__text")), "__text"
+    ).select(*key_cols, F.col("__blob").alias("blob")).join(held.withColumnRenamed("__blob", "blob"), "blob", "left").select(*key_cols, "blob", "findings")
 
 
-def scan_all(versions: DataFrame, ledger: DataFrame | None = None, *, key_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan_all(
+    versions: DataFrame, ledger: DataFrame | None = None, *, key_cols: list[str], text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES
+) -> tuple[DataFrame, DataFrame]:
     """(findings of every row, the ledger with what was scanned now)."""
     new = written(scan_unseen(versions, ledger, key_cols=key_cols, text_col=text_col, rules=rules), "ledger")
     whole = new if ledger is None else ledger.unionByName(new)

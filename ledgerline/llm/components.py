@@ -17,7 +17,9 @@ from .storage import forget, written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(low, "u").select(
+        F.col("v").alias("u"), F.col("low").alias("v")
+    ).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ class Segments:
         owner = np.repeat(np.arange(len(texts)), np.diff(self.begins))[:n]
         valid = np.flatnonzero(np.arange(n) + window <= self.begins[owner + 1])
         at, owner = at[valid], owner[valid]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(valid) != 1) | (np.diff(owner) != 0)])) if len(valid) else np.zeros(0, np.int64)
+        new = np.flatnonzero(
+            np.concatenate([[True], (np.diff(at) != 0) | (np.diff(valid) != 1) | (np.diff(owner) != 0)])
+        ) if len(valid) else np.zeros(0, np.int64)
         self.count = np.diff(np.concatenate([new, [len(valid)]]))
         self.start, self.owner = valid[new], owner[new]
         self.lead = at[new] - self.start
@@ -99,7 +101,10 @@ class Segments:
         np.add.at(mark, ends[chosen], -1)
         pick = np.cumsum(mark[:-1]) > 0
         offsets = np.concatenate([[0], np.cumsum(self.count[chosen] * _WIDTH)]).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.windows[pick]))])
+        return pa.Array.from_buffers(
+            pa.binary(), len(chosen),
+            [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.windows[pick]))]
+        )
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -143,7 +148,9 @@ def _block_masks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(segment) != 0)]))
         ends = np.concatenate([head[1:], [len(ids)]]) - 1
         several = np.add.reduceat(table.column("several").to_numpy(zero_copy_only=False).astype(np.int64), head) > 0
-        return table.take(pa.array(head)).set_column(table.schema.get_field_index("several"), "several", pa.array(several | (ids[ends] != ids[head])))
+        return table.take(pa.array(head)).set_column(
+            table.schema.get_field_index("several"), "several", pa.array(several | (ids[ends] != ids[head]))
+        )
 
     def masks() -> pa.RecordBatch:
         table = first_rows(pa.concat_tables(held)).combine_chunks()
@@ -167,8 +174,13 @@ def _block_masks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.bitwise_or.at(mask, pick[owner[late]], np.uint64(1) << inner[late].astype(np.uint64))
         out = np.flatnonzero(shared | (mask != 0) | hot)
         some = table.take(pa.array(out))
-        windows = pa.array([w if h else None for w, h in zip(some.column("windows").to_pylist(), hot[out].tolist())], pa.binary()) if hot[out].any() else pa.nulls(len(out), pa.binary())
-        cols = [*(some.column(c).combine_chunks() for c in ("anchor", "segment", "id")), _signed(mask[out]), pa.array(shared[out]), some.column("lead").combine_chunks(), windows]
+        windows = pa.array(
+            [w if h else None for w, h in zip(some.column("windows").to_pylist(), hot[out].tolist())], pa.binary()
+        ) if hot[out].any() else pa.nulls(len(out), pa.binary())
+        cols = [
+            *(some.column(c).combine_chunks() for c in ("anchor", "segment", "id")), _signed(mask[out]),
+            pa.array(shared[out]), some.column("lead").combine_chunks(), windows
+        ]
         return pa.RecordBatch.from_arrays(cols, ["anchor", "segment", "first", "mask", "shared", "lead", "windows"])
 
     for batch in rows:
@@ -202,32 +214,46 @@ def _hot_masks(firsts: DataFrame) -> DataFrame:
                 inner = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
                 take = np.repeat(np.arange(batch.num_rows), counts)
                 spot = (inner - batch.column("lead").to_numpy()[take]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(take)) for c in ("anchor", "segment", "first")), pa.array(spot), _signed(hashes), pa.array(inner.astype(np.int32))], ["anchor", "segment", "first", "spot", "hash", "k"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(pa.array(take)) for c in ("anchor", "segment", "first")), pa.array(spot), _signed(hashes), pa.array(inner.astype(np.int32))],
+                    ["anchor", "segment", "first", "spot", "hash", "k"]
+                )
 
     hot = firsts.where("windows IS NOT NULL")
-    windows = hot.select("anchor", "segment", "first", "lead", "windows").mapInArrow(spread, "anchor long, segment long, first long, spot int, hash long, k int")
+    windows = hot.select("anchor", "segment", "first", "lead", "windows").mapInArrow(
+        spread, "anchor long, segment long, first long, spot int, hash long, k int"
+    )
     low = windows.groupBy("anchor", "spot", "hash").agg(F.min("first").alias("low"))
     late = windows.join(low, ["anchor", "spot", "hash"]).where("low < first")
     bits = late.groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("late"))
     both = hot.select("anchor", "segment", "first", "shared").join(bits, ["anchor", "segment"], "left")
-    return both.where("shared OR late IS NOT NULL").select("anchor", "segment", "first", F.coalesce("late", F.lit(0).cast("long")).alias("mask"))
+    return both.where("shared OR late IS NOT NULL").select(
+        "anchor", "segment", "first", F.coalesce("late", F.lit(0).cast("long")).alias("mask")
+    )
 
 
-def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12
+) -> DataFrame:
     """Rows (id, row, hits): for each document with repeats, its segments (position, windows, mask) that a smaller id holds.
 
     ``row`` is a hash of the text. Windows have at most 64 shingles, so that a mask fits a long. Ids are integers.
     """
     if not 0 < gram <= window or window - gram >= 64:
         raise ValueError("a window holds 1 to 64 shingles")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")
+    )
 
     @freeing(_forget_words)
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             s = Segments(texts_of(batch.column("text")).to_pylist(), window, gram)
             take = pa.array(s.owner)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("row").take(take), _signed(s.anchor), _signed(s.segment), pa.array((s.start - s.begins[s.owner]).astype(np.int32)), pa.array(s.count.astype(np.int32))], ["id", "row", "anchor", "segment", "at", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), batch.column("row").take(take), _signed(s.anchor), _signed(s.segment), pa.array((s.start - s.begins[s.owner]).astype(np.int32)), pa.array(s.count.astype(np.int32))],
+                ["id", "row", "anchor", "segment", "at", "count"]
+            )
 
     @freeing(_forget_words)
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +263,24 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             chosen, several = _smallest(ids, s.segment, s.anchor)
             order = np.argsort(chosen)
             chosen, several = chosen[order], several[order]
-            yield pa.RecordBatch.from_arrays([_signed(s.anchor[chosen]), _signed(s.segment[chosen]), pa.array(ids[chosen]), pa.array(several), pa.array(s.lead[chosen].astype(np.int32)), s.hashes(chosen)], ["anchor", "segment", "id", "several", "lead", "windows"])
+            yield pa.RecordBatch.from_arrays(
+                [_signed(s.anchor[chosen]), _signed(s.segment[chosen]), pa.array(ids[chosen]), pa.array(several), pa.array(s.lead[chosen].astype(np.int32)), s.hashes(chosen)],
+                ["anchor", "segment", "id", "several", "lead", "windows"]
+            )
 
     held = "id long, row long, anchor long, segment long, at int, count int"
-    sketch = rows.where(F.pmod(F.col("row"), F.lit(SKETCH)) == 0).mapInArrow(narrow, held).groupBy("anchor").agg(F.count_distinct("segment").alias("n"))
-    hot = written(sketch.where(F.col("n") * SKETCH > BLOCK_SEGMENTS).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    blocks = rows.select("id", "text").mapInArrow(wide, "anchor long, segment long, id long, several boolean, lead int, windows binary").join(hot, "anchor", "left")
-    blocks = blocks.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("block", F.when(F.col("hot"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor")))
+    sketch = rows.where(
+        F.pmod(F.col("row"), F.lit(SKETCH)) == 0
+    ).mapInArrow(narrow, held).groupBy("anchor").agg(F.count_distinct("segment").alias("n"))
+    hot = written(
+        sketch.where(F.col("n") * SKETCH > BLOCK_SEGMENTS).select("anchor", F.lit(True).alias("hot")), "hot-anchors"
+    )
+    blocks = rows.select("id", "text").mapInArrow(
+        wide, "anchor long, segment long, id long, several boolean, lead int, windows binary"
+    ).join(hot, "anchor", "left")
+    blocks = blocks.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn(
+        "block", F.when(F.col("hot"), F.xxhash64("anchor", "segment")).otherwise(F.col("anchor"))
+    )
     dealt = blocks.repartition(_partitions(docs), "block").sortWithinPartitions("block", "segment", "id")
     names = ["block", "anchor", "segment", "id", "several", "lead", "hot", "windows"]
     firsts = written(dealt.select(*names).mapInArrow(_block_masks, _FIRSTS), "first-segments")
@@ -251,7 +288,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = rows.mapInArrow(narrow, held).join(known, ["anchor", "segment"])
     every = F.lit(-1).cast("long")
     mask = F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask"))
-    hits = found.withColumn("mask", mask).where("mask != 0").groupBy("id", "row").agg(F.collect_list(F.struct("at", "count", "mask")).alias("hits"))
+    hits = found.withColumn("mask", mask).where("mask != 0").groupBy("id", "row").agg(
+        F.collect_list(F.struct("at", "count", "mask")).alias("hits")
+    )
     return hits.select(F.col("id").alias(id_col), F.col("row"), "hits")
 
 
@@ -270,7 +309,9 @@ def held_windows(n: int, hits: list[dict], window: int) -> np.ndarray:
         if mask == -1:
             mark[at : at + count] = True
         else:
-            mark[at : at + count] |= (np.uint64(mask & 0xFFFFFFFFFFFFFFFF) >> np.arange(count, dtype=np.uint64) & np.uint64(1)).astype(bool)
+            mark[at : at + count] |= (
+                np.uint64(mask & 0xFFFFFFFFFFFFFFFF) >> np.arange(count, dtype=np.uint64) & np.uint64(1)
+            ).astype(bool)
     return mark
 
 
@@ -289,11 +330,18 @@ def parsed(held: np.ndarray, window: int) -> list[tuple[int, int, bool]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12
+) -> DataFrame:
     """One row per document: id, ``n_words``, factor ``spans`` (word offsets, end exclusive) and the words that stay, joined by spaces, as ``kept_text``."""
-    hits = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, gram=gram).select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), F.col("hits").alias("__hits"))
+    hits = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, gram=gram).select(
+        F.col(id_col).alias("__id"), F.col("row").alias("__row"), F.col("hits").alias("__hits")
+    )
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    rows = rows.join(hits.hint("shuffle_hash"), (F.col("__doc").cast("long") == F.col("__id")) & (F.xxhash64("__text") == F.col("__row")), "left").select("__doc", "__text", "__hits")
+    rows = rows.join(
+        hits.hint("shuffle_hash"),
+        (F.col("__doc").cast("long") == F.col("__id")) & (F.xxhash64("__text") == F.col("__row")), "left"
+    ).select("__doc", "__text", "__hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "__text"):
@@ -306,12 +354,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                         out[-1]["end"] = b
                     else:
                         out.append({"start": a, "end": b})
-                words_left = [w for a, b in zip([0, *(x["end"] for x in out)], [*(x["start"] for x in out), len(words)]) for w in words[a:b]]
+                words_left = [
+                    w for a,
+                    b in zip([0, *(x["end"] for x in out)], [*(x["start"] for x in out), len(words)]) for w in words[a:b]
+                ]
                 sizes.append(len(words))
                 spans.append(out)
                 kept.append(b" ".join(words_left))
-            yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())], [id_col, "n_words", "spans", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__doc"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
+                [id_col, "n_words", "spans", "kept_text"]
+            )
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())])
+    kind = T.StructType(
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())]
+    )
     return rows.mapInArrow(run, kind)

@@ -52,7 +52,9 @@ def _spread(lines: DataFrame, value: str, least: int, lg_k: int) -> DataFrame:
     sure = spread.where(F.col("n") > least + band).select("line_hash")
     near = spread.where(F.col("n") <= least + band).select("line_hash")
     # values of near-threshold lines only: pairs are made distinct before they travel
-    exact = known.join(near, "line_hash", "left_semi").groupBy("line_hash", value).agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count(value).alias("n")).where(F.col("n") >= least)
+    exact = known.join(
+        near, "line_hash", "left_semi"
+    ).groupBy("line_hash", value).agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count(value).alias("n")).where(F.col("n") >= least)
     return sure.unionByName(exact.select("line_hash"))
 
 
@@ -84,39 +86,70 @@ def line_table(docs: DataFrame, *, site_col: str, text_col: str, id_col: str, mi
                         rows.append(i)
                         for c, v in zip(cols, (*own, hashes[k], around[k], around[k + 2])):
                             c.append(v)
-            whole = [pa.array(np.array([v or 0 for v in c], np.uint64).view(np.int64), mask=np.array([v is None for v in c], bool)) for c in cols]
+            whole = [
+                pa.array(np.array([v or 0 for v in c], np.uint64).view(np.int64), mask=np.array([v is None for v in c], bool)) for c in cols
+            ]
             bucket, site = (batch.column(c).take(pa.array(rows, pa.int32())) for c in ("__bucket", "__site"))
-            yield pa.RecordBatch.from_arrays([*whole[:2], bucket, site, *whole[2:]], ["text_hash", "text_bytes", "bucket", "site", "line_hash", "before", "after"])
+            yield pa.RecordBatch.from_arrays(
+                [*whole[:2], bucket, site, *whole[2:]],
+                ["text_hash", "text_bytes", "bucket", "site", "line_hash", "before", "after"]
+            )
 
-    rows = docs.select(_bucket(docs, id_col).alias("__bucket"), F.col(site_col).cast("string").alias("__site"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "text_hash long, text_bytes long, bucket int, site string, line_hash long, before long, after long")
+    rows = docs.select(
+        _bucket(docs, id_col).alias("__bucket"), F.col(site_col).cast("string").alias("__site"),
+        F.col(text_col).alias("__text")
+    )
+    return rows.mapInArrow(
+        run, "text_hash long, text_bytes long, bucket int, site string, line_hash long, before long, after long"
+    )
 
 
 def boilerplate_lines(lines: DataFrame, *, min_sites: int = 10, min_neighbours: int = 0, lg_k: int = 12) -> DataFrame:
     """Rows (line_hash) of the lines that stand on at least ``min_sites`` sites, in as many texts and beside ``min_neighbours`` different lines."""
     sites = written(_spread(lines.select("site", "line_hash"), "site", min_sites, lg_k), "sites")
-    among = lines.join(sites, "line_hash", "left_semi").select("line_hash", F.xxhash64("text_hash", "text_bytes").alias("of_text"))
+    among = lines.join(sites, "line_hash", "left_semi").select(
+        "line_hash", F.xxhash64("text_hash", "text_bytes").alias("of_text")
+    )
     wide = written(_spread(among, "of_text", min_sites, lg_k), "wide")
     if not min_neighbours:
         return wide
-    beside = written(lines.join(wide, "line_hash", "left_semi").select("line_hash", "before", "after").distinct(), "beside")
-    return _spread(beside, "before", min_neighbours, lg_k).unionByName(_spread(beside, "after", min_neighbours, lg_k)).distinct()
-
-
-def remove_boilerplate(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = 10, min_words: int = 1, min_neighbours: int = 0, lg_k: int = 12) -> DataFrame:
+    beside = written(
+        lines.join(wide, "line_hash", "left_semi").select("line_hash", "before", "after").distinct(), "beside"
+    )
+    return _spread(beside, "before", min_neighbours, lg_k).unionByName(
+        _spread(beside, "after", min_neighbours, lg_k)
+    ).distinct()
+
+
+def remove_boilerplate(
+    docs: DataFrame, *, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = 10,
+    min_words: int = 1, min_neighbours: int = 0, lg_k: int = 12
+) -> DataFrame:
     """The documents, all their columns, with boilerplate lines taken from the text, and the struct ``__lines`` (n, removed)."""
     lines = written(line_table(docs, site_col=site_col, text_col=text_col, id_col=id_col, min_words=min_words), "lines")
-    common = written(boilerplate_lines(lines, min_sites=min_sites, min_neighbours=min_neighbours, lg_k=lg_k), "boilerplate")
+    common = written(
+        boilerplate_lines(lines, min_sites=min_sites, min_neighbours=min_neighbours, lg_k=lg_k), "boilerplate"
+    )
     # a text is keyed by its hash and length, so that rows need no key of their own; the bucket of its id spreads copies over tasks
-    hits = lines.join(common, "line_hash", "left_semi").select("text_hash", "text_bytes", "bucket", "line_hash").distinct()
-    gone = hits.groupBy("text_hash", "text_bytes", "bucket").agg(F.collect_list("line_hash").alias("__gone")).withColumnsRenamed({c: f"__{c}" for c in ("text_hash", "text_bytes", "bucket")})
+    hits = lines.join(common, "line_hash", "left_semi").select(
+        "text_hash", "text_bytes", "bucket", "line_hash"
+    ).distinct()
+    gone = hits.groupBy("text_hash", "text_bytes", "bucket").agg(F.collect_list("line_hash").alias("__gone")).withColumnsRenamed(
+        {c: f"__{c}" for c in ("text_hash", "text_bytes", "bucket")}
+    )
     text = F.col(text_col)
-    joined = docs.join(gone, (F.xxhash64(text) == F.col("__text_hash")) & (F.octet_length(text).cast("long") == F.col("__text_bytes")) & (_bucket(docs, id_col) == F.col("__bucket")), "left")
+    joined = docs.join(
+        gone,
+        (F.xxhash64(text) == F.col("__text_hash")) & (F.octet_length(text).cast("long") == F.col("__text_bytes")) & (_bucket(docs, id_col) == F.col("__bucket")),
+        "left"
+    )
     every = F.split(text, "\n")
     counts = lambda x: (x != "") & (F.length(x) - F.length(F.replace(x, F.lit(" "))) >= min_words - 1)
     kept = F.filter(every, lambda x: ~(F.array_contains(F.col("__gone"), F.xxhash64(F.trim(x))) & counts(F.trim(x))))
     hit = F.col("__gone").isNotNull()
     n = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
     cleaned = F.when(hit, F.array_join(kept, "\n")).otherwise(text)
-    tally = F.struct(n.cast("long").alias("n"), F.when(hit, F.size(every) - F.size(kept)).otherwise(0).cast("long").alias("removed")).alias("__lines")
+    tally = F.struct(
+        n.cast("long").alias("n"), F.when(hit, F.size(every) - F.size(kept)).otherwise(0).cast("long").alias("removed")
+    ).alias("__lines")
     return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns], tally)

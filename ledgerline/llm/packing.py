@@ -59,7 +59,9 @@ class Corpus:
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a document, in order, and how often each stands there."""
     ordered = np.sort(ids)
-    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1) if len(ordered) else np.zeros(0, np.int64)
+    ends = np.append(
+        np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1
+    ) if len(ordered) else np.zeros(0, np.int64)
     return ordered[ends], np.diff(ends, prepend=-1)
 
 
@@ -85,7 +87,10 @@ class Bm25:
     def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[seed]
         spans = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist()))
-        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
+        return np.bincount(
+            np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]),
+            minlength=self.n
+        )
 
     def keep(self, wanted: np.ndarray) -> None:
         """Drop the postings of all other documents."""
@@ -98,7 +103,9 @@ def _powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
+def pack(
+    docs: list[np.ndarray], window: int, terms: int, corpus: Corpus | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of the shard's id arrays, whole and without padding."""
     index = Bm25(docs, terms, corpus)
     used = np.zeros(len(docs), bool)
@@ -280,17 +287,27 @@ def _tokens(docs: DataFrame, path: str, end: bytes, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, df, n, length, kind = tokenizer(path), np.zeros(size, np.int64), 0, 0, None
         for batch in pieces(batches, "__text", 1 << 20):
-            tokens = [np.frombuffer(words.ids(text or b"") + end, "<u4").astype(_width(size)) for text in texts_of(batch.column("__text")).to_pylist()]
+            tokens = [
+                np.frombuffer(words.ids(text or b"") + end, "<u4").astype(_width(size)) for text in texts_of(batch.column("__text")).to_pylist()
+            ]
             arrays = [x.tobytes() for x in tokens]
             kind, n, length = batch.schema.field(0).type, n + len(arrays), length + sum(map(len, tokens))
             df += np.bincount(np.concatenate([term_counts(t)[0] for t in tokens]), minlength=size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))], ["__id", "ids", "counted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))],
+                ["__id", "ids", "counted"]
+            )
         if n:
             terms = np.flatnonzero(df)
             pairs = np.array([[-1, n], [-2, length], *zip(terms.tolist(), df[terms].tolist())], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([pairs.tobytes()], pa.binary()), pa.array([True])], ["__id", "ids", "counted"])
-
-    kind = T.StructType([T.StructField("__id", docs.schema["__id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("counted", T.BooleanType())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), pa.array([pairs.tobytes()], pa.binary()), pa.array([True])],
+                ["__id", "ids", "counted"]
+            )
+
+    kind = T.StructType(
+        [T.StructField("__id", docs.schema["__id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("counted", T.BooleanType())]
+    )
     return written(docs.mapInArrow(run, kind), "tokens")
 
 
@@ -301,7 +318,9 @@ def _corpus(tokens: DataFrame, size: int) -> Corpus:
                 pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["term", "n"])
 
-    rows = tokens.where("counted").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counted").select("ids").mapInArrow(
+        run, "term long, n long"
+    ).groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = dict(rows)
     df = np.zeros(size, np.int64)
     for term, n in found.items():
@@ -313,15 +332,22 @@ def _corpus(tokens: DataFrame, size: int) -> Corpus:
 def _dealt(tokens: DataFrame, corpus: Corpus, size: int, shard_docs: int) -> DataFrame:
     """Rows (__id, ids, shard)."""
     rows = tokens.where("NOT counted").select("__id", "ids")
-    picked = rows.where(F.pmod(F.xxhash64("__id", F.length("ids")), F.lit(1 << 40)) < min(1.0, SAMPLE / max(1, corpus.n)) * (1 << 40)).select("ids")
+    picked = rows.where(
+        F.pmod(F.xxhash64("__id", F.length("ids")), F.lit(1 << 40)) < min(1.0, SAMPLE / max(1, corpus.n)) * (1 << 40)
+    ).select("ids")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget_words()
         signs = _projection(size)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in _vectors(_arrays(batch.column(0), size), corpus, signs)], pa.binary())], ["v"])
-
-    sample = np.frombuffer(b"".join(sorted(bytes(r.v) for r in picked.mapInArrow(sampled, "v binary").collect())), np.float32).reshape(-1, DIMENSIONS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v.tobytes() for v in _vectors(_arrays(batch.column(0), size), corpus, signs)], pa.binary())],
+                ["v"]
+            )
+
+    sample = np.frombuffer(
+        b"".join(sorted(bytes(r.v) for r in picked.mapInArrow(sampled, "v binary").collect())), np.float32
+    ).reshape(-1, DIMENSIONS)
     tree = Tree(sample, corpus.n / max(1, len(sample)), shard_docs)
 
     @freeing(_forget_words)
@@ -329,14 +355,21 @@ def _dealt(tokens: DataFrame, corpus: Corpus, size: int, shard_docs: int) -> Dat
         _forget_words()
         signs = _projection(size)
         for batch in batches:
-            shard = tree.deal(_vectors(_arrays(batch.column("ids"), size), corpus, signs), batch.column("spread").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("ids"), pa.array(shard)], ["__id", "ids", "shard"])
+            shard = tree.deal(
+                _vectors(_arrays(batch.column("ids"), size), corpus, signs), batch.column("spread").to_numpy()
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), batch.column("ids"), pa.array(shard)], ["__id", "ids", "shard"]
+            )
 
     kind = T.StructType([tokens.schema["__id"], tokens.schema["ids"], T.StructField("shard", T.LongType())])
     return rows.withColumn("spread", F.xxhash64("__id", "ids")).mapInArrow(deal, kind)
 
 
-def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = 4096, shard_docs: int = 1000, shard_tokens: int = 4 << 20) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = 4096,
+    shard_docs: int = 1000, shard_tokens: int = 4 << 20
+) -> DataFrame:
     """Rows (id, start, length, ids, doc_tokens, sequence_id, offset): the pieces, with their ids as little-endian 32-bit integers in ``ids``."""
 
     end = np.uint32(end_id).tobytes()
@@ -355,7 +388,10 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
             ids = [arrays[h][s : s + n].tobytes() for h, s, n, _, _ in rows]
             sizes = np.array([len(a) for a in arrays])[d]
             keys = pa.concat_arrays(names).take(pa.array(d))
-            batch = pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(sizes), pa.array(sequence + (open_shard << 32) + done), pa.array(offset)], kind.names)
+            batch = pa.RecordBatch.from_arrays(
+                [keys, pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(sizes), pa.array(sequence + (open_shard << 32) + done), pa.array(offset)],
+                kind.names
+            )
             done += int(sequence[-1]) + 1
             names.clear()
             arrays.clear()
@@ -375,6 +411,8 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
             yield shard()
 
     long = T.LongType()
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)])
+    kind = T.StructType(
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)]
+    )
     dealt = _dealt(tokens, corpus, terms, shard_docs)
     return dealt.repartition("shard").sortWithinPartitions("shard", "__id", F.xxhash64("ids")).mapInArrow(run, kind)

@@ -91,7 +91,11 @@ class Space:
         return np.where(total > 0, (weight * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12), self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_rows: int = 6000, dimensions: int = 64, neighbours: int = 15, power: float = 4.0, repetition_weight: float = 3.0, seed: int = 2) -> Space:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
+    max_rows: int = 6000, dimensions: int = 64, neighbours: int = 15, power: float = 4.0,
+    repetition_weight: float = 3.0, seed: int = 2
+) -> Space:
     """The space of at most ``max_rows`` labelled rows that are not held out: a fixed bound on what is collected and broadcast."""
     rows = training_rows(docs, labels, label, id_col=id_col, text_col=text_col, max_rows=max_rows)
 
@@ -99,7 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in pieces(batches, "text"):
             found = [terms(t) for t in texts_of(batch.column("text")).to_pylist()]
             some = [np.flatnonzero(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int16) for s in some], pa.list_(pa.int16())), pa.array([x[s] for x, s in zip(found, some)], pa.list_(pa.float32())), batch.column("label")], ["at", "n", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s.astype(np.int16) for s in some], pa.list_(pa.int16())), pa.array([x[s] for x, s in zip(found, some)], pa.list_(pa.float32())), batch.column("label")],
+                ["at", "n", "label"]
+            )
 
     sample = rows.mapInArrow(counted, "at array<short>, n array<float>, label int").toArrow()
     y = sample.column("label").to_numpy().astype(np.float64).clip(0, 1)
@@ -108,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         x[i, at.values.to_numpy()] = n.values.to_numpy()
     weights = np.log((1 + len(y)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     weights[_PAIRS:] *= repetition_weight
-    space = Space(weights, np.zeros((TERMS, dimensions), np.float32), np.zeros((0, dimensions), np.float32), y, neighbours, power)
+    space = Space(
+        weights, np.zeros((TERMS, dimensions), np.float32), np.zeros((0, dimensions), np.float32), y, neighbours, power
+    )
     if len(y):
         w = space.weighted(x)
         del x
@@ -125,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return space
 
 
-def score(docs: DataFrame, space: Space, *, id_col: str = "doc_id", text_col: str = "text", block: int = 128) -> DataFrame:
+def score(
+    docs: DataFrame, space: Space, *, id_col: str = "doc_id", text_col: str = "text", block: int = 128
+) -> DataFrame:
     """Rows (id, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
@@ -134,7 +145,9 @@ def score(docs: DataFrame, space: Space, *, id_col: str = "doc_id", text_col: st
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 counts = np.stack([terms(t) for t in texts_of(part.column("__text")).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(shared.value.votes(counts).clip(0, 1))], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("__id"), pa.array(shared.value.votes(counts).clip(0, 1))], [id_col, "score"]
+                )
 
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, out)

@@ -25,7 +25,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
 
 
 def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,10 @@ def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    return found.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages")
+    )
 
 
 def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +50,19 @@ def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("findings", lambda x: x["kind"])
     count = {k: F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)) for k in ("assign", "access", "hex")}
     spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return found.select("doc_id", *[n.alias(f"n_{k}") for k, n in count.items()], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select(
+        "doc_id", *[n.alias(f"n_{k}") for k, n in count.items()], F.sha2(spans, 256).alias("base_sha256"),
+        spans.alias("spans")
+    )
 
 
 def op6_line_spread_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     kept = line_spread.remove_boilerplate(docs)
-    return kept.select("doc_id", F.col("__lines.n").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select(
+        "doc_id", F.col("__lines.n").alias("n_lines"), F.col("__lines.removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256")
+    )
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +74,16 @@ def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has media; each vector of ``embeddings`` is played as a melody."""
-    found = audio_prints.aligned_groups(_table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=audio_prints.played_vector)
+    found = audio_prints.aligned_groups(
+        _table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=audio_prints.played_vector
+    )
     return found.select("vec_id", "n_ints", F.sha2("prints", 256).alias("prints_sha256"), "group_id")
 
 
@@ -144,8 +159,12 @@ FROM texts t LEFT JOIN places p ON p.doc_id = t.doc_id LEFT JOIN found f ON f.do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination,)}
+    return {
+        f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination,)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL}
+    return {
+        "op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL
+    }

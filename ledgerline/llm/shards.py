@@ -16,12 +16,18 @@ def split_hot(rows: DataFrame, key: str, spread: str, most: int) -> DataFrame:
     A key with more than ``most`` rows is dealt into parts by the hash of ``spread``, and each pair of parts is a key of its own.
     Keys are longs. ``rows`` is read twice, so it should be a table.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(
+        key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")
+    )
     part = F.pmod(F.xxhash64(F.lit(5), spread), F.col("__parts")).cast("int")
-    other = F.explode(F.when(F.col("__parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    other = F.explode(
+        F.when(F.col("__parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    )
     dealt = rows.join(hot, key, "left").withColumn("__part", part).withColumn("__other", other)
     both = F.xxhash64(key, F.least("__part", "__other"), F.greatest("__part", "__other"))
-    return dealt.withColumn(key, F.when(F.col("__parts").isNull(), F.col(key)).otherwise(both)).drop("__parts", "__part", "__other")
+    return dealt.withColumn(
+        key, F.when(F.col("__parts").isNull(), F.col(key)).otherwise(both)
+    ).drop("__parts", "__part", "__other")
 
 
 def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], pa.Table]]:

@@ -58,7 +58,9 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
-        hashes = np.fromiter((size(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist())), np.uint64, len(begins))
+        hashes = np.fromiter(
+            (size(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist())), np.uint64, len(begins)
+        )
     return _majority(hashes)
 
 
@@ -67,7 +69,10 @@ def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
-        counts += np.add.reduce(np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+        counts += np.add.reduce(
+            np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0,
+            dtype=np.uint32
+        )
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
@@ -79,7 +84,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([fingerprint(t, shingle) for t in texts_of(batch.column("__text")).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fingerprint"])
 
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+    kind = T.StructType(
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())]
+    )
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, kind)
 
 
@@ -148,8 +155,12 @@ def spanning_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[p
 
 def _proposed(shards: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) of all shards (shard, fingerprint, node)."""
-    dealt = split_hot(written(shards, "shards"), "shard", "node", SHARD_PRINTS).repartition("shard").sortWithinPartitions("shard", "node")
-    return dealt.select("shard", "fingerprint", "node").mapInArrow(lambda batches: spanning_links(batches, radius), "u long, v long")
+    dealt = split_hot(
+        written(shards, "shards"), "shard", "node", SHARD_PRINTS
+    ).repartition("shard").sortWithinPartitions("shard", "node")
+    return dealt.select("shard", "fingerprint", "node").mapInArrow(
+        lambda batches: spanning_links(batches, radius), "u long, v long"
+    )
 
 
 def _whole_number(docs: DataFrame, id_col: str) -> Column:
@@ -164,15 +175,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min(id_col).cast("long").alias("node")).where("node IS NOT NULL")
     block = [F.shiftrightunsigned("fingerprint", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    shards = [F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    shards = [
+        F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n,
+        (i, j) in enumerate(combinations(range(4), 2))
+    ]
     found = _proposed(nodes.select(F.explode(F.array(*shards)).alias("shard"), "fingerprint", "node"), RADIUS)
     # rows that share an id are one document, whatever their fingerprints
-    same = prints.where(F.col(id_col).isNotNull()).groupBy(own.alias("id")).agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a != b")
-    twice = prints.join(same.select(F.col("id").alias(id_col)), id_col, "left_semi").join(nodes, "fingerprint").select(own.alias("u"), F.col("node").alias("v"))
+    same = prints.where(F.col(id_col).isNotNull()).groupBy(own.alias("id")).agg(
+        F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")
+    ).where("a != b")
+    twice = prints.join(
+        same.select(F.col("id").alias(id_col)), id_col, "left_semi"
+    ).join(nodes, "fingerprint").select(own.alias("u"), F.col("node").alias("v"))
     component = smallest_reachable(found.unionByName(twice))
-    label = nodes.join(component, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    label = nodes.join(component, "node", "left").select(
+        "fingerprint", F.coalesce("component", "node").alias("component_id")
+    )
     out = prints.join(label, "fingerprint", "left")
-    return out.select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(
+        id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id")
+    )
 
 
 SIGNATURE = 128
@@ -208,7 +230,9 @@ def settled(sets: list[np.ndarray], similarity: float, radius: int) -> Groups:
     signs = np.array([_minima(x, SIGNATURE) for x in sets], np.uint64) & np.uint64(0xFFFF)
     least = math.ceil(SIGNATURE * (similarity - 5 * math.sqrt(similarity * (1 - similarity) / SIGNATURE)))
     for i, near in BkTree(prints).pairs(radius):
-        near = near[(groups.root[near] != groups.root[i]) & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]))]
+        near = near[
+            (groups.root[near] != groups.root[i]) & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]))
+        ]
         for at in range(0, len(near), 4096):
             some = near[at : at + 4096]
             for j in some[np.count_nonzero(signs[some] == signs[i], axis=1) >= least].tolist():
@@ -219,7 +243,10 @@ def settled(sets: list[np.ndarray], similarity: float, radius: int) -> Groups:
     return groups
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 8) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    radius: int = 20, bands: int = 8
+) -> DataFrame:
     """Rows (id, component_id) of the documents in groups linked by a share of equal distinct shingles of ``similarity`` or more.
 
     Fingerprints are made of distinct shingles. At a similarity of 0.8 they
@@ -243,14 +270,21 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             shards = mix(minima[:, 0::2] * np.uint64(3) + mix(minima[:, 1::2]) + np.arange(bands, dtype=np.uint64))
             prints = np.array([_majority(sets[i]) for i in keep], np.uint64)
             whole = np.array([xxhash.xxh64_intdigest(sets[i].tobytes(), 42) for i in keep], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(list(shards.view(np.int64)), pa.list_(pa.int64()))], ["id", "fingerprint", "whole", "shards"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(keep)), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(list(shards.view(np.int64)), pa.list_(pa.int64()))],
+                ["id", "fingerprint", "whole", "shards"]
+            )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(own.alias("id"), F.col(text_col).alias("text"))
     sketched = written(rows.mapInArrow(run, "id long, fingerprint long, whole long, shards array<long>"), "sketches")
     # texts with the same shingles are one node, and so are rows with one id
     nodes = sketched.groupBy("fingerprint", "whole").agg(F.min("id").alias("node"), F.first("shards").alias("shards"))
-    equal = sketched.select("id", "fingerprint", "whole").join(nodes.select("fingerprint", "whole", "node"), ["fingerprint", "whole"]).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
-    near = smallest_reachable(_proposed(nodes.select(F.explode("shards").alias("shard"), "fingerprint", "node"), radius))
+    equal = sketched.select("id", "fingerprint", "whole").join(
+        nodes.select("fingerprint", "whole", "node"), ["fingerprint", "whole"]
+    ).select(F.col("id").alias("u"), F.col("node").alias("v")).where("u != v")
+    near = smallest_reachable(
+        _proposed(nodes.select(F.explode("shards").alias("shard"), "fingerprint", "node"), radius)
+    )
 
     @freeing(_forget_words)
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +292,29 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             u, v = [], []
             node = table.column("node").to_numpy()
             for a, b in shards:
-                sets = [x for p in pieces(table.slice(a, b - a).to_batches(), "text") for x in _shingles(texts_of(p.column("text")).to_pylist(), shingle)]
+                sets = [
+                    x for p in pieces(table.slice(a, b - a).to_batches(), "text") for x in _shingles(texts_of(p.column("text")).to_pylist(), shingle)
+                ]
                 for i, j in settled(sets, similarity, radius).links():
                     u.append(node[a + i])
                     v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    named = split_hot(written(near.select("node", F.col("component").alias("shard")), "proposed"), "shard", "node", SHARD_TEXTS)
+    named = split_hot(
+        written(near.select("node", F.col("component").alias("shard")), "proposed"), "shard", "node", SHARD_TEXTS
+    )
     texts = rows.withColumnRenamed("id", "node").join(named, "node")
-    found = texts.repartition("shard").sortWithinPartitions("shard", "node").select("shard", "node", "text").mapInArrow(links, "u long, v long")
-    return smallest_reachable(found.unionByName(equal)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    found = texts.repartition("shard").sortWithinPartitions("shard", "node").select(
+        "shard", "node", "text"
+    ).mapInArrow(links, "u long, v long")
+    return smallest_reachable(found.unionByName(equal)).select(
+        F.col("node").alias(id_col), F.col("component").alias("component_id")
+    )
 
 
-def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
     """The documents, all their columns, of which none but the smallest id of each group stays.
 
     Texts without words, and rows with a null id, are in no group and stay; so do all rows with the smallest id.

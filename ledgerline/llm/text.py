@@ -97,7 +97,9 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 21) -
         if not batch.num_rows:
             continue
         size = texts_of(batch.column(text))
-        lengths = np.diff(np.frombuffer(size.buffers()[1], np.int64 if pa.types.is_large_binary(size.type) else np.int32, len(size) + 1, size.offset * (8 if pa.types.is_large_binary(size.type) else 4)))
+        lengths = np.diff(
+            np.frombuffer(size.buffers()[1], np.int64 if pa.types.is_large_binary(size.type) else np.int32, len(size) + 1, size.offset * (8 if pa.types.is_large_binary(size.type) else 4))
+        )
         block = np.cumsum(lengths.astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -67,7 +67,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "freq"])
+        done = pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "freq"]
+        )
         seen.clear()
         return done
 
@@ -85,9 +87,13 @@ def pretoken_counts(docs: DataFrame, path: str, *, text_col: str = "text") -> Da
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_pieces(words, path))], ["pretoken", "freq", "pieces"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(count_pieces(words, path))], ["pretoken", "freq", "pieces"]
+            )
 
-    distinct = docs.select(F.col(text_col).alias("__text")).mapInArrow(_partial, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
+    distinct = docs.select(F.col(text_col).alias("__text")).mapInArrow(
+        _partial, "pretoken string, freq long"
+    ).groupBy("pretoken").agg(F.sum("freq").alias("freq"))
     return distinct.mapInArrow(counted, "pretoken string, freq long, pieces long")
 
 
@@ -103,7 +109,9 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return chosen.select("pretoken", "pieces")
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 250_000
+) -> DataFrame:
     """Rows (id, n_bytes, n_tokens)."""
     spark = docs.sparkSession
     table = written(pretoken_counts(docs, path, text_col=text_col), "pretokens")
@@ -136,9 +144,17 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             owner[where], size[where] = np.arange(row - first), [x for _, x in sizes]
             none = owner < 0
             ids = batch.column("__id").take(pa.array(owner, mask=none))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(words, pa.string()), pa.array(freqs, pa.int64()), pa.array(size, mask=none)], kind.names)
-
-    kind = T.StructType([T.StructField("__id", docs.schema[id_col].dataType)] + [T.StructField(n, t()) for n, t in (("__row", T.LongType), ("pretoken", T.StringType), ("freq", T.LongType), ("bytes", T.LongType))])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(at), pa.array(words, pa.string()), pa.array(freqs, pa.int64()), pa.array(size, mask=none)],
+                kind.names
+            )
+
+    kind = T.StructType(
+        [T.StructField("__id", docs.schema[id_col].dataType)] + [T.StructField(n, t()) for n, t in (("__row", T.LongType), ("pretoken", T.StringType), ("freq", T.LongType), ("bytes", T.LongType))]
+    )
     parts = rows.mapInArrow(rare, kind).join(table.select("pretoken", "pieces"), "pretoken", "left")
-    sums = parts.groupBy("__row").agg(F.max("__id").alias(id_col), F.max("bytes").alias("n_bytes"), F.sum(F.col("freq") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+    sums = parts.groupBy("__row").agg(
+        F.max("__id").alias(id_col), F.max("bytes").alias("n_bytes"),
+        F.sum(F.col("freq") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
+    )
     return sums.select(id_col, "n_bytes", "n_tokens")

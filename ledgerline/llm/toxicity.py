@@ -191,7 +191,9 @@ def count_beginnings(texts: Iterable[tuple[bytes | None, int]]) -> tuple[dict[st
     return found, total
 
 
-def sure_odds(toxic: float, clean: float, squares: float, n_toxic: float, n_clean: float, prior: float, z: float) -> float:
+def sure_odds(
+    toxic: float, clean: float, squares: float, n_toxic: float, n_clean: float, prior: float, z: float
+) -> float:
     """Token log-odds with a Dirichlet prior, moved ``z`` widened standard errors towards zero; zero if they would pass it."""
     a = prior * (toxic + clean)
     a0 = prior * (n_toxic + n_clean)
@@ -218,7 +220,10 @@ def calibrate(model: Model, maxima: list[float]) -> None:
         model.place = float(mid[1] + model.spread * math.log(math.log(2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = 20_000, prior: float = 0.05, z: float = 2.0, drift: float = 0.15, significance: float = 3.0) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
+    max_rows: int = 20_000, prior: float = 0.05, z: float = 2.0, drift: float = 0.15, significance: float = 3.0
+) -> Model:
     """Learn from at most ``max_rows`` labelled rows that are not held out, a documented bound; of their beginnings all with sure odds have a score.
 
     ``prior`` is the Dirichlet prior's weight as a share of the training tokens, spread over beginnings as in all training documents.
@@ -229,11 +234,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     @freeing(_forget_words)
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, total = count_beginnings(zip(texts_of(batch.column("text")).to_pylist(), batch.column("label").to_pylist()))
+            found, total = count_beginnings(
+                zip(texts_of(batch.column("text")).to_pylist(), batch.column("label").to_pylist())
+            )
             cols = [[row[k] for row in found.values()] + [total[k]] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "toxic", "clean", "squares"])
-
-    counted = written(rows.mapInArrow(counts, "word string, toxic long, clean long, squares long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "squares"))), "beginnings")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*found, None], pa.string()), *(pa.array(c, pa.int64()) for c in cols)],
+                ["word", "toxic", "clean", "squares"]
+            )
+
+    counted = written(
+        rows.mapInArrow(counts, "word string, toxic long, clean long, squares long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "squares"))),
+        "beginnings"
+    )
     total = counted.where("word IS NULL").first()
     n_toxic, n_clean = (total["toxic"], total["clean"]) if total else (0, 0)
     model = Model(drift=drift, significance=significance)
@@ -244,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     odds = F.log(t / (n_toxic + a0 - t)) - F.log(c / (n_clean + a0 - c))
     error = F.sqrt((1 / t + 1 / c) * F.col("squares") / (F.col("toxic") + F.col("clean")))
     # what every word begins with has no odds
-    is_sure = F.when(F.col("word").isNotNull() & (F.col("toxic") + F.col("clean") < n_toxic + n_clean), F.abs(odds) > z * error)
+    is_sure = F.when(
+        F.col("word").isNotNull() & (F.col("toxic") + F.col("clean") < n_toxic + n_clean), F.abs(odds) > z * error
+    )
     # beginnings of a bounded sample's words, and of these the sure ones
     for r in counted.where(is_sure).orderBy("word").collect():
         if sure := sure_odds(r["toxic"], r["clean"], r["squares"], n_toxic, n_clean, prior, z):
@@ -255,18 +270,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             out = [segment_and_values(model, text) for text in texts_of(batch.column("text")).to_pylist()]
             kind = pa.list_(pa.struct([("value", pa.float64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)], ["best", "n", "taken"])
-
-    clean = written(rows.where("label = 0").mapInArrow(best, "best double, n long, taken array<struct<value:double,n:long>>"), "clean")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)],
+                ["best", "n", "taken"]
+            )
+
+    clean = written(
+        rows.where("label = 0").mapInArrow(best, "best double, n long, taken array<struct<value:double,n:long>>"),
+        "clean"
+    )
     taken = clean.select(F.inline("taken")).groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").collect()
     chance = np.array([r["n"] for r in taken], np.float64)
     model.scale = additive_scale(chance / chance.sum(), np.array([r["value"] for r in taken])) if taken else 1.0
     # at most max_rows rows
-    calibrate(model, [model.scale * r["best"] - math.log(max(1, r["n"])) for r in clean.where("best IS NOT NULL").select("best", "n").collect()])
+    calibrate(
+        model,
+        [model.scale * r["best"] - math.log(max(1, r["n"])) for r in clean.where("best IS NOT NULL").select("best", "n").collect()]
+    )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.passages(t)[1] for t in texts_of(batch.column("text")).to_pylist()], pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model.passages(t)[1] for t in texts_of(batch.column("text")).to_pylist()], pa.list_(pa.float64())), batch.column("label")],
+                ["x", "label"]
+            )
 
     learnt = sorted((r["x"], r["label"] > 0) for r in rows.mapInArrow(features, "x array<double>, label int").collect())
     model.curve = tuple(_logistic(np.array([x for x, _ in learnt]), np.array([float(y) for _, y in learnt])))
@@ -277,7 +304,9 @@ def segment_and_values(model: Model, text: bytes | None) -> tuple[float | None,
     """The best segment's score, the number of words, and how many words take each value."""
     tokens = words(text)
     taken = Counter(map(model.values.__getitem__, tokens))
-    return max((s for *_, s in model.segments(tokens)), default=None), len(tokens), [{"value": v, "n": n} for v, n in taken.items()]
+    return max(
+        (s for *_, s in model.segments(tokens)), default=None
+    ), len(tokens), [{"value": v, "n": n} for v, n in taken.items()]
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,10 +318,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("surprise", pa.float64())]))
         for batch in pieces(batches, "__text"):
             found = [model.passages(t) for t in texts_of(batch.column("__text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([model.score(x) for _, x in found], pa.float64()), pa.array([[dict(zip(("start", "end", "surprise"), p)) for p in ps] for ps, _ in found], kind)], [id_col, "score", "passages"])
-
-    passage = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("surprise", T.DoubleType())]))
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), pa.array([model.score(x) for _, x in found], pa.float64()), pa.array([[dict(zip(("start", "end", "surprise"), p)) for p in ps] for ps, _ in found], kind)],
+                [id_col, "score", "passages"]
+            )
+
+    passage = T.ArrayType(
+        T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("surprise", T.DoubleType())])
+    )
+    out = T.StructType(
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)]
+    )
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, out)
 
 
@@ -302,6 +338,8 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            yield batch.filter(pa.array([shared.value.score(shared.value.passages(t)[1]) < threshold for t in texts_of(batch.column(text_col)).to_pylist()], pa.bool_()))
+            yield batch.filter(
+                pa.array([shared.value.score(shared.value.passages(t)[1]) < threshold for t in texts_of(batch.column(text_col)).to_pylist()], pa.bool_())
+            )
 
     return docs.mapInArrow(keep, docs.schema)

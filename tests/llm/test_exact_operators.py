@@ -51,7 +51,9 @@ def test_token_counts_equal_the_library(docs, spark):
     assert token_counts.count_tokens(empty(spark), path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["▁a ▁▁ b", "  lead", "trail  ", "a\n\nb \t c", "<s> </s> <unk>", "ﬁne ＡＢ", "\x00\x01 ​", "🙂🙂 👩‍👩‍👧"])
+@pytest.mark.parametrize(
+    "text", ["▁a ▁▁ b", "  lead", "trail  ", "a\n\nb \t c", "<s> </s> <unk>", "ﬁne ＡＢ", "\x00\x01 ​", "🙂🙂 👩‍👩‍👧"]
+)
 def test_pretokens_cover_odd_texts(text):
     import sentencepiece
 
@@ -87,15 +89,21 @@ def test_repeats_equal_brute_force(docs, spark):
 
 def test_repeats_at_every_offset_and_small_windows(spark):
     base = prose(70, 9).split()
-    rows = [(k, " ".join([*prose(k * 3, 50 + k).split(), *base[k : 52 + k], *prose(5, 90 + k).split()])) for k in range(12)]
+    rows = [
+        (k, " ".join([*prose(k * 3, 50 + k).split(), *base[k : 52 + k], *prose(5, 90 + k).split()])) for k in range(12)
+    ]
     rows += [(20 + k, prose(200, k, 3)) for k in range(4)]
     for window, gram in ((50, 12), (8, 3), (5, 5)):
-        got = lempel_ziv.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window, gram=gram).collect()
+        got = lempel_ziv.remove_repeats(
+            spark.createDataFrame(rows, "doc_id long, text string"), window=window, gram=gram
+        ).collect()
         assert sorted((False, r.doc_id, r.n_words, r.kept_text) for r in got) == brute_repeats(rows, window)
 
 
 def brute_secrets(t):
-    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    assign = re.compile(
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    )
     s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
     s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     s += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
@@ -111,7 +119,9 @@ SECRETS = [
 def test_secrets_equal_brute_force_and_scan_only_unseen_blobs(spark):
     rows = spark.createDataFrame([(*r, "x") for r in SECRETS], "doc_id long, text string, blob string")
     found, ledger = blob_ledger.scan_all(rows, key_cols=["doc_id"])
-    got = sorted((r.doc_id is None, r.doc_id or 0, [f"{x.kind}:{x.start}:{x.end}" for x in r.findings]) for r in found.collect())
+    got = sorted(
+        (r.doc_id is None, r.doc_id or 0, [f"{x.kind}:{x.start}:{x.end}" for x in r.findings]) for r in found.collect()
+    )
     assert got == sorted((i is None, i or 0, brute_secrets(t or "")) for i, t in SECRETS)
     assert ledger.count() == len({t or "" for _, t in SECRETS})
     more = spark.createDataFrame([(1, "secret=token:abcdefg", "x"), (2, "password: hunter22", "y")], rows.schema)
@@ -130,11 +140,16 @@ def test_a_passage_in_every_document_splits_its_block(spark, monkeypatch, most,
     rng = np.random.default_rng(4)
     rows = []
     for k in range(240):
-        parts = [prose(int(rng.integers(3, 30)), 1000 + k), short if k % 2 else long, prose(int(rng.integers(3, 30)), 3000 + k), long if k % 5 == 0 else short]
+        parts = [
+            prose(int(rng.integers(3, 30)), 1000 + k), short if k % 2 else long,
+            prose(int(rng.integers(3, 30)), 3000 + k), long if k % 5 == 0 else short
+        ]
         rows.append((k, " ".join(parts)))
     rows += [(500 + k, rows[7][1]) for k in range(20)] + [(600, "same " * 400), (601, "same " * 300), (602, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = sorted((r.doc_id, r.n_words, r.kept_text) for r in lempel_ziv.remove_repeats(docs, window=20, gram=6).collect())
+    got = sorted(
+        (r.doc_id, r.n_words, r.kept_text) for r in lempel_ziv.remove_repeats(docs, window=20, gram=6).collect()
+    )
     firsts = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         w = WORD.findall(t or "")
@@ -210,11 +225,22 @@ def test_shards_lose_no_link(radius):
     prints = sorted(prints)
     from itertools import combinations
 
-    rows = sorted((n << 32 | (x >> 16 * i & 0xFFFF) << 16 | x >> 16 * j & 0xFFFF, x, k) for k, x in enumerate(prints) for n, (i, j) in enumerate(combinations(range(4), 2))) if radius == 2 else [(0, x, k) for k, x in enumerate(prints)]
-    cols = [pa.array([r[0] for r in rows]), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows])]
+    rows = sorted(
+        (n << 32 | (x >> 16 * i & 0xFFFF) << 16 | x >> 16 * j & 0xFFFF, x, k) for k, x in enumerate(prints) for n,
+        (i, j) in enumerate(combinations(range(4), 2))
+    ) if radius == 2 else [(0, x, k) for k, x in enumerate(prints)]
+    cols = [
+        pa.array([r[0] for r in rows]), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)),
+        pa.array([r[2] for r in rows])
+    ]
     batches = pa.Table.from_arrays(cols, ["shard", "fingerprint", "node"]).to_batches(max_chunksize=97)
-    links = [x for b in simhash.spanning_links(iter(batches), radius) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    want = components([(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i < j and (a ^ b).bit_count() <= radius], range(len(prints)))
+    links = [
+        x for b in simhash.spanning_links(iter(batches), radius) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+    ]
+    want = components(
+        [(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i < j and (a ^ b).bit_count() <= radius],
+        range(len(prints))
+    )
     assert components(links, range(len(prints))) == want
     assert len(links) < 6 * len(prints)
 
@@ -222,12 +248,16 @@ def test_shards_lose_no_link(radius):
 def test_similar_groups_keep_one_of_each(spark):
     base = [prose(300, k) for k in range(8)]
     rows = [(k, t, "en") for k, t in enumerate(base)]
-    rows += [(100 + k, t.replace(t.split()[150], "changed", 1), "en") for k, t in enumerate(base)] + [(200 + k, t, "en") for k, t in enumerate(base)]
+    rows += [
+        (100 + k, t.replace(t.split()[150], "changed", 1), "en") for k, t in enumerate(base)
+    ] + [(200 + k, t, "en") for k, t in enumerate(base)]
     rows += [(300, "", "en"), (301, None, "en"), (302, "", "en"), (None, base[0], "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [*((False, k) for k in range(8)), (False, 300), (False, 301), (False, 302), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
+        *((False, k) for k in range(8)), (False, 300), (False, 301), (False, 302), (True, 0)
+    ]
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
@@ -259,7 +289,9 @@ def test_text_ids_are_refused(spark):
 def test_similar_groups_find_links_of_brute_force(spark):
     """On whole test texts at least 99 of 100 links of 0.8 or more are within a group, and every group hangs together by such links."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = [(r.doc_id, set(" ".join(w) for w in zip(*(s[i:] for i in range(5)))) or ({" ".join(s)} if s else set())) for r in docs.collect() for s in [WORD.findall((r.text or "").translate(AZ))]]
+    rows = [
+        (r.doc_id, set(" ".join(w) for w in zip(*(s[i:] for i in range(5)))) or ({" ".join(s)} if s else set())) for r in docs.collect() for s in [WORD.findall((r.text or "").translate(AZ))]
+    ]
     held = {}
     for i, x in rows:
         for g in x:
@@ -303,13 +335,17 @@ def test_packing_is_whole_and_unpadded(docs, spark):
     t = Tokenizer.from_file(path)
     for shard in (3, 1000):
         rows = packing.pack_documents(docs, path, shard_docs=shard).collect()
-        want = sorted((i is None, i or 0, tuple(t.encode(x or "", add_special_tokens=False).ids + [2])) for i, x in TEXTS)
+        want = sorted(
+            (i is None, i or 0, tuple(t.encode(x or "", add_special_tokens=False).ids + [2])) for i, x in TEXTS
+        )
         got, pieces = [], {}
         for r in rows:
             assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids)
             pieces.setdefault((r.doc_id is None, r.doc_id or 0, r.doc_tokens), []).append((r.start, bytes(r.ids)))
         for (none, i, n), ps in pieces.items():
-            ids = np.frombuffer(b"".join(p for _, p in sorted(ps, key=lambda p: p[0])), "<u4").tolist() if len({s for s, _ in ps}) == len(ps) else None
+            ids = np.frombuffer(
+                b"".join(p for _, p in sorted(ps, key=lambda p: p[0])), "<u4"
+            ).tolist() if len({s for s, _ in ps}) == len(ps) else None
             copies = len([1 for s, _ in ps if s == 0])
             if ids is None:  # two rows with the same id and text
                 assert sum(len(p) for _, p in ps) == 4 * n * copies
@@ -347,7 +383,10 @@ def test_packing_brings_related_documents_together(spark):
 TOPICS = ["river lake water boat fish stream bridge flood rain", "engine motor wheel brake road car fuel driver truck", "bread butter salt oven flour sugar cake bake dough", "court judge law trial jury claim appeal verdict witness"]
 
 
-@pytest.mark.parametrize("text", ["it's THE'S 'll'LL don't--stop", "ÀÉ ÿŸ ß ﬀ İ ſ K µ ª", "a1b22c ½ ² ٣", "é ́x", "x\u0085y \x1c z\x1f", "<|startoftext|>hi<|ENDOFTEXT|>", "日本語 ไทย 🙂!?", "a\x00b", "''s 'S"])
+@pytest.mark.parametrize(
+    "text",
+    ["it's THE'S 'll'LL don't--stop", "ÀÉ ÿŸ ß ﬀ İ ſ K µ ª", "a1b22c ½ ² ٣", "é ́x", "x\u0085y \x1c z\x1f", "<|startoftext|>hi<|ENDOFTEXT|>", "日本語 ไทย 🙂!?", "a\x00b", "''s 'S"]
+)
 def test_word_ids_equal_the_library(text):
     from tokenizers import Tokenizer
 
@@ -361,7 +400,10 @@ def test_word_ids_equal_the_library(text):
 
 
 def test_windows_return_lexical_neighbours():
-    ids = [np.array([5, 6, 7, 2], "<u4"), np.array([20, 21, 22, 2], "<u4"), np.array([5, 6, 8, 2], "<u4"), np.array([20, 21, 23, 2], "<u4")]
+    ids = [
+        np.array([5, 6, 7, 2], "<u4"), np.array([20, 21, 22, 2], "<u4"), np.array([5, 6, 8, 2], "<u4"),
+        np.array([20, 21, 23, 2], "<u4")
+    ]
     order = [p[0] for p in sorted(packing.pack(ids, 8, 50), key=lambda p: (p[3], p[4]))]
     assert order == [0, 2, 1, 3]
 
@@ -401,10 +443,14 @@ def test_winnowing_equals_brute_force(spark, monkeypatch, bits):
     docs = spark.createDataFrame([(*r, "x") for r in LEAKY], "doc_id long, text string, items string").repartition(2)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = winnowing.find_contamination(docs, bench).collect()
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], sorted(r["items"])) for r in rows)
+    got = sorted(
+        (r.doc_id is None, r.doc_id or 0, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], sorted(r["items"])) for r in rows
+    )
     assert got == brute_leaks()
     kept = winnowing.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i, _, h, _ in got if not h)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(
+        i for _, i, _, h, _ in got if not h
+    )
     assert winnowing.find_contamination(docs.limit(0), bench).count() == 0
     assert winnowing.find_contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
@@ -412,11 +458,15 @@ def test_winnowing_equals_brute_force(spark, monkeypatch, bits):
 def test_winnowing_of_hot_passages_and_repeated_words(spark):
     """One item in every document, copies, one long text of a single word, and clashing column names."""
     item = " ".join(f"q{k}" for k in range(15))
-    rows = [(k, f"start {k} {item} end {k}", 1, "p") for k in range(300)] + [(400 + k, f"copy {item}", 1, "p") for k in range(100)] + [(900, "same " * 20_000, 1, "p"), (901, "clean text", 1, "p")]
+    rows = [
+        (k, f"start {k} {item} end {k}", 1, "p") for k in range(300)
+    ] + [(400 + k, f"copy {item}", 1, "p") for k in range(100)] + [(900, "same " * 20_000, 1, "p"), (901, "clean text", 1, "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, size int, print string").repartition(5)
     bench = spark.createDataFrame([("a", item), ("b", "same " * 2000), ("c", item)], "item_id string, text string")
     got = {r.doc_id: r for r in winnowing.find_contamination(docs, bench).collect()}
-    assert all([(s.start, s.end) for s in got[k].spans] == [(2, 17)] and sorted(got[k]["items"]) == ["a", "c"] for k in range(300))
+    assert all(
+        [(s.start, s.end) for s in got[k].spans] == [(2, 17)] and sorted(got[k]["items"]) == ["a", "c"] for k in range(300)
+    )
     assert all([(s.start, s.end) for s in got[400 + k].spans] == [(1, 16)] for k in range(100))
     assert [(s.start, s.end) for s in got[900].spans] == [(0, 20_000)] and not got[901].spans
     kept = winnowing.drop_contaminated(docs, bench)
@@ -426,7 +476,9 @@ def test_winnowing_of_hot_passages_and_repeated_words(spark):
 def test_line_spread_equals_counting(spark):
     foot = "read our terms and conditions"
     rows = [(k, f"body {k} of this page\n{foot}  \nend of page {k}", f"site{k % 7}") for k in range(30)]
-    rows += [(100 + k, "one long copied text\nthat many sites print\nwithout any change", f"site{k}") for k in range(12)]
+    rows += [
+        (100 + k, "one long copied text\nthat many sites print\nwithout any change", f"site{k}") for k in range(12)
+    ]
     rows += [(200, None, "a"), (201, "", None), (202, foot, None), (203, "x\n\n", "b"), (203, "x\n\n", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line_hash", F.lit(1))
     out = line_spread.remove_boilerplate(docs, min_sites=6).collect()

@@ -19,7 +19,9 @@ def tables(spark):
 
 
 def accuracy(scored, labels, label, threshold):
-    rows = scored.join(labels, "doc_id").where(held_out("doc_id")).select(((F.col("score") >= threshold).cast("int") == F.col(label)).alias("right")).collect()
+    rows = scored.join(labels, "doc_id").where(held_out("doc_id")).select(
+        ((F.col("score") >= threshold).cast("int") == F.col(label)).alias("right")
+    ).collect()
     assert len(rows) > 30
     return sum(r.right for r in rows) / len(rows)
 
@@ -37,8 +39,14 @@ def test_quality_held_out(tables):
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_awkward_rows_get_a_score(spark, tables, module):
     docs, labels = tables
-    odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "x", 5), (4, "the " * 50_000, 5), (1, None, 5)], "doc_id long, text string, score int")
-    for known in (labels, labels.limit(0), labels.select("doc_id", F.lit(None).cast("int").alias("toxic"), F.lit(None).cast("int").alias("quality"))):
+    odd = spark.createDataFrame(
+        [(1, None, 5), (2, "", 5), (None, "x", 5), (4, "the " * 50_000, 5), (1, None, 5)],
+        "doc_id long, text string, score int"
+    )
+    for known in (
+        labels, labels.limit(0),
+        labels.select("doc_id", F.lit(None).cast("int").alias("toxic"), F.lit(None).cast("int").alias("quality"))
+    ):
         rows = module.score(odd, module.fit(docs, known)).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert module.score(odd.limit(0), module.fit(docs, labels)).count() == 0
@@ -84,7 +92,9 @@ def test_recordings_align_with_their_changed_copies(spark):
         rows.append((10 + k, wav(0.4 * s + 0.02 * rng.normal(size=len(s)))))  # quieter, with noise
         rows.append((20 + k, wav(s[2560:])))  # begins later
         rows.append((30 + k, wav(s)))
-    rows += [(90, None), (91, b"no media"), (92, wav(np.zeros(40_000))), (93, wav(np.zeros(40_000))), (None, wav(songs[0]))]
+    rows += [
+        (90, None), (91, b"no media"), (92, wav(np.zeros(40_000))), (93, wav(np.zeros(40_000))), (None, wav(songs[0]))
+    ]
     media = spark.createDataFrame(rows, "rec_id long, audio binary").repartition(3)
     got = {r.rec_id: r for r in audio_prints.aligned_groups(media, id_col="rec_id", media_col="audio").collect()}
     for k in range(6):
@@ -126,7 +136,9 @@ def test_pipeline_stages_take_effect(spark):
     from ledgerline.llm.storage import written
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "packing"
+    ]
     kept = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         out = written(stage(spark, docs, SF), "stage")
@@ -134,7 +146,9 @@ def test_pipeline_stages_take_effect(spark):
             assert out.schema.names == docs.schema.names
             kept.append(out.count())
         else:
-            assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {
+                r.doc_id for r in docs.select("doc_id").collect()
+            }
         docs = out
     assert kept[0] > kept[1] == kept[2] > kept[3] > kept[4] > 0.6 * kept[0]
 
@@ -155,12 +169,16 @@ def test_toxicity_model_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     rows, known = [], []
     for i in range(60):
-        text = [f"{'rot' if i % 3 == 0 and rng.random() < 0.2 else 'ma'}{'aeiou'[rng.integers(5)]}{'bdkl'[rng.integers(4)]}" for _ in range(int(rng.integers(5, 40)))]
+        text = [
+            f"{'rot' if i % 3 == 0 and rng.random() < 0.2 else 'ma'}{'aeiou'[rng.integers(5)]}{'bdkl'[rng.integers(4)]}" for _ in range(int(rng.integers(5, 40)))
+        ]
         rows.append((i, " ".join(text), "x"))
         known.append((i, int(i % 3 == 0)))
     rows.append((100, rows[1][1], "x"))  # repeats with one label and counts once
     known.append((100, 0))
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, word string"), spark.createDataFrame(known, "doc_id long, toxic int")
+    docs, labels = spark.createDataFrame(
+        rows, "doc_id long, text string, word string"
+    ), spark.createDataFrame(known, "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, prior=0.05, z=2.0)
     import zlib
 
@@ -179,12 +197,16 @@ def test_toxicity_model_equals_brute_force(spark):
     assert all(math.isclose(model.scores[k], v, abs_tol=1e-9) for k, v in want.items())
     for text, _ in sorted(train):
         tokens = toxicity.words(text.encode())
-        values = [max((want[b] for b in toxicity.beginnings(w) if b in want), key=abs, default=0.0) - model.drift for w in tokens]
+        values = [
+            max((want[b] for b in toxicity.beginnings(w) if b in want), key=abs, default=0.0) - model.drift for w in tokens
+        ]
         best = max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0)
         assert math.isclose(max((s for *_, s in model.segments(tokens)), default=0.0), max(0.0, best), abs_tol=1e-9)
     # scores of the query are those of the model for each text, also repeated ones and null ids
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    assert got[1] == got[100] and all(math.isclose(got[i], model.score(model.passages(t.encode())[1])) for i, t, _ in rows)
+    assert got[1] == got[100] and all(
+        math.isclose(got[i], model.score(model.passages(t.encode())[1])) for i, t, _ in rows
+    )
 
 
 def test_maximal_segments_take_linear_time():
@@ -210,7 +232,9 @@ def test_pipeline_stages_on_awkward_rows(spark):
         (5004, words, "en", "s", 1, 3), (5005, words, None, None, 1, 3), (5006, " \n\t\n ", "en", "s", 6, 4), (5007, None, "en", "s", None, 5),
     ]
     extra = ("bucket", "text_hash", "size", "component_id", "shard", "node", "__id2")
-    rows = docs.withColumn("label", F.lit(0)).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, label int").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns], "label"))
+    rows = docs.withColumn("label", F.lit(0)).unionByName(
+        spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, label int").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns], "label")
+    )
     for c in extra:
         rows = rows.withColumn(c, F.lit("mine"))
     names, now = rows.columns, rows
@@ -220,10 +244,16 @@ def test_pipeline_stages_on_awkward_rows(spark):
         kept = [(r.doc_id, r.text) for r in now.where("doc_id > 5000 OR doc_id IS NULL").collect()]
         ids = sorted(i for i, _ in kept if i is not None)
         # the copy under the larger id is the only awkward row that any stage drops
-        assert ids == [5001, 5002, 5003, 5004, 5004, *([5005] if name in ("toxicity", "line dedup") else []), 5006, 5007] and len(kept) == len(ids) + 1
-        assert all(dict(kept)[i] is None for i in (5001, 5007)) and dict(kept)[5002] == "" and len(dict(kept)[5003]) == 1_000_000
+        assert ids == [
+            5001, 5002, 5003, 5004, 5004, *([5005] if name in ("toxicity", "line dedup") else []), 5006, 5007
+        ] and len(kept) == len(ids) + 1
+        assert all(
+            dict(kept)[i] is None for i in (5001, 5007)
+        ) and dict(kept)[5002] == "" and len(dict(kept)[5003]) == 1_000_000
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
-    sizes = {r.doc_id: (r.n, r.t) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
+    sizes = {
+        r.doc_id: (r.n, r.t) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    }
     assert sizes[5001] == sizes[5002] == sizes[5006] == (1, 1) and sizes[5003] == (200_001, 200_001) and sizes[5004][0] == 2 * sizes[5004][1]
 
 
@@ -246,9 +276,15 @@ def test_pipeline_deletes_what_its_stages_leave(spark, tmp_path, monkeypatch):
 def test_votes_equal_brute_force(spark):
     """Scores from all cosines in double precision, for a table with ties and awkward texts."""
     rng = np.random.default_rng(9)
-    rows = [(k, " ".join(("w" if k % 3 else "X!")[: 1 + k % 2] + "abcdefg"[: int(rng.integers(1, 7))] for _ in range(int(rng.integers(1, 50)))), k % 3 != 0) for k in range(120)]
-    docs = spark.createDataFrame([(k, t, 1) for k, t, _ in rows] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, score int")
-    space = quality.fit(docs, spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, quality int"), neighbours=7)
+    rows = [
+        (k, " ".join(("w" if k % 3 else "X!")[: 1 + k % 2] + "abcdefg"[: int(rng.integers(1, 7))] for _ in range(int(rng.integers(1, 50)))), k % 3 != 0) for k in range(120)
+    ]
+    docs = spark.createDataFrame(
+        [(k, t, 1) for k, t, _ in rows] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, score int"
+    )
+    space = quality.fit(
+        docs, spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, quality int"), neighbours=7
+    )
     got = {r.doc_id: r.score for r in quality.score(docs, space, block=13).collect()}
     for k, t, _ in rows:
         x = space.project(quality.terms(t.encode())[None])[0].astype(np.float64)
@@ -266,6 +302,8 @@ def test_votes_equal_brute_force(spark):
 def test_labels_that_repeat_or_lack(spark, module):
     """Repeated labels count as their largest, null ids and labels are left out, and repeated documents learn alike."""
     docs = spark.createDataFrame([(k, f"some text number {k}") for k in range(30)] * 2, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(0, 1), (None, 1), (4, None)], "doc_id long, flag int")
+    labels = spark.createDataFrame(
+        [(k, k % 2) for k in range(30)] + [(0, 1), (None, 1), (4, None)], "doc_id long, flag int"
+    )
     rows = module.score(docs, module.fit(docs, labels, label="flag")).collect()
     assert len(rows) == 60 and len({(r.doc_id, r.score) for r in rows}) == 30

@@ -10,7 +10,9 @@ from hypothesis import strategies as st
 from ledgerline.llm import audio_prints, lempel_ziv, packing, text, token_counts, winnowing
 
 tokenizers = pytest.importorskip("public_tokenizers")
-odd = st.text(st.one_of(st.sampled_from(" \n\tabcAB'.,|<>▁é½1"), st.characters(exclude_categories=("Cs",))), max_size=60)
+odd = st.text(
+    st.one_of(st.sampled_from(" \n\tabcAB'.,|<>▁é½1"), st.characters(exclude_categories=("Cs",))), max_size=60
+)
 
 
 ALL_BITS = np.full(1 << winnowing.BITS - 6, 2**64 - 1, np.uint64)
@@ -33,7 +35,9 @@ def test_word_ids(value):
     from ledgerline.llm.word_tokenizer import tokenizer
 
     own = tokenizer(tokenizers.path("word_bpe_49k.json"))
-    assert np.frombuffer(own.ids(value.encode()), "<u4").tolist() == own.library.encode(value, add_special_tokens=False).ids
+    assert np.frombuffer(own.ids(value.encode()), "<u4").tolist() == own.library.encode(
+        value, add_special_tokens=False
+    ).ids
 
 
 words = st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), max_size=40)
@@ -44,7 +48,9 @@ words = st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), max_size=40)
 def test_segments_cover_every_window_once(docs, window, gram):
     texts = [" ".join(w).encode() for w in docs]
     s = lempel_ziv.Segments(texts, window, gram)
-    got = sorted((int(o), int(a - s.begins[o]) + k) for o, a, c in zip(s.owner, s.start, s.count) for k in range(int(c)))
+    got = sorted(
+        (int(o), int(a - s.begins[o]) + k) for o, a, c in zip(s.owner, s.start, s.count) for k in range(int(c))
+    )
     assert got == sorted((i, k) for i, w in enumerate(docs) for k in range(len(w) - window + 1))
     assert all(0 <= x <= window - gram for x in s.lead.tolist()) and len(s.windows) == len(got)
     # equal windows have equal anchors at equal places
@@ -52,7 +58,9 @@ def test_segments_cover_every_window_once(docs, window, gram):
     for o, a, c, lead, anchor in zip(s.owner, s.start, s.count, s.lead, s.anchor):
         for k in range(int(c)):
             at = int(a - s.begins[o]) + k
-            assert seen.setdefault(tuple(docs[o][at : at + window]), (int(anchor), int(lead) - k)) == (int(anchor), int(lead) - k)
+            assert seen.setdefault(
+                tuple(docs[o][at : at + window]), (int(anchor), int(lead) - k)
+            ) == (int(anchor), int(lead) - k)
 
 
 @settings(max_examples=150, deadline=None)
@@ -66,7 +74,9 @@ def test_winnowing(docs, items):
         for h in whole.tolist():
             held.setdefault((size, h), set()).add(str(i))
     every = ALL_BITS
-    _, (owner, start, size, low, whole) = winnowing.candidates([" ".join(w).encode() for w in docs], winnowing.Marks(sorted(sizes), every, every), 10, 5)
+    _, (owner, start, size, low, whole) = winnowing.candidates(
+        [" ".join(w).encode() for w in docs], winnowing.Marks(sorted(sizes), every, every), 10, 5
+    )
     hits, found = [set() for _ in docs], [set() for _ in docs]
     for o, a, n, p, h in zip(*(x.tolist() for x in (owner, start, size, low, whole))):
         if (n, h) in held:
@@ -106,7 +116,9 @@ def test_packing(sizes, window):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.binary(max_size=30), max_size=12), st.integers(1, 64))
 def test_pieces_keep_all_rows(values, limit):
-    batch = pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(range(len(values)))], ["t", "n"]).slice(1)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(values, pa.binary()), pa.array(range(len(values)))], ["t", "n"]
+    ).slice(1)
     got = [n for p in text.pieces([batch], "t", limit) for n in p.column("n").to_pylist()]
     assert got == list(range(1, len(values)))
 
@@ -118,5 +130,7 @@ def test_alignment_finds_the_offset_despite_errors():
     b[::3] ^= np.uint32(1 << 7)
     offset, errors = audio_prints.align(a, b, most_errors=0.15, least_overlap=32)
     assert offset == 40 and 0 < errors < 0.02
-    assert audio_prints.align(a, rng.integers(0, 2**32, 200, dtype=np.uint64).astype(np.uint32), most_errors=0.15, least_overlap=32) is None
+    assert audio_prints.align(
+        a, rng.integers(0, 2**32, 200, dtype=np.uint64).astype(np.uint32), most_errors=0.15, least_overlap=32
+    ) is None
     assert len(audio_prints.FILTERS) == 16
