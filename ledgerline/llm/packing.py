@@ -42,6 +42,7 @@ from .word_tokenizer import tokenizer
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 40_000  # documents that the tree is learnt from
+PARTITION_BYTES = 16 << 20  # ids that a partition of shards holds on average, once the session's number of them is too small
 
 
 class Corpus:
@@ -415,4 +416,7 @@ def pack_documents(
         [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)]
     )
     dealt = _dealt(tokens, corpus, terms, shard_docs)
-    return dealt.repartition("shard").sortWithinPartitions("shard", "__id", F.xxhash64("ids")).mapInArrow(run, kind)
+    wanted = int(corpus.n * corpus.mean) * np.dtype(_width(terms)).itemsize // PARTITION_BYTES
+    few = wanted <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = dealt.repartition("shard") if few else dealt.repartition(wanted, "shard")
+    return parted.sortWithinPartitions("shard", "__id", F.xxhash64("ids")).mapInArrow(run, kind)

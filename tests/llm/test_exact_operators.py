@@ -364,12 +364,13 @@ def test_packing_is_whole_and_unpadded(docs, spark):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
-def test_packing_brings_related_documents_together(spark):
+def test_packing_brings_related_documents_together(spark, monkeypatch):
     """Documents of one topic lie in different files, yet fill the same windows, whatever the partitions."""
     path = tokenizers.path("word_bpe_49k.json")
     rows = [(k, " ".join(np.random.default_rng(k).choice(TOPICS[k % 4].split(), 60).tolist())) for k in range(80)]
     seen = []
-    for parts in (1, 20):
+    for parts, size in ((1, packing.PARTITION_BYTES), (20, packing.PARTITION_BYTES), (20, 1 << 10)):
+        monkeypatch.setattr(packing, "PARTITION_BYTES", size)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
         got = packing.pack_documents(docs, path, window=256, shard_docs=20).collect()
         windows = {}
@@ -377,7 +378,7 @@ def test_packing_brings_related_documents_together(spark):
             windows.setdefault(r.sequence_id, set()).add(r.doc_id % 4)
         assert np.mean([len(t) == 1 for t in windows.values()]) > 0.8
         seen.append(sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in got))
-    assert seen[0] == seen[1]
+    assert seen[0] == seen[1] == seen[2]
 
 
 TOPICS = ["river lake water boat fish stream bridge flood rain", "engine motor wheel brake road car fuel driver truck", "bread butter salt oven flour sugar cake bake dough", "court judge law trial jury claim appeal verdict witness"]
