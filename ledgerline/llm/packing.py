@@ -59,11 +59,24 @@ class Corpus:
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a document, in order, and how often each stands there."""
-    ordered = np.sort(ids)
-    ends = np.append(
-        np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1
-    ) if len(ordered) else np.zeros(0, np.int64)
-    return ordered[ends], np.diff(ends, prepend=-1)
+    ids = np.sort(ids)
+    n = len(ids)
+    last = np.empty(n, bool)
+    np.not_equal(ids[1:], ids[:-1], out=last[:-1])
+    last[n - 1 :] = True
+    at = np.flatnonzero(last)
+    counts = at.copy()
+    counts[1:] -= at[:-1]
+    counts[:1] += 1
+    return ids[at], counts
+
+
+def document_frequencies(docs: list[np.ndarray], terms: int) -> np.ndarray:
+    """How many of the documents hold each term."""
+    lengths = [len(d) for d in docs]
+    both = np.sort(np.repeat(np.arange(len(docs), dtype=np.uint64) * np.uint64(terms), lengths) + np.concatenate(docs))
+    first = np.append(True, both[1:] != both[:-1])[: len(both)]
+    return np.bincount((both[first] % np.uint64(terms)).astype(np.int64), minlength=terms)
 
 
 class Bm25:
@@ -293,7 +306,7 @@ def _tokens(docs: DataFrame, path: str, end: bytes, size: int) -> DataFrame:
             ]
             arrays = [x.tobytes() for x in tokens]
             kind, n, length = batch.schema.field(0).type, n + len(arrays), length + sum(map(len, tokens))
-            df += np.bincount(np.concatenate([term_counts(t)[0] for t in tokens]), minlength=size)
+            df += document_frequencies(tokens, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))],
                 ["__id", "ids", "counted"]

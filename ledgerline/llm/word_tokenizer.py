@@ -61,7 +61,9 @@ class WordTokenizer(dict):
         elif low[:-1].isalpha() and low[-1] in _TAILS:
             ids = self[low[:-1]] + self[low[-1:]]
         elif _PLAIN.fullmatch(text := word.decode()):
-            parts = [p.encode() for p in _PARTS.findall(text.lower())]
+            low_text = text.lower()
+            # letters alone are one part
+            parts = [low_text.encode()] if text.isalpha() else [p.encode() for p in _PARTS.findall(low_text)]
             ids = self._part(word) if parts == [word] else b"".join([self[p] for p in parts])
         else:
             ids = self._whole(text)

@@ -506,3 +506,16 @@ def test_line_spread_of_changed_copies_short_and_long_texts(spark):
     some = {r.doc_id: r.text for r in line_spread.remove_boilerplate(docs, min_neighbours=10).collect()}
     assert some[3] == "own 3\n\nfoot 3" and some[103] == "first 3\nthird line\nfourth line\nfifth line"
     assert line_spread.remove_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_document_frequencies_and_term_counts_equal_numpy():
+    rng = np.random.default_rng(3)
+    for kind in ("<u2", "<u4"):
+        docs = [rng.integers(0, 50, n).astype(kind) for n in (0, 1, 2, 40, 400, 0)]
+        for d in docs:
+            terms, counts = packing.term_counts(d)
+            want = np.unique(d, return_counts=True)
+            assert terms.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
+        want = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+        assert packing.document_frequencies(docs, 60).tolist() == want.tolist()
+        assert not packing.document_frequencies(docs[:1], 60).any()
