@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_prints, blob_ledger, lempel_ziv, line_spread, packing, quality, simhash, token_counts, toxicity, winnowing
+from . import audio_prints, blob_ledger, lempel_ziv, line_spread, packing, quality, ranked_search, simhash, token_counts, toxicity, url_aliases, winnowing
 from .labelled import held_out
 
 
@@ -96,6 +96,23 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+#: The URL policy of the query: (verdict, host, path).
+URL_RULES = (
+    "VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), "
+    "('allow', 'com', '/fr/'), ('block', 'com', '/de/') AS rules(verdict, host, path)"
+)
+
+
+def op11_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_aliases.judge(_table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build(_table(spark, sf_dir, "documents"))
+    found = ranked_search.search(index, _table(spark, sf_dir, "benchmark"), 20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, source, text, i, string_split(text, chr(10))[i] AS line
@@ -115,6 +132,87 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE rules AS (
+  SELECT verdict, host, path, host || path AS rule FROM (%(rules)s)
+), links AS (
+  SELECT url, tag,
+         regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS rel,
+         regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS href,
+         regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS equiv,
+         regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS content
+  FROM (SELECT url, unnest(regexp_extract_all(
+          regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+        FROM pages WHERE strpos(url, '://') > 0) t
+), raw AS (
+  SELECT url, CASE WHEN tag ILIKE '<link%%' THEN CASE WHEN list_contains(string_split(lower(rel.a || rel.b || rel.c), ' '), 'canonical') THEN href.a || href.b || href.c END
+              WHEN lower(trim(equiv.a || equiv.b || equiv.c)) = 'refresh'
+              THEN regexp_extract(content.a || content.b || content.c, '(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?(.*?)["'']?\s*$', 1) END AS href
+  FROM links
+), pointed AS (
+  SELECT url, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href
+                   WHEN regexp_matches(href, '^(?:$|#)|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                   WHEN starts_with(href, '//') THEN split_part(url, '://', 1) || ':' || href
+                   WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || href
+                   ELSE regexp_extract(url, '^[^:/?#]*://[^/?#]*') || coalesce(nullif(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*/|/)', 1), ''), '/') || href END AS target
+  FROM (SELECT url, replace(trim(href), '&amp;', '&') AS href FROM raw WHERE href IS NOT NULL) h
+), told AS (
+  SELECT url AS u, target AS v FROM pointed WHERE target IS NOT NULL
+), named AS (
+  SELECT u AS url FROM told UNION SELECT v FROM told UNION SELECT url FROM pages WHERE url IS NOT NULL
+), cut AS (
+  SELECT url, CASE WHEN place > 0 THEN translate(regexp_extract(substr(url, place + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN place > 0 THEN regexp_extract(substr(url, place + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         CASE WHEN place > 0 THEN translate(substr(url, 1, place - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS scheme,
+         CASE WHEN place > 0 THEN regexp_extract(substr(url, place + 3), '^[^/?#]*([^#]*)', 1) END AS tail
+  FROM (SELECT url, strpos(url, '://') AS place FROM named) n
+), parts AS (
+  SELECT url, host, path, scheme || '://' || host || tail AS resource FROM cut
+), judged AS (
+  SELECT url, any_value(p.host) AS host, any_value(p.path) AS path, any_value(resource) AS resource,
+         arg_max(rule, (length(rule), verdict = 'allow', rule)) AS rule, arg_max(verdict, (length(rule), verdict = 'allow', rule)) AS verdict
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) AND p.host <> ''
+  GROUP BY url
+), edges AS (
+  SELECT a.resource AS u, b.resource AS v FROM told JOIN parts a ON a.url = told.u JOIN parts b ON b.url = told.v WHERE a.resource <> b.resource
+), ways AS (
+  SELECT u, v FROM edges UNION SELECT v, u FROM edges
+), bad AS (
+  SELECT DISTINCT resource FROM judged WHERE verdict = 'block' AND resource IN (SELECT u FROM ways)
+  UNION
+  SELECT v FROM bad JOIN ways ON u = resource
+)
+SELECT page_id, coalesce(judged.host, '') AS host, coalesce(judged.path, '') AS path, judged.rule,
+       coalesce(judged.verdict, CASE WHEN judged.resource IN (SELECT resource FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN judged USING (url)
+""" % {"rules": f"SELECT * FROM ({URL_RULES[: URL_RULES.index(' AS rules')]}) AS rules(verdict, host, path)"}
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), sizes AS (
+  SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM texts WHERE len(words) > 0
+), postings AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(words) AS term FROM texts) t GROUP BY k, term
+), asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) b
+  GROUP BY item_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, sizes GROUP BY term, n_docs
+), impacts AS (
+  SELECT k, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(words) * n_docs) // n_terms)) AS impact FROM postings JOIN texts USING (k), sizes
+), scores AS (
+  SELECT item_id, k, sum(times * w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, k
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM scores JOIN texts USING (k) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 OP3_SQL = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -160,11 +258,12 @@ FROM texts t LEFT JOIN places p ON p.doc_id = t.doc_id LEFT JOIN found f ON f.do
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination,)
+        f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination, op11_url_aliases, op12_ranked_search,)
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL
+        "op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL,
+        "op11_url_aliases": OP11_SQL, "op12_ranked_search": OP12_SQL,
     }
