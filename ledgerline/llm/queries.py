@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_prints, blob_ledger, lempel_ziv, line_spread, packing, quality, ranked_search, simhash, token_counts, toxicity, url_aliases, winnowing
+from . import audio_prints, blob_ledger, divergence, lempel_ziv, line_spread, packing, quality, ranked_search, simhash, token_counts, toxicity, url_aliases, winnowing
 from .labelled import held_out
 
 
@@ -113,6 +113,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.audit(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, source, text, i, string_split(text, chr(10))[i] AS line
@@ -213,6 +218,46 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 """
 
 
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), occurring AS (
+  SELECT k, lang, source, unnest(words) AS term FROM texts
+), kept AS (
+  SELECT lang, term, count(*) AS times FROM occurring GROUP BY lang, term HAVING count(DISTINCT k) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(times) AS n FROM kept GROUP BY lang
+), sources AS (
+  SELECT DISTINCT lang, source FROM texts
+), counted AS (
+  SELECT o.lang, o.source, o.term, count(*) AS times FROM occurring o JOIN kept USING (lang, term) GROUP BY o.lang, o.source, o.term
+), sums AS (
+  SELECT lang, source, sum(times) AS n FROM counted GROUP BY lang, source
+), dense AS (
+  SELECT s.lang, s.source, m.term, coalesce(c.times, 0) AS times,
+         (1 + (1000000000::HUGEINT * (coalesce(c.times, 0) + 2)) // (coalesce(u.n, 0) + 2 * z.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (m.times + 2)) // (z.n + 2 * z.v))::BIGINT AS base
+  FROM sources s JOIN kept m ON m.lang = s.lang JOIN sizes z ON z.lang = s.lang
+  LEFT JOIN sums u ON u.lang = s.lang AND u.source = s.source
+  LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = m.term
+), compared AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(c.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN compared c ON c.lang = a.lang AND c.source = a.source AND c.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - base) * (p - base)) // (p + base))::BIGINT FROM dense WHERE times > 0 AND p > base
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 OP3_SQL = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -258,7 +303,7 @@ FROM texts t LEFT JOIN places p ON p.doc_id = t.doc_id LEFT JOIN found f ON f.do
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination, op11_url_aliases, op12_ranked_search,)
+        f.__name__: f for f in (op1_token_counts, op2_neighbour_quality, op3_lempel_ziv_dedup, op4_segment_toxicity, op5_blob_ledger_secrets, op6_line_spread_dedup, op7_simhash_near_duplicates, op8_bm25_packing, op9_chroma_fingerprints, op10_winnowing_decontamination, op11_url_aliases, op12_ranked_search, op13_source_divergence,)
     }
 
 
@@ -266,4 +311,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL,
         "op11_url_aliases": OP11_SQL, "op12_ranked_search": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
     }
