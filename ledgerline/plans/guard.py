@@ -261,7 +261,11 @@ def guarded(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> Dat
     return out.limit(min(wanted or MAX_ROWS, MAX_ROWS))
 
 
-def run_with_timeout(df: DataFrame, seconds: float = 5.0) -> list:
+#: What a guarded query may take.
+SECONDS = 5.0
+
+
+def run_with_timeout(df: DataFrame, seconds: float = SECONDS) -> list:
     """The rows of a capped result; its jobs are cancelled after the timeout."""
     context, group = df.sparkSession.sparkContext, uuid.uuid4().hex
     context.setJobGroup(group, "guarded query", interruptOnCancel=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import text as X
 from ..operators import chunking, evaluation, facts, lines, operations, repair, retrieval
-from ..session import shared_folder
+from ..session import stored
 from ..streaming import jobs
 from . import guard
 from .domain import view, with_views
@@ -41,13 +40,6 @@ YOY = A3 + """, yoy AS (SELECT b.ticker, b.metric, b.unit, b.fiscal_year AS from
 FACTS = ["cik", "metric", "fiscal_year", "fiscal_period", "taxonomy_tag", "accession_no", "value"]
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder, as a load finds them: computed once."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.latest_facts(view(spark, sf_dir, "candidates"))
 
@@ -73,7 +65,7 @@ def fact_yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     "candidates",
 )
 def fact_incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _stored(latest(spark, sf_dir), "facts")
+    every = stored(latest(spark, sf_dir), "facts")
     stored = every.where("filing_date < DATE '1998-01-01'")
     cursor = stored.groupBy("cik").agg(F.max("filing_date").alias("last_filing_date"))
     return facts.load_facts(stored, every, cursor).select(*FACTS)

@@ -1,16 +1,13 @@
-"""Tables at rest: read with a schema, replaced by partition, appended, upserted as versions."""
+"""Tables at rest: read with a schema, replaced by partition, appended, upserted by commits."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.facts import upsert
+from . import commits
 
 SCHEMAS = {
     "companies": "cik bigint, ticker string, name string, sic string, updated_at timestamp",
@@ -58,66 +55,30 @@ def append_runs(runs: DataFrame, path: str) -> DataFrame:
     return keyed.select("id")
 
 
-def _files(spark: SparkSession, path: str) -> tuple[JavaObject, type]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, hadoop = _files(spark, path)
-    if not fs.exists(hadoop(path)):
-        return []
-    found = [re.fullmatch(r"current-(\d+)", f.getPath().getName()) for f in fs.listStatus(hadoop(path))]
-    return sorted(int(m[1]) for m in found if m)
-
-
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of a versioned table's last complete version, nothing if there is none."""
-    known = _versions(spark, path)
-    return f"{path}/version-{known[-1]}" if known else None
+def upsert_table(incoming: DataFrame, path: str, key: list[str], *order: Column) -> int:
+    """Upsert by key into a table of commits, read by :func:`read_versioned`; returns the version.
 
-
-def _publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write the next version, then create its pointer: readers see the old version whole or the new one, also after a crash.
-
-    A pointer is an empty file that is created and never changed, which any store does at once; of two writers one fails.
-    The version before the last is deleted, as running readers may still use the last one.
+    Of the incoming rows the first of each key wins. If another writer commits meanwhile, its rows are merged with.
     """
-    fs, hadoop = _files(spark, path)
-    known = _versions(spark, path)
-    number = known[-1] + 1 if known else 1
-    write(f"{path}/version-{number}")
-    if not fs.createNewFile(hadoop(f"{path}/current-{number}")):
-        raise RuntimeError(f"another writer has published version {number} of {path}")
-    for old in known[:-1]:
-        fs.delete(hadoop(f"{path}/current-{old}"), False)
-        fs.delete(hadoop(f"{path}/version-{old}"), True)
-
-
-def upsert_table(incoming: DataFrame, path: str, key: list[str], *order: Column) -> None:
-    """Upsert by key into a versioned table, read by :func:`read_versioned`. Of the incoming rows the first of each key wins."""
-    spark = incoming.sparkSession
-    stored = read_versioned(spark, path, incoming.schema)
-    _publish(spark, path, lambda folder: upsert(stored, incoming, key, *order).write.mode("overwrite").parquet(folder))
+    return commits.merge(incoming.sparkSession, path, incoming.schema, lambda stored: upsert(stored, incoming, key, *order))
 
 
 def read_versioned(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The last complete version of a table; no rows if there is none."""
-    folder = current(spark, path)
-    return spark.read.schema(schema).parquet(folder) if folder else spark.createDataFrame([], schema)
+    """The last committed version of a table; no rows if there is none."""
+    return commits.read(spark, path, schema)
 
 
-def upsert_filings(incoming: DataFrame, path: str) -> None:
+def upsert_filings(incoming: DataFrame, path: str) -> int:
     """Filings by accession: the last filed, then the larger address, of those that come in replaces what is stored."""
-    upsert_table(
+    return upsert_table(
         incoming, path, ["accession_no"], F.col("filing_date").desc_nulls_last(),
         F.col("primary_doc_url").desc_nulls_last()
     )
 
 
-def write_dataset(rows: DataFrame, path: str) -> None:
-    """A versioned JSON dataset, complete or not there."""
-    _publish(rows.sparkSession, path, lambda folder: rows.write.mode("overwrite").json(folder))
+def write_dataset(rows: DataFrame, path: str) -> int:
+    """A JSON dataset, complete or not there; returns the version."""
+    return commits.replace(rows.sparkSession, path, lambda folder: rows.write.json(folder))
 
 
 def healthy(spark: SparkSession) -> bool:
