@@ -23,6 +23,8 @@ columns beside the named ones are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,15 @@ def resource(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(lowered(F.substring_index(url, "://", 1)), F.lit("://"), host(url), rest))
 
 
+def _named(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that it uses often and that is computed once."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def _without_dots(target: Column) -> Column:
     """``.`` and ``..`` taken out of the path of an absolute URL."""
     segments = F.split(F.regexp_extract(target, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/", -1)
-    last = F.element_at(segments, -1)
+    last = F.substring_index(F.regexp_extract(target, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/", -1)
     kept = F.aggregate(
         segments, F.array().cast("array<string>"),
         lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
@@ -75,10 +82,15 @@ def _without_dots(target: Column) -> Column:
 
 def resolved(base: Column, href: Column) -> Column:
     """What a link means on a page, or null: nothing, a fragment, another scheme, a page without an address."""
-    link = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "&amp;|&#38;", "&")
+    shown = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "&amp;|&#38;", "&")
+    target = _named(_named(shown, lambda link: _absolute(base, link)), _without_dots)
+    return F.when(F.locate("://", base) > 0, target)
+
+
+def _absolute(base: Column, link: Column) -> Column:
     site = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*", 0)
     at = path(base)
-    absolute = (
+    return (
         F.when(link.rlike(r"(?i)^https?://"), link)
         .when(link.rlike(r"^(?:$|#)|^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), link))
@@ -86,7 +98,6 @@ def resolved(base: Column, href: Column) -> Column:
         .when(link.startswith("?"), F.concat(site, at, link))
         .otherwise(F.concat(site, F.when(at == "", "/").otherwise(F.regexp_extract(at, r"(?s)^.*/", 0)), link))
     )
-    return F.when(F.locate("://", base) > 0, _without_dots(absolute))
 
 
 def _attribute(tag: Column, name: str) -> Column:
