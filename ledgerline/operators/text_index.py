@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.stemming import stems
+from ..functions.stemming import ENGLISH_STOP_WORDS, stem, stems
 from ..session import stored
 from ..sources import commits
 from .retrieval import checked_k, metadata_predicate, top_k
@@ -48,7 +48,9 @@ COVER = 0.1
 SCHEMA = "term string, block long, best int, ids array<long>, counts array<int>, places array<array<int>>, bucket int"
 MODES = ("any", "all", "phrase")
 
-_STOP = pa.array(X.STOP_WORDS)
+
+def _stop_words(english: bool) -> list[str]:
+    return list(ENGLISH_STOP_WORDS if english else X.STOP_WORDS)
 
 
 def _words(column: str) -> Column:
@@ -60,14 +62,17 @@ def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def _block(ids: np.ndarray, words: pa.Array, terms: pa.Array) -> pa.RecordBatch:
-    """The posting rows of some passages, by array passes alone."""
+def _block(ids: np.ndarray, words: pa.Array, english: bool) -> pa.RecordBatch:
+    """The posting rows of some passages, by array passes; each distinct word is stemmed once."""
     size = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(size)), size)
     place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    kept = pc.invert(pc.is_in(words.flatten(), value_set=_STOP)).to_numpy(zero_copy_only=False)
-    known = pc.dictionary_encode(terms.flatten().filter(pa.array(kept)))
-    code, row, place = known.indices.to_numpy(), row[kept], place[kept]
+    kept = pc.invert(pc.is_in(words.flatten(), value_set=pa.array(_stop_words(english)))).to_numpy(zero_copy_only=False)
+    known = pc.dictionary_encode(words.flatten().filter(pa.array(kept)))
+    code, row, place, names = known.indices.to_numpy(), row[kept], place[kept], known.dictionary
+    if english and len(names):
+        found, stem_of = np.unique([stem(w) for w in names.to_pylist()], return_inverse=True)
+        code, names = stem_of[code], pa.array(found.tolist(), pa.string())
     by = np.argsort(code, kind="stable")
     code, row, place = code[by], row[by], place[by].astype(np.int32)
     new = np.ones(len(code), bool)
@@ -82,38 +87,40 @@ def _block(ids: np.ndarray, words: pa.Array, terms: pa.Array) -> pa.RecordBatch:
     inner = pa.ListArray.from_arrays(pa.array(np.append(pair, len(code)).astype(np.int32)), pa.array(place))
     return pa.RecordBatch.from_arrays(
         [
-            known.dictionary.take(pa.array(code[pair][begin])), pa.array(np.full(len(begin), ids.min() if len(ids) else 0)), pa.array(best.astype(np.int32)),
+            names.take(pa.array(code[pair][begin])), pa.array(np.full(len(begin), ids.min() if len(ids) else 0)), pa.array(best.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(ids[row[pair]])), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
             pa.ListArray.from_arrays(offsets, inner),
         ], ["term", "block", "best", "ids", "counts", "places"],
     )
 
 
-def postings(chunks: DataFrame, *, stemmed: bool = False) -> DataFrame:
+def postings(chunks: DataFrame, *, english: bool = True) -> DataFrame:
     """Posting rows of passages (id, text); ids are distinct. A block is named by its smallest id."""
     rows = chunks.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), _words("text").alias("words"))
-    rows = rows.withColumn("terms", stems(F.col("words"))) if stemmed else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                yield _block(part.column("id").to_numpy(), part.column("words"), part.column("terms" if stemmed else "words"))
+                yield _block(part.column("id").to_numpy(), part.column("words"), english)
 
     return rows.mapInArrow(run, SCHEMA.rpartition(", bucket")[0]).withColumn("bucket", _bucket("term"))
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An index at rest. ``stemmed`` says how its terms were made; questions are treated alike."""
+    """An index at rest. ``english``: terms are stems of English words without its stop words, else plain words without a few.
+
+    Questions are treated like passages.
+    """
 
     path: str
-    stemmed: bool = False
+    english: bool = True
 
     def add(self, chunks: DataFrame) -> int:
         """Commits the postings of passages that are not in the index; returns the version."""
         # a term that is everywhere has rows in all blocks: each bucket is written by several tasks
-        rows = postings(chunks, stemmed=self.stemmed).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+        rows = postings(chunks, english=self.english).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
         ordered = rows.sortWithinPartitions("bucket", "term", "block")
         return commits.append(chunks.sparkSession, self.path, lambda folder: ordered.write.partitionBy("bucket").parquet(folder))
 
@@ -126,13 +133,13 @@ class TextIndex:
         return out
 
 
-def asked_terms(questions: DataFrame, *, stemmed: bool = False) -> DataFrame:
+def asked_terms(questions: DataFrame, *, english: bool = True) -> DataFrame:
     """Rows (qid, slot, term, gap) of questions (qid, query): the distinct terms, each with its place among the words."""
     words = _words("query")
-    terms = stems(words) if stemmed else words
+    terms = stems(words) if english else words
     rows = questions.select("qid", words.alias("words"), terms.alias("terms"))
     rows = rows.select("qid", F.posexplode(F.arrays_zip("words", "terms")).alias("slot", "w"))
-    return rows.where(~F.col("w.words").isin(*X.STOP_WORDS)).select("qid", "slot", F.col("w.terms").alias("term"))
+    return rows.where(~F.col("w.words").isin(*_stop_words(english))).select("qid", "slot", F.col("w.terms").alias("term"))
 
 
 def open_postings(index: TextIndex, asked: DataFrame) -> DataFrame:
@@ -187,6 +194,8 @@ def _dense(rows: DataFrame, mode: str) -> DataFrame:
                     scores.append(phrases(places, [m["slot"] for m in met]))
                 else:
                     scores.append(covers(list({m["term"]: p for m, p in zip(met, places)}.values())))
+            # sums of the same covers in another order are the same score
+            scores = [round(s, 12) for s in scores]
             out = [batch.column("qid"), batch.column("id"), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, ["qid", "id", "score"])
 
@@ -216,7 +225,7 @@ def search(
     checked_k(k)
     if mode not in MODES:
         raise ValueError(f"no mode {mode!r}")
-    slots = asked_terms(questions, stemmed=index.stemmed)
+    slots = asked_terms(questions, english=index.english)
     if mode != "phrase":
         # a term asked for twice is one term
         slots = slots.groupBy("qid", "term").agg(F.min("slot").alias("slot"))
@@ -240,8 +249,8 @@ def search(
 
     first = stored(top_k(visited(reach.where(F.col("nr") <= FIRST)), k, F.desc("score"), F.asc("id")), "first-answers")
     floors = first.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-    # a bound is never below a score, but for the last bit of their sums
-    slack = F.coalesce(F.col("floor"), F.lit(0.0)) * (1 - 1e-12)
-    rest = reach.where(F.col("nr") > FIRST).join(floors, "qid", "left").where(F.col("bound") * COVER >= slack)
+    # a bound is never below a score, but for rounding
+    least = F.coalesce(F.col("floor"), F.lit(0.0)) - 1e-9
+    rest = reach.where(F.col("nr") > FIRST).join(floors, "qid", "left").where(F.col("bound") * COVER >= least)
     every = first.select("qid", "id", "score").unionByName(visited(rest))
     return top_k(every, k, F.desc("score"), F.asc("id")).select("qid", "id", F.col("score").alias("text_score"), "rank")

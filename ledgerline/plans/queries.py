@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text as X
-from ..operators import chunking, evaluation, facts, lines, operations, repair, retrieval
-from ..session import stored
+from ..operators import chunking, evaluation, facts, lines, operations, repair, retrieval, text_index
+from ..session import shared_folder, stored
 from ..streaming import jobs
 from . import guard
 from .domain import view, with_views
@@ -171,13 +172,18 @@ text_scored AS (SELECT qid, id, sum(tf) * 0.1 AS text_score FROM held JOIN wante
 text_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY text_score DESC, id) AS rank FROM text_scored)"""
 
 
+def indexed_texts(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """An index of all texts at rest, as a load leaves it; of plain words, which SQL can cut too."""
+    index = text_index.TextIndex(f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}", english=False)
+    index.add(view(spark, sf_dir, "chunks"))
+    return index
+
+
 @registered(
     f"{TEXT} SELECT qid, id, CAST(rank AS INT) AS rank FROM text_ranked WHERE rank <= 20", "chunks", "questions"
 )
 def text_or_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.text_search(
-        view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"), 20
-    ).select("qid", "id", "rank")
+    return text_index.search(indexed_texts(spark, sf_dir), view(spark, sf_dir, "questions"), 20).select("qid", "id", "rank")
 
 
 @registered(

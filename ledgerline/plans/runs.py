@@ -18,6 +18,7 @@ from ..functions.text import size_bucket
 from ..operators import chunking, evaluation, facts, repair, retrieval
 from ..session import shared_folder
 from ..sources import filings, tables
+from . import tracing
 
 #: compared in this order; ties go to the earlier. The production strategy is a parameter of the comparison.
 APPROACHES = ("text_search", "vector_search", "hybrid_rrf", "hybrid_rrf_rerank", "vector_rerank")
@@ -207,12 +208,16 @@ class Stage:
 
 
 def run_stages(stages: dict[str, Callable[[], None]], spans: list[Stage] | None = None) -> list[Stage]:
-    """Run every stage, also after one has failed, and time each; raises in the end if any failed. ``spans`` receives them as they end."""
+    """Run every stage, also after one has failed, and time each; raises in the end if any failed. ``spans`` receives them as they end.
+
+    Each is a span of the open trace, if there is one; rows that it writes through :func:`tracing.ran` are its counts.
+    """
     done = [] if spans is None else spans
     for name, stage in stages.items():
         began, error = time.monotonic(), None
         try:
-            stage()
+            with tracing.span(name):
+                stage()
         except Exception as e:  # noqa: BLE001
             error = f"{type(e).__name__}: {e}"[:500]
         done.append(Stage(name, time.monotonic() - began, error))

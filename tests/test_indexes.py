@@ -37,7 +37,7 @@ def questions(spark):
 
 @pytest.fixture(scope="module", params=[(1024, 2), (17, 1)])
 def index(request, chunks, tmp_path_factory):
-    at = text_index.TextIndex(str(tmp_path_factory.mktemp("text") / "index"))
+    at = text_index.TextIndex(str(tmp_path_factory.mktemp("text") / "index"), english=False)
     before = text_index.BLOCK, text_index.FIRST
     text_index.BLOCK, text_index.FIRST = request.param
     at.add(chunks.where("id < 300"))
@@ -106,7 +106,7 @@ def test_filters_and_postings_that_are_read(index, chunks, questions, spark):
     wanted = {"ticker": ["T1"]}
     got = ranked(text_index.search(index, questions, 5, chunks=chunks, filters=wanted))
     assert got == ranked(retrieval.text_search(questions.where("query IS NOT NULL"), chunks, 5, wanted))
-    opened = text_index.open_postings(index, text_index.asked_terms(questions.where("qid = 3")))
+    opened = text_index.open_postings(index, text_index.asked_terms(questions.where("qid = 3"), english=False))
     plan = opened._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*(EqualTo|In)\(term", plan) and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     assert {r.term for r in opened.collect()} == {"income"}
@@ -120,6 +120,17 @@ def test_many_terms_are_joined(index, questions, monkeypatch):
     assert ranked(text_index.search(index, questions, 7)) == want
 
 
+def test_english_terms(spark, tmp_path):
+    rows = [(1, "The filings described risks"), (2, "Filed: a risk was described"), (3, "They risked it while filing"), (4, "nothing here")]
+    at = text_index.TextIndex(str(tmp_path / "english"))
+    at.add(spark.createDataFrame(rows, "id long, text string"))
+    ask = lambda q, mode: [r.id for r in text_index.search(at, spark.createDataFrame([(1, q)], "qid long, query string"), 9, mode=mode).orderBy("rank").collect()]
+    assert ask("a risk of filing", "any") == [1, 2, 3] and ask("why is it here?", "any") == []
+    assert ask("filing risks", "all") == [1, 2, 3]
+    assert ask("describing risks", "phrase") == [1] and ask("filed, and a risk", "phrase") == []
+    assert {r.term for r in at.rows(spark).collect()} == {"file", "describ", "risk", "noth"}
+
+
 def test_no_text_index_and_wrong_modes(spark, questions, tmp_path, chunks):
     none = text_index.TextIndex(str(tmp_path / "none"))
     assert text_index.search(none, questions, 3).collect() == []
@@ -160,19 +171,20 @@ def test_all_probes_are_exact(embedded, monkeypatch):
     rows, at, asked = embedded
     usable = rows.where("id IS NOT NULL AND id NOT IN (3000, 3001, 3002, 3003)")
     want = answers(retrieval.vector_search(asked, usable, 10))
-    assert answers(vector_index.search(at, asked, 10, probes=None)) == want
+    assert answers(vector_index.search(at, asked, 10, probes=vector_index.EVERY)) == want
     for name, value in (("PART", 100), ("TOGETHER", 7)):
         monkeypatch.setattr(vector_index, name, value)
     assert answers(vector_index.search(at, asked, 10, probes=10_000)) == want
     t1 = {"ticker": "T1"}
-    assert answers(vector_index.search(at, asked, 10, probes=None, chunks=rows, filters=t1)) == answers(retrieval.vector_search(asked, usable, 10, t1))
+    assert answers(vector_index.search(at, asked, 10, probes=vector_index.EVERY, chunks=rows, filters=t1)) == answers(retrieval.vector_search(asked, usable, 10, t1))
 
 
 def test_few_probes_find_most(embedded, spark):
     rows, at, asked = embedded
-    cells = len(at.model(spark).centres)
-    exact = answers(vector_index.search(at, asked, 10, probes=None))
-    near = answers(vector_index.search(at, asked, 10, probes=max(1, cells // 8)))
+    model = at.model(spark)
+    assert 1 <= model.probes < len(model.centres) / 2
+    exact = answers(vector_index.search(at, asked, 10, probes=vector_index.EVERY))
+    near = answers(vector_index.search(at, asked, 10))
     found = sum(len({s for _, s in near[q]} & {s for _, s in exact[q]}) for q in exact)
     assert found >= 0.9 * sum(len({s for _, s in exact[q]}) for q in exact)
 
@@ -188,6 +200,14 @@ def test_bounds_hold_the_true_cosine():
         assert (gap <= error[here] + vector_index.SLACK).all()
 
 
+def test_probes_grow_where_vectors_have_no_clusters():
+    rng = np.random.default_rng(3)
+    clear = vector_index.Model.learnt(np.repeat(np.eye(32), 20, axis=0) + 0.01 * rng.normal(size=(640, 32)))
+    noise = vector_index.Model.learnt(rng.normal(size=(640, 32)))
+    assert clear.probes <= 4 < noise.probes <= len(noise.centres)
+    assert vector_index.Model.learnt(np.ones((1, 3))).probes == 1 and vector_index.Model.learnt(np.ones((40, 3))).probes == 1
+
+
 def test_wrong_questions_and_no_vectors(embedded, spark, tmp_path):
     _, at, asked = embedded
     with pytest.raises(Exception, match="not valid"):
