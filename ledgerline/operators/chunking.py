@@ -4,25 +4,87 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Encoder = Callable[[str], int]
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"[.!?][\"'”’)\]]*$")
+_END = re.compile(r"[.!?][\"'”’)}\]]*$")
 
 
-def word_count(text: str) -> int:
-    """The default encoder: one token a word."""
-    return len(text.split())
+class Encoder(Protocol):
+    """Something that counts the tokens of any part of a text, after one look at the whole."""
+
+    def __call__(self, text: str) -> Callable[[int, int], int]: ...
+
+
+@dataclass
+class Pieces:
+    """Tokens that never cross the pieces a pattern cuts a text into, as in any tokenizer with a pre-tokenizer.
+
+    The text is cut once and the counts of its pieces summed up, each distinct piece being counted once. A part of the text
+    has the sum of the pieces inside, and its first and last piece anew if the part cuts them.
+    """
+
+    pattern: str
+    count: Callable[[str], int]
+    most: int = 100_000
+
+    def __post_init__(self) -> None:
+        self._known: dict[str, int] = {}
+
+    def _of(self, piece: str) -> int:
+        if piece not in self._known:
+            if len(self._known) >= self.most:
+                self._known.clear()
+            self._known[piece] = self.count(piece)
+        return self._known[piece]
+
+    def __call__(self, text: str) -> Callable[[int, int], int]:
+        cut = regex.compile(self.pattern)
+        spans = [m.span() for m in cut.finditer(text)]
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
+        sums = [0, *np.cumsum([self._of(text[a:b]) for a, b in spans], dtype=np.int64).tolist()]
+        anew = lambda a, b: sum(self._of(m[0]) for m in cut.finditer(text[a:b]))
+
+        def size(a: int, b: int) -> int:
+            # the first piece that ends after a, and the first one that ends at b or after it
+            first, last = bisect_right(ends, a), bisect_right(ends, b - 1)
+            if first >= last and not (first < len(spans) and starts[first] >= a and ends[first] <= b):
+                return anew(a, b)
+            total = sums[min(last + 1, len(spans))] - sums[first]
+            if starts[first] < a:
+                total += anew(a, ends[first]) - (sums[first + 1] - sums[first])
+            if last < len(spans) and ends[last] > b:
+                total += anew(min(starts[last], b), b) - (sums[last + 1] - sums[last])
+            return total
+
+        return size
+
+
+@dataclass
+class Whole:
+    """Any function of a text: each part is encoded anew."""
+
+    count: Callable[[str], int]
+
+    def __call__(self, text: str) -> Callable[[int, int], int]:
+        return lambda a, b: self.count(text[a:b])
+
+
+#: The default: one token a word.
+WORDS = Pieces(r"\S+", lambda _: 1)
 
 
 def windows(
-    text: str, max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count
+    text: str, max_tokens: int = 700, overlap: float = 0.15, encode: Encoder | Callable[[str], int] = WORDS
 ) -> list[tuple[str, int]]:
     """Chunks of up to ``max_tokens`` that end at a sentence or line where that leaves at least 60 % of the budget.
 
@@ -30,21 +92,21 @@ def windows(
     """
     if max_tokens <= 0 or not 0 <= overlap < 1:
         raise ValueError("max_tokens is positive and overlap a share below one")
-    spare = min(round(max_tokens * overlap), max_tokens - 1)
+    spare, least = min(round(max_tokens * overlap), max_tokens - 1), max(1, round(0.6 * max_tokens))
     spans = [m.span() for m in _WORD.finditer(text)]
-    size = lambda a, b: encode(text[spans[a][0] : spans[b - 1][1]]) if b > a else 0
-    natural = lambda i: bool(_END.search(text[slice(*spans[i])])) or (i + 1 < len(spans) and "\n" in text[spans[i][1] : spans[i + 1][0]])
+    counted = (encode if isinstance(encode, Pieces | Whole) else Whole(encode))(text)
+    size = lambda a, b: counted(spans[a][0], spans[b - 1][1]) if b > a else 0
+    natural = [
+        bool(_END.search(text[slice(*spans[i])])) or (i + 1 < len(spans) and "\n" in text[spans[i][1] : spans[i + 1][0]]) for i in range(len(spans))
+    ]
+    stops = [-1, *(i for i, n in enumerate(natural) if n)]
     out, begin = [], 0
     while begin < len(spans):
-        low, high = begin + 1, len(spans)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if size(begin, mid) <= max_tokens else (low, mid - 1)
-        end = low
+        end = _furthest(lambda e: size(begin, e) <= max_tokens, begin + 1, len(spans))  # noqa: B023
         if end < len(spans):
             # the nearest natural end decides, even when it is too early to be taken
-            stop = next((i + 1 for i in range(end - 1, begin - 1, -1) if natural(i)), None)
-            if stop and size(begin, stop) >= 0.6 * max_tokens:
+            stop = stops[bisect_right(stops, end - 1) - 1] + 1
+            if stop > begin and size(begin, stop) >= least:
                 end = stop
         out.append((text[spans[begin][0] : spans[end - 1][1]], size(begin, end)))
         if end == len(spans):
@@ -57,8 +119,21 @@ def windows(
     return out
 
 
+def _furthest(fits: Callable[[int], bool], low: int, high: int) -> int:
+    """The last number up to ``high`` that fits, looked for in growing steps from ``low``, which counts as fitting."""
+    step = 1
+    while low + step <= high and fits(low + step):
+        low, step = low + step, 2 * step
+    high = min(high, low + step - 1)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid - 1)
+    return low
+
+
 def chunk_sections(
-    sections: DataFrame, keys: list[str], max_tokens: int = 700, overlap: float = 0.15, encode: Encoder = word_count
+    sections: DataFrame, keys: list[str], max_tokens: int = 700, overlap: float = 0.15,
+    encode: Encoder | Callable[[str], int] = WORDS
 ) -> DataFrame:
     """Rows (keys, chunk_index, text, token_count) of (keys, text); the index begins anew in each section."""
 

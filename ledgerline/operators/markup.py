@@ -1,4 +1,9 @@
-"""Filing HTML to block-aware text in one Arrow stage per batch of documents."""
+"""Filing HTML and XHTML to block-aware text in one Arrow stage per batch of documents.
+
+Documents that say they are XML are read by their namespaces: what is hidden by the
+inline or instance vocabulary goes whatever its prefix, and CDATA is text. One that is
+not well-formed is read as HTML instead.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html.entities import html5
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +23,12 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset("address article blockquote br div h1 h2 h3 h4 h5 h6 li p section tr".split())
 DROPPED = frozenset(("script", "style", "noscript", "svg", "ix:header", "ix:hidden", "xbrli:context", "xbrli:unit"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# fixed values: how far a document's beginning is looked at, and what there tells XML
+PROLOGUE, XML_SIGNS = 4096, ("xmlns:ix=", 'xmlns="http://www.w3.org/1999/xhtml"', "<ix:")
+_NAMESPACES = ((re.compile(r"^http://www\.xbrl\.org/\d{4}/inlineXBRL"), "ix:"), (re.compile(r"^http://www\.xbrl\.org/2003/instance$"), "xbrli:"))
+_PLAIN = ("", "http://www.w3.org/1999/xhtml", "http://www.w3.org/2000/svg")
+_ENTITY = re.compile(r"<!\[CDATA\[.*?\]\]>|&([A-Za-z][A-Za-z0-9]*);", re.DOTALL)
+_XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
 _NUMBER = re.compile(r"^\(?[\s$€£¥]*[\d][\d,.\s]*\)?\s*%?$|^[-–—]$")
 
 
@@ -101,6 +114,49 @@ class _Reader(HTMLParser):
                 self.tables[-1][-1][-1] += data
 
 
+def says_xml(text: str) -> bool:
+    start = text.lstrip("\ufeff \t\r\n")[:PROLOGUE].lower()
+    return start.startswith("<?xml") or any(sign in start for sign in XML_SIGNS)
+
+
+def _tag(name: str) -> str:
+    """A qualified name of expat as the reader knows tags: known vocabularies by their usual prefix, others by none of ours."""
+    space, _, local = name.rpartition(" ")
+    if space in _PLAIN:
+        return local.lower()
+    return next((prefix + local.lower() for pattern, prefix in _NAMESPACES if pattern.search(space)), f"other:{local.lower()}")
+
+
+def _read_xml(text: str) -> _Reader:
+    """The reader after all of a well-formed document; raises ExpatError if it is none."""
+    reader, parser = _Reader(), expat.ParserCreate(namespace_separator=" ")
+
+    def declared(*_: object) -> None:
+        raise expat.ExpatError("documents do not define entities")
+
+    def started(name: str, attributes: dict[str, str]) -> None:
+        # attributes of other vocabularies are not those of the page
+        reader.handle_starttag(_tag(name), [(k.lower(), v) for k, v in attributes.items() if " " not in k])
+
+    parser.StartElementHandler, parser.EndElementHandler = started, lambda name: reader.handle_endtag(_tag(name))
+    parser.CharacterDataHandler, parser.EntityDeclHandler, parser.buffer_text = reader.handle_data, declared, True
+    known = lambda m: m[0] if m[1] is None or m[1] in _XML_ENTITIES else html5.get(f"{m[1]};", m[0])
+    parser.Parse(_ENTITY.sub(known, text.lstrip("\ufeff \t\r\n")), True)
+    return reader
+
+
+def _read(text: str) -> _Reader:
+    if says_xml(text):
+        try:
+            return _read_xml(text)
+        except expat.ExpatError:
+            pass
+    reader = _Reader()
+    reader.feed(text)
+    reader.close()
+    return reader
+
+
 def is_data_grid(rows: list[list[str]]) -> bool:
     """A table of figures: three rows, nine cells, two rows of three columns, a fifth of the cells numeric and none long."""
     cells = [re.sub(r"\s+", " ", c).strip() for r in rows for c in r]
@@ -113,9 +169,7 @@ def is_data_grid(rows: list[list[str]]) -> bool:
 
 def read_lines(html: str | None) -> list[Line]:
     """The visible lines of a document; anchors that stand twice in it are left out."""
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
+    reader = _read(html or "")
     out, held = [], []
     for piece in [*(p for part in reader.out for p in part), None]:
         if piece is not None:

@@ -510,7 +510,21 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.corpus_fingerprint(view(spark, sf_dir, "chunks"))
 
 
-@registered()
+@registered(
+    r"""WITH RECURSIVE texts AS (
+  SELECT doc_id, parts, len(parts) AS n, list_filter(generate_series(1, len(parts)), lambda i: regexp_matches(parts[i], '[.!?]["''”’)}\]]*\s*$') OR (i < len(parts) AND contains(parts[i], chr(10)))) AS stops
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\s]+\s*') AS parts FROM documents) p WHERE len(parts) > 0
+), cut AS (
+  SELECT doc_id, 0 AS chunk_index, 1::BIGINT AS a, 0::BIGINT AS b, false AS done FROM texts
+  UNION ALL
+  SELECT doc_id, CASE WHEN b = 0 THEN 0 ELSE chunk_index + 1 END, start, stop, stop = n
+  FROM (SELECT *, CASE WHEN hard < n AND near IS NOT NULL AND near - start + 1 >= 420 THEN near ELSE hard END AS stop
+        FROM (SELECT *, list_max(list_filter(stops, lambda x: x >= start AND x <= hard)) AS near
+              FROM (SELECT *, least(n, start + 699) AS hard FROM (SELECT c.*, t.n, t.stops, CASE WHEN b = 0 THEN 1 ELSE greatest(a + 1, b - 104) END AS start FROM cut c JOIN texts t USING (doc_id) WHERE NOT done) s) h) m) e
+)
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(b - a + 1 AS INT) AS token_count, sha256(regexp_replace(array_to_string(list_slice(parts, a, b), ''), '\s+$', '')) AS text_sha256
+FROM cut JOIN texts USING (doc_id) WHERE b > 0""".replace("\\\\", "\\")
+)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return chunking.chunk_sections(docs, ["doc_id"]).select(

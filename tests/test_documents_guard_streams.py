@@ -59,6 +59,8 @@ def test_chunk_goldens():
     found = chunking.windows(" ".join(f"w{k}" for k in range(50)), 10, 0.2)
     assert all(n <= 10 for _, n in found) and found[1][0].split()[:2] == found[0][0].split()[-2:]
     assert chunking.windows("  ") == []
+    # 60 % of 7 is rounded to 4, and a closing brace may follow a full stop
+    assert chunking.windows("a b c d.} e f g h i", 7, 0.0)[0] == ("a b c d.}", 4)
 
 
 def test_embeddings_come_in_batches_of_the_right_size(spark):
