@@ -11,9 +11,10 @@ from ..functions import text as X
 from ..operators import facts, lines, operations, repair, retrieval, text_index, vector_index
 from ..session import shared_folder
 from ..sources import cache, commits
+from ..streaming import ledger
 from . import tracing
 from .domain import view
-from .queries import A3, LINES, STOP, VECTOR, _vectors, indexed_texts, latest, registered
+from .queries import A3, FACTS, LINES, STOP, VECTOR, _vectors, indexed_texts, latest, registered
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -209,9 +210,23 @@ def fact_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "SELECT page_id AS doc, section, 0 AS size, 'the section is not in the document' AS reason FROM pages, (VALUES ('Risk Factors'), ('MD&A'), ('Notes')) s(section)"
+    "SELECT page_id AS doc, section, 0 AS size, reason FROM pages, (VALUES ('Risk Factors', 'the section is not in the document'), ('MD&A', 'the section is not in the document'), ('Notes', 'the notes title does not stand twice beside Item 8')) s(section, reason)"
 )
 def filing_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which expected sections the pages lack, read as annual reports; the SQL holds for pages without items, as those of the test tables."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("form_type", F.lit("10-K"))
     return repair.tagged_filings(pages, "page_id", "form_type", "html").where("kind = 'note'").select("doc", "section", "size", "reason")
+
+
+FILED = "source string, cik long, metric string, fiscal_year int, fiscal_period string, taxonomy_tag string, filing_date date, accession_no string, value decimal(15,2)"
+
+
+@registered(f"{A3} SELECT {', '.join(FACTS)} FROM latest", "candidates")
+def streaming_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of a stream whose files hold filings out of order, each file a batch: what the batch load has."""
+    incoming, table, state = (_folder(spark, n) for n in ("stream-in", "stream-table", "stream-state"))
+    every = facts.primary_context(view(spark, sf_dir, "candidates")).withColumn("source", F.lit("facts"))
+    columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in FILED.split(", ")]
+    every.select(*columns).repartition(3, F.xxhash64("accession_no")).write.parquet(incoming)
+    ledger.follow(spark, incoming, FILED, table, state, files=1).awaitTermination()
+    return ledger.facts_now(spark, table, FILED).select(*FACTS)

@@ -1,4 +1,4 @@
-"""The one part that talks to the outside: a paced, retrying fetcher that lands responses by content address. Not a Spark operator."""
+"""The one part that talks to the outside: a paced, retrying fetcher. :mod:`.landing` runs it in tasks; alone it lands responses in a folder."""
 
 from __future__ import annotations
 
@@ -34,6 +34,13 @@ class Pace:
             self.sleep(at - now)
 
 
+def checked_url(url: str) -> str:
+    parts = urlsplit(url)
+    if parts.scheme != "https" or parts.hostname not in HOSTS:
+        raise ValueError(f"{url} is not of the service")
+    return url
+
+
 def landed_name(url: str, suffix: str = "") -> str:
     return hashlib.sha256(url.encode()).hexdigest() + suffix
 
@@ -47,9 +54,7 @@ class Fetcher:
         self.transport, self.folder, self.pace, self.tries, self.sleep = transport, folder, pace, tries, sleep
 
     def get(self, url: str, suffix: str = "", use_landed: bool = True) -> bytes:
-        parts = urlsplit(url)
-        if parts.scheme != "https" or parts.hostname not in HOSTS:
-            raise ValueError(f"{url} is not of the service")
+        checked_url(url)
         path = os.path.join(self.folder, landed_name(url, suffix))
         if use_landed and os.path.exists(path):
             with open(path, "rb") as f:
@@ -62,6 +67,10 @@ class Fetcher:
         os.replace(temporary, path)
         return body
 
+    def fetched(self, url: str) -> bytes:
+        """The response, not landed."""
+        return self._request(checked_url(url))
+
     def _request(self, url: str) -> bytes:
         for n in range(self.tries):
             self.pace.wait()
