@@ -7,11 +7,16 @@ packed 32-bit integer. Two recordings are aligned by the histogram of offsets at
 which they share integers; they are linked if the bit errors at one of the best
 offsets are few over a long enough overlap.
 
-Candidates share an integer; runs of one integer (as in silence) count once, at
-their end. A shared integer is a vote for one offset, and there both are
-compared: equal integers are the histogram's other votes, wrong bits decide. Recordings with equal fingerprints stand for each other, and
-integers held by more than ``SHARD_PRINTS`` are split so that any two holders
-still meet. Under an integer every pair that is not yet in one group is looked at.
+Runs of one integer (as in silence) count once, at their end. An integer that two
+recordings share is a vote for the offset at which it lies in both; votes are made
+by a join, added up to a histogram of offsets for each pair, and only pairs with
+votes have their fingerprints fetched, once, to count the wrong bits at their
+offsets. Recordings with equal fingerprints stand for each other. Integers of more
+than ``HOT`` places, as in a third of a corpus that is one song with changes, would
+make too many votes: their holders are compared in tasks, where most join the group
+of the first, and integers of more than ``SHARD_PRINTS`` places are split so that
+any two holders still meet. A place makes ``HOT`` votes at most, whatever the number
+of recordings.
 
 Defined results: null, undecodable, silent and too short media have no integers
 and are in a group of their own; rows with one id are one recording, and a null
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import io
 import wave
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +43,8 @@ from .simhash import Groups
 from .storage import written
 
 SPAN = 16  # frames under one integer
-SHARD_PRINTS = 2000  # holders of an integer before it is split
+HOT = 64  # places of an integer up to which all its pairs are votes
+SHARD_PRINTS = 2000  # places of an integer before it is split
 # one filter for each kind of comparison and place: (kind, first pitch class, classes, frames)
 FILTERS = tuple(
     (kind, (3 * i + 2 * kind) % 12, (4, 6, 8, 12)[(i + kind) % 4], (4, 8, 12, 16)[i]) for kind in range(4) for i in range(4)
@@ -127,44 +134,48 @@ def aligned_at(a: np.ndarray, b: np.ndarray, offset: int, most_errors: float, le
     return votes > 0 and n >= min(least_overlap, len(a), len(b)) and errors <= most_errors
 
 
-def align(a: np.ndarray, b: np.ndarray, *, most_errors: float, least_overlap: int) -> tuple[int, float] | None:
-    """The offset of b in a and the share of wrong bits, at the offset with the most votes of those that are good enough."""
-    both = np.intersect1d(a, b)
-    at = {v: np.flatnonzero(b == v) for v in both.tolist()}
-    votes = [i - at[v] for i, v in enumerate(a.tolist()) if v in at]
-    if not votes:
-        return None
-    offsets, counts = np.unique(np.concatenate(votes), return_counts=True)
-    for k in np.argsort(-counts, kind="stable").tolist():
-        if aligned_at(a, b, int(offsets[k]), most_errors, least_overlap):
-            return int(offsets[k]), agreement(a, b, int(offsets[k]))[2]
-    return None
-
-
 def _runs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The integer of each run and the position where it ends."""
     last = np.flatnonzero(np.append(prints[1:] != prints[:-1], True)) if len(prints) else np.zeros(0, np.int64)
     return prints[last], last
 
 
+def histogram(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The offsets of b in a that have votes, those with most first."""
+    (x, at), (y, there) = _runs(a), _runs(b)
+    held: dict[int, list[int]] = {}
+    for k, p in zip(y.tolist(), there.tolist()):
+        held.setdefault(k, []).append(p)
+    votes = Counter(p - q for k, p in zip(x.tolist(), at.tolist()) for q in held.get(k, ()))
+    return [offset for offset, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))]
+
+
+def align(a: np.ndarray, b: np.ndarray, *, most_errors: float, least_overlap: int) -> tuple[int, float] | None:
+    """The offset of b in a and the share of wrong bits, at the offset with the most votes of those that are good enough."""
+    for offset in histogram(a, b):
+        if aligned_at(a, b, offset, most_errors, least_overlap):
+            return offset, agreement(a, b, offset)[2]
+    return None
+
+
 def fingerprints(media: DataFrame, *, id_col: str, media_col: str, decode: Callable = wav_samples) -> DataFrame:
-    """Rows (id, prints, runs, places): packed integers as little-endian bytes, and the integers of runs and where these end."""
+    """Rows (id, prints, marks, places): packed integers as little-endian bytes, and the integers of runs and where these end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 prints = [fingerprint(chroma(*decode(m))) for m in part.column(1).to_pylist()]
-                runs = [_runs(p) for p in prints]
+                marks = [_runs(p) for p in prints]
                 cols = [
                     pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary()),
-                    pa.array([m.astype(np.int64) for m, _ in runs], pa.list_(pa.int64())),
-                    pa.array([w.astype(np.int32) for _, w in runs], pa.list_(pa.int32()))
+                    pa.array([m.astype(np.int64) for m, _ in marks], pa.list_(pa.int64())),
+                    pa.array([w.astype(np.int32) for _, w in marks], pa.list_(pa.int32()))
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "prints", "runs", "places"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "prints", "marks", "places"])
 
     kind = T.StructType(
-        [T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
+        [T.StructField(id_col, media.schema[id_col].dataType), T.StructField("prints", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
     )
     return media.select(id_col, media_col).mapInArrow(run, kind)
 
@@ -176,7 +187,7 @@ def aligned_groups(
     """Rows (id, n_ints, prints, group_id): the smallest id reachable over recordings that align."""
     made = written(fingerprints(media, id_col=id_col, media_col=media_col, decode=decode), "prints")
     held = made.where(F.col(id_col).isNotNull() & (F.length("prints") > 0)).select(
-        F.col(id_col).cast("long").alias("id"), "prints", "runs", "places", F.xxhash64("prints").alias("same"),
+        F.col(id_col).cast("long").alias("id"), "prints", "marks", "places", F.xxhash64("prints").alias("same"),
         F.crc32("prints").alias("check")
     )
     nodes = held.groupBy("same", "check").agg(F.min("id").alias("node"))
@@ -185,16 +196,34 @@ def aligned_groups(
     )
     # rows of one id may have several fingerprints: one row for each fingerprint, under its smallest id
     own = written(
-        held.join(nodes, ["same", "check"]).where("id = node").dropDuplicates(["same", "check"]).select("node", "same", "prints", "runs", "places"),
+        held.join(nodes, ["same", "check"]).where("id = node").dropDuplicates(["same", "check"]).select("node", "same", "prints", "marks", "places"),
         "recordings"
     )
-    marks = own.select(
-        "node", "same", F.inline(F.arrays_zip("runs", "places"))
-    ).withColumnsRenamed({"runs": "shard", "places": "at"})
-    shared = marks.groupBy("shard").agg(
-        F.min("same").alias("a"), F.max("same").alias("b")
-    ).where("a != b").select("shard")
-    rows = split_hot(written(marks.join(shared, "shard", "left_semi"), "votes"), "shard", "same", SHARD_PRINTS)
+    marks = own.select("node", "same", F.inline(F.arrays_zip("marks", "places"))).withColumnsRenamed({"marks": "shard", "places": "at"})
+    shared = marks.groupBy("shard").agg(F.count("*").alias("n"), F.min("same").alias("a"), F.max("same").alias("b")).where("a != b")
+    # rows in which two recordings may meet; most integers are one recording's alone
+    met = written(marks.join(shared.select("shard", "n"), "shard"), "votes")
+    few = met.where(F.col("n") <= HOT)
+    left = few.select("shard", F.col("node").alias("a"), F.col("at").alias("x"))
+    right = few.select("shard", F.col("node").alias("b"), F.col("at").alias("y"))
+    votes = left.join(right, "shard").where("a < b").groupBy("a", "b", (F.col("x") - F.col("y")).alias("offset")).agg(F.count("*").alias("n"))
+    peaks = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "offset")))
+    pairs = votes.groupBy("a", "b").agg(peaks.alias("peaks")).select("a", "b", F.col("peaks.offset").alias("offsets"))
+    prints = own.select("node", "prints")
+    fetched = pairs.join(prints.withColumnsRenamed({"node": "a", "prints": "p"}), "a").join(prints.withColumnsRenamed({"node": "b", "prints": "q"}), "b")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in ("p", "q"))
+            good = [
+                any(aligned_at(x, y, o, most_errors, least_overlap) for o in offsets)
+                for x, y, offsets in zip(first, second, batch.column("offsets").to_pylist())
+            ]
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["u", "v"])
+
+    voted = fetched.select("a", "b", "offsets", "p", "q").mapInArrow(checked, "u long, v long")
+    rows = split_hot(written(met.where(F.col("n") > HOT).drop("n"), "hot-integers"), "shard", "same", SHARD_PRINTS)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shards, table in whole_shards(batches):
@@ -205,7 +234,8 @@ def aligned_groups(
                 at, groups = places[a:b], Groups(b - a)
                 for i in range(1, b - a):
                     # the first of each group before all others, as most align with it
-                    for some in (np.flatnonzero(groups.root[:i] == np.arange(i)), np.arange(i)):
+                    first = groups.root[:i] == np.arange(i)
+                    for some in (np.flatnonzero(first), np.flatnonzero(~first)):
                         for j in some[groups.root[some] != groups.root[i]].tolist():
                             if groups.root[j] != groups.root[i] and aligned_at(
                                 prints[i], prints[j], int(at[i] - at[j]), most_errors, least_overlap
@@ -218,7 +248,7 @@ def aligned_groups(
 
     rows = rows.join(own.select("node", "same", "prints"), ["node", "same"]).select("shard", "node", "at", "prints")
     found = rows.repartition("shard").sortWithinPartitions("shard", "node", "at").mapInArrow(links, "u long, v long")
-    groups = smallest_reachable(found.unionByName(equal))
+    groups = smallest_reachable(found.unionByName(voted).unionByName(equal))
     out = made.join(groups, F.col(id_col).cast("long") == F.col("node"), "left")
     return out.select(
         id_col, (F.length("prints") / 4).cast("long").alias("n_ints"), "prints",

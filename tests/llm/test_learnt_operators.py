@@ -104,10 +104,11 @@ def test_recordings_align_with_their_changed_copies(spark):
     assert audio_prints.aligned_groups(media.limit(0), id_col="rec_id", media_col="audio").count() == 0
 
 
-@pytest.mark.parametrize("most", [2, 2000])
-def test_audio_groups_equal_brute_force(spark, monkeypatch, most):
-    """Groups are the components of all pairs that align at any offset, also through bridges and when integers are split."""
+@pytest.mark.parametrize("most, hot", [(2000, 64), (2000, 0), (2, 3)])
+def test_audio_groups_equal_brute_force(spark, monkeypatch, most, hot):
+    """Groups are the components of all pairs that align at any offset, also through bridges, and when integers are hot or split."""
     monkeypatch.setattr(audio_prints, "SHARD_PRINTS", most)
+    monkeypatch.setattr(audio_prints, "HOT", hot)
     rng = np.random.default_rng(8)
     songs = [audio_prints.played_vector(rng.normal(size=96).tolist())[1] for _ in range(5)]
     rows = []
@@ -131,6 +132,22 @@ def test_audio_groups_equal_brute_force(spark, monkeypatch, most):
     assert len(set(root.values())) < 8
 
 
+def test_long_recordings_align_where_they_overlap(spark):
+    """Three minutes with an excerpt, and an hour with another; the histogram names the place."""
+    rng = np.random.default_rng(17)
+    notes = 3 * 60 * 4000 // 256
+    song = audio_prints.played_vector(rng.normal(size=notes).tolist())[1]
+    hour = np.concatenate([audio_prints.played_vector(rng.normal(size=notes).tolist())[1] for _ in range(20)])
+    rows = [(0, wav(song)), (1, wav(song[100_000:180_000])), (2, wav(hour)), (3, wav(hour[7_000_000:7_090_000] + 0.02 * rng.normal(size=90_000)))]
+    media = spark.createDataFrame(rows, "rec_id long, audio binary")
+    got = {r.rec_id: r for r in audio_prints.aligned_groups(media, id_col="rec_id", media_col="audio").collect()}
+    assert {i: r.group_id for i, r in got.items()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    prints = {i: np.frombuffer(bytes(r.prints), "<u4") for i, r in got.items()}
+    best = audio_prints.histogram(prints[0], prints[1])[0]
+    hop = int(4000 * 0.256) // 4
+    assert abs(best - 100_000 / hop) <= 1 and audio_prints.align(prints[2], prints[3], most_errors=0.15, least_overlap=32)
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
     from ledgerline.llm.storage import written
