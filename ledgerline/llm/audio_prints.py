@@ -21,7 +21,8 @@ of recordings.
 Defined results: null, undecodable, silent and too short media have no integers
 and are in a group of their own; rows with one id are one recording, and a null
 id has a fingerprint but no group. Ids are whole numbers. Recordings count whole
-at any length; an empty table gives an empty result.
+at any length; an empty table gives an empty result; columns beside id and media are
+not read, whatever their names.
 """
 
 from __future__ import annotations

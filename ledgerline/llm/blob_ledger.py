@@ -6,7 +6,10 @@ run scans one representative row of each unseen pair and joins the findings back
 to every path that holds the blob.
 
 Defined results: a null text is the empty blob; repeated rows and ids each give
-a row; a blob without findings is remembered too, with an empty list.
+a row, null ids too; a blob without findings is remembered too, with an empty list;
+texts are scanned whole at any length; an empty table gives no rows. Columns beside
+keys and text are not read, whatever their names; keys named ``blob`` or ``findings``
+are refused, as the result has columns of these names.
 """
 
 from __future__ import annotations
@@ -115,6 +118,8 @@ def findings(
     rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
     """Every row of ``versions`` (its key columns) with the ledger's findings for its blob under these rules."""
+    if taken := {"blob", "findings"}.intersection(key_cols):
+        raise ValueError(f"keys are named like the ledger's own columns: {', '.join(sorted(taken))}")
     held = ledger.where(F.col("rules") == rule_version(rules)).select(F.col("blob").alias("__blob"), "findings")
     return addressed(
         versions.select(*key_cols, F.col(text_col).alias("__text")), "__text"

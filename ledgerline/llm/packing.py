@@ -22,7 +22,9 @@ Neighbours in other shards are not found: the README gives the measured recall.
 Windows and their numbers do not depend on the input's order or partitions.
 
 Defined results: a null or empty text has the end id only; every row of the
-input is packed, repeated rows as well.
+input is packed, repeated rows and null ids as well; texts of any length are cut
+into as many pieces as they need; an empty table gives no pieces; columns beside id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

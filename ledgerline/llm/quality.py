@@ -9,7 +9,11 @@ all of them are computed in blocks, and the labels of the nearest vote with
 their similarity as weight.
 
 Defined results: null and empty texts have a zero vector and get the share of
-label 1 in the sample; so has every text if nothing is labelled (then 0.5).
+label 1 in the sample; so has every text if nothing is labelled (then 0.5). Each
+row gives one row, also repeated rows and null ids; equal texts score equally, and
+of neighbours that tie all vote with their similarity; texts count whole at any
+length; an empty table gives no rows; columns beside id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations

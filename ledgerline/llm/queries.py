@@ -258,6 +258,39 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranke
 """
 
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: The base kinds as SQL reads them: pattern, group that is measured, its least length.
+SECRET_KINDS = (
+    ("assign", "(?:" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+)
+
+#: A match begins after what the pattern leaves between matches and after the matches before it.
+OP5_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+  %s
+), places AS (
+  SELECT k, nr, kind, least, whole, inner_part, i, list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(matches, 1, i - 1), lambda x: length(x))), 0) AS start
+  FROM (SELECT k, nr, kind, least, gaps, matches, i, matches[i] AS whole, inners[i] AS inner_part FROM (SELECT *, unnest(generate_series(1, len(matches))) AS i FROM found) u) v
+), spans AS (
+  SELECT k, kind, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(whole) AS BIGINT), ',' ORDER BY start, nr) OVER (PARTITION BY k ORDER BY start, nr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every
+  FROM places WHERE length(inner_part) >= least
+), told AS (
+  SELECT k, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, any_value(every) AS every FROM spans GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(every, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM texts LEFT JOIN told USING (k)
+""" % " UNION ALL ".join(
+    f"SELECT k, {nr} AS nr, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS matches, regexp_extract_all(t, '{p}', {group}) AS inners, string_split_regex(t, '{p}') AS gaps FROM texts"
+    for nr, (kind, p, group, least) in enumerate(SECRET_KINDS)
+)
+
+
 OP3_SQL = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -309,7 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_lempel_ziv_dedup": OP3_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL,
+        "op3_lempel_ziv_dedup": OP3_SQL, "op5_blob_ledger_secrets": OP5_SQL, "op6_line_spread_dedup": OP6_SQL, "op10_winnowing_decontamination": OP10_SQL,
         "op11_url_aliases": OP11_SQL, "op12_ranked_search": OP12_SQL,
         "op13_source_divergence": OP13_SQL,
     }

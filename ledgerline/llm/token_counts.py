@@ -10,7 +10,9 @@ joined by a shuffle on the pre-token, which rare keys cannot skew. No ids are
 ever materialised.
 
 Defined results: null and empty texts have no tokens and no bytes; each row of
-the input gives one row.
+the input gives one row, also repeated rows and null ids; texts count whole at any
+length; an empty table gives no rows; columns beside id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations

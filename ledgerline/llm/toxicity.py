@@ -20,7 +20,8 @@ Defined results: null and empty texts have no passages and get the score of a
 text without any; with no training row of either label, or an empty table of
 labels, every score is 0. Training texts that repeat with one label count once.
 Every row of the input gives one row, also repeated rows and null ids; rows that
-tie get equal scores. Texts are scanned whole at any length, in linear time.
+tie get equal scores. Texts are scanned whole at any length, in linear time. An empty
+table gives no rows; columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
