@@ -216,6 +216,22 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
     return rows.unionByName(none).orderBy(*order).select("line").coalesce(1).mapInArrow(digest, "fingerprint string")
 
 
+def corpus_digest(chunks: DataFrame) -> DataFrame:
+    """A tree of SHA-256: of each filing's chunks in order, of each company's sections and filings, of all companies.
+
+    No task reads more than one filing's lines, one company's filings or one digest a company, and what a load replaces
+    changes one path only. :func:`corpus_fingerprint` is one stream over all chunks instead.
+    """
+    line = F.concat_ws("|", "accession_no", "section", F.col("chunk_index").cast("string"), "ticker", F.sha2("text", 256))
+    whole = lambda *order: F.sha2(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"]), "\n"), 256
+    ).alias("h")
+    lines = chunks.select("ticker", "section", "accession_no", "chunk_index", "id", line.alias("h"))
+    filings = lines.groupBy("ticker", "section", "accession_no").agg(whole("chunk_index", "id"))
+    companies = filings.groupBy("ticker").agg(whole("section", "accession_no"))
+    return companies.agg(whole("ticker")).withColumnRenamed("h", "digest")
+
+
 def batch_defects(expected: DataFrame, generated: DataFrame, key: str) -> DataFrame:
     """How many keys of a generated batch are unexpected, duplicate or missing."""
     counted = generated.groupBy(key).agg(F.count("*").alias("n"))
@@ -226,6 +242,24 @@ def batch_defects(expected: DataFrame, generated: DataFrame, key: str) -> DataFr
     return both.withColumn("defect", defect).where("defect IS NOT NULL").groupBy("defect").agg(F.count("*").alias("n"))
 
 
+#: What a judge scores of an answer, from 0 to 1.
+JUDGED = ("faithfulness", "relevancy", "precision", "recall")
+
+
+def judge_summary(rows: DataFrame, expected: int | None = None) -> DataFrame:
+    """Rows (prompt, cases, the four means, citation_rate) of a judge's rows (prompt, case_id, scores, cited).
+
+    A case counts in every mean: scores that are missing, infinite or no numbers are zero, and so are ``expected`` cases
+    that have no row at all. A case that stands twice under a prompt is an error.
+    """
+    good = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).otherwise(0.0)
+    cases = F.lit(expected).cast("long") if expected is not None else F.count("*")
+    once = F.assert_true(F.count("*") == F.countDistinct("case_id"), F.lit("a case was judged twice under a prompt"))
+    means = [(F.sum(good(c)) / cases).alias(c) for c in JUDGED]
+    found = rows.groupBy("prompt").agg(F.count("*").alias("cases"), *means, (F.count_if("cited") / cases).alias("citation_rate"), once.alias("__once"))
+    return found.where("__once IS NULL").drop("__once")
+
+
 def best_prompt(scores: DataFrame, order: list[str]) -> DataFrame:
     """The prompt with the best mean of four judge scores, then faithfulness, then citation rate, then the first in ``order``."""
     composite = (F.col("faithfulness") + F.col("relevancy") + F.col("precision") + F.col("recall")) / 4

@@ -228,3 +228,10 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataF
 def same_metadata(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keys whose rows disagree in some column."""
     return rows.groupBy(key).agg(F.count_distinct(F.struct(*columns)).alias("n")).where("n > 1").select(key)
+
+
+def checked_metadata(rows: DataFrame, key: str, columns: list[str]) -> None:
+    """Raises if rows of one key disagree in some column."""
+    bad = same_metadata(rows, key, columns).limit(3).collect()
+    if bad:
+        raise ValueError(f"rows disagree in {', '.join(columns)}: {', '.join(str(r[0]) for r in bad)}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -245,6 +246,10 @@ def vector_search(
     return top_k(found, k, F.desc("vector_score"), F.asc("id"))
 
 
+#: A search of questions in chunks: the k best of each under some filters.
+Search = Callable[[DataFrame, DataFrame, int, dict[str, object] | None], DataFrame]
+
+
 def fuse(text: DataFrame, vector: DataFrame, k: int, *, rrf_k: int = 60, text_cap: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: rows (qid, id, text_score, vector_score, rrf_score, best_rank, rank).
 
@@ -268,12 +273,12 @@ WIDEN = 3
 
 def hybrid_search(
     questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, widen: int = WIDEN,
-    rrf_k: int = 60, text_cap: int | None = None
+    rrf_k: int = 60, text_cap: int | None = None, text: Search = text_search, vector: Search = vector_search
 ) -> DataFrame:
     """Fusion of both searches, each over ``widen`` times as many rows. Questions are (qid, query, embedding)."""
     return fuse(
-        text_search(questions, chunks, k * widen, filters), vector_search(questions, chunks, k * widen, filters), k,
-        rrf_k=rrf_k, text_cap=text_cap
+        text(questions, chunks, k * widen, filters), vector(questions, chunks, k * widen, filters), k, rrf_k=rrf_k,
+        text_cap=text_cap
     )
 
 
@@ -332,12 +337,15 @@ PERIOD_FILTERS = ("fiscal_year", "fiscal_period")
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, filters: dict[str, object] | None = None, *,
-    strategy: str = "vector_rerank", k: int = 20, n: int = 5, relax: bool = False, scorer: Scorer = overlap_scorer
+    strategy: str = "vector_rerank", k: int = 20, n: int = 5, relax: bool = False, scorer: Scorer = overlap_scorer,
+    text: Search = text_search, vector: Search = vector_search
 ) -> DataFrame:
-    """One of four strategies. With ``relax``, each question that finds nothing is searched again without the period filters."""
-    search = {
-        "vector": vector_search, "vector_rerank": vector_search, "hybrid": hybrid_search, "hybrid_rerank": hybrid_search
-    }.get(strategy)
+    """One of four strategies. With ``relax``, each question that finds nothing is searched again without the period filters.
+
+    ``text`` and ``vector`` are the searches of both legs: those of all rows, or of indexes at rest.
+    """
+    both = partial(hybrid_search, text=text, vector=vector)
+    search = {"vector": vector, "vector_rerank": vector, "hybrid": both, "hybrid_rerank": both}.get(strategy)
     if search is None:
         raise ValueError(f"no strategy {strategy!r}")
     checked_k(k)

@@ -36,7 +36,7 @@ from ..functions import text as X
 from ..functions.stemming import ENGLISH_STOP_WORDS, stem, stems
 from ..session import stored
 from ..sources import commits
-from .retrieval import checked_k, metadata_predicate, top_k
+from .retrieval import Search, checked_k, metadata_predicate, top_k
 
 #: Passages of a block, buckets of terms, and parts that each bucket is written in.
 BLOCK, BUCKETS, PARTS = 1024, 64, 4
@@ -254,3 +254,16 @@ def search(
     rest = reach.where(F.col("nr") > FIRST).join(floors, "qid", "left").where(F.col("bound") * COVER >= least)
     every = first.select("qid", "id", "score").unionByName(visited(rest))
     return top_k(every, k, F.desc("score"), F.asc("id")).select("qid", "id", F.col("score").alias("text_score"), "rank")
+
+
+def match_counts(index: TextIndex, questions: DataFrame) -> DataFrame:
+    """Rows (qid, matches): how many passages hold any term of each question, zero where none does."""
+    asked = asked_terms(questions, english=index.english).select("qid", "term").distinct()
+    rows = open_postings(index, asked).select("term", "ids").join(asked, "term")
+    found = rows.select("qid", F.explode("ids").alias("id")).distinct().groupBy("qid").agg(F.count("*").alias("n"))
+    return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+def searcher(index: TextIndex, **how: object) -> Search:
+    """:func:`search` in the form that :func:`retrieval.retrieve` and :func:`retrieval.hybrid_search` take."""
+    return lambda questions, chunks, k, filters=None: search(index, questions, k, chunks=chunks, filters=filters, **how)

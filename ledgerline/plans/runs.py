@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.text import size_bucket
 from ..operators import chunking, evaluation, facts, repair, retrieval
-from ..session import shared_folder
-from ..sources import filings, tables
+from ..session import shared_folder, stored
+from ..sources import cache, commits, filings, tables
 from . import tracing
 
 #: compared in this order; ties go to the earlier. The production strategy is a parameter of the comparison.
@@ -87,11 +87,13 @@ def current_ids(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
 def compare_retrieval(
     questions: DataFrame, chunks: DataFrame, pairs: DataFrame, *, cutoffs: tuple[int, ...] = (5, 10), primary: int = 10,
     caps: tuple[int, ...] = (10, 50, 100), expected_fingerprint: str | None = None, production: str = "vector_rerank",
-    scorer: retrieval.Scorer = retrieval.overlap_scorer
+    scorer: retrieval.Scorer = retrieval.overlap_scorer, text: retrieval.Search = retrieval.text_search,
+    vector: retrieval.Search = retrieval.vector_search, scores_at: str | None = None, scorer_name: str = "overlap"
 ) -> tuple[DataFrame, dict[str, object]]:
     """(metrics of each approach and cutoff, the best approach and whether production uses it). Questions are (qid, query, embedding).
 
-    All questions go through one plan for each approach. With a fingerprint, another corpus is an error.
+    All questions go through one plan for each approach. With a fingerprint, another corpus is an error. ``text`` and
+    ``vector`` may be searches of indexes. With ``scores_at``, scores of the reranker are kept there from run to run.
     """
     if expected_fingerprint is not None and evaluation.corpus_fingerprint(chunks).first()[0] != expected_fingerprint:
         raise ValueError("the corpus is not the one of the ground truth")
@@ -100,8 +102,8 @@ def compare_retrieval(
     widest = 2 * k * retrieval.WIDEN
     folder = f"{shared_folder(chunks.sparkSession)}/legs-{uuid.uuid4().hex}"
     legs = {}
-    for name, search in (("text", retrieval.text_search), ("vector", retrieval.vector_search)):
-        found = search(questions, chunks, widest)
+    for name, search in (("text", text), ("vector", vector)):
+        found = search(questions, chunks, widest, None)
         found.write.parquet(f"{folder}/{name}")
         legs[name] = chunks.sparkSession.read.schema(found.schema).parquet(f"{folder}/{name}")
     first = lambda ranked, n: ranked.where(F.col("rank") <= n)
@@ -116,7 +118,11 @@ def compare_retrieval(
         wanted[f"hybrid_rrf_cap{cap}_rerank"] = capped
     # a pair of question and chunk is scored once, whichever lists hold it
     pairs_of = reduce(DataFrame.unionByName, [r.select("qid", "id") for r in wanted.values()]).distinct()
-    retrieval.pair_scores(pairs_of, questions, chunks, scorer).write.parquet(f"{folder}/scores")
+    if scores_at:
+        scored = cache.pair_scores(pairs_of, questions, chunks, scores_at, scorer, name=scorer_name)
+    else:
+        scored = retrieval.pair_scores(pairs_of, questions, chunks, scorer)
+    scored.write.parquet(f"{folder}/scores")
     scores = chunks.sparkSession.read.parquet(f"{folder}/scores")
     for name, ranked in wanted.items():
         lists[name] = retrieval.reranked(ranked, scores, k)
@@ -148,6 +154,70 @@ def run_numeric(spark: SparkSession, cases: list[dict], answer: Callable[[str],
     return evaluation.score_numbers(known, outcomes)
 
 
+def freeze(cases: DataFrame, chunks: DataFrame, path: str) -> str:
+    """Commits a set of cases with the digest of the corpus that it was made from; returns the digest."""
+    digest = evaluation.corpus_digest(chunks).first()[0]
+    tables.write_dataset(cases.withColumn("corpus", F.lit(digest)), path)
+    return digest
+
+
+def frozen(spark: SparkSession, path: str, schema: str, chunks: DataFrame | None = None) -> DataFrame:
+    """The cases of the last frozen set; an error if there are none, or if ``chunks`` are not the corpus they were made from."""
+    rows = commits.read(spark, path, f"{schema}, corpus string", format="json")
+    made = [r.corpus for r in rows.select("corpus").distinct().limit(2).collect()]
+    if not made:
+        raise ValueError(f"no cases are frozen at {path}")
+    if chunks is not None and made != [evaluation.corpus_digest(chunks).first()[0]]:
+        raise ValueError("the corpus is not the one of the frozen cases")
+    return rows.drop("corpus")
+
+
+#: A judge's scores of answers to questions, each a mapping of ``evaluation.JUDGED`` and ``cited``.
+Judge = Callable[[list[str], list[str | None]], list[dict[str, float | bool | None]]]
+
+
+def judged(candidates: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
+    """Rows (prompt, case_id, scores, cited) of answers (prompt, qid, answer); an answer that is not there is scored as nothing."""
+    kind = "prompt string, case_id string, " + ", ".join(f"{c} double" for c in evaluation.JUDGED) + ", cited boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = judge(batch.column("question").to_pylist(), batch.column("answer").to_pylist())
+            if len(scores) != batch.num_rows:
+                raise ValueError("the judge's scores do not fit the answers")
+            given = [s if a is not None else {} for s, a in zip(scores, batch.column("answer").to_pylist())]
+            columns = [pa.array([s.get(c) for s in given], pa.float64()) for c in evaluation.JUDGED]
+            cited = pa.array([bool(s.get("cited")) for s in given], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("prompt"), batch.column("case_id"), *columns, cited], [*("prompt", "case_id"), *evaluation.JUDGED, "cited"])
+
+    rows = candidates.join(questions.select("qid", "question"), "qid")
+    return rows.select("prompt", F.col("qid").cast("string").alias("case_id"), "question", "answer").mapInArrow(run, kind)
+
+
+NUMERIC_SET = "case_id string, question string, expect_refusal boolean, required array<struct<metric:string,fiscal_year:int,fiscal_period:string,value:double,unit:string>>"
+NARRATIVE_SET = "qid string, question string"
+
+
+def evaluate_generation(
+    spark: SparkSession, numeric_at: str, narrative_at: str, chunks: DataFrame, *, answer: Callable[[str], list[tuple] | None],
+    prompts: dict[str, str], write: Callable[[str, list[str]], list[str]], judge: Judge, runs_at: str
+) -> dict[str, object]:
+    """A whole run over both frozen sets: numbers that are right, prompts as a judge sees them, the best prompt, all persisted.
+
+    Every prompt is scored over all narrative cases, whether it answered them or not.
+    """
+    rows = frozen(spark, numeric_at, NUMERIC_SET, chunks).collect()  # a stated set
+    cases = [r.asDict() | {"required": [tuple(f) for f in r.required], "allowed": [tuple(f) for f in r.required]} for r in rows]
+    numeric = run_numeric(spark, cases, answer)
+    questions = frozen(spark, narrative_at, NARRATIVE_SET, chunks)
+    scored = stored(judged(evaluation.narrative_candidates(questions, prompts, write), questions, judge), "judged")
+    summary = stored(evaluation.judge_summary(scored, questions.count()), "prompts")
+    best = evaluation.best_prompt(summary, list(prompts)).first()
+    config = {"prompts": list(prompts), "cases": len(cases)}
+    ids = [persist(m, config, kind, runs_at).first()[0] for kind, m in (("generation_numeric", numeric), ("generation_prompts", summary))]
+    return {"numeric": numeric.first().asDict(), "best_prompt": best["prompt"], "composite": best["composite"], "runs": ids}
+
+
 def persist(metrics: DataFrame, config: dict, kind: str, path: str) -> DataFrame:
     """Append a run's metrics as one row; returns its id."""
     row = metrics.agg(F.to_json(F.collect_list(F.struct(*metrics.columns))).alias("metrics"))
@@ -171,9 +241,14 @@ def ingest_facts(
 
 def ingest_documents(
     found: DataFrame, documents: DataFrame, known_facts: DataFrame, *, dimensions: int = 64, max_tokens: int = 700,
-    overlap: float = 0.15
+    overlap: float = 0.15, embeddings_at: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(embedded chunks ready to replace their filings, sections that could not be read). ``documents`` are (accession_no, html)."""
+    """(embedded chunks ready to replace their filings, sections that could not be read). ``documents`` are (accession_no, html).
+
+    With ``embeddings_at``, vectors of texts are kept there, and a text that was embedded before is not embedded again. A
+    filing that stands twice with other metadata is an error.
+    """
+    facts.checked_metadata(found, "accession_no", ["cik", "form_type"])
     placed = facts.fiscal_context(found, known_facts)
     cleaned = repair.clean_filings(
         placed.join(documents, "accession_no"), "accession_no", "form_type", "html"
@@ -181,7 +256,8 @@ def ingest_documents(
     chunks = chunking.chunk_sections(
         cleaned.where("section IS NOT NULL"), ["accession_no", "section"], max_tokens, overlap
     )
-    rows = chunking.embed(chunks, dimensions).join(placed.drop("form_type"), "accession_no")
+    embedded = cache.embedded(chunks, embeddings_at, dimensions) if embeddings_at else chunking.embed(chunks, dimensions)
+    rows = embedded.join(placed.drop("form_type"), "accession_no")
     return rows, cleaned.where("note IS NOT NULL").select("accession_no", "section", "note")
 
 

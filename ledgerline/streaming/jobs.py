@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import FACT_KEY, first_by
 from ..session import shared_folder
+from ..sources import commits
 from ..sources.tables import replace_partitions
 
 
@@ -43,16 +44,15 @@ def windowed_volume(spark: SparkSession, path: str) -> DataFrame:
 def ingest_facts(spark: SparkSession, incoming: str, schema: str, table: str, checkpoint: str) -> StreamingQuery:
     """Load new fact files into a table partitioned by company: late restatements replace, whatever order they come in.
 
-    Each batch rewrites only the companies it touches and may be run again.
+    Each batch rewrites only the companies it touches and may be run again. For tables that need no folder for each company,
+    and for state that outlives a batch, see :mod:`.ledger`.
     """
 
     def load(batch: DataFrame, number: int) -> None:
         keys = batch.select("cik").distinct()
-        try:
+        if commits.exists(spark, table):
             stored = spark.read.schema(batch.schema).parquet(table).join(keys, "cik", "left_semi")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        else:
             stored = spark.createDataFrame([], batch.schema)
         both = stored.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
         merged = first_by(both, FACT_KEY, F.desc("filing_date"), F.desc("accession_no"), F.desc("__new")).drop("__new")

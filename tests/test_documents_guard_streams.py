@@ -123,7 +123,7 @@ def test_made_up_values_and_misfits_are_rejected(spark, sql):
 
 @pytest.mark.parametrize(
     "sql",
-    [OK.replace("financial_facts", "`public`.`financial_facts`"), OK.replace("financial_facts", "PUBLIC . financial_facts") + " WHERE metric <> 'public.x' -- public.y"]
+    [OK.replace("financial_facts", "`public`.`financial_facts`"), OK.replace("financial_facts", "PUBLIC . financial_facts") + " WHERE metric <> 'public.x' -- public.y", OK.replace("financial_facts", "public.financial_facts") + ' WHERE metric <> "public.x"']
 )
 def test_the_schema_may_be_named(spark, sql):
     assert guard.guarded(spark, sql, {"financial_facts": fact_table(spark)}).count() == 2

@@ -217,3 +217,24 @@ def test_wrong_questions_and_no_vectors(embedded, spark, tmp_path):
         vector_index.VectorIndex(str(tmp_path / "v")).create(none)
     assert vector_index.search(at, asked.limit(0), 3).collect() == []
     assert commits.snapshot(spark, f"{at.path}/rows").version == 2
+
+
+def test_strategies_over_indexes(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(k, t, f"T{k % 3}", rng.normal(size=8).tolist()) for k, t, _ in texts(60) if t]
+    chunks = spark.createDataFrame(rows, "id long, text string, ticker string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "cash flow risk", rows[5][3]), (2, "tax", rows[9][3])], "qid long, query string, embedding array<double>")
+    words = text_index.TextIndex(str(tmp_path / "words"), english=False)
+    words.add(chunks)
+    near = vector_index.VectorIndex(str(tmp_path / "near"))
+    near.create(chunks)
+    legs = {"text": text_index.searcher(words), "vector": vector_index.searcher(near, probes=vector_index.EVERY)}
+    for strategy in ("vector", "hybrid", "hybrid_rerank"):
+        for filters in (None, {"ticker": ["T1", "T2"]}):
+            ids = [
+                [(r.qid, r.id) for r in retrieval.retrieve(asked, chunks, filters, strategy=strategy, k=6, n=3, **how).orderBy("qid", "rank").collect()]
+                for how in ({}, legs)
+            ]
+            assert ids[0] == ids[1] and len(ids[0]) == 6
+    counts = {r.qid: r.matches for r in text_index.match_counts(words, asked).collect()}
+    assert counts == {r.qid: r.matches for r in retrieval.text_match_counts(asked, chunks).collect()}
