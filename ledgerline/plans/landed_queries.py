@@ -47,7 +47,7 @@ def landed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged AS (SELECT metric, tag, value, d, CASE WHEN cik % 50 = 0 THEN 'payload_of_another_company' WHEN d = {YEAR} THEN 'fiscal_year' WHEN d = {FILED} THEN 'filing_date' WHEN d = {END} THEN 'period_end' WHEN d = {START} THEN 'period_start'
       WHEN duration AND d = {NO_START} THEN 'duration_without_start' WHEN NOT duration AND d = {HAS_START} THEN 'instant_with_start' WHEN duration AND d = {LATE_START} THEN 'start_after_end' WHEN d = {NO_VALUE} THEN 'value' WHEN d = {NO_ACCESSION} THEN 'accession_no' ELSE 'OK' END AS reason
       FROM marked WHERE d <> {NO_FORM} AND NOT (d = {OTHER_PERIOD} AND fiscal_period <> 'FY'))
-    SELECT metric, tag AS taxonomy_tag, reason, count(*) AS n, CAST(sum(CASE WHEN d = {NO_VALUE} THEN NULL ELSE value END) AS DOUBLE) AS total FROM judged GROUP BY 1, 2, 3""",
+    SELECT metric, tag AS taxonomy_tag, reason, count(*) AS n, round(CAST(sum(CASE WHEN d = {NO_VALUE} THEN NULL ELSE value END) AS DOUBLE), 2) AS total FROM judged GROUP BY 1, 2, 3""",
     "candidates",
 )
 def landed_fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def landed_fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["metric", "taxonomy_tag", "value"]
     rows = good.select(*columns, F.lit("OK").alias("reason")).unionByName(bad.select(*columns, F.col("reject_reason").alias("reason")))
     # a company with another company's payload is rejected with the values it holds
-    return rows.groupBy("metric", "taxonomy_tag", "reason").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
+    return rows.groupBy("metric", "taxonomy_tag", "reason").agg(F.count("*").alias("n"), F.round(F.sum("value").cast("double"), 2).alias("total"))
 
 
 FORM_CASE = "CASE WHEN day(filing_date) = 13 THEN '8-K' WHEN day(filing_date) % 4 = 0 THEN concat(form_type, '/A') ELSE form_type END"
