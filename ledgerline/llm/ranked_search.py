@@ -56,7 +56,7 @@ FIRST, TOGETHER = 2, 1000
 _TERM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_hashes = WordHashes()
+_hashes = WordHashes(cap=150_000)
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -184,7 +184,10 @@ def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     sharded = _sharded(forward, n_docs, shard_docs)
 
     def run(table: pa.Table) -> pa.Table:
-        return _indexed(table, n_docs, n_terms)
+        found = _indexed(table, n_docs, n_terms)
+        # a worker indexes one shard after another and keeps none
+        pa.default_memory_pool().release_unused()
+        return found
 
     kind = T.StructType().add("shard", "long").add("kind", "string").add("term", "long").add("n", "long").add("top", "long")
     kind = kind.add("places", "binary").add("impacts", "binary").add(forward.schema["id"])
