@@ -67,9 +67,9 @@ def fact_yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fact_incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = stored(latest(spark, sf_dir), "facts")
-    stored = every.where("filing_date < DATE '1998-01-01'")
-    cursor = stored.groupBy("cik").agg(F.max("filing_date").alias("last_filing_date"))
-    return facts.load_facts(stored, every, cursor).select(*FACTS)
+    before = every.where("filing_date < DATE '1998-01-01'")
+    cursor = before.groupBy("cik").agg(F.max("filing_date").alias("last_filing_date"))
+    return facts.load_facts(before, every, cursor).select(*FACTS)
 
 
 @registered(
