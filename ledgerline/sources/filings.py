@@ -109,16 +109,19 @@ def history_files(payloads: DataFrame, cursor: DataFrame) -> DataFrame:
 
 def new_filings(filings: DataFrame, cursor: DataFrame) -> DataFrame:
     """Filings after the cursor by (date, accession), each accession once (the last met by part and place), oldest first."""
+    order = [F.desc(x) for x in ("part", "place") if x in filings.columns] or [F.desc("primary_doc_url")]
+    return after_cursor(first_by(filings, ["accession_no"], *order), cursor).orderBy("filing_date", "accession_no")
+
+
+def after_cursor(filings: DataFrame, cursor: DataFrame) -> DataFrame:
+    """All listed filings after their company's cursor by (date, accession); one that is listed twice stands twice."""
     c = cursor.select(
         "cik", F.col("last_filing_date").alias("__d"), F.coalesce("last_accession", F.lit("")).alias("__a")
     )
     after = F.col("__d").isNull() | (
         F.struct("filing_date", "accession_no") > F.struct(F.col("__d").alias("filing_date"), F.col("__a").alias("accession_no"))
     )
-    order = [F.desc(x) for x in ("part", "place") if x in filings.columns] or [F.desc("primary_doc_url")]
-    return first_by(
-        filings, ["accession_no"], *order
-    ).join(c, "cik", "left").where(after).drop("__d", "__a").orderBy("filing_date", "accession_no")
+    return filings.join(c, "cik", "left").where(after).drop("__d", "__a")
 
 
 def discovery_status(forms: DataFrame) -> DataFrame:

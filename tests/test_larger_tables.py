@@ -30,3 +30,23 @@ def test_references_that_are_cut_off(spark, tmp_path):
     rows = [(k, f"http://a/{k}", h) for k, h in enumerate(html)]
     got = same_as_sql(spark, tmp_path, "html_sections", pages=("page_id long, url string, html string", rows))
     assert len(got) == 2
+
+
+ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"
+
+
+def orders(*rows):
+    return ORDERS, [(key, customer, datetime.datetime(1997, month, day), priority) for key, customer, month, day, priority in rows]
+
+
+#: Keys from a million on are cut to six digits: filings of one year and company share an accession number, also on one day.
+CUT = orders(
+    (1234560, 8, 2, 1, "1-URGENT"), (1234561, 8, 3, 5, "3-MEDIUM"), (1234562, 8, 3, 5, "3-MEDIUM"), (1234563, 8, 3, 28, "3-MEDIUM"), (1234571, 8, 4, 6, "3-MEDIUM"),
+    (1234572, 8, 6, 18, "2-HIGH"), (12345, 9, 2, 20, "3-MEDIUM"), (12, 9, 5, 11, "5-LOW"), (7654321, 11, 7, 9, "3-MEDIUM"), (7654322, 11, 8, 1, "3-MEDIUM"),
+)
+
+
+def test_filings_that_share_an_accession_number(spark, tmp_path):
+    customers = [(k, f"Customer {k}") for k in (8, 9, 11)]
+    got = same_as_sql(spark, tmp_path, "landed_filings", orders=CUT, customer=("c_custkey long, c_name string", customers))
+    assert len({r[1] for r in got}) < len(set(got)) < len(got)
