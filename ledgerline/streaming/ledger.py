@@ -1,92 +1,64 @@
-"""Facts as a stream of changes with keyed state: what each company has filed, in whatever order it arrives.
-
-State is kept for each source, company and metric, so that a company with a large
-part of all facts is still spread over its metrics: the last filing of each period,
-and the cursor, the greatest filing seen. A fact that is filed later than the stored
-one is emitted as its replacement, an older one that comes late changes nothing.
-Changes are appended to one table of commits, which is read by key; no folder
-belongs to a company. A batch that runs again appends the same changes again, which
-reads as once.
+"""Facts as a stream of changes by key: what each company has filed, in whatever order it arrives.
+
+The state is the log of changes itself, one table of commits, which is read by key; no
+folder belongs to a company. A batch is joined with what earlier batches have left of
+its keys: the last filing of each source, company, metric and period, and the cursor of
+each source, company and metric, the greatest filing seen. A fact that is filed later
+than the stored one is a change that replaces it, an older one that comes late changes
+nothing. Of the log a batch reads the keys and filings alone; :func:`compact` keeps it
+at one row for each fact and cursor. A batch that runs again sees the same earlier
+batches and appends the same changes again, which reads as once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import FACT_KEY, first_by
 from ..sources import commits
 
 STATE = ("source", "cik", "metric")
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _filed(row: Row) -> tuple:
-    return row.filing_date, row.accession_no
-
-
-class LatestFacts(StatefulProcessor):
-    """Emits the changes of one source, company and metric: facts that are filed last, and the cursor when it moves."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        filed = T.StructType().add("filing_date", "date").add("accession_no", "string")
-        self.periods = handle.getMapState("periods", T.StructType().add("fiscal_year", "integer").add("fiscal_period", "string"), filed)
-        self.cursor = handle.getValueState("cursor", filed)
+FILED = ("filing_date", "accession_no")
 
-    def _change(self, kind: str, values: dict, replaces: str | None = None) -> Row:
-        return Row(kind=kind, replaces=replaces, **{c: values.get(c) for c in self.columns})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        known = {tuple(k): tuple(v) for k, v in self.periods.iterator()}
-        moved = before = tuple(self.cursor.get()) if self.cursor.exists() else None
-        best: dict[tuple, Row] = {}
-        for row in rows:
-            period, filed = (row.fiscal_year, row.fiscal_period), _filed(row)
-            moved = filed if moved is None else max(moved, filed)
-            # of a batch the last filed counts, and of two rows of one filing the greater as text, in whatever order they come
-            if period not in best or (filed, str(row)) > (_filed(best[period]), str(best[period])):
-                best[period] = row
-        for period, row in best.items():
-            old = known.get(period)
-            if old is None or _filed(row) >= old:
-                self.periods.updateValue(period, _filed(row))
-                yield self._change("fact", row.asDict(), old[1] if old else None)
-        if moved != before:
-            self.cursor.update(moved)
-            named = dict(zip(STATE, key)) | dict(zip(("filing_date", "accession_no"), moved))
-            yield self._change("cursor", named)
+def changes(facts: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows (kind, replaces, columns of facts) that facts change in a log: facts that are filed last, and cursors that move.
 
-    def close(self) -> None:
-        pass
+    ``facts`` have at least the columns of FACT_KEY and source, filing_date, accession_no.
+    """
+    key, filed = ["source", *FACT_KEY], F.struct(*FILED)
+    # of a batch the last filed counts, and of two rows of one filing the greater as text, in whatever order they come
+    best = first_by(facts, key, *map(F.desc, FILED), F.to_json(F.struct(*facts.columns)).desc())
 
+    def joined(rows: DataFrame, by: list[str], kind: str) -> DataFrame:
+        old = log.where(F.col("kind") == kind).groupBy(*by).agg(F.max(filed).alias("__old"))
+        old = old.withColumnsRenamed({c: f"__{c}" for c in by})
+        # periods may be null, and null is one of them
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+        return rows.join(old, same, "left")
 
-def changes(facts: DataFrame) -> DataFrame:
-    """The stream of changes of a stream of facts, which has at least the columns of FACT_KEY and source, filing_date, accession_no."""
-    out = T.StructType([T.StructField("kind", T.StringType()), T.StructField("replaces", T.StringType()), *facts.schema.fields])
-    return facts.groupBy(*STATE).transformWithState(LatestFacts(facts.columns), out, "Update", "None")
+    new = joined(best, key, "fact").where(F.col("__old").isNull() | (filed >= F.col("__old")))
+    moved = facts.groupBy(*STATE).agg(F.max(filed).alias("__new")).select(*STATE, "__new.*")
+    cursors = joined(moved, list(STATE), "cursor").where(F.col("__old").isNull() | (filed > F.col("__old")))
+    row = [F.col(c) if c in (*STATE, *FILED) else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns]
+    return new.select(F.lit("fact").alias("kind"), F.col("__old.accession_no").alias("replaces"), *facts.columns).unionByName(
+        cursors.select(F.lit("cursor").alias("kind"), F.lit(None).cast("string").alias("replaces"), *row)
+    )
 
 
 def follow(spark: SparkSession, incoming: str, schema: str, table: str, checkpoint: str, *, files: int | None = None) -> StreamingQuery:
     """Starts to append the changes of new fact files to a table of commits; stops when all that is there is read."""
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     reader = spark.readStream.schema(schema)
     facts = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(incoming)
 
     def put(batch: DataFrame, number: int) -> None:
-        # one action a batch: each would run the stateful stage anew
-        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        before = _changes(batch.sparkSession, table, schema).where(F.col("batch") < number)
+        rows = changes(batch, before).withColumn("batch", F.lit(number).cast("long"))
         commits.append(spark, table, lambda folder: rows.write.parquet(folder))
 
-    written = changes(facts).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return written.trigger(availableNow=True).foreachBatch(put).start()
+    return facts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
 
 def _changes(spark: SparkSession, table: str, schema: str) -> DataFrame:

@@ -65,6 +65,20 @@ def test_late_and_corrected_facts(spark, tmp_path):
     assert content(ledger.facts_now(spark, table, KIND), "value") == [(3.0,)]
 
 
+def test_a_batch_is_joined_by_spark_alone_and_may_run_again(spark):
+    day = lambda d: datetime.date(2024, 1, d)
+    one = lambda period, value, d, acc: ("xbrl", 1, "revenue", 2023, period, "USD", value, day(d), acc)
+    log = spark.createDataFrame(
+        [("fact", None, *one(None, 1.0, 5, "b")), ("cursor", None, "xbrl", 1, "revenue", None, None, None, None, day(5), "b")], f"kind string, replaces string, {KIND}"
+    )
+    batch = spark.createDataFrame([one(None, 2.0, 6, "c"), one(None, 3.0, 4, "a"), one("FY", 4.0, 4, "a")], KIND)
+    found = ledger.changes(batch, log)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):
+        got = sorted(((r.kind, r.replaces, r.fiscal_period, r.value, r.accession_no) for r in found.collect()), key=repr)
+        assert got == [("cursor", None, None, None, "c"), ("fact", "b", None, 2.0, "c"), ("fact", None, "FY", 4.0, "a")]
+
+
 SEEN: list = []
 LOCK = threading.Lock()
 
