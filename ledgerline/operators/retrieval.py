@@ -84,8 +84,12 @@ def _in_blocks(rows: Iterator, most: int) -> Iterator[list]:
         yield block
 
 
+#: Counts or scores that a task holds at once, and the share of a block's questions that makes a term one of the frequent ones.
+MATRIX, OFTEN = 1 << 21, 0.05
+
+
 class _TermIndex:
-    """Which of a block of questions ask for a term."""
+    """Which of a block of questions ask for a term. Frequent terms are counted by a matrix product, others place by place."""
 
     def __init__(self, asked: list[tuple[object, list[str]]]):
         self.names = [n for n, _ in asked]
@@ -93,44 +97,61 @@ class _TermIndex:
         for i, (_, words) in enumerate(asked):
             for w in dict.fromkeys(words or []):
                 places.setdefault(w, []).append(i)
-        self.ids = {w: i for i, w in enumerate(places)}
-        self.askers = np.array([q for qs in places.values() for q in qs], np.int64)
-        self.begin = np.cumsum([0, *map(len, places.values())])
-
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """(texts x questions): at how many places of a text any term of the question stands."""
-        words = texts.flatten()
-        known = pc.dictionary_encode(words)
+        self.often = sum(len(qs) > max(8, OFTEN * len(asked)) for qs in places.values())
+        # the most frequent first
+        known = sorted(places, key=lambda w: -len(places[w]))
+        self.ids = {w: i for i, w in enumerate(known)}
+        self.askers = np.array([q for w in known for q in places[w]], np.int64)
+        self.begin = np.cumsum([0, *(len(places[w]) for w in known)])
+        self.wanted = np.zeros((self.often, len(asked)), np.float32)
+        for i in range(self.often):
+            self.wanted[i, self.askers[self.begin[i] : self.begin[i + 1]]] = 1
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of some texts, -1 for those that nobody asks for, and where each text begins."""
+        known = pc.dictionary_encode(texts.flatten())
         of = np.array([self.ids.get(w, -1) for w in known.dictionary.to_pylist()] or [-1], np.int64)
-        term = of[known.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy())
-        row, term = row[term >= 0], term[term >= 0]
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy()
+        return of[known.indices.to_numpy()] if len(known) else np.zeros(0, np.int64), np.cumsum([0, *sizes])
+
+    def counts(self, term: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(texts x questions): at how many places of a text any term of the question stands. Single floats hold such numbers exactly up to 2**24."""
+        n, asking = len(begin) - 1, len(self.names)
+        row = np.repeat(np.arange(n), np.diff(begin))
+        term = term[begin[0] : begin[-1]]
+        many = (term >= 0) & (term < self.often)
+        held = np.bincount(row[many] * self.often + term[many], minlength=n * self.often).reshape(n, self.often)
+        out = held.astype(np.float32) @ self.wanted
+        # each other term of a text once, with its count
+        pair, tf = np.unique(row[term >= self.often] * len(self.ids) + term[term >= self.often], return_counts=True)
+        row, term = pair // max(1, len(self.ids)), pair % max(1, len(self.ids))
         each = self.begin[term + 1] - self.begin[term]
         asker = self.askers[
-            np.repeat(self.begin[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            np.repeat(self.begin[term] - np.cumsum(each) + each, each) + np.arange(each.sum())
         ]
-        flat = np.bincount(np.repeat(row, each) * len(self.names) + asker, minlength=len(texts) * len(self.names))
-        return flat.reshape(len(texts), len(self.names))
+        rare = np.bincount(np.repeat(row, each) * asking + asker, np.repeat(tf, each), minlength=n * asking)
+        return out + rare.reshape(n, asking).astype(np.float32)
 
 
 def _term_counts(
     questions: DataFrame, chunks: DataFrame, stemmed: bool, block: int, kind: str,
-    made: Callable[[_TermIndex, np.ndarray, np.ndarray], pa.RecordBatch]
+    made: Callable[[_TermIndex, Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
-    """What ``made`` yields for each batch of chunks and up to ``block`` questions; terms are cut by the same expression on both sides."""
+    """What ``made`` yields for the (ids, counts) of a task's chunks and up to ``block`` questions; terms are cut by the same expression on both sides."""
     rows = chunks.select(F.col("id").cast("long").alias("id"), _terms("text", stemmed).alias("terms"))
 
     def scorer(index: _TermIndex) -> Callable:
         shared = chunks.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            index = shared.value
             for batch in batches:
+                ids, (term, begin) = batch.column("id").to_numpy(), index.coded(batch.column("terms"))
                 # a bounded matrix of counts at a time
-                for at in range(0, batch.num_rows, step := max(1, (1 << 21) // len(shared.value.names))):
-                    part = batch.slice(at, step)
-                    yield made(shared.value, part.column("id").to_numpy(), shared.value.counts(part.column("terms")))
+                for at in range(0, len(ids), step := max(1, MATRIX // len(index.names))):
+                    yield ids[at : at + step], index.counts(term, begin[at : at + step + 1])
 
-        return run
+        return lambda batches: made(shared.value, counted(batches))
 
     found = chunks.sparkSession.createDataFrame([], kind)
     asked = questions.select("qid", _terms("query", stemmed).alias("terms")).toLocalIterator()
@@ -139,35 +160,75 @@ def _term_counts(
     return found
 
 
-def _best(
-    names: list, ids: np.ndarray, scores: np.ndarray, k: int, qid_type: pa.DataType, column: str, least: float = -np.inf
-) -> pa.RecordBatch:
-    """The k best rows of each column of scores that are above ``least``; ties go to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[order]
-    best = np.argsort(-scores, axis=0, kind="stable")[:k]
-    value = np.take_along_axis(scores, best, 0).T.ravel()
-    keep = np.flatnonzero(value > least)
-    asker = np.repeat(np.arange(len(names)), len(best))[keep]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, qid_type).take(pa.array(asker)), pa.array(ids[best].T.ravel()[keep]), pa.array(value[keep].astype(np.float64))],
-        ["qid", "id", column]
-    )
+class _Best:
+    """The k best rows of each question over all that a task sees, if above ``least``; ties go to the smaller id.
+
+    The k-th best of what was seen is a floor: of a matrix of scores only what reaches it is looked at.
+    """
+
+    def __init__(self, names: list, k: int, least: float = -np.inf):
+        self.names, self.k = names, k
+        self.floor = np.full(len(names), least)
+        self.floor_id = np.full(len(names), np.iinfo(np.int64).min)
+        self.held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (rows x questions), first a few, so that there are floors for the others."""
+        at = 0
+        while at < len(ids):
+            step = len(ids) if len(self.held[0]) else 2 * self.k
+            self._look(ids[at : at + step], scores[at : at + step])
+            at += step
+
+    def _look(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        floor = self.floor.astype(scores.dtype)
+        # ties with a k-th best are looked at, ties with ``least`` are none
+        full = self.floor_id > np.iinfo(np.int64).min
+        row, asker = np.nonzero(scores > np.where(full, np.nextafter(floor, scores.dtype.type(-np.inf)), floor))
+        score, found = scores[row, asker].astype(np.float64), ids[row]
+        kept = (score > self.floor[asker]) | ((score == self.floor[asker]) & (found < self.floor_id[asker]))
+        self.new.append((asker[kept], score[kept], found[kept]))
+        # sorting costs as much as what is held: not for a few rows
+        if sum(len(x[0]) for x in self.new) > len(self.held[0]) // 2:
+            self._merge()
+
+    def _merge(self) -> None:
+        asker, score, found = (np.concatenate(x) for x in zip(self.held, *self.new))
+        by = np.lexsort((found, -score, asker))
+        asker, score, found = asker[by], score[by], found[by]
+        begin = np.searchsorted(asker, np.arange(len(self.names) + 1))
+        kept = np.arange(len(asker)) - begin[asker] < self.k
+        full = np.flatnonzero(np.diff(begin) >= self.k)
+        last = begin[full] + self.k - 1
+        self.floor[full], self.floor_id[full] = score[last], found[last]
+        self.held, self.new = (asker[kept], score[kept], found[kept]), []
+
+    def rows(self, qid_type: pa.DataType, column: str) -> pa.RecordBatch:
+        self._merge()
+        asker, score, found = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.names, qid_type).take(pa.array(asker)), pa.array(found), pa.array(score)], ["qid", "id", column])
 
 
 def text_search(
     questions: DataFrame, chunks: DataFrame, k: int, filters: dict[str, object] | None = None, *, stemmed: bool = False,
-    block: int = 4096
+    block: int = 16_384
 ) -> DataFrame:
     """Rows (qid, id, text_score, rank): chunks that hold any term of the question, 0.1 for each place where one stands.
 
     Questions (qid, query) are a stated set: it is broadcast in blocks of ``block``, each batch of chunks counts the terms of
-    all of a block's questions at once, and only its own best k of each are shuffled. A question without terms finds nothing.
+    all of a block's questions at once, and only a task's best k of each are shuffled. A question without terms finds nothing.
     With ``stemmed``, words match by their English stems.
     """
     checked_k(k)
     kind = to_arrow_type(questions.schema["qid"].dataType)
-    made = lambda index, ids, counts: _best(index.names, ids, counts, k, kind, "places", 0)
+
+    def made(index: _TermIndex, counted: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        best = _Best(index.names, k, 0)
+        for ids, counts in counted:
+            best.add(ids, counts)
+        yield best.rows(kind, "places")
+
     found = _term_counts(
         questions, chunks.where(metadata_predicate(filters)), stemmed, block,
         f"qid {questions.schema['qid'].dataType.simpleString()}, id long, places double", made
@@ -182,7 +243,7 @@ def text_match_counts(
 ) -> DataFrame:
     """Rows (qid, matches), zero where nothing matches. Ids of chunks are distinct."""
     kind = to_arrow_type(questions.schema["qid"].dataType)
-    made = lambda index, ids, counts: pa.RecordBatch.from_arrays([pa.array(index.names, kind), pa.array(np.count_nonzero(counts, axis=0))], ["qid", "n"])
+    made = lambda index, counted: (pa.RecordBatch.from_arrays([pa.array(index.names, kind), pa.array(np.count_nonzero(counts, axis=0))], ["qid", "n"]) for _, counts in counted)
     found = _term_counts(
         questions, chunks, stemmed, block, f"qid {questions.schema['qid'].dataType.simpleString()}, n long", made
     ).groupBy("qid").agg(F.sum("n").alias("n"))
@@ -196,7 +257,7 @@ def vector_search(
     """Rows (qid, id, vector_score, rank) by exact cosine similarity in double precision; ties go to the smaller id.
 
     Questions (qid, embedding) are a stated set: it is broadcast in blocks of ``block`` vectors, so the chunks are read once
-    for so many questions; each batch of chunks yields its own best k of each, and only those are shuffled. Null, zero and
+    for so many questions; each task yields its own best k of each, and only those are shuffled. Null, zero and
     wrongly sized vectors match nothing.
     """
     checked_k(k)
@@ -211,8 +272,9 @@ def vector_search(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
+            best = _Best(names, k)
             for batch in batches:
-                for at in range(0, batch.num_rows, step := max(1, (1 << 21) // len(names))):
+                for at in range(0, batch.num_rows, step := max(1, MATRIX // len(names))):
                     part = batch.slice(at, step)
                     vectors = part.column("embedding")
                     sized = pc.equal(pc.list_value_length(vectors), matrix.shape[1])
@@ -224,7 +286,8 @@ def vector_search(
                     ).astype(np.float64).reshape(len(ids), -1)
                     norm = np.linalg.norm(x, axis=1)
                     good = np.isfinite(norm) & (norm > 0)
-                    yield _best(names, ids[good], x[good] / norm[good, None] @ matrix.T, k, qid_type, "vector_score")
+                    best.add(ids[good], x[good] / norm[good, None] @ matrix.T)
+            yield best.rows(qid_type, "vector_score")
 
         return run
 

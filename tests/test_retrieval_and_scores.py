@@ -269,3 +269,33 @@ def test_headings_compare_in_one_form(spark):
         "h", X.boilerplate_signature("h").alias("k")
     ).collect()
     assert {r.h: r.k for r in rows} == {k: X.footer_key(k) for k in lines}
+
+
+def test_the_best_of_many_parts_are_those_of_all():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids, scores = rng.permutation(3000), rng.integers(0, 6, (3000, 7)).astype(np.float32)
+    scores[:, 5], scores[4:, 6] = 0, 0
+    best = retrieval._Best(list("abcdefg"), 9, 0)
+    for at in range(0, 3000, 170):
+        best.add(ids[at : at + 170], scores[at : at + 170])
+        assert len(best.held[0]) <= 7 * 9
+    got = best.rows(retrieval.pa.string(), "n").to_pylist()
+    want = [{"qid": q, "id": i, "n": n} for c, q in enumerate("abcdefg") for n, i in sorted(zip(scores[:, c], ids), key=lambda x: (-x[0], x[1]))[:9] if n > 0]
+    assert got == want
+
+
+def test_frequent_and_rare_terms_count_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{int(rng.zipf(1.4)) % 400}"
+    asked = [(q, [word() for _ in range(30)]) for q in range(60)] + [(60, []), (61, None)]
+    texts = [[word() for _ in range(rng.integers(0, 80))] for _ in range(50)] + [None, []]
+    index = retrieval._TermIndex(asked)
+    assert 0 < index.often < len(index.ids)
+    term, begin = index.coded(retrieval.pa.array(texts, retrieval.pa.list_(retrieval.pa.string())))
+    want = [[sum(w in set(q or []) for w in t or []) for _, q in asked] for t in texts]
+    assert index.counts(term, begin).tolist() == want
+    assert index.counts(term, begin[20:31]).tolist() == want[20:30]
