@@ -79,13 +79,15 @@ def _terms(column: str, stemmed: bool) -> Column:
     return stems(terms(column)) if stemmed else terms(column)
 
 
-def _in_blocks(rows: Iterator, most: int) -> Iterator[list]:
+def in_blocks(rows: Iterator, most: int) -> Iterator[list]:
     while block := list(islice(rows, most)):
         yield block
 
 
 #: Counts or scores that a task holds at once, and the share of a block's questions that makes a term one of the frequent ones.
 MATRIX, OFTEN = 1 << 21, 0.05
+#: Cosines are held apart by at least this, so that rounding decides nothing; so many pairs are scored exactly at once.
+SLACK, PAIRS = 1e-9, 1 << 16
 
 
 class _TermIndex:
@@ -155,12 +157,17 @@ def _term_counts(
 
     found = chunks.sparkSession.createDataFrame([], kind)
     asked = questions.select("qid", _terms("query", stemmed).alias("terms")).toLocalIterator()
-    for part in _in_blocks(((r[0], r[1]) for r in asked), block):
+    for part in in_blocks(((r[0], r[1]) for r in asked), block):
         found = found.unionByName(rows.mapInArrow(scorer(_TermIndex(part)), kind))
     return found
 
 
-class _Best:
+def cosines(x: np.ndarray, units: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """The cosine of each row with its unit vector, the same for equal rows wherever they stand."""
+    return (x * units).sum(axis=1) / norm
+
+
+class Best:
     """The k best rows of each question over all that a task sees, if above ``least``; ties go to the smaller id.
 
     The k-th best of what was seen is a floor: of a matrix of scores only what reaches it is looked at.
@@ -173,20 +180,34 @@ class _Best:
         self.held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Rows (rows x questions), first a few, so that there are floors for the others."""
+    def add(self, ids: np.ndarray, scores: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """Scores (rows x questions), first of a few rows, so that there are floors for the others.
+
+        With ``exact``, of places of rows and questions, scores are true to SLACK only, and what may reach a floor is scored by it.
+        """
         at = 0
         while at < len(ids):
             step = len(ids) if len(self.held[0]) else 2 * self.k
-            self._look(ids[at : at + step], scores[at : at + step])
+            self._look(ids[at : at + step], scores[at : at + step], (lambda r, q, at=at: exact(r + at, q)) if exact else None)
             at += step
 
-    def _look(self, ids: np.ndarray, scores: np.ndarray) -> None:
+    def _look(self, ids: np.ndarray, scores: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+        if exact:
+            return self._near(ids, scores, exact)
         floor = self.floor.astype(scores.dtype)
         # ties with a k-th best are looked at, ties with ``least`` are none
         full = self.floor_id > np.iinfo(np.int64).min
         row, asker = np.nonzero(scores > np.where(full, np.nextafter(floor, scores.dtype.type(-np.inf)), floor))
-        score, found = scores[row, asker].astype(np.float64), ids[row]
+        self.take(asker, scores[row, asker].astype(np.float64), ids[row])
+
+    def _near(self, ids: np.ndarray, scores: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        row, asker = np.nonzero(scores >= self.floor - SLACK)
+        for at in range(0, len(row), PAIRS):
+            r, q = row[at : at + PAIRS], asker[at : at + PAIRS]
+            self.take(q, exact(r, q), ids[r])
+
+    def take(self, asker: np.ndarray, score: np.ndarray, found: np.ndarray) -> None:
+        """Single pairs of a question's place and a row's id, with their scores."""
         kept = (score > self.floor[asker]) | ((score == self.floor[asker]) & (found < self.floor_id[asker]))
         self.new.append((asker[kept], score[kept], found[kept]))
         # sorting costs as much as what is held: not for a few rows
@@ -224,7 +245,7 @@ def text_search(
     kind = to_arrow_type(questions.schema["qid"].dataType)
 
     def made(index: _TermIndex, counted: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        best = _Best(index.names, k, 0)
+        best = Best(index.names, k, 0)
         for ids, counts in counted:
             best.add(ids, counts)
         yield best.rows(kind, "places")
@@ -272,7 +293,7 @@ def vector_search(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best = _Best(names, k)
+            best = Best(names, k)
             for batch in batches:
                 for at in range(0, batch.num_rows, step := max(1, MATRIX // len(names))):
                     part = batch.slice(at, step)
@@ -286,7 +307,9 @@ def vector_search(
                     ).astype(np.float64).reshape(len(ids), -1)
                     norm = np.linalg.norm(x, axis=1)
                     good = np.isfinite(norm) & (norm > 0)
-                    best.add(ids[good], x[good] / norm[good, None] @ matrix.T)
+                    x, norm = x[good], norm[good]
+                    # a product of matrices rounds equal rows apart, a sum over a pair does not
+                    best.add(ids[good], x / norm[:, None] @ matrix.T, lambda r, q: cosines(x[r], matrix[q], norm[r]))  # noqa: B023
             yield best.rows(qid_type, "vector_score")
 
         return run
@@ -300,7 +323,7 @@ def vector_search(
 
     kind = f"qid {questions.schema['qid'].dataType.simpleString()}, id long, vector_score double"
     found = spark.createDataFrame([], kind)
-    for part in _in_blocks((valid(*r) for r in questions.select("qid", "embedding").toLocalIterator()), block):
+    for part in in_blocks((valid(*r) for r in questions.select("qid", "embedding").toLocalIterator()), block):
         matrix = np.array([v for _, v in part], np.float64)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         found = found.unionByName(

@@ -238,3 +238,14 @@ def test_strategies_over_indexes(spark, tmp_path):
             assert ids[0] == ids[1] and len(ids[0]) == 6
     counts = {r.qid: r.matches for r in text_index.match_counts(words, asked).collect()}
     assert counts == {r.qid: r.matches for r in retrieval.text_match_counts(asked, chunks).collect()}
+
+
+def test_a_search_of_vectors_shuffles_the_best_alone(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "id long, embedding array<double>")
+    at = vector_index.VectorIndex(str(tmp_path / "few"))
+    at.create(rows)
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    found = vector_index.search(at, asked, 3, probes=vector_index.EVERY)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan and answers(found) == answers(retrieval.vector_search(asked, rows, 3))

@@ -277,7 +277,7 @@ def test_the_best_of_many_parts_are_those_of_all():
     rng = np.random.default_rng(3)
     ids, scores = rng.permutation(3000), rng.integers(0, 6, (3000, 7)).astype(np.float32)
     scores[:, 5], scores[4:, 6] = 0, 0
-    best = retrieval._Best(list("abcdefg"), 9, 0)
+    best = retrieval.Best(list("abcdefg"), 9, 0)
     for at in range(0, 3000, 170):
         best.add(ids[at : at + 170], scores[at : at + 170])
         assert len(best.held[0]) <= 7 * 9
