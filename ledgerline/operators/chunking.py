@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts whose windows a task holds together.
+AT_ONCE = 64
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?][\"'”’)}\]]*$")
 
@@ -138,7 +140,8 @@ def chunk_sections(
     """Rows (keys, chunk_index, text, token_count) of (keys, text); the index begins anew in each section."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # the windows of a few texts at a time, not of a whole batch of long ones
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             found = [windows(t or "", max_tokens, overlap, encode) for t in batch.column("text").to_pylist()]
             take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [(k, *c) for f in found for k, c in enumerate(f)]

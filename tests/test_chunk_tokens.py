@@ -71,3 +71,20 @@ def test_sections_with_a_tokenizer(spark):
     by_letters = chunking.Pieces(r"\s?\S+", len)
     got = chunking.chunk_sections(rows, ["id", "section"], 9, 0.0, by_letters).orderBy("chunk_index").collect()
     assert [(r.id, r.text, r.token_count) for r in got] == [(1, "one two.", 8), (1, "three", 5), (1, "four", 4)]
+
+
+def test_windows_are_held_of_a_few_texts(spark):
+    import pyarrow as pa
+
+    class Rows:
+        schema = spark.createDataFrame([], "id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["word " * 1000] * 200)], ["id", "text"])]))
+
+    parts = chunking.chunk_sections(Rows(), ["id"])
+    assert max(len(set(p.column("id").to_pylist())) for p in parts) <= chunking.AT_ONCE < 200
+    assert [i for p in parts for i in p.column("id").to_pylist()] == [i for i in range(200) for _ in range(2)]
