@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 
 RECORD = "struct<val:decimal(38,6),accn:string,fy:string,fp:string,start:string,end:string,filed:string,form:string>"
-COMPANY_FACTS = f"cik string, entityName string, facts map<string, map<string, struct<units:map<string, array<{RECORD}>>>>>"
+TAG_FACTS = f"struct<units:struct<{','.join(f'{u}:array<{RECORD}>' for u in V.UNITS)}>>"
+#: Only mapped tags and known units: the parser passes over all others.
+COMPANY_FACTS = f"cik string, facts map<string, struct<{','.join(f'{t}:{TAG_FACTS}' for tags in V.METRIC_TAGS.values() for t in tags)}>>"
 FACT_KEY = ["cik", "metric", "fiscal_year", "fiscal_period"]
 STORED_KEY = [*FACT_KEY, "taxonomy_tag", "filing_date"]
 
@@ -22,17 +24,17 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     ).where("__rank = 1").drop("__rank")
 
 
-def tag_table(spark: SparkSession) -> DataFrame:
+def mapped_tags() -> list[tuple[str, str, int]]:
     """(taxonomy_tag, metric, tag_priority); a tag of two metrics is an error."""
     rows = [(tag, metric, i) for metric, tags in V.METRIC_TAGS.items() for i, tag in enumerate(tags)]
     if len({r[0] for r in rows}) != len(rows):
         raise ValueError("a tag stands for two metrics")
-    return spark.createDataFrame(rows, "taxonomy_tag string, metric string, tag_priority int")
+    return rows
 
 
 def _date(name: str) -> Column:
     text = F.nullif(F.trim(name), F.lit(""))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}\z"), text.try_cast("date"))
 
 
 def filing_index_url(cik: str, accession: str) -> Column:
@@ -43,8 +45,8 @@ def filing_index_url(cik: str, accession: str) -> Column:
     )
 
 
-def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reason) rows of every mapped tag of ``payloads`` (cik, json) for ``companies`` (cik, ticker, name).
+def judged_candidates(payloads: DataFrame, companies: DataFrame) -> DataFrame:
+    """Rows of every mapped tag of ``payloads`` (cik, json) for ``companies`` (cik, ticker, name), with ``reject_reason``, null if valid.
 
     Unmapped tags, other units, forms and periods are left out; malformed records
     of mapped tags are rejected. A payload must be of the company it is filed under.
@@ -52,12 +54,15 @@ def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFram
     parsed = payloads.select("cik", F.from_json("json", COMPANY_FACTS).alias("doc")).join(companies, "cik")
     same = F.try_to_number(F.col("doc.cik"), F.lit("9999999999")).cast("long")
     parsed = parsed.withColumn("__mismatch", F.coalesce(same != F.col("cik"), F.lit(True)))
-    tags = parsed.select("cik", "ticker", "name", "__mismatch", F.explode("doc.facts").alias("taxonomy", "tags"))
-    units = tags.select("cik", "ticker", "name", "__mismatch", F.explode("tags").alias("taxonomy_tag", "tag"))
-    units = units.join(F.broadcast(tag_table(payloads.sparkSession)), "taxonomy_tag")
-    records = units.select(
-        "*", F.explode("tag.units").alias("unit", "records")
-    ).where(F.col("unit").isin(*V.UNITS)).select("*", F.explode("records").alias("r")).drop("tag", "records")
+    head = ["cik", "ticker", "name", "__mismatch"]
+    # an inner explode would have Spark filter payloads by their parsed facts first, which parses each twice
+    tags = parsed.select(*head, F.explode_outer("doc.facts").alias("taxonomy", "tags")).where("tags IS NOT NULL")
+    lists = [
+        F.struct(F.lit(t).alias("taxonomy_tag"), F.lit(m).alias("metric"), F.lit(i).alias("tag_priority"), F.lit(u).alias("unit"), F.col(f"tags.{t}.units.{u}").alias("records"))
+        for t, m, i in mapped_tags() for u in V.UNITS
+    ]
+    units = tags.select(*head, F.explode(F.array(*lists)).alias("of"))
+    records = units.select(*head, "of.*").select("*", F.explode("records").alias("r")).drop("records")
     form = F.create_map(*[F.lit(x) for pair in V.FORMS.items() for x in pair])[F.col("r.form")]
     rows = records.where(F.col("r.form").isin(*V.FORMS) & F.col("r.fp").isin(*V.PERIODS)).select(
         "cik", "ticker", F.col("name").alias("company_name"), "metric", "taxonomy_tag", "tag_priority", "unit", "__mismatch",
@@ -82,9 +87,14 @@ def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFram
     reason = reduce(
         lambda rest, x: F.when(x[0], F.lit(x[1])).otherwise(rest), reversed(reasons), F.lit(None).cast("string")
     )
-    judged = rows.withColumn("reject_reason", reason).withColumn(
+    return rows.withColumn("reject_reason", reason).withColumn(
         "source_url", filing_index_url("cik", "accession_no")
     ).drop("__start", "__mismatch")
+
+
+def fact_candidates(payloads: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with reason) rows of :func:`judged_candidates`; each of both parses the payloads."""
+    judged = judged_candidates(payloads, companies)
     return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
 
 

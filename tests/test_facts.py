@@ -123,3 +123,17 @@ def test_keep_latest_limits_groups_before_the_shuffle(spark):
 def test_rules_split_rows(spark):
     good, bad = facts.validated(spark.createDataFrame([(1,), (-1,), (None,)], "x int"), {"positive": F.col("x") > 0})
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_what_is_not_mapped_is_passed_over_in_any_shape(spark):
+    facts_of = {"Assets": {"units": {"EUR": "none", "USD": [record(7, "2024-09-28")]}}, "Mystery": 5, "Liabilities": {"units": {}}}
+    good, bad = run(spark, json.dumps({"cik": "320193", "facts": {"us-gaap": facts_of, "dei": {"Other": []}, "ifrs": None}}))
+    assert [(r.metric, r.taxonomy_tag, r.tag_priority, r.unit, r.value) for r in good.collect()] == [("total_assets", "Assets", 0, "USD", 7)]
+    assert bad.count() == 0
+
+
+def test_days_that_are_none(spark):
+    rows = [record(1, end) for end in ("2024-02-30", "0000-01-01", "2024-01-01\n", "2024-1-1", " 2024-01-01 ")]
+    good, bad = run(spark, payload({"Assets": rows}))
+    assert [r.period_end for r in good.collect()] == [date(2024, 1, 1)]
+    assert [r.reject_reason for r in bad.collect()] == ["period_end"] * 4

@@ -55,3 +55,9 @@ def test_filings_that_share_an_accession_number(spark, tmp_path):
 def test_outcomes_that_share_a_case(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "numeric_scoring", orders=CUT)
     assert got[0][0] > len(CUT[1])
+
+
+def test_landed_facts_are_made_and_parsed_once(spark):
+    found = entry.queries()["landed_fact_candidates"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1 and plan.count("from_json(") == 1
