@@ -38,8 +38,10 @@ from ..session import stored
 from ..sources import commits
 from .retrieval import Search, checked_k, metadata_predicate, top_k
 
-#: Passages of a block, buckets of terms, and parts that each bucket is written in.
+#: Passages of a block, buckets of terms, and parts that each bucket is written in, at least.
 BLOCK, BUCKETS, PARTS = 1024, 64, 4
+#: Blocks of questions that a task scores on average, whatever the size of the index.
+VISITS = 256
 #: Up to so many distinct terms of a set of questions are pushed into the scan; beyond, they are joined.
 MOST_TERMS = 2000
 #: Blocks that a question visits before it has a bound.
@@ -119,9 +121,9 @@ class TextIndex:
 
     def add(self, chunks: DataFrame) -> int:
         """Commits the postings of passages that are not in the index; returns the version."""
-        # a term that is everywhere has rows in all blocks: each bucket is written by several tasks
-        rows = postings(chunks, english=self.english).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
-        ordered = rows.sortWithinPartitions("bucket", "term", "block")
+        # a term that is everywhere has rows in all blocks: each bucket is written by several tasks, and by more as it grows
+        rows = postings(chunks, english=self.english).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+        ordered = rows.hint("rebalance", "bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "block")
         return commits.append(chunks.sparkSession, self.path, lambda folder: ordered.write.partitionBy("bucket").parquet(folder))
 
     def rows(self, spark: SparkSession, version: int | None = None) -> DataFrame:
@@ -203,18 +205,24 @@ def _dense(rows: DataFrame, mode: str) -> DataFrame:
 
 
 def _scored(rows: DataFrame, mode: str) -> DataFrame:
-    """Rows (qid, id, score) of posting rows with their questions."""
+    """Rows (qid, id, score) of posting rows with their questions, which are together by (qid, block): a passage is in one block."""
+    passage = ["qid", "block", F.col("p.ids").alias("id")]
     if mode == "any":
-        flat = rows.select("qid", F.explode(F.arrays_zip("ids", "counts")).alias("p"))
-        found = flat.groupBy("qid", F.col("p.ids").alias("id")).agg(F.sum("p.counts").alias("n"))
+        flat = rows.select("qid", "block", F.explode(F.arrays_zip("ids", "counts")).alias("p"))
+        found = flat.groupBy(*passage).agg(F.sum("p.counts").alias("n"))
         return found.select("qid", "id", (F.col("n") * COVER).alias("score"))
-    flat = rows.select("qid", "slot", "term", "n_slots", F.explode(F.arrays_zip("ids", "places")).alias("p"))
-    met = flat.groupBy("qid", F.col("p.ids").alias("id")).agg(
+    flat = rows.select("qid", "block", "slot", "term", "n_slots", F.explode(F.arrays_zip("ids", "places")).alias("p"))
+    met = flat.groupBy(*passage).agg(
         F.collect_list(F.struct("slot", "term", F.col("p.places").alias("places"))).alias("met"), F.first("n_slots").alias("n")
     )
     return _dense(met.where(F.size("met") == F.col("n")), mode)
 
 
+def _together(rows: DataFrame, visits: int) -> DataFrame:
+    """Rows of the same question and block in one task, in as many tasks as there is work for."""
+    return rows.repartition(1 + visits // VISITS, "qid", "block")
+
+
 def search(
     index: TextIndex, questions: DataFrame, k: int, *, mode: str = "any", chunks: DataFrame | None = None, filters: dict[str, object] | None = None
 ) -> DataFrame:
@@ -241,26 +249,32 @@ def search(
     nearest = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
     reach = stored(reach.withColumn("nr", F.row_number().over(nearest)).select("qid", "block", "bound", "nr"), "reach")
 
-    def visited(blocks: DataFrame) -> DataFrame:
-        found = _scored(rows.join(blocks.select("qid", "block"), ["qid", "block"]), mode)
+    def visited(met: DataFrame) -> DataFrame:
+        found = _scored(met, mode)
         if filters:
             found = found.join(chunks.where(metadata_predicate(filters)).select(F.col("id").cast("long").alias("id")), "id", "left_semi")
         return found.select("qid", "id", "score")
 
-    first = stored(top_k(visited(reach.where(F.col("nr") <= FIRST)), k, F.desc("score"), F.asc("id")), "first-answers")
+    best = reach.where(F.col("nr") <= FIRST).select("qid", "block")
+    first = stored(top_k(visited(_together(rows.join(best, ["qid", "block"]), best.count())), k, F.desc("score"), F.asc("id")), "first-answers")
     floors = first.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
     # a bound is never below a score, but for rounding
     least = F.coalesce(F.col("floor"), F.lit(0.0)) - 1e-9
     rest = reach.where(F.col("nr") > FIRST).join(floors, "qid", "left").where(F.col("bound") * COVER >= least)
-    every = first.select("qid", "id", "score").unionByName(visited(rest))
+    rest = stored(rest.select("qid", "block"), "rest")
+    met = _together(rows, rest.count()).join(rest, ["qid", "block"])
+    every = first.select("qid", "id", "score").unionByName(visited(met))
     return top_k(every, k, F.desc("score"), F.asc("id")).select("qid", "id", F.col("score").alias("text_score"), "rank")
 
 
 def match_counts(index: TextIndex, questions: DataFrame) -> DataFrame:
     """Rows (qid, matches): how many passages hold any term of each question, zero where none does."""
     asked = asked_terms(questions, english=index.english).select("qid", "term").distinct()
-    rows = open_postings(index, asked).select("term", "ids").join(asked, "term")
-    found = rows.select("qid", F.explode("ids").alias("id")).distinct().groupBy("qid").agg(F.count("*").alias("n"))
+    asked = stored(asked, "asked-terms")
+    rows = open_postings(index, asked).select("term", "block", "ids").join(asked, "term")
+    visits = rows.select("qid", "block").distinct().count()
+    met = _together(rows, visits).select("qid", "block", F.explode("ids").alias("id")).distinct()
+    found = met.groupBy("qid").agg(F.count("*").alias("n"))
     return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("matches"))
 
 

@@ -249,3 +249,29 @@ def test_a_search_of_vectors_shuffles_the_best_alone(spark, tmp_path):
     found = vector_index.search(at, asked, 3, probes=vector_index.EVERY)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "Join" not in plan and answers(found) == answers(retrieval.vector_search(asked, rows, 3))
+
+
+def test_a_term_that_is_everywhere_is_written_by_more_tasks_as_it_grows(spark, tmp_path):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    index = text_index.TextIndex(f"file://{tmp_path}/wide", english=False)
+    chunks = spark.range(40_000).selectExpr("id", "repeat('word ', CAST(id % 7 + 1 AS INT)) AS text").repartition(16)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        index.add(chunks)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {f.rsplit("/", 1)[1] for f in index.rows(spark).inputFiles()}
+    assert len(files) > text_index.PARTS
+    questions = spark.createDataFrame([(1, "a word"), (2, "none")], "qid long, query string")
+    assert {(r.qid, r.matches) for r in text_index.match_counts(index, questions).collect()} == {(1, 40_000), (2, 0)}
+    assert [r.id for r in text_index.search(index, questions, 3).orderBy("rank").collect()] == [6, 13, 20]
+
+
+def test_scores_need_as_many_tasks_as_there_are_visits(spark):
+    rows = spark.range(10).selectExpr("id AS qid", "id AS block", "array(id) AS ids", "array(1) AS counts")
+    met = text_index._together(rows, 10 * text_index.VISITS)
+    plan = text_index._scored(met, "any")._jdf.queryExecution().executedPlan().toString()
+    assert met.rdd.getNumPartitions() == 11 and plan.count("Exchange") == 1
