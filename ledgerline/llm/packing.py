@@ -61,7 +61,8 @@ class Corpus:
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a document, in order, and how often each stands there."""
-    ids = np.sort(ids)
+    # two-byte ids are sorted by digits
+    ids = np.sort(ids, kind="stable" if ids.itemsize == 2 else None)
     n = len(ids)
     last = np.empty(n, bool)
     np.not_equal(ids[1:], ids[:-1], out=last[:-1])

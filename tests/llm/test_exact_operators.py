@@ -519,3 +519,14 @@ def test_document_frequencies_and_term_counts_equal_numpy():
         want = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
         assert packing.document_frequencies(docs, 60).tolist() == want.tolist()
         assert not packing.document_frequencies(docs[:1], 60).any()
+
+
+def test_term_counts_of_ids_of_both_widths():
+    import numpy as np
+
+    from ledgerline.llm.packing import term_counts
+
+    for kind in ("<u2", "<u4"):
+        for ids in ([], [7], [65_000, 3, 3, 65_000, 0, 3]):
+            terms, counts = term_counts(np.array(ids, kind))
+            assert terms.dtype == np.dtype(kind) and dict(zip(terms.tolist(), counts.tolist())) == {t: ids.count(t) for t in ids}
