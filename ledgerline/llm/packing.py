@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import written
-from .text import freeing, mix, pieces, texts_of
+from .text import freeing, mix, pieces
 from .word_tokenizer import tokenizer
 
 K1, B = 1.2, 0.75
@@ -77,9 +77,10 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def document_frequencies(docs: list[np.ndarray], terms: int) -> np.ndarray:
     """How many of the documents hold each term."""
     lengths = [len(d) for d in docs]
-    both = np.sort(np.repeat(np.arange(len(docs), dtype=np.uint64) * np.uint64(terms), lengths) + np.concatenate(docs))
+    kind = np.uint32 if len(docs) * terms < 1 << 32 else np.uint64  # the narrower are sorted faster
+    both = np.sort(np.repeat(np.arange(len(docs), dtype=kind) * kind(terms), lengths) + np.concatenate(docs, dtype=kind))
     first = np.append(True, both[1:] != both[:-1])[: len(both)]
-    return np.bincount((both[first] % np.uint64(terms)).astype(np.int64), minlength=terms)
+    return np.bincount((both[first] % kind(terms)).astype(np.int64), minlength=terms)
 
 
 class Bm25:
@@ -289,6 +290,12 @@ def _width(terms: int) -> str:
     return "<u2" if terms <= 1 << 16 else "<u4"
 
 
+def _binary(ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The ids from each of ``begins`` to the next as one value."""
+    offsets = pa.array(begins * ids.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, offsets.buffers()[1], pa.py_buffer(ids)])
+
+
 def _arrays(column: pa.Array, terms: int) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), _width(terms)) for x in column]
 
@@ -298,20 +305,19 @@ def _forget_words() -> None:
     tokenizer.cache_clear()
 
 
-def _tokens(docs: DataFrame, path: str, end: bytes, size: int) -> DataFrame:
+def _tokens(docs: DataFrame, path: str, end: int, size: int) -> DataFrame:
     """Rows (__id, ids, counted): the documents, and from each task a row whose ``ids`` are (term, documents) pairs of 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, df, n, length, kind = tokenizer(path), np.zeros(size, np.int64), 0, 0, None
-        for batch in pieces(batches, "__text", 1 << 20):
-            tokens = [
-                np.frombuffer(words.ids(text or b"") + end, "<u4").astype(_width(size)) for text in texts_of(batch.column("__text")).to_pylist()
-            ]
-            arrays = [x.tobytes() for x in tokens]
-            kind, n, length = batch.schema.field(0).type, n + len(arrays), length + sum(map(len, tokens))
-            df += document_frequencies(tokens, size)
+        for batch in pieces(batches, "__text", 8 << 20):
+            own = words.lists(batch.column("__text"))
+            ids = np.insert(own.ids.astype(_width(size)), own.begins[1:], end)
+            begins = own.begins + np.arange(len(own.begins))
+            kind, n, length = batch.schema.field(0).type, n + batch.num_rows, length + len(ids)
+            df += document_frequencies(np.split(ids, begins[1:-1]), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(arrays, pa.binary()), pa.array(np.zeros(len(arrays), bool))],
+                [batch.column(0), _binary(ids, begins), pa.array(np.zeros(batch.num_rows, bool))],
                 ["__id", "ids", "counted"]
             )
         if n:
@@ -389,9 +395,8 @@ def pack_documents(
 ) -> DataFrame:
     """Rows (id, start, length, ids, doc_tokens, sequence_id, offset): the pieces, with their ids as little-endian 32-bit integers in ``ids``."""
 
-    end = np.uint32(end_id).tobytes()
     terms = max(tokenizer(path).library.get_vocab_size(), end_id + 1)
-    tokens = _tokens(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), path, end, terms)
+    tokens = _tokens(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), path, end_id, terms)
     corpus = _corpus(tokens, terms)
 
     @freeing(_forget_words)

@@ -400,6 +400,32 @@ def test_word_ids_equal_the_library(text):
         assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == want
 
 
+def test_parts_of_a_batch_are_merged_once_each():
+    from ledgerline.llm.word_tokenizer import WordTokenizer
+
+    own = WordTokenizer(tokenizers.path("word_bpe_49k.json"), cap=4)
+    merge, merged = own.merge, []
+    own.merge = lambda part: merged.append(part) or merge(part)
+    got = own.ids(("river Lake, WATER boat! fish7 lake river. " * 20).encode())
+    assert sorted(merged) == sorted(["river", "lake", "water", "boat", "fish", "7", ",", "!", "."])
+    assert len(got) == 20 * len(own.ids(b"river Lake, WATER boat! fish7 lake river."))
+
+
+def test_batches_of_texts_have_the_ids_of_the_library():
+    import pyarrow as pa
+
+    from ledgerline.llm.word_tokenizer import WordTokenizer
+
+    texts = ["not read", None, "", " \t\n ", " lead  and trail ", "Don't 'quote' x2y ÉTÉ été", "<|endoftext|> at the end", "é × ÷ ß ÿ Þ À", "h\u0331 H\u0331 É E\u0301", "", "日本 日本, a\x00b", "x<|startoftext|>"]
+    for kind in (pa.string(), pa.large_string()):
+        for cap in (4, 500_000):
+            own = WordTokenizer(tokenizers.path("word_bpe_49k.json"), cap)
+            for some in (texts, texts[:3], texts[:2], texts[:1]) * 2:
+                got = own.lists(pa.array(some, kind)[1:])
+                want = [own.library.encode(t or "", add_special_tokens=False).ids for t in some[1:]]
+                assert [got.ids[a:b].tolist() for a, b in zip(got.begins, got.begins[1:])] == want
+
+
 def test_windows_return_lexical_neighbours():
     ids = [
         np.array([5, 6, 7, 2], "<u4"), np.array([20, 21, 22, 2], "<u4"), np.array([5, 6, 8, 2], "<u4"),
