@@ -44,6 +44,7 @@ from .word_tokenizer import tokenizer
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 40_000  # documents that the tree is learnt from
+COUNTED = 1 << 20  # ids that are counted at once
 PARTITION_BYTES = 16 << 20  # ids that a partition of shards holds on average, once the session's number of them is too small
 
 
@@ -59,44 +60,43 @@ class Corpus:
         return self.idf[terms] * tf * np.float32(K1 + 1) / (tf + norm)
 
 
+def counted(docs: list[np.ndarray], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, how often, document) of all documents' distinct ids, by document and term."""
+    kind = np.uint32 if len(docs) * terms < 1 << 32 else np.uint64  # the narrower are sorted faster
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.repeat(np.arange(len(docs), dtype=kind) * kind(terms), [len(d) for d in docs])
+    both += np.concatenate(docs, dtype=kind)
+    both.sort()
+    last = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=last[:-1])
+    at = np.flatnonzero(last)
+    both = both[at]
+    doc = both // kind(terms)
+    return (both - doc * kind(terms)).astype(np.int64), np.diff(at, prepend=-1), doc.astype(np.int64)
+
+
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a document, in order, and how often each stands there."""
-    # two-byte ids are sorted by digits
-    ids = np.sort(ids, kind="stable" if ids.itemsize == 2 else None)
-    n = len(ids)
-    last = np.empty(n, bool)
-    np.not_equal(ids[1:], ids[:-1], out=last[:-1])
-    last[n - 1 :] = True
-    at = np.flatnonzero(last)
-    counts = at.copy()
-    counts[1:] -= at[:-1]
-    counts[:1] += 1
-    return ids[at], counts
+    terms, counts, _ = counted([ids], int(ids.max(initial=0)) + 1)
+    return terms.astype(ids.dtype), counts
 
 
 def document_frequencies(docs: list[np.ndarray], terms: int) -> np.ndarray:
     """How many of the documents hold each term."""
-    lengths = [len(d) for d in docs]
-    kind = np.uint32 if len(docs) * terms < 1 << 32 else np.uint64  # the narrower are sorted faster
-    both = np.sort(np.repeat(np.arange(len(docs), dtype=kind) * kind(terms), lengths) + np.concatenate(docs, dtype=kind))
-    first = np.append(True, both[1:] != both[:-1])[: len(both)]
-    return np.bincount((both[first] % kind(terms)).astype(np.int64), minlength=terms)
+    return np.bincount(counted(docs, terms)[0], minlength=terms)
 
 
 class Bm25:
     """An inverted index of one shard: postings of each term with their BM25 weights, by the corpus or else by the shard itself."""
 
     def __init__(self, docs: list[np.ndarray], terms: int, corpus: Corpus | None = None):
-        counts = [term_counts(d) for d in docs]
-        self.terms = [t for t, _ in counts]
-        sizes = np.array([len(t) for t in self.terms], np.int64)
-        term = np.concatenate(self.terms) if docs else np.zeros(0, np.uint32)
-        tf = np.concatenate([n for _, n in counts]).astype(np.float32) if docs else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(len(docs)), sizes)
+        term, tf, doc = counted(docs, terms)
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
         df = np.bincount(term, minlength=terms)
         lengths = np.array([len(d) for d in docs], np.float32)
         corpus = corpus or Corpus(len(docs), int(lengths.sum()), df)
-        weight = corpus.weights(term, tf, lengths[doc]).astype(np.float64)
+        weight = corpus.weights(term, tf.astype(np.float32), lengths[doc]).astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
@@ -161,7 +161,7 @@ def pack(
             free = np.flatnonzero(~used)
             if not len(free):
                 break
-            if 2 * len(free) < indexed:
+            if 4 * len(free) < 3 * indexed:
                 index.keep(~used)
                 indexed = len(free)
             # the document that reaches into the open window is its seed
@@ -279,9 +279,14 @@ def _projection(terms: int) -> np.ndarray:
 def _vectors(docs: list[np.ndarray], corpus: Corpus, signs: np.ndarray) -> np.ndarray:
     """The BM25 weights of each document, projected and scaled to length one."""
     out = np.zeros((len(docs), DIMENSIONS), np.float32)
-    for i, d in enumerate(docs):
-        terms, tf = term_counts(d)
-        out[i] = corpus.weights(terms, tf.astype(np.float32), len(d)) @ signs[terms]
+    lengths = np.array([len(d) for d in docs], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // COUNTED)) + 1
+    for some in np.split(np.arange(len(docs)), cuts):
+        term, tf, doc = counted([docs[i] for i in some], len(signs))
+        weight = corpus.weights(term, tf.astype(np.float32), lengths[some][doc])
+        begins = np.searchsorted(doc, np.arange(len(some) + 1)).tolist()
+        for i, a, b in zip(some.tolist(), begins, begins[1:]):
+            out[i] = weight[a:b] @ signs[term[a:b]]
     return out / np.maximum(np.sqrt(np.square(out).sum(axis=1, keepdims=True)), 1e-9)
 
 

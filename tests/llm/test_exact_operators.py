@@ -547,6 +547,20 @@ def test_document_frequencies_and_term_counts_equal_numpy():
         assert not packing.document_frequencies(docs[:1], 60).any()
 
 
+def test_terms_of_many_documents_are_counted_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 50, n).astype("<u2") for n in (0, 3, 1, 40, 0, 400, 2, 0)]
+    for terms in (50, 1 << 31):  # the second needs 64-bit keys
+        term, n, doc = packing.counted(docs, terms)
+        want = [(i, t, d.tolist().count(t)) for i, d in enumerate(docs) for t in sorted(set(d.tolist()))]
+        assert list(zip(doc.tolist(), term.tolist(), n.tolist())) == want
+    # vectors do not depend on how many documents are counted at once
+    corpus = packing.Corpus(len(docs), 446, packing.document_frequencies(docs, 50))
+    whole = packing._vectors(docs, corpus, packing._projection(50))
+    monkeypatch.setattr(packing, "COUNTED", 5)
+    assert (packing._vectors(docs, corpus, packing._projection(50)) == whole).all() and whole[3].any() and not whole[4].any()
+
+
 def test_term_counts_of_ids_of_both_widths():
     import numpy as np
 
